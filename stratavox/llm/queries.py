@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, repetition, warc
-from .storage import table
+from . import decontaminate, linededup, repetition, warc
+from .storage import scratch, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,3 +85,27 @@ SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
   CASE WHEN page_id <> top THEN top END AS refers_to
 FROM r""",
 }
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows of ten words in all documents, by the stored index."""
+    index = decontaminate.build_index(table(spark, sf_dir, "documents"), scratch(spark, "postings"))
+    return decontaminate.contamination_report(index, table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op8_decontaminate"] = op8_decontaminate
+_ALNUM = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE_SQL["op8_decontaminate"] = f"""
+WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
+b AS (SELECT item_id, {_ALNUM} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, len(g) AS k, array_to_string(g, ' ') AS g FROM (
+  SELECT item_id, w[s:s + 9] AS g FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS s FROM b WHERE len(w) > 0))),
+ks AS (SELECT DISTINCT k FROM bw),
+dw AS (SELECT doc_id, s, k, array_to_string(w[s:s + k - 1], ' ') AS g FROM (
+  SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, ks WHERE len(w) >= k)),
+m AS (SELECT doc_id, s, dw.k AS k, item_id FROM dw JOIN bw ON dw.g = bw.g AND dw.k = bw.k),
+h AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, s + unnest(range(k)) AS p FROM m) GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS l FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM m) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(i.n, 0) AS n_items,
+  sha256(coalesce(i.l, '')) AS items_sha256, h.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)"""
