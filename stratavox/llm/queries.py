@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, importance, linededup, repetition, warc
+from . import decontaminate, importance, linededup, pieces, repetition, warc
 from .storage import scratch, table
 
 
@@ -117,3 +117,11 @@ def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_importance_resampling"] = op5_importance_resampling
+
+
+def op9_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document under merge-dropout, and whether they decode to its text."""
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op9_merge_dropout"] = op9_merge_dropout
