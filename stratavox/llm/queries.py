@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, importance, linededup, pieces, repetition, warc
+from . import decontaminate, importance, linededup, pieces, repetition, toxicity, warc
 from .storage import scratch, table
 
 
@@ -125,3 +125,12 @@ def op9_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_merge_dropout"] = op9_merge_dropout
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by the classifier that weak supervision trains."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES["op7_toxicity"] = op7_toxicity
