@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, importance, linededup, pieces, repetition, substrings, toxicity, warc
+from . import decontaminate, importance, linededup, pieces, pitmanyor, repetition, substrings, toxicity, warc
 from .storage import scratch, table
 
 
@@ -152,3 +152,11 @@ words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM
 kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)"""
+
+
+def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability under the hierarchical model and the unigram base."""
+    return pitmanyor.perplexity_scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op10_pitman_yor"] = op10_pitman_yor
