@@ -36,6 +36,7 @@ from . import textblocks as tb
 
 MARK = "▁"
 LONG = 48
+BATCH = 4096
 NONE = np.iinfo(np.int64).max
 _U = np.uint64
 
@@ -185,58 +186,67 @@ def agenda(pieces: Pieces, chars: list[int], key: int, rate: float) -> list[tupl
 def _merge_all(pieces: Pieces, ids: np.ndarray, chunk: np.ndarray, first: np.ndarray, keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Merges the symbols of many chunks; (id, chunk, first character) of those left.
 
-    ids, chunk, first: of the characters, in order; keys: of the chunks."""
-    limit = min(int(rate * 2.0**64), 2**64 - 1)
+    ids, chunk, first: of the characters, in order; keys: of the chunks.  Symbols are
+    linked lists in arrays; a round takes the best offer of each chunk, the leftmost of
+    equals, as the least of rank and place in one number.  Chunks without offers are
+    taken out when they are half of all."""
+    limit = _U(min(int(rate * 2.0**64), 2**64 - 1))
+    none, low = np.int64(NONE), np.int64(2**32 - 1)
+    n = len(ids)
+    if not n:
+        return ids, chunk, first
+    sym, own, start = ids.copy(), chunk, first
+    last = np.append(own[1:] != own[:-1], True)
+    after = np.where(last, -1, np.arange(1, n + 1))
+    before = np.where(start == 0, -1, np.arange(-1, n - 1))
+    stop = start + 1
+    alive = np.ones(n, bool)
+    offer, merge = np.full(n, none), np.zeros(n, np.int64)
     done = []
-    sym, own, start = ids.astype(np.int64), chunk, first
-    end = start + 1
-
-    def look(sym, own, start, end):
-        """The rank of the merge of each symbol with the next, NONE without one."""
-        found = np.full(len(sym), -1, np.int64)
-        same = np.flatnonzero(own[:-1] == own[1:])
-        found[same] = pieces.find(sym[same], sym[same + 1])
+
+    def look(x: np.ndarray) -> None:
+        """Sets the offers of the symbols at x, which all have a next one."""
+        y = after[x]
+        found = pieces.find(sym[x], sym[y])
+        ok = found >= 0
+        offer[x[~ok]] = none
+        x, y, found = x[ok], y[ok], found[ok]
         if limit:
-            at = np.flatnonzero(found >= 0)
-            drop = skip_hash(keys[own[at]], start[at], end[at], end[at + 1]) < _U(limit)
-            found[at[drop]] = -1
-        return found
+            stay = skip_hash(keys[own[x]], start[x], stop[x], stop[y]) >= limit
+            offer[x[~stay]] = none
+            x, found = x[stay], found[stay]
+        offer[x] = (pieces.pair_rank[found] << 32) | x
+        merge[x] = pieces.pair_ids[found]
 
-    found = look(sym, own, start, end) if len(sym) else np.zeros(0, np.int64)
+    look(np.flatnonzero(after >= 0))
     while len(sym):
-        rank = np.where(found >= 0, pieces.pair_rank[np.maximum(found, 0)], NONE)
         heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        best = np.minimum.reduceat(rank, heads)
-        sizes = np.diff(np.append(heads, len(sym)))
-        alive = np.repeat(best != NONE, sizes)
-        if not alive.all():
-            done.append((sym[~alive], own[~alive], start[~alive]))
-            sym, own, start, end, found, rank = (x[alive] for x in (sym, own, start, end, found, rank))
-            if not len(sym):
+        best = np.minimum.reduceat(offer, heads)
+        while True:
+            live = best != none
+            if 2 * np.count_nonzero(live) < len(live) or not live.any():
                 break
-            heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            best, sizes = best[best != NONE], sizes[best != NONE]
-        hit = np.flatnonzero(rank == np.repeat(best, sizes))
-        chosen = hit[np.concatenate([[True], own[hit][1:] != own[hit][:-1]])]  # the leftmost of each chunk
-        sym[chosen] = pieces.pair_ids[found[chosen]]
-        end[chosen] = end[chosen + 1]
-        stay = np.ones(len(sym), bool)
-        stay[chosen + 1] = False
-        moved = np.cumsum(stay) - 1
-        sym, own, start, end, found = (x[stay] for x in (sym, own, start, end, found))
-        at = moved[chosen]
-        again = np.unique(np.concatenate([at, at - 1]))
-        again = again[(again >= 0) & (again < len(sym) - 1)]
-        ok = own[again] == own[again + 1]
-        fresh = np.full(len(again), -1, np.int64)
-        fresh[ok] = pieces.find(sym[again[ok]], sym[again[ok] + 1])
-        if limit:
-            live = np.flatnonzero(fresh >= 0)
-            x = again[live]
-            fresh[live[skip_hash(keys[own[x]], start[x], end[x], end[x + 1]) < _U(limit)]] = -1
-        found[again] = fresh
-        found[-1] = -1
-    sym, own, start = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (sym, own, start)
+            x = best[live] & low
+            y = after[x]
+            sym[x], stop[x], after[x] = merge[x], stop[y], after[y]
+            alive[y], offer[y], offer[x] = False, none, none
+            z = after[x]
+            inner = z >= 0
+            before[z[inner]] = x[inner]
+            w = before[x]
+            look(np.concatenate([x[inner], w[w >= 0]]))
+            best = np.minimum.reduceat(offer, heads)
+        sizes = np.diff(np.append(heads, len(sym)))
+        ended = np.repeat(~live, sizes)
+        out = ended & alive
+        done.append((sym[out], own[out], start[out]))
+        keep = ~ended & alive
+        moved = np.append(np.cumsum(keep) - 1, -1)  # the last for "none"
+        sym, own, start, stop, after, before, offer, merge = (x[keep] for x in (sym, own, start, stop, after, before, offer, merge))
+        alive = np.ones(len(sym), bool)
+        after, before = moved[after], moved[before]
+        offer = np.where(offer == none, none, (offer >> 32 << 32) | np.arange(len(sym)))
+    sym, own, start = (np.concatenate(x) for x in zip(*done, strict=True))
     order = np.lexsort((start, own))
     return sym[order], own[order], start[order]
 
@@ -286,7 +296,11 @@ class Encoder:
         first = np.arange(len(char)) - heads[own]
         long = np.diff(heads) > LONG
         brief = ~long[own]
-        sym, chunk, begin = _merge_all(self.pieces, ids[brief], own[brief], first[brief], keys, self.dropout.rate)
+        parts, chars, owner, firsts = [], ids[brief], own[brief], first[brief]
+        cuts = np.searchsorted(owner, np.arange(0, len(starts) + BATCH, BATCH))
+        for a, b in zip(cuts, cuts[1:], strict=False):  # arrays that stay in a core's cache
+            parts.append(_merge_all(self.pieces, chars[a:b], owner[a:b], firsts[a:b], keys, self.dropout.rate))
+        sym, chunk, begin = (np.concatenate(x) for x in zip(*parts, strict=True))
         if long.any():
             more = []
             for c in np.flatnonzero(long):
