@@ -114,3 +114,42 @@ def spline_window(side: int, power: int = 2) -> list[float]:
 
 def raised_cosine(n: int) -> list[float]:
     return [0.5 - 0.5 * math.cos(math.pi * i / max(n - 1, 1)) for i in range(n)]
+
+
+def poisson_noise(df: DataFrame, seed: int = 0, value: str = "v") -> DataFrame:
+    """v drawn from a Poisson law of mean v, by a generator seeded with the image and its voxels' order.
+
+    A kernel an image: draws depend on nothing but seed, image and voxel."""
+
+    def run(pdf):
+        import numpy as np
+
+        pdf = pdf.sort_values(AXES)
+        rng = np.random.default_rng([seed, int(pdf["img"].iloc[0]) & (2**63 - 1)])
+        return pdf.assign(**{value: rng.poisson(pdf[value].clip(lower=0)).astype(pdf[value].dtype)})
+
+    return df.groupBy("img").applyInPandas(run, df.schema)
+
+
+def elastic(df: DataFrame, n: int, strength: float = 1.0, points: int = 3, seed: int = 0, value: str = "v") -> DataFrame:
+    """(img, z, y, x, v): the volume sampled at places displaced by a random coarse grid of vectors,
+    interpolated linearly between its points; a kernel an image."""
+    from .field import _sample
+
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        img = int(pdf["img"].iloc[0])
+        rng = np.random.default_rng([seed, img & (2**63 - 1)])
+        coarse = rng.normal(0, strength, (3, points, points, points))
+        at = np.indices((n, n, n)).reshape(3, -1).astype(float)
+        shift = _sample(coarse, at * (points - 1) / max(n - 1, 1))
+        grid = np.zeros((3, n, n, n))
+        z, y, x = (pdf[a].to_numpy() for a in AXES)
+        grid[:, z, y, x] = pdf[value].to_numpy(float)
+        sampled = _sample(grid, np.clip(at + shift, 0, n - 1))[0]
+        z, y, x = at.astype(int)
+        return pd.DataFrame({"img": img, "z": z, "y": y, "x": x, value: sampled})
+
+    return df.select("img", *AXES, value).groupBy("img").applyInPandas(run, f"img long, z int, y int, x int, {value} double")

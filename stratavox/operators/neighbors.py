@@ -191,3 +191,31 @@ def otsu(df: DataFrame, value: str = "v") -> DataFrame:
     gain = cross * cross / (F.col("w0") * (F.col("n") - F.col("w0"))).cast("double")
     return out.groupBy("img").agg(F.min_by("level", F.struct(-gain, "level")).alias("threshold"))
 
+
+
+def watershed(df: DataFrame, value: str = "v", marker: str = "marker") -> DataFrame:
+    """(img, z, y, x, label): markers flood over 6-neighbours from high values to low, first come first served.
+
+    The order is a priority queue's, so an image is one task's kernel."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        import heapq
+
+        cells = {p: i for i, p in enumerate(zip(*(pdf[a].tolist() for a in AXES), strict=True))}
+        values, label = pdf[value].tolist(), pdf[marker].tolist()
+        heap = [(-values[i], k, p, i) for k, (p, i) in enumerate(sorted(cells.items())) if label[i]]
+        heapq.heapify(heap)
+        k = len(cells)
+        while heap:
+            _, _, (z, y, x), i = heapq.heappop(heap)
+            for d in half_offsets(6):
+                for s in (1, -1):
+                    p = (z + s * d[0], y + s * d[1], x + s * d[2])
+                    j = cells.get(p)
+                    if j is not None and not label[j]:
+                        label[j] = label[i]
+                        k += 1
+                        heapq.heappush(heap, (-values[j], k, p, j))
+        return pdf[["img", *AXES]].assign(label=label)
+
+    return df.select("img", *AXES, value, marker).groupBy("img").applyInPandas(run, "img long, z int, y int, x int, label int")

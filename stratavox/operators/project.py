@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import clip, round_half_even, truncated  # noqa: F401  part of this module's surface
+
 
 def per_image(df: DataFrame, **aggregates: Column) -> DataFrame:
     """df with aggregates of its image on each row.
@@ -50,11 +52,6 @@ def in_bounds(df: DataFrame, shape: tuple[int, int, int], axes: tuple[str, str,
     return df.filter(keep)
 
 
-def truncated(c: Column) -> Column:
-    """Toward zero, as an integer cast of a float."""
-    return c.cast("int")
-
-
 def drop_small(df: DataFrame, label: str = "label", least: int = 20) -> DataFrame:
     """Rows of labels with at least `least` voxels in their image; background goes."""
     sizes = df.filter(F.col(label) > 0).groupBy("img", label).count().filter(F.col("count") >= least)
@@ -86,9 +83,17 @@ def unit_vectors(df: DataFrame, names: tuple[str, str, str] = ("dz", "dy", "dx")
     return df.withColumns({f"u{n}": F.when(norm > 0, F.col(n) / norm).otherwise(0.0) for n in names})
 
 
-def round_half_even(c: Column) -> Column:
-    return F.bround(c, 0)
 
+def illumination_corrected(df: DataFrame, n: int, side: int = 8, sigma: float = 5.0, value: str = "v") -> DataFrame:
+    """v * mean / background: the background is the block mean over cubes of a side (edges as
+    padded), smoothed, scaled up linearly and held at a hundredth at least."""
+    from .field import resample_linear
+    from .neighbors import AXES, gaussian_weights, smooth
+    from .regions import block_means
 
-def clip(c: Column, low: Column, high: Column) -> Column:
-    return F.least(F.greatest(c, low), high)
+    m = -(-n // side)
+    coarse = block_means(df, side, value).select("img", *AXES, (F.col("sum_v") / side**3).alias("v"))
+    weights = gaussian_weights(sigma, truncate=min(4.0, (m - 0.5) / sigma))
+    background = resample_linear(smooth(coarse, m, weights, integer=False), n, m, m).withColumnRenamed("v", "back_")
+    out = per_image(df, mean_=F.avg(value)).join(background, ["img", *AXES])
+    return out.withColumn(value, F.col(value) * F.col("mean_") / F.greatest(F.col("back_"), F.lit(0.01))).drop("mean_", "back_")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import augment, field, metrics, neighbors, patch, prep, project, regions, score
 from ..sources import views
 from ..sources.views import SIDE
+from . import pipelines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -583,3 +584,33 @@ def rotate_about_z(spark, sf_dir):
 @query("""{views} SELECT img, z, y, x, label FROM (SELECT img, a.p - 1 AS z, b.p - 1 AS y, c.p - 1 AS x, label FROM vl JOIN m a ON z = a.s JOIN m b ON y = b.s JOIN m c ON x = c.s) WHERE z BETWEEN 0 AND 9 AND y BETWEEN 0 AND 9 AND x BETWEEN 0 AND 9""".replace("{views}", "{views}, m AS (SELECT CAST(p AS INT) AS p, CAST(floor((2 * p + 1) * 10 / 24) AS INT) AS s FROM (SELECT unnest(range(12)) AS p))"))
 def zoom_nearest(spark, sf_dir):
     return augment.zoom(views.labelled(spark, sf_dir), SIDE, 120).select("img", *AXES, "label")
+
+
+# ---- whole analyses --------------------------------------------------------------------
+
+
+@query()
+def segment_instances(spark, sf_dir):
+    """Targets of the octant objects integrated, seeded and assembled into instances (rows-only: an iterative kernel)."""
+    df = pipelines.encode_targets(views.labelled(spark, sf_dir)).filter("label > 0")
+    return pipelines.segment(df, SIDE, n_std=2.0)
+
+
+@query("{views}, " + _PROPS + """, c AS (SELECT img, label, area, sum_v, CAST(greatest(0, least(9, round_even(sum_z / area, 0))) AS INT) AS z, CAST(greatest(0, least(9, round_even(sum_y / area, 0))) AS INT) AS y, CAST(greatest(0, least(9, round_even(sum_x / area, 0))) AS INT) AS x FROM props)
+SELECT c.img, c.label, c.area AS volume, c.sum_v AS dapi_sum, CASE WHEN coalesce(region, 0) > 0 THEN 'Tumor' ELSE 'Adjacent' END AS condition
+FROM c LEFT JOIN vl ON vl.img = c.img AND vl.z = c.z AND vl.y = c.y AND vl.x = c.x""")
+def score_table(spark, sf_dir):
+    return pipelines.score_table(views.labelled(spark, sf_dir), SIDE, "HCC").select("img", "label", "volume", "dapi_sum", "condition")
+
+
+@query("{views}, " + _COVER + """, k AS (SELECT img, gz, gy, gx FROM (SELECT *, max(n) OVER () AS top FROM (SELECT img, gz, gy, gx, count(*) FILTER (label > 0) AS n FROM cover GROUP BY ALL)) WHERE n * 100 > top * 60)
+SELECT img, gz, gy, gx, count(*) AS n_voxels, CAST(sum(label) AS BIGINT) AS sum_label FROM cover JOIN k USING (img, gz, gy, gx) GROUP BY ALL""")
+def training_patches(spark, sf_dir):
+    out = pipelines.training_patches(views.labelled(spark, sf_dir), SIDE, _GRID, 60)
+    return out.groupBy("img", "gz", "gy", "gx").agg(F.count("*").alias("n_voxels"), F.sum("label").alias("sum_label"))
+
+
+@query()
+def sampled_patches(spark, sf_dir):
+    """Random patches with enough signal, by budget and retry (rows-only: it retries on counts)."""
+    return pipelines.sampled_patches(views.labelled(spark, sf_dir), SIDE, 4, 50, 60)
