@@ -17,9 +17,9 @@ sketches of the sets never exceeds it, so pivots work on the small sketches:
    h(q, x) <= rho(x) + max over the cell's y of h(q, y) + rho(y): by the triangle
    inequality no link of a cell member leaves the region.  A pivot alone has no region.
 3. Regions join exactly on the sets.  Classes linked to the pivot are connected by it;
-   the others become pivots in turn, against those that their distances to the first
-   pivot leave possible, until none is left.  No link between different sets that
-   joins components is lost, and no list of all pairs is made.
+   the others become pivots in turn, against those of other components that their
+   distances to the first pivot leave possible, until none is left; a link is kept if it
+   joins two components.  None that does is lost, and no list of all pairs is made.
 
 Components follow from the links by alternating star contractions in stored rounds.
 
@@ -45,7 +45,7 @@ from . import textblocks as tb
 from .storage import free_name, partitions_for, scratch, stored
 
 _U = np.uint64
-SKETCH = 8  # 64-bit words of a parity sketch
+LEAST = 256  # bits of a parity sketch
 NULL_ID = -(2**63)
 
 
@@ -95,11 +95,17 @@ def class_of(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return tb.mix64(total[bounds[1:]] - total[bounds[:-1]] + _U(0x51ED270B) * np.diff(bounds).astype(np.uint64))
 
 
-def sketches(grams: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
-    """Parity sketches: bit b is the parity of the shingles that hash to b."""
-    bit = (tb.keyed64(grams, 77) >> _U(55)).astype(np.int64)  # 512 bits
-    odd = np.bincount(doc * (64 * SKETCH) + bit, minlength=n_docs * 64 * SKETCH).reshape(n_docs, -1) & 1
-    return np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
+def sketches(grams: np.ndarray, doc: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Parity sketches: bit b is the parity of the shingles that hash to b.
+
+    A set of n has the power of two at or above n bits (LEAST at least), so unlike sets
+    of any size stay apart; a sketch folds to half its bits by exclusive or."""
+    bits = np.maximum(LEAST, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    begin = np.concatenate([[0], np.cumsum(bits)])
+    at = begin[doc] + (tb.keyed64(grams, 77) & (bits[doc] - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(at, minlength=begin[-1]) & 1).astype(np.uint8)
+    packed = np.packbits(odd, bitorder="little").tobytes()
+    return [packed[a // 8 : b // 8] for a, b in zip(begin[:-1], begin[1:], strict=True)]
 
 
 # ---- passes over the texts -----------------------------------------------------------
@@ -119,7 +125,7 @@ def _classes(docs: DataFrame, rules: JaccardRules) -> DataFrame:
                 grams, doc = shingle_sets(block, words, rules.words)
                 bounds = _bounds(doc, block.n_docs)
                 cls, n = class_of(grams, bounds).view(np.int64), np.diff(bounds)
-                packed = [x.tobytes() for x in sketches(grams, doc, block.n_docs)]
+                packed = sketches(grams, doc, n)
                 names = ["kind", "doc_id", "class", "n", "sketch"]
                 ids = batch.column(0).slice(block.row0, block.n_docs)
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(block.n_docs, np.int32)), ids, pa.array(cls), pa.array(n), pa.array(packed, pa.binary())], names)
@@ -236,16 +242,37 @@ def _neighbourhoods(keys: DataFrame, partitions: int, rules: JaccardRules, limit
 # ---- regions -------------------------------------------------------------------------
 
 
-def voronoi_regions(n: np.ndarray, sketch: np.ndarray, rules: JaccardRules) -> Iterator[tuple[int, np.ndarray]]:
+class Sketches:
+    """Hamming distances of sketches of several lengths; a longer one is folded to the shorter."""
+
+    def __init__(self, found: list[bytes]):
+        self.level = np.array([len(x) for x in found]).astype(np.int64)
+        self.at, self.own, self.folded, self.place = {}, {}, {}, np.zeros(len(found), np.int64)
+        for size in np.unique(self.level):
+            at = np.flatnonzero(self.level == size)
+            rows = np.frombuffer(b"".join(found[i] for i in at), np.uint64).reshape(len(at), -1)
+            half = rows.shape[1] // 2
+            self.at[int(size)], self.own[int(size)], self.folded[int(size)] = at, rows, rows[:, :half] ^ rows[:, half:]
+            self.place[at] = np.arange(len(at))
+
+    def distances(self, q: int) -> np.ndarray:
+        """From q; the largest number for those whose length is not a factor of two away at most."""
+        out = np.full(len(self.level), np.iinfo(np.int64).max // 2)
+        size = int(self.level[q])
+        row, folded = self.own[size][self.place[q]], self.folded[size][self.place[q]]
+        for other, mine, rows in ((size, row, self.own), (2 * size, row, self.folded), (size // 2, folded, self.own)):
+            if other in rows:
+                out[self.at[other]] = np.bitwise_count(rows[other] ^ mine).sum(1)
+        return out
+
+
+def voronoi_regions(n: np.ndarray, found: list[bytes], rules: JaccardRules) -> Iterator[tuple[int, np.ndarray]]:
     """(pivot, the other classes of its region) of classes with sizes n and sketches."""
-    rho = rules.rho(n)
-    open_, cell_of = np.ones(len(n), bool), 0
-    while True:
-        left = np.flatnonzero(open_)
-        if not len(left):
-            return
-        q = int(left[0])
-        h = np.bitwise_count(sketch ^ sketch[q]).sum(1).astype(np.int64)
+    rho, open_, sketch = rules.rho(n), np.ones(len(n), bool), Sketches(found)
+    for q in range(len(n)):
+        if not open_[q]:
+            continue
+        h = sketch.distances(q)
         fits = 100 * np.minimum(n, n[q]) >= rules.similarity * np.maximum(n, n[q])
         cell = open_ & fits & (h <= rho + rho[q])
         cell[q] = True
@@ -269,7 +296,7 @@ def _regions(hoods: DataFrame, classes: DataFrame, partitions: int, rules: Jacca
         def close(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(parts)
             cls, n = t.column(1).to_numpy(), t.column(2).to_numpy()
-            sketch = np.frombuffer(b"".join(t.column(3).to_pylist()), np.uint64).reshape(len(n), SKETCH)
+            sketch = t.column(3).to_pylist()
             pivot, member = [], []
             for q, others in voronoi_regions(n, sketch, rules):
                 pivot.append(np.full(len(others) + 1, cls[q]))
