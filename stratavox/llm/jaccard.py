@@ -342,15 +342,17 @@ def join_region(sets: list[np.ndarray], rules: JaccardRules) -> list[tuple[int,
     linked = 100 * both >= rules.similarity * union
     far = 1 - both / union
     links = [(0, int(x)) for x in np.flatnonzero(linked) if x]
+    part = np.where(linked, 0, everyone)  # the component of each so far
     reach = 1 - rules.similarity / 100 + 1e-9
-    done = np.zeros(len(sets), bool)
-    done[0] = True
     for q in np.flatnonzero(~linked):
-        done[q] = True
-        at = np.flatnonzero(~done & (np.abs(far - far[q]) <= reach) & (100 * np.minimum(n, n[q]) >= rules.similarity * np.maximum(n, n[q])))
-        if len(at):
-            b = shared(q, at)
-            links += [(int(q), int(x)) for x in at[100 * b >= rules.similarity * (n[at] + n[q] - b)]]
+        at = np.flatnonzero((part != part[q]) & (np.abs(far - far[q]) <= reach) & (100 * np.minimum(n, n[q]) >= rules.similarity * np.maximum(n, n[q])))
+        if not len(at):
+            continue
+        b = shared(q, at)
+        hits = at[100 * b >= rules.similarity * (n[at] + n[q] - b)]
+        for x in hits[np.unique(part[hits], return_index=True)[1]]:  # one link joins two components
+            links.append((int(q), int(x)))
+            part[part == part[x]] = part[q]
     return links
 
 
@@ -460,7 +462,7 @@ def drop_near_duplicates(docs: DataFrame, rules: JaccardRules = JaccardRules())
     rows with empty sets or a null doc_id all stay.  All columns unchanged."""
     found = near_duplicates(docs, rules)
     mark = free_name(docs, "dropped_doc_id")
-    gone = found.filter("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias(mark)).distinct()
+    gone = found.filter("n_shingles > 0 AND doc_id IS NOT NULL AND NOT doc_id <=> component_id").select(F.col("doc_id").alias(mark)).distinct()
     kept = docs.join(gone, docs["doc_id"] == gone[mark], "left_anti")
     twice = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count()
     if not twice:
