@@ -60,7 +60,7 @@ class ToxicityRules:
     max_fit: int = 30_000
     voters: int = 180
     features: int = 4096
-    min_rows: int = 8
+    min_rows: int = 4
     rounds: int = 6
     steps: int = 300
     penalty: float = 0.3
@@ -147,7 +147,7 @@ def choose_voters(rows: list[np.ndarray], toxic: np.ndarray, z: np.ndarray, rule
     usable = (z > 0) & (clean <= 0.05 * np.bincount(feature[toxic[doc] == 1], minlength=n))
     doc, feature = doc[(toxic[doc] == 1) & usable[feature]], feature[(toxic[doc] == 1) & usable[feature]]
     worth, chosen = np.ones(len(rows)), []
-    for _ in range(rules.voters):
+    for _ in range(min(rules.voters, n)):
         gain = np.bincount(feature, worth[doc], n)
         best = int(np.argmax(gain))
         if gain[best] < 1:

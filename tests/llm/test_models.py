@@ -31,8 +31,8 @@ def test_cut_is_exact(spark):
 
 
 def test_resampling_prefers_the_target(spark):
-    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
-    rules = importance.ResampleRules(max_target=150)
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rules = importance.ResampleRules(max_target=1500)
     out = importance.resample(docs, labels, rules).cache()
     n = docs.count()
     assert out.count() == n and out.filter("kept").count() == int(0.8 * n)
@@ -40,7 +40,7 @@ def test_resampling_prefers_the_target(spark):
     rest = [(r.quality, r.kept) for r in out.join(labels, "doc_id").collect() if r.doc_id not in used]
     good = np.mean([k for q, k in rest if q == 1])
     bad = np.mean([k for q, k in rest if q == 0])
-    assert good > 0.9 and bad < 0.3
+    assert good > 0.85 and bad < 0.1  # four fifths are kept, so at most 0.92 of the good ones could be
     again = importance.resample(docs.repartition(5), labels, rules)
     assert {r.doc_id for r in out.filter("kept").collect()} == {r.doc_id for r in again.filter("kept").collect()}
 
