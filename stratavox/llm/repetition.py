@@ -1,12 +1,11 @@
 """Quality rules from repetition: a suffix array and its LCP intervals per document.
 
-The words of a text are the symbols.  Only suffixes that share a prefix of
-`seed` (8) words with another suffix of the same text can lie in an LCP interval
-of that length, so the suffix array is built over those: their 8-word classes
-come from one sort, and prefix doubling (16, 32, ...) refines them until all are
-told apart.  Adjacent suffixes' longest common prefixes follow from the stored
-ranks.  A suffix's longest repeat is the larger of its two neighbours' values, and
-those that cannot be extended to the left are the maximal repeated substrings.
+The words of a text are the symbols, in any fixed order.  Prefix doubling sorts the
+suffixes of all texts of a block at once, text by text; classes of one suffix are settled
+and leave, so after the first rounds only repeated suffixes are sorted.  Adjacent
+suffixes' longest common prefixes follow from the ranks of each round.  A suffix's
+longest repeat is the larger of its two neighbours' values, and those that cannot be
+extended to the left are the maximal repeated substrings.
 
 Edge cases: null and empty texts have no words and fail the base rule; ties and
 repeated rows are judged row by row; an empty table gives an empty result; other
@@ -43,58 +42,59 @@ class RepetitionRules:
 REPORT = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, n_covered_words bigint, longest_repeat bigint"
 
 
+def _refined(rank: np.ndarray, sub: np.ndarray, k: int, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks by 2k words from ranks by k words, and the places whose class still has others.
+
+    sub: places of the classes of more than one, in suffix order.  A rank is the place of
+    its class's first member in suffix order, so classes that are settled keep theirs."""
+    after = sub + k
+    second = np.where(after < stop[sub], rank[np.minimum(after, len(rank) - 1)], -1)
+    key = rank[sub].astype(np.int64) * (len(rank) + 1) + second + 1
+    order = np.argsort(key, kind="stable")
+    sub, key, old = sub[order], key[order], rank[sub[order]]
+    fresh = np.concatenate([[True], key[1:] != key[:-1]])
+    head = np.maximum.accumulate(np.where(np.concatenate([[True], old[1:] != old[:-1]]), np.arange(len(sub)), 0))
+    first = np.maximum.accumulate(np.where(fresh, np.arange(len(sub)), 0))
+    rank = rank.copy()
+    rank[sub] = old + (first - head)
+    alone = fresh & np.concatenate([fresh[1:], [True]])
+    return rank, sub[~alone]
+
+
 def suffix_repeats(block: tb.Block, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(positions, length): for each suffix that shares SEED words or more with another
     suffix of its text, the length in words of its longest repeated prefix."""
-    grams, at = block.ngrams(words, SEED)
-    if not len(at):
-        return at, at
-    doc = block.doc_of_word()
-    key = tb.mix64(grams + tb.mix64(doc[at].astype(np.uint64)))
-    order = np.argsort(key, kind="stable")
-    same = key[order][1:] == key[order][:-1]
-    again = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    pos = at[order][again]
-    if not len(pos):
-        return pos, pos
     n = block.n_words
-    begins = np.concatenate([[True], key[order][again][1:] != key[order][again][:-1]])
-    # rank: class of the SEED-word prefix for repeated suffixes; below 0, a class of its own
-    rank = -1 - np.arange(n + 1, dtype=np.int64)
-    rank[pos] = np.cumsum(begins) - 1
+    none = np.zeros(0, np.int64)
+    if n < SEED + 1:
+        return none, none
+    doc = block.doc_of_word()
     stop = block.first[doc + 1]
-    levels = [(SEED, rank)]
-    sa, k = pos, SEED
-    while True:
-        cls = rank[sa]
-        after = sa + k
-        inside = after < stop[sa]
-        second = np.where(inside, rank[np.minimum(after, n)], -2 - n)
-        order = np.lexsort((second, cls))
-        sa, cls, second = sa[order], cls[order], second[order]
-        fresh = np.concatenate([[True], (cls[1:] != cls[:-1]) | (second[1:] != second[:-1])])
-        rank = rank.copy()
-        rank[sa] = np.cumsum(fresh) - 1
+    _, kind = np.unique(words, return_inverse=True)
+    key = doc.astype(np.int64) * (kind.max() + 1) + kind
+    sub = np.argsort(key, kind="stable")
+    fresh = np.concatenate([[True], key[sub[1:]] != key[sub[:-1]]])
+    rank = np.zeros(n, np.int64)
+    rank[sub] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    sub = sub[~(fresh & np.concatenate([fresh[1:], [True]]))]
+    levels, k = [(1, rank)], 1
+    while len(sub):
+        rank, sub = _refined(rank, sub, k, stop)
         k *= 2
         levels.append((k, rank))
-        if fresh.all():
-            break
-        # classes of one member stay apart for good; their rank is already unique
+        if k == SEED:
+            pos = sub
+    if k < SEED or not len(pos):
+        return none, none
+    sa = pos[np.argsort(rank[pos])]
     a, b = sa[:-1], sa[1:]
     lcp = np.zeros(len(a), np.int64)
-    live = np.ones(len(a), bool)
+    near = dict(levels)[SEED]
+    live = near[a] == near[b]
     for k, rank in reversed(levels):
         i, j = a + lcp, b + lcp
-        ok = live & (i + k <= stop[a]) & (j + k <= stop[b]) & (doc[a] == doc[b])
-        ri, rj = rank[np.minimum(i, n)], rank[np.minimum(j, n)]
-        hit = ok & (ri == rj) & (ri >= 0)
-        lcp[hit] += k
-    for _ in range(SEED - 1):
-        i, j = a + lcp, b + lcp
-        ok = (doc[a] == doc[b]) & (i < stop[a]) & (j < stop[b])
-        ok &= words[np.minimum(i, n - 1)] == words[np.minimum(j, n - 1)]
-        ok &= lcp >= SEED
-        lcp[ok] += 1
+        room = live & (i + k <= stop[a]) & (j + k <= stop[b])
+        lcp[room & (rank[np.minimum(i, n - 1)] == rank[np.minimum(j, n - 1)])] += k
     longest = np.zeros(len(sa), np.int64)
     longest[:-1] = lcp
     longest[1:] = np.maximum(longest[1:], lcp)

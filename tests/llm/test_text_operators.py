@@ -93,6 +93,18 @@ def test_suffix_repeats(found):
         assert (got["n_repeat_words"][d], got["n_covered_words"][d], got["longest_repeat"][d], got["kept"][d]) == (wanted[4], wanted[7], wanted[8], wanted[6])
 
 
+def test_suffix_repeats_of_copied_stretches():
+    rng = random.Random(1)
+    for _ in range(60):
+        w = [str(rng.randrange(rng.choice([2, 8, 50]))) for _ in range(rng.randrange(20, 160))]
+        for _ in range(3):
+            a, size, place = rng.randrange(len(w) - 10), rng.randrange(5, 60), rng.randrange(len(w))
+            w[place:place] = w[a : a + size]
+        block = next(tb.blocks(pa.array(["x y", " ".join(w)]), tb.whitespace_words()))
+        got, wanted = repetition.measure(block, tb.Hasher(), repetition.RepetitionRules()), plain_repetition(" ".join(w))
+        assert (got["n_repeat_words"][1], got["n_covered_words"][1], got["longest_repeat"][1]) == (wanted[4], wanted[7], wanted[8])
+
+
 # ---- op 2 ----------------------------------------------------------------------------
 
 
