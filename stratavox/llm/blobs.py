@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame
 PACKED = "bucket int, payload binary"
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
+    """Arrays as one compressed value; level: of zstd."""
     head = ";".join(f"{a.dtype.str}:{a.size}" for a in arrays).encode()
     raw = b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
-    return struct.pack("<IQ", len(head), len(raw)) + head + pa.compress(raw, codec="zstd", asbytes=True)
+    return struct.pack("<IQ", len(head), len(raw)) + head + pa.Codec("zstd", compression_level=level).compress(raw, asbytes=True)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
@@ -59,8 +60,8 @@ def gather(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class Bins:
     """Arrays gathered by bucket, given out as packed rows when they reach `limit` bytes."""
 
-    def __init__(self, limit: int = 24 << 20):
-        self.limit, self.size, self.held = limit, 0, {}
+    def __init__(self, limit: int = 24 << 20, level: int = 1):
+        self.limit, self.level, self.size, self.held = limit, level, 0, {}
 
     def add(self, bucket: np.ndarray, *columns: tuple[np.ndarray, np.ndarray | None]) -> None:
         """bucket: of each item, ascending; columns: (values, counts), a value for each item
@@ -81,7 +82,7 @@ class Bins:
     def out(self) -> Iterator[pa.RecordBatch]:
         found, size = [], 0
         for b, parts in sorted(self.held.items()):
-            payload = pack(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            payload = pack(*(np.concatenate(x) for x in zip(*parts, strict=True)), level=self.level)
             found.append((b, payload))
             size += len(payload)
             if size > 4 << 20:

@@ -126,7 +126,7 @@ def _send(docs: DataFrame, n_buckets: int, hot: np.ndarray, rules: RepeatRules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, table, hot, k = tb.Hasher(), tb.whitespace_words(), shared.value, rules.k
-        bins = blobs.Bins()
+        bins = blobs.Bins(level=6)
         for batch in batches:
             ids = batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
             for block in tb.blocks(batch.column(1), table):
