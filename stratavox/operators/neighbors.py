@@ -219,3 +219,46 @@ def watershed(df: DataFrame, value: str = "v", marker: str = "marker") -> DataFr
         return pdf[["img", *AXES]].assign(label=label)
 
     return df.select("img", *AXES, value, marker).groupBy("img").applyInPandas(run, "img long, z int, y int, x int, label int")
+
+
+def class_thresholds(df: DataFrame, classes: int = 3, bins: int = 64, value: str = "v") -> DataFrame:
+    """(img, thresholds): levels that split a volume's histogram into classes of largest between-class
+    variance, in units of value; a histogram of at most `bins` rows an image goes to one kernel."""
+    lows = df.groupBy("img").agg(F.min(value).alias("lo_"), F.max(value).alias("hi_"))
+    width = (F.col("hi_") - F.col("lo_") + F.lit(1e-9)) / bins
+    at = F.least(F.floor((F.col(value) - F.col("lo_")) / width), F.lit(bins - 1)).cast("int")
+    counts = df.join(lows, "img").groupBy("img", "lo_", "hi_", at.alias("bin")).count()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = np.zeros(bins)
+        n[pdf["bin"].to_numpy()] = pdf["count"].to_numpy()
+        c, s = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(n * np.arange(bins))])
+        best, cut = -1.0, ()
+        for cuts in itertools.combinations(range(1, bins), classes - 1):
+            edge = (0, *cuts, bins)
+            w = np.diff(c[list(edge)])
+            if (w > 0).all():
+                gain = (np.diff(s[list(edge)]) ** 2 / w).sum()
+                if gain > best:
+                    best, cut = gain, cuts
+        low, high = float(pdf["lo_"].iloc[0]), float(pdf["hi_"].iloc[0])
+        return pd.DataFrame({"img": [pdf["img"].iloc[0]], "thresholds": [[low + k * (high - low) / bins for k in cut]]})
+
+    return counts.groupBy("img").applyInPandas(run, "img long, thresholds array<double>")
+
+
+def wiener(df: DataFrame, n: int, width: float = 1.0, balance: float = 0.1, value: str = "v") -> DataFrame:
+    """(img, z, y, x, v): each plane deconvolved with a Gaussian point spread by a Wiener filter; a
+    plane is a kernel's group, so planes of a volume spread over tasks."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        plane = np.zeros((n, n))
+        plane[pdf["y"].to_numpy(), pdf["x"].to_numpy()] = pdf[value].to_numpy(float)
+        d = np.minimum(np.arange(n), n - np.arange(n))
+        spread = np.exp(-0.5 * (d[:, None] ** 2 + d[None, :] ** 2) / width**2)
+        transfer = np.fft.rfft2(spread / spread.sum())
+        out = np.fft.irfft2(np.fft.rfft2(plane) * np.conj(transfer) / (np.abs(transfer) ** 2 + balance), s=(n, n))
+        y, x = (c.ravel() for c in np.indices((n, n)))
+        return pd.DataFrame({"img": pdf["img"].iloc[0], "z": pdf["z"].iloc[0], "y": y, "x": x, value: out.ravel()})
+
+    return df.select("img", *AXES, value).groupBy("img", "z").applyInPandas(run, f"img long, z int, y int, x int, {value} double")

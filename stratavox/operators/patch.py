@@ -148,7 +148,7 @@ def largest_remainder(weights: DataFrame, total: int, group: tuple[str, ...] = (
 
 def mixed(c: Column, salt: int = 0) -> Column:
     """A 31-bit hash by integer arithmetic that any SQL engine repeats."""
-    x = (c.cast("long") + salt) * 1103515245 + 12345
+    x = F.pmod(c.cast("long") + salt, F.lit(2147483648)) * 1103515245 + 12345
     return ((x % 2147483648) * 48271 + 11) % 2147483647
 
 

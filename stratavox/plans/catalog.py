@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import augment, field, metrics, neighbors, patch, prep, project, regions, score
 from ..sources import views
 from ..sources.views import SIDE
-from . import pipelines
+from . import datasets, pipelines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -614,3 +614,25 @@ def training_patches(spark, sf_dir):
 def sampled_patches(spark, sf_dir):
     """Random patches with enough signal, by budget and retry (rows-only: it retries on counts)."""
     return pipelines.sampled_patches(views.labelled(spark, sf_dir), SIDE, 4, 50, 60)
+
+
+@query("""{views}, o AS (SELECT unnest([-1, 0, 1]) AS d),
+vt AS (SELECT img, z, y, x, count(*) AS n FROM (SELECT img, CAST(greatest(0, least(4, trunc((z + v % 9 - 4) / 2.0))) AS INT) AS z, CAST(greatest(0, least(4, trunc((y + v % 7 - 3) / 2.0))) AS INT) AS y, CAST(greatest(0, least(4, trunc((x + v % 5 - 2) / 2.0))) AS INT) AS x FROM voxels) GROUP BY ALL)
+SELECT img, z, y, x, n FROM (SELECT a.img, a.z, a.y, a.x, a.n, max(b.n) AS m FROM vt a JOIN o p ON true JOIN o q ON true JOIN o r ON true JOIN vt b ON b.img = a.img AND b.z = a.z + p.d AND b.y = a.y + q.d AND b.x = a.x + r.d WHERE a.n > 8 GROUP BY ALL) WHERE n = m""")
+def decode_centres(spark, sf_dir):
+    df = views.voxels(spark, sf_dir).withColumns({f"d{a}": F.col("v") % m - m // 2 for a, m in zip(AXES, (9, 7, 5), strict=True)})
+    return datasets.decode_centres(df, ("dz", "dy", "dx"), 2, SIDE, 8)
+
+
+@query()
+def dataset_preparation(spark, sf_dir):
+    """Files classified, split and named (rows-only: its parts have SQL of their own)."""
+    return datasets.prepare(views.files(spark, sf_dir).select("path"), mark="en", truth="th")
+
+
+@query()
+def class_thresholds(spark, sf_dir):
+    """Two thresholds of three classes over Sobel magnitudes (rows-only: an exhaustive kernel)."""
+    edges = neighbors.sobel(views.voxels(spark, sf_dir))
+    top = edges.withColumn("v", F.greatest(*[F.abs(f"g{a}") for a in AXES]))
+    return neighbors.class_thresholds(top)

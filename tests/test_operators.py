@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stratavox.functions import scalars
 from stratavox.operators import augment, field, metrics, neighbors, patch, prep, project, regions, score
-from stratavox.plans import pipelines
+from stratavox.plans import datasets, pipelines
 from stratavox.sources import patches, tiff
 from stratavox.streaming import volumes
 
@@ -282,3 +282,23 @@ def test_segmentation_recovers_balls(spark):
     out = pipelines.segment(pipelines.encode_targets(df), 40).withColumnRenamed("label", "found")
     pairs = out.join(df, ["img", "vid"]).groupBy("label", "found").count().collect()
     assert len(pairs) == 4 and sum(r["count"] for r in pairs) == len(rows)
+
+
+def test_wiener_and_thresholds(spark):
+    df = cube(spark, f=lambda z, y, x: 10)
+    out = neighbors.wiener(df, 6, balance=0.0)
+    assert out.count() == 216 and {round(r.v, 6) for r in out.collect()} == {10.0}
+    levels = spark.createDataFrame([(0, v) for v in [0] * 9 + [40] * 9 + [100] * 9], "img long, v long")
+    low, high = neighbors.class_thresholds(levels).first().thresholds
+    assert 0 < low <= 40 < high <= 100
+
+
+def test_dataset_preparation(spark):
+    paths = [f"r/liver/img_{i}.tif" for i in range(12)] + [f"r/liver_gt/img_{i}.tif" for i in range(12)] + ["r/synthetic/a/b/images/s.tif", "r/synthetic/a/b/gt/s.tif"]
+    out = datasets.prepare(spark.createDataFrame([(p,) for p in paths], "path string")).collect()
+    assert len(out) == len(paths)
+    test = [r for r in out if r.split == "test" and not r.is_truth]
+    assert len(test) == 1 and all(r.split == "train" for r in out if r.is_synthetic)
+    stem = test[0].name.removesuffix(".tif")
+    assert {r.split for r in out if r.is_truth and stem in r.path} == {"test"}
+    assert {r.name for r in out if r.is_synthetic} == {"a_b_s.tif", "a_b_s_gt.tif"}
