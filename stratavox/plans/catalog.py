@@ -423,9 +423,11 @@ def ecdf_by_condition(spark, sf_dir):
     return score.ecdf(views.features(spark, sf_dir), "volume")
 
 
-@query("""{views} SELECT condition, CAST(floor(quantile_cont(dapi_sum, 0.25) * 100 + 0.5) AS BIGINT) AS q1, CAST(floor(quantile_cont(dapi_sum, 0.5) * 100 + 0.5) AS BIGINT) AS median, CAST(floor(quantile_cont(dapi_sum, 0.75) * 100 + 0.5) AS BIGINT) AS q3 FROM features GROUP BY condition""")
+@query("""{views} SELECT condition, CAST(floor(quantile_cont(dapi_sum, 0.25) * 100 + 0.375) AS BIGINT) AS q1, CAST(floor(quantile_cont(dapi_sum, 0.5) * 100 + 0.375) AS BIGINT) AS median, CAST(floor(quantile_cont(dapi_sum, 0.75) * 100 + 0.375) AS BIGINT) AS q3 FROM features GROUP BY condition""")
 def box_summary(spark, sf_dir):
-    return score.box_summary(views.features(spark, sf_dir), "dapi_sum").select("condition", *[fixed(F.col(c), 2).alias(c) for c in ("q1", "median", "q3")])
+    # quartiles of cents fall on quarters of a cent; 0.375 keeps them off the edge of rounding
+    out = score.box_summary(views.features(spark, sf_dir), "dapi_sum")
+    return out.select("condition", *[F.floor(F.col(c) * 100 + 0.375).cast("bigint").alias(c) for c in ("q1", "median", "q3")])
 
 
 @query()
