@@ -57,7 +57,7 @@ class JaccardRules:
 
     words: int = 5
     similarity: int = 80
-    hot_list: int = 200_000
+    hot_list: int = 1_000_000
     hot_least: int = 50
     broadcast_rows: int = 500_000
 
@@ -149,8 +149,8 @@ def _frequent(counts: DataFrame, rules: JaccardRules) -> np.ndarray:
     """Sorted shingles in more than 1 / hot_list of all (document, shingle)s: fewer than hot_list."""
     counts = counts.groupBy("class").agg(F.sum("n").alias("n"))
     total = counts.filter("class = 0").agg(F.sum("n")).first()[0] or 0
-    found = counts.filter((F.col("class") != 0) & (F.col("n") > max(rules.hot_least, total // rules.hot_list))).select("class").collect()
-    return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
+    found = counts.filter((F.col("class") != 0) & (F.col("n") > max(rules.hot_least, total // rules.hot_list))).select("class").toArrow()
+    return np.sort(found.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
 def _keys(docs: DataFrame, hot: np.ndarray, n_buckets: int, rules: JaccardRules) -> DataFrame:
