@@ -74,28 +74,57 @@ def rotate(df: DataFrame, n: int, degrees: float, value: str = "v") -> DataFrame
     return keyed.join(source, ["img", "z", "sy", "sx"], "left").select("img", *AXES, F.coalesce(value, F.lit(0)).alias(value))
 
 
-def views(df: DataFrame, n: int) -> DataFrame:
-    """Every view of a volume: flips none, y, x by quarter turns 0, 1, 2 about each axis, numbered."""
-    out, number = None, 0
+def _view_maps(n: int) -> list[tuple[tuple, tuple]]:
+    """(forward, backward) integer maps of the 27 views: rows of (axis coefficients, offset) for z, y, x."""
+
+    def turned(rows: list[list[int]], plane: str, turns: int) -> list[list[int]]:
+        a, b = (i for i, x in enumerate(AXES) if x != plane)
+        for _ in range(turns % 4):
+            first, second = rows[b], [-v for v in rows[a]]
+            second[3] += n - 1
+            rows = list(rows)
+            rows[a], rows[b] = first, second
+        return rows
+
+    def flipped(rows: list[list[int]], axis: str | None) -> list[list[int]]:
+        if axis is None:
+            return rows
+        k, rows = AXES.index(axis), list(rows)
+        rows[k] = [-v for v in rows[k]]
+        rows[k][3] += n - 1
+        return rows
+
+    same = [[int(i == j) for j in range(4)] for i in range(3)]
+    out = []
     for axis in (None, "y", "x"):
         for plane in AXES:
             for turns in (0, 1, 2):
-                one = flip(df, axis, n) if axis else df
-                one = rotate90(one, plane, turns, n).withColumn("view", F.lit(number))
-                out, number = one if out is None else out.unionByName(one), number + 1
+                out.append((turned(flipped(same, axis), plane, turns), flipped(turned(same, plane, -turns), axis)))
     return out
 
 
+def _mapped(df: DataFrame, table: Column) -> DataFrame:
+    """df with its coordinates through the map in `table`."""
+    out = df.withColumn("map_", table)
+    place = lambda i: sum(F.col("map_")[i][j] * F.col(a) for j, a in enumerate(AXES)) + F.col("map_")[i][3]
+    return out.withColumns({a: place(i) for i, a in enumerate(AXES)}).drop("map_")
+
+
+def _literal(rows: list[list[int]]) -> Column:
+    return F.array(*[F.array(*map(F.lit, r)) for r in rows])
+
+
+def views(df: DataFrame, n: int) -> DataFrame:
+    """Every view of a volume: flips none, y, x by quarter turns 0, 1, 2 about each axis, numbered;
+    one explode over the table of their maps."""
+    table = F.array(*[_literal(forward) for forward, _ in _view_maps(n)])
+    out = df.withColumn("view", F.explode(F.sequence(F.lit(0), F.lit(26))))
+    return _mapped(out, table[F.col("view")])
+
+
 def unview(df: DataFrame, n: int) -> DataFrame:
-    """Views put back: turns undone, then the flip; a union of one projection a view."""
-    out, number = None, 0
-    for axis in (None, "y", "x"):
-        for plane in AXES:
-            for turns in (0, 1, 2):
-                one = rotate90(df.filter(F.col("view") == number), plane, -turns, n)
-                one = flip(one, axis, n) if axis else one
-                out, number = one if out is None else out.unionByName(one), number + 1
-    return out
+    """Views put back: turns undone, then the flip, by the inverse maps."""
+    return _mapped(df, F.array(*[_literal(backward) for _, backward in _view_maps(n)])[F.col("view")])
 
 
 def view_average(df: DataFrame, value: str = "v") -> DataFrame:
