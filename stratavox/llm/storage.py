@@ -36,9 +36,10 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the scanned input, for choosing counts of buckets and partitions."""
+    """Catalyst's size estimate of the scanned input, for choosing counts of buckets and
+    partitions; 0 where it has none (an input that is no file scan), so the session's setting holds."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(size, 1 << 60)
+    return size if size < 1 << 59 else 0
 
 
 def partitions_for(df: DataFrame, bytes_each: int) -> int:
