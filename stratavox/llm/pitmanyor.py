@@ -3,14 +3,15 @@
 Each context (the word before, or the start of the text) is a restaurant over the
 next token; all share one parent restaurant over tokens, whose base is uniform over the
 training vocabulary and one unknown token.  A customer is a training token in its
-context; a table sends one customer to the parent.  Seatings are sampled by Gibbs:
-a step takes one random customer of every dish in every restaurant off its table and
-seats it again by the Chinese-restaurant rule given all others; predictive probabilities are
+context; a table sends one customer to the parent.  Table counts are sampled by Gibbs:
+a step draws all tables of every dish from their conditional (generalized Stirling numbers,
+exact for small counts and by saddle point for large ones) given a gamma variable of its restaurant's
+tables, which makes the dishes independent; predictive probabilities are
 averaged over the samples after burn-in (with the parent's probabilities held, the average
-needs only the mean number of tables).  Levels are sampled in turn: the parent from one
+needs only the mean number of tables).  Steps start from the tables that sequential seating
+expects.  Levels are sampled in turn: the parent from one
 table a dish, the contexts given the parent, the parent from their tables, and the
-contexts again, whose averages score the texts.  Dishes of a restaurant are resampled
-together given its table count before the step, as in parallel samplers.
+contexts again, whose averages score the texts.
 
 Everything that is counted covers all training texts.  Word pairs are exchanged as
 packed arrays by bucket of the context; contexts that hold more than a share of
@@ -29,6 +30,7 @@ from __future__ import annotations
 import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -72,66 +74,136 @@ def is_held_out(doc_id: Column) -> Column:
 
 # ---- seating -------------------------------------------------------------------------
 
-
-def seat(c: np.ndarray, r: np.ndarray, n_r: int, p: np.ndarray, other: np.ndarray, discount: float, strength: float, rng: np.random.Generator, burn: int, keep: int) -> tuple[np.ndarray, np.ndarray]:
+#: Table counts up to COLUMNS are summed one by one, for dishes whose expectation is at most ENUMERATED;
+#: rows of the ratio table are exact to ROWS_EXACT customers and by contour integrals from there on.
+ENUMERATED, COLUMNS, ROWS_EXACT, ROW_STEP = 128, 256, 1024, 1.25
+
+
+@lru_cache(maxsize=8)
+def _exact_ratios(d: float) -> np.ndarray:
+    """V[c, t] = S(c, t + 1) / S(c, t) of the generalized Stirling numbers of discount d, by their recurrence."""
+    v = np.zeros((ROWS_EXACT + 1, COLUMNS + 1))
+    t = np.arange(1, COLUMNS + 1)
+    for n in range(1, ROWS_EXACT):
+        before = np.zeros(COLUMNS)
+        np.divide(1.0, v[n, 1:-1], out=before[1:], where=v[n, 1:-1] > 0)
+        k = min(n, COLUMNS)
+        v[n + 1, 1 : k + 1] = (1 + (n - d * (t[:k] + 1)) * v[n, 1 : k + 1]) / (before[:k] + n - d * t[:k])
+    return v
+
+
+@lru_cache(maxsize=512)
+def _wide_ratios(d: float, step: int) -> np.ndarray:
+    """log V[t] at ROWS_EXACT * ROW_STEP ** step customers.
+
+    S(c, t) = c! / t! [z^c] ((1 - (1 - z)^d) / d)^t, integrated over a parabola in -log z that
+    crosses the real axis at the saddle point."""
+    c, t = ROWS_EXACT * ROW_STEP**step, np.arange(1, COLUMNS + 2)[:, None]
+    lo, hi = np.full(t.shape, -60.0 / (1 - d)), np.zeros(t.shape)
+    for _ in range(60):  # t d (1 - u) u^(d - 1) / (1 - u^d) = c by log u
+        mid = (lo + hi) / 2
+        above = np.log(t * -np.expm1(mid) * d) + (d - 1) * mid - np.log(-np.expm1(d * mid)) > np.log(c)
+        lo, hi = np.where(above, mid, lo), np.where(above, hi, mid)
+    m = np.maximum(-np.log1p(-np.exp(lo)), 4 / c)
+    x = (np.arange(96) + 0.5) / 96 * np.minimum(np.sqrt(40 / (2 * (1 - d) * c * m)), 4.0)
+    z = m * (1 + 1j * x) ** 2
+    g = c * z + t * np.log(-np.expm1(d * np.log(-np.expm1(-z))) / d)
+    top = g.real[:, :1]
+    total = (np.exp(g - top) * (1 + 1j * x)).real.sum(1) * m[:, 0] * x[:, 0]
+    logs = np.log(total) + top[:, 0]
+    return np.concatenate([[0.0], np.diff(logs) - np.log(t[1:, 0])])
+
+
+def _expected(c: np.ndarray, a: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and variance of the tables of c customers, for many tables: with c = a (1 - u) u^(d - 1),
+    (a / d) (1 - u^d) tables, which without a discount is a log(1 + c / a)."""
+    y = -np.log1p(c / a)  # log u; the root lies below, and steps from it rise to the root's left at most once
+    wanted = np.log(c / a)
+    for _ in range(30):
+        f = np.log(-np.expm1(y)) + (d - 1) * y - wanted
+        y = np.minimum(y - f / (np.exp(y) / np.expm1(y) + d - 1), -1e-15)
+        if np.abs(f).max(initial=0) < 1e-9:
+            break
+    u = np.exp(y)
+    mean = a * -np.expm1(d * y) / d
+    return np.clip(mean, 1, c), np.maximum(mean - a * np.exp(d * y) * (1 - u) / (u + (1 - d) * (1 - u)), 0)
+
+
+def _enumerated(c: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and a draw of the number of tables t, of probability in proportion to S(c, t) a^t."""
+    mean, drawn = np.ones(len(c)), np.ones(len(c), np.int64)
+    wide = c > ROWS_EXACT
+    exact = _exact_ratios(d)
+    at = np.where(wide, np.log(np.maximum(c, ROWS_EXACT) / ROWS_EXACT) / np.log(ROW_STEP), 0.0)
+    row = at.astype(np.int64)
+    logs = np.stack([_wide_ratios(d, k) for k in range(int(row.max(initial=0)) + 2)]) if wide.any() else None
+    for some in (np.flatnonzero(~wide), np.flatnonzero(wide)):
+        w, total, first = np.ones(len(some)), np.ones(len(some)), np.ones(len(some))
+        for t in range(1, COLUMNS + 1):
+            if not len(some):
+                break
+            if wide[some[0]]:
+                k, f = row[some], at[some] - row[some]
+                ratio = np.exp((1 - f) * logs[k, t] + f * logs[k + 1, t])
+            else:
+                ratio = exact[c[some], t]
+            x = a[some] * ratio
+            w = w * x
+            total, first = total + w, first + w * (t + 1)
+            chosen = rng.random(len(some)) * total < w
+            drawn[some[chosen]] = t + 1
+            going = (w > 1e-9 * total) | (x > 0.9)
+            going &= (c[some] > t + 1) & (t < COLUMNS)
+            done = ~going
+            mean[some[done]] = first[done] / total[done]
+            some, w, total, first = some[going], w[going], total[going], first[going]
+            w, total, first = w / total, np.ones(len(some)), first / total
+    return mean, drawn
+
+
+def seat(c: np.ndarray, r: np.ndarray, n_r: int, p: np.ndarray, other: np.ndarray, discount: float, strength: float, rng: np.random.Generator, burn: int, keep: int, grow: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(mean tables, last tables) of dishes with c customers in restaurants r.
 
     p: parent probability of each dish; other: tables of each restaurant that stand
-    elsewhere.  One customer of each dish with two or more is reseated a step."""
+    elsewhere (grow: one a dish, to be taken to grow as those here do).  A step draws a
+    gamma variable of each restaurant's tables, given which dishes are independent, and then all of a dish's tables."""
     tables = np.minimum(c, 1)
     many = np.flatnonzero(c >= 2)
     if not len(many):
         return tables.astype(float), tables
-    cm, rm, pm = c[many], r[many], p[many]
-    held = other + np.bincount(r, tables, n_r)
-    # start: about as many tables as sequential seating opens, of random sizes; any start is valid
-    extra = np.minimum(rng.poisson(np.minimum((strength + discount * held[rm]) * pm * np.log(cm), 50.0)), cm - 1)
-    own = np.repeat(np.arange(len(many)), extra)
-    cut = rng.integers(1, cm[own], endpoint=False) if len(own) else own
-    key = np.unique(own * (int(cm.max()) + 1) + cut)
-    own, cut = key // (int(cm.max()) + 1), key % (int(cm.max()) + 1)
-    pair = np.concatenate([own, np.arange(len(many))])
-    edge = np.concatenate([cut, cm])
-    order = np.lexsort((edge, pair))
-    pair, edge = pair[order], edge[order]
-    size = np.diff(edge, prepend=0)
-    starts = np.concatenate([[True], pair[1:] != pair[:-1]])
-    size[starts] = edge[starts]
-    t = np.bincount(pair, minlength=len(many))
-    total = np.zeros(len(many))
-    base = np.concatenate([[0], np.cumsum(cm)[:-1]])
+    cm, rm, d = c[many], r[many], max(float(discount), 1e-6)
+    pm = np.maximum(p[many], 1e-300)
+    dishes = np.bincount(r, tables, n_r)
+    alone = dishes - np.bincount(rm, minlength=n_r)
+    large = np.flatnonzero(cm > ENUMERATED)
+
+    def held(t: np.ndarray) -> np.ndarray:
+        here = alone + np.bincount(rm, t, n_r)
+        return here + (other * here / np.maximum(dishes, 1) if grow else other)
+
+    # start: the tables that sequential seating opens, at their fixed point
+    t = np.ones(len(many))
+    for _ in range(40):
+        before = held(t)
+        t, _ = _expected(cm, (strength + d * before[rm]) * pm, d)
+        if np.abs(held(t) - before).max() <= 1e-2 * max(1.0, before.max()):
+            break
+    total, last = np.zeros(len(many)), tables.copy()
     for step in range(burn + keep):
-        held = other + np.bincount(r, tables, n_r) + np.bincount(rm, t - 1, n_r)
-        # off its table
-        at = np.searchsorted(np.cumsum(size), base + rng.integers(0, cm), "right")
-        size[at] -= 1
-        t -= size[at] == 0
-        fresh = (strength + discount * (held[rm] - (size[at] == 0))) * pm
-        stays = cm - 1 - discount * t
-        opens = rng.random(len(many)) * (fresh + stays) < fresh
-        # to a table by its size less the discount: a random customer's table, kept with (n - d) / n
-        seek, ends, chosen = np.flatnonzero(~opens), np.cumsum(size), []
-        while len(seek):
-            before = base[seek] - seek  # each earlier dish has one customer away
-            k = np.searchsorted(ends, before + rng.integers(0, cm[seek] - 1), "right")
-            ok = rng.random(len(seek)) * size[k] < size[k] - discount
-            chosen.append(k[ok])
-            seek = seek[~ok]
-        joined = np.concatenate(chosen) if chosen else seek
-        size[joined] += 1
-        # a new table takes the place of the one left empty, or a new place
-        reuse = opens & (size[at] == 0)
-        size[at[reuse]] = 1
-        more = np.flatnonzero(opens & ~reuse)
-        t += opens
-        alive = size > 0
-        pair, size = np.concatenate([pair[alive], more]), np.concatenate([size[alive], np.ones(len(more), size.dtype)])
-        if len(more):
-            order = np.argsort(pair, kind="stable")
-            pair, size = pair[order], size[order]
+        a = d * rng.gamma(strength / d + held(t))[rm] * pm
+        mean, t = np.empty(len(many)), np.empty(len(many), np.int64)
+        about, var = _expected(cm[large], a[large], d)
+        big = large[about > ENUMERATED]
+        about, var = about[about > ENUMERATED], var[about > ENUMERATED]
+        mean[big] = about
+        t[big] = np.clip(np.rint(rng.normal(about, np.sqrt(var))), 1, cm[big])
+        small = np.ones(len(many), bool)
+        small[big] = False
+        small = np.flatnonzero(small)
+        mean[small], t[small] = _enumerated(cm[small], a[small], d, rng)
         if step >= burn:
-            total += t
-    mean, last = tables.astype(float), tables.copy()
+            total += mean
+    mean = tables.astype(float)
     mean[many], last[many] = total / keep, t
     return mean, last
 
@@ -419,7 +491,7 @@ class _Jobs:
                 known = int((c > 0).sum())
                 rng = np.random.default_rng([rules.seed, part, 1])
                 p = np.full(len(words), 1 / (totals.vocabulary + 1))
-                mean, last = seat(c, np.zeros(len(words), np.int64), 1, p, np.array([max(0, totals.vocabulary - known)]), rules.parent_discount, rules.parent_strength, rng, rules.burn, rules.keep)
+                mean, last = seat(c, np.zeros(len(words), np.int64), 1, p, np.array([max(0, totals.vocabulary - known)]), rules.parent_discount, rules.parent_strength, rng, rules.burn, rules.keep, True)
                 less = (c - rules.parent_discount * mean).astype(np.float32)
                 bounds = np.concatenate([[0], np.cumsum([len(x[2]) for x in got])])
                 for x, a, b in zip(got, bounds[:-1], bounds[1:], strict=True):
@@ -537,12 +609,23 @@ def _opened(parts: Iterator[tuple[int, bytes]]) -> tuple[_Restaurants, np.ndarra
     return place, np.concatenate([x for _, x in sorted(got, key=lambda x: x[0])]).astype(float)
 
 
+def _elsewhere(place: _Restaurants, parent: np.ndarray, totals: _Totals, rules: PitmanYor, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """Customers and tables that hot restaurants have in other buckets.  In the turn after the seating
+    of contexts, the whole's tables are known and those expected here are taken off."""
+    r, n = place.context(), len(place.u)
+    customers, tables = np.bincount(r, place.c, n).astype(np.int64), np.minimum(place.c, 1).astype(float)
+    if totals.hot and turn == 3:
+        _, whole = totals.shared(place.u, customers, np.zeros(n, np.int64))
+        some = np.flatnonzero((whole[r] > 0) & (place.c >= 2))
+        p = np.maximum(parent[place.dish[some]], 1e-300)
+        tables[some] = _expected(place.c[some], (rules.strength + totals.discount * whole[r[some]]) * p, max(totals.discount, 1e-6))[0]
+    return totals.shared(place.u, customers, np.rint(np.bincount(r, tables, n)).astype(np.int64))
+
+
 def _seated(place: _Restaurants, parent: np.ndarray, totals: _Totals, rules: PitmanYor, bucket: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
-    r = place.context()
-    customers, tables = np.bincount(r, place.c, len(place.u)).astype(np.int64), np.bincount(r, place.c > 0, len(place.u)).astype(np.int64)
-    _, other = totals.shared(place.u, customers, tables)
+    _, other = _elsewhere(place, parent, totals, rules, turn)
     rng = np.random.default_rng([rules.seed, bucket, turn])
-    return seat(place.c, r, len(place.u), parent[place.dish], other, totals.discount, rules.strength, rng, rules.burn, rules.keep)
+    return seat(place.c, place.context(), len(place.u), parent[place.dish], other, totals.discount, rules.strength, rng, rules.burn, rules.keep, turn == 2)
 
 
 def _scored(bucket: int, parts: Iterator[tuple[int, bytes]], totals: _Totals, rules: PitmanYor) -> Iterator[tuple]:
@@ -553,7 +636,7 @@ def _scored(bucket: int, parts: Iterator[tuple[int, bytes]], totals: _Totals, ru
     r = place.context()
     n = len(place.u)
     customers, tables = np.bincount(r, place.c, n).astype(np.int64), np.bincount(r, mean, n)
-    more_c, more_t = totals.shared(place.u, customers, np.bincount(r, place.c > 0, n).astype(np.int64))
+    more_c, more_t = _elsewhere(place, parent, totals, rules, 3)
     customers, tables = customers + more_c, tables + more_t
     p = (place.c - totals.discount * mean + (rules.strength + totals.discount * tables[r]) * parent[place.dish]) / (customers[r] + rules.strength)
     score = np.log10(p)

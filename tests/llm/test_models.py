@@ -168,3 +168,47 @@ def _open_tables(rng, n, d, theta):
     for k in range(1, n):
         t += rng.random() < (theta + d * t) / (k + theta)
     return t
+
+
+def _stirling(c, d):
+    """Logarithms of the generalized Stirling numbers S(c, 1..c)."""
+    found = np.full(c + 1, -np.inf)
+    found[1] = 0
+    for n in range(1, c):
+        t = np.arange(1, n + 2)
+        found[1 : n + 2] = np.logaddexp(found[: n + 1], np.log(np.maximum(n - d * t, 1e-300)) + found[1 : n + 2])
+    return found[1:]
+
+
+def test_large_dishes_at_production_steps():
+    """Tables of dishes with thousands of customers, against Gibbs sampling of exact conditionals."""
+    rng = np.random.default_rng(6)
+    d, theta, rules = 0.7, 1.0, pitmanyor.PitmanYor()
+    c = np.array([3000, 2500, 1800, 1200, 600, 90, 7] + [1] * 400)
+    p = np.array([0.2, 0.02, 0.05, 0.001, 0.1, 1e-4, 0.01] + [1e-4] * 400)
+    sums = [_stirling(int(n), d) for n in c[:7]]
+    t = np.ones(len(c))
+    kept = []
+    for _ in range(150):
+        for k in range(7):
+            n = np.arange(1, c[k] + 1)
+            rest = theta / d + t.sum() - t[k]
+            w = sums[k] + n * math.log(p[k] * d) + np.concatenate([[0.0], np.cumsum(np.log(rest + n[1:] - 1))])
+            t[k] = rng.choice(n, p=np.exp(w - w.max()) / np.exp(w - w.max()).sum())
+        kept.append(t.copy())
+    wanted = np.mean(kept[50:], 0)
+    n = 40
+    mean, last = pitmanyor.seat(np.tile(c, n), np.repeat(np.arange(n), len(c)), n, np.tile(p, n), np.zeros(n), d, theta, rng, rules.burn, rules.keep)
+    found = mean.reshape(n, -1).mean(0)
+    assert found[:7] == pytest.approx(wanted[:7], rel=0.04)
+    assert (last >= 1).all() and (last <= np.tile(c, n)).all()
+
+
+def test_hot_dish_is_not_capped():
+    """One dish of 4,000 customers beside 10,000 other tables, against the exact conditional."""
+    rules, d, p, other = pitmanyor.PitmanYor(), 0.7, 0.02, 10_000
+    n = np.arange(1, 4001)
+    w = _stirling(4000, d) + n * math.log(p * d) + np.concatenate([[0.0], np.cumsum(np.log(1 / d + other + n[1:] - 1))])
+    wanted = (np.exp(w - w.max()) * n).sum() / np.exp(w - w.max()).sum()
+    mean, last = pitmanyor.seat(np.full(50, 4000), np.arange(50), 50, np.full(50, p), np.full(50, other), d, 1.0, np.random.default_rng(7), rules.burn, rules.keep)
+    assert wanted > 150 and mean.mean() == pytest.approx(wanted, rel=0.02) and last.mean() == pytest.approx(wanted, rel=0.05)
