@@ -12,6 +12,8 @@ Reader: files are cut into byte ranges.  A task scans its range for the gzip mag
 and accepts a candidate if the member decodes to a WARC version line and a header; it
 then owns every member that starts inside its range, following members from end to
 start and scanning again after damage.  Records that run past the end are read on.
+A round trip stores what it read and fails if a file gave more or fewer records than
+its manifest says.
 
 Edge cases: null html is an empty payload; a null url leaves the target out; repeated
 page_ids make a record each; an empty table makes no file and no row; line ends in a
@@ -139,9 +141,9 @@ class _Window:
     def __init__(self, file, size: int):
         self.file, self.size, self.at, self.held = file, size, 0, b""
 
-    def get(self, at: int, n: int = READ) -> bytes:
-        """Some bytes from place `at`; empty at the end."""
-        if not self.at <= at < self.at + len(self.held):
+    def get(self, at: int, n: int = READ, least: int = 1) -> bytes:
+        """Some bytes from place `at`, at least `least` unless the file ends; empty at the end."""
+        if not self.at <= at or at + min(least, self.size - at) > self.at + len(self.held) or at >= self.at + len(self.held):
             self.file.seek(at)
             self.at, self.held = at, self.file.read(n)
         return self.held[at - self.at :]
@@ -168,15 +170,12 @@ def read_range(window: _Window, start: int, stop: int) -> Iterator[dict]:
     """Records whose member starts in [start, stop)."""
     at = start
     while at < stop:
-        data = window.get(at)
-        if not data:
+        data = window.get(at, least=len(MAGIC))
+        if len(data) < len(MAGIC):
             return
         if not data.startswith(MAGIC):
             found = data.find(MAGIC)
-            if found < 0:
-                at += max(1, len(data) - len(MAGIC) + 1) if at + len(data) < window.size else len(data)
-                continue
-            at += found
+            at += found if found >= 0 else len(data) - len(MAGIC) + 1
             continue
         got = _member(window, at)
         try:
@@ -192,12 +191,16 @@ def read_range(window: _Window, start: int, stop: int) -> Iterator[dict]:
 
 def read_warc(manifest: DataFrame, split_bytes: int = 8 << 20, payload: bool = True) -> DataFrame:
     """Records (RECORD) of the manifest's files, read by byte ranges of split_bytes."""
+    return _read(manifest, split_bytes, payload).drop("path")
+
+
+def _read(manifest: DataFrame, split_bytes: int, payload: bool) -> DataFrame:
     ranges = manifest.select("path", "n_bytes", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n_bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"))
     spread = ranges.repartition(max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "path", "start")
-    schema = RECORD if payload else RECORD.rpartition(", ")[0]
+    schema = "path string, " + (RECORD if payload else RECORD.rpartition(", ")[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), *([("payload", pa.binary())] if payload else [])])
+        target = pa.schema([("path", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), *([("payload", pa.binary())] if payload else [])])
         for batch in batches:
             for path, size, start in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 fs, local = _open(path)
@@ -206,7 +209,7 @@ def read_warc(manifest: DataFrame, split_bytes: int = 8 << 20, payload: bool = T
                     for record in read_range(_Window(file, size), start, min(start + split_bytes, size)):
                         if not payload:
                             record.pop("payload")
-                        held.append(record)
+                        held.append({"path": path, **record})
                         bytes_held += len(record.get("payload") or b"") + 200
                         if bytes_held > 4 << 20:
                             yield pa.RecordBatch.from_pylist(held, target)
@@ -217,6 +220,20 @@ def read_warc(manifest: DataFrame, split_bytes: int = 8 << 20, payload: bool = T
     return spread.mapInArrow(run, schema)
 
 
+def check_counts(manifest: DataFrame, records: DataFrame) -> None:
+    """ValueError if the records (with path) of a file are not as many as its manifest says."""
+    found = records.groupBy("path").agg(F.count("*").alias("n_read"))
+    wrong = manifest.join(found, "path", "left").filter("coalesce(n_read, 0) <> n_records").limit(5).collect()
+    if wrong:
+        raise ValueError("records read differ from the manifest: " + "; ".join(f"{r.path}: {r.n_read or 0} of {r.n_records}" for r in wrong))
+
+
 def archive_round_trip(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Writes pages to archives in the shared folder and returns the records read back."""
-    return read_warc(write_warc(pages, scratch(spark, "warc"), min_bytes), payload=False)
+    """Writes pages to archives in the shared folder and returns the records read back, all of
+    them by the manifest's counts."""
+    manifest = write_warc(pages, scratch(spark, "warc"), min_bytes)
+    path = scratch(spark, "warc-records")
+    _read(manifest, 8 << 20, False).write.parquet(path)
+    records = spark.read.parquet(path)
+    check_counts(manifest, records)
+    return records.drop("path")

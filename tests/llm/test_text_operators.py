@@ -285,6 +285,44 @@ def test_warc_damage_and_thresholds(spark):
     assert warc.archive_round_trip(spark, pages.limit(0)).count() == 0
 
 
+def test_warc_members_around_the_buffer(spark):
+    """A member that starts at any place about the end of the reader's buffer is found."""
+
+    class File:
+        def __init__(self, data):
+            self.data = data
+
+        def seek(self, at):
+            self.at = at
+
+        def read(self, n):
+            return self.data[self.at : self.at + n]
+
+    after = warc.encode_record(2, None, b"b" * 300, None) + warc.encode_record(3, None, b"c" * 300, None)
+    first = warc.encode_record(1, None, b"a" * 300, None)
+    for shift in range(-5, 6):
+        # followed from a member that ends there, and scanned for after bytes that are none
+        noise = random.Random(1).randbytes(warc.READ)
+        extra, have = 0, warc.READ + shift
+        while True:  # a gzip comment fills the first member up to the wanted size
+            room = have - len(first) - 1 - extra
+            padded = first[:3] + b"\x10" + first[4:10] + b"x" * room + b"\0" + first[10:]
+            if len(padded) == have:
+                break
+            extra += len(padded) - have
+        for data, wanted in ((padded + after, [1, 2, 3]), (noise.replace(warc.MAGIC, b"---")[: warc.READ + min(shift, 0)] + b"-" * max(shift, 0) + after, [2, 3])):
+            window = warc._Window(File(data), len(data))
+            assert [r["page_id"] for r in warc.read_range(window, 0, len(data))] == wanted, shift
+
+
+def test_warc_counts_follow_the_manifest(spark):
+    pages = spark.createDataFrame([(k, "u", f"page {k}") for k in range(5)], "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write_warc(pages, scratch(spark, "warc"))
+    warc.check_counts(manifest, warc._read(manifest, 100, False))
+    with pytest.raises(ValueError, match="5 of 6"):
+        warc.check_counts(manifest.withColumn("n_records", F.col("n_records") + 1), warc._read(manifest, 100, False))
+
+
 # ---- op 8 ----------------------------------------------------------------------------
 
 
