@@ -395,7 +395,8 @@ def _first_look(docs: DataFrame, n_buckets: int) -> tuple[np.ndarray, int, int]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.append(names[often].view(np.int64), [TOKENS, KNOWN])), pa.array(np.append(n[often], [here[d].sum(), here.sum()]))], ["name", "n"])
 
     counts = docs.mapInArrow(run, "name bigint, n bigint").groupBy("name").agg(F.sum("n").alias("n"))
-    counts = counts.orderBy(F.col("n").desc(), "name").limit(4 * n_buckets + 2)
+    # the totals come first, so that the bound on the words leaves them in
+    counts = counts.orderBy(F.col("name").isin(TOKENS, KNOWN).desc(), F.col("n").desc(), "name").limit(4 * n_buckets + 2)
     found = {r.name: r.n for r in counts.collect()}
     tokens, texts = found.pop(TOKENS, 0), found.pop(KNOWN, 0)
     hot = [k for k, n in found.items() if n > max(1000, tokens // (2 * n_buckets))]

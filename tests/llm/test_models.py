@@ -124,6 +124,17 @@ def test_counts_match_plain(docs, texts, rules, nothing):
     assert pitmanyor.perplexity_scores(nothing).count() == 0
 
 
+def test_totals_outlast_frequent_words(spark):
+    """Few texts of words more frequent than the number of texts: the bounded list of words keeps the totals."""
+    rows = [(i, " ".join(f"w{k}" for k in range(6)) + " " + " ".join(f"w{k}" for k in range(6)) * (40 + i)) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    _, tokens, texts = pitmanyor._first_look(docs.select((~pitmanyor.is_held_out(F.col("doc_id"))).alias("train"), "text"), 1)
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert (tokens, texts) == (sum(len(t.split()) + 1 for t in train), len(train))
+    out = pitmanyor.perplexity_scores(docs).collect()
+    assert collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out) == plain_base(rows)
+
+
 def test_model_beats_base_on_held_out(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = pitmanyor.perplexity_scores(docs).filter("held_out").agg(F.sum("n_tokens").alias("n"), F.sum("base_score").alias("b"), F.sum("score").alias("s")).first()
