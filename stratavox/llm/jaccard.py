@@ -321,8 +321,9 @@ def _regions(hoods: DataFrame, classes: DataFrame, partitions: int, rules: Jacca
     return rows.mapInArrow(run, "pivot bigint, class bigint").distinct()
 
 
-def join_region(sets: list[np.ndarray], rules: JaccardRules) -> list[tuple[int, int]]:
-    """Links among sets (sorted arrays; the first is the pivot) that connect all that are connected."""
+def join_region(sets: list[np.ndarray], rules: JaccardRules, every: bool = False) -> list[tuple[int, int]]:
+    """Links among sets (sorted arrays; the first is the pivot) that connect all that are connected,
+    or every link."""
     n = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
     heads = np.cumsum(n) - n
@@ -344,20 +345,23 @@ def join_region(sets: list[np.ndarray], rules: JaccardRules) -> list[tuple[int,
     links = [(0, int(x)) for x in np.flatnonzero(linked) if x]
     part = np.where(linked, 0, everyone)  # the component of each so far
     reach = 1 - rules.similarity / 100 + 1e-9
-    for q in np.flatnonzero(~linked):
-        at = np.flatnonzero((part != part[q]) & (np.abs(far - far[q]) <= reach) & (100 * np.minimum(n, n[q]) >= rules.similarity * np.maximum(n, n[q])))
+    for q in everyone[1:] if every else np.flatnonzero(~linked):
+        at = np.flatnonzero((everyone > q if every else part != part[q]) & (np.abs(far - far[q]) <= reach) & (100 * np.minimum(n, n[q]) >= rules.similarity * np.maximum(n, n[q])))
         if not len(at):
             continue
         b = shared(q, at)
         hits = at[100 * b >= rules.similarity * (n[at] + n[q] - b)]
+        if every:
+            links += [(int(q), int(x)) for x in hits]
+            continue
         for x in hits[np.unique(part[hits], return_index=True)[1]]:  # one link joins two components
             links.append((int(q), int(x)))
             part[part == part[x]] = part[q]
     return links
 
 
-def _links(docs: DataFrame, classes: DataFrame, regions: DataFrame, partitions: int, rules: JaccardRules) -> DataFrame:
-    """(a, b): links between classes, from the sets of the regions' classes."""
+def _links(docs: DataFrame, classes: DataFrame, regions: DataFrame, partitions: int, rules: JaccardRules, every: bool = False) -> DataFrame:
+    """(a, b): links between classes, from the sets of the regions' classes; the spanning ones or every one."""
     shown = classes.groupBy("class").agg(F.min("doc_id").alias("want_"))
     wanted = stored(regions.join(shown, "class").groupBy("want_", "class").agg(F.collect_list("pivot").alias("pivots")), "wanted")
     if wanted.count() <= rules.broadcast_rows:
@@ -389,7 +393,7 @@ def _links(docs: DataFrame, classes: DataFrame, regions: DataFrame, partitions:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(rows: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
             cls = [c for c, _ in rows]
-            found = join_region([s for _, s in rows], rules) if len(rows) > 1 else []
+            found = join_region([s for _, s in rows], rules, every) if len(rows) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([cls[i] for i, _ in found], pa.int64()), pa.array([cls[j] for _, j in found], pa.int64())], ["a", "b"])
 
         now, held, seen = None, [], set()
@@ -436,8 +440,8 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, rules: JaccardRules = JaccardRules()) -> DataFrame:
-    """(doc_id, n_shingles, class, component_id) for each row of docs(doc_id, text)."""
+def _linked(docs: DataFrame, rules: JaccardRules, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows with their classes, links between classes)."""
     spark = docs.sparkSession
     partitions = partitions_for(docs, 12 << 20)
     path = scratch(spark, "classes")
@@ -448,7 +452,19 @@ def near_duplicates(docs: DataFrame, rules: JaccardRules = JaccardRules()) -> Da
     hot = _frequent(read.filter("kind = 1").select("class", "n"), rules)
     hoods = _neighbourhoods(_keys(docs, hot, 4 * partitions, rules), partitions, rules)
     regions = stored(_regions(stored(hoods, "hoods"), classes, partitions, rules), "regions")
-    roots = components(_links(docs, classes, regions, partitions, rules))
+    return all_rows, _links(docs, classes, regions, partitions, rules, every)
+
+
+def similar_classes(docs: DataFrame, rules: JaccardRules = JaccardRules()) -> DataFrame:
+    """(a, b), a < b: every link between classes of different sets; near_duplicates has the class of each row."""
+    links = _linked(docs, rules, every=True)[1]
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+
+
+def near_duplicates(docs: DataFrame, rules: JaccardRules = JaccardRules()) -> DataFrame:
+    """(doc_id, n_shingles, class, component_id) for each row of docs(doc_id, text)."""
+    all_rows, links = _linked(docs, rules)
+    roots = components(links)
     named = all_rows.select("doc_id", F.col("n").alias("n_shingles"), "class").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     key = F.coalesce("doc_id", F.lit(NULL_ID))
     first = named.filter("n_shingles > 0").groupBy("root").agg(F.min(key).alias("first"))

@@ -137,6 +137,29 @@ def test_jaccard_matches_plain(docs, texts, k, percent):
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == plain_components(texts, k, percent)
 
 
+def test_all_links_between_classes(spark):
+    """A chain and a cluster of near copies: links that close cycles are there too."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    rows = []
+    for i in range(40):
+        own = list(base) if i < 25 else [f"v{i}x{k}" for k in range(60)]
+        for k in range(i % 4):
+            own[(i * 7 + k * 17) % 150 if i < 25 else k] = f"e{i}"
+        rows.append((i, " ".join(own)))
+    rows.append((40, rows[3][1]))
+    docs, rules = spark.createDataFrame(rows, "doc_id long, text string"), jaccard.JaccardRules()
+    name = {r.doc_id: r["class"] for r in jaccard.near_duplicates(docs, rules).collect()}
+    sets = {}
+    for i, t in rows:
+        w = tokens(t, lower=True)
+        sets[name[i]] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    wanted = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    got = [(r.a, r.b) for r in jaccard.similar_classes(docs, rules).collect()]
+    assert len(wanted) > len(sets) and len(got) == len(set(got))
+    assert set(got) == wanted
+
+
 def test_jaccard_by_shuffle_and_empty(docs, texts, nothing):
     rules = jaccard.JaccardRules(broadcast_rows=0)
     got = jaccard.near_duplicates(docs, rules)
