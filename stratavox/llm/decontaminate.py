@@ -1,28 +1,31 @@
 """Benchmark decontamination over a stored, distributed positional inverted index.
 
 Index: each block of training documents becomes one segment row in a table in the
-shared folder: its terms, their counts, and their postings (word places in the
-segment, ascending for each term, delta-coded and compressed), with the documents'
-bounds.  Segments are independent of each other, so building is a map without a shuffle,
-a phrase's postings are always in one segment, and a hot term or passage is spread
-over all segments.
+shared folder.  A segment's terms are dealt by hash to PARTS parts; a part has two columns,
+its directory (terms and counts) and its posting lists (word places in the segment,
+ascending for each term, delta-coded and compressed).  A search reads the columns of the
+parts that hold test terms and no others (Parquet prunes columns), so one item costs
+a small share of the index.  Segments are independent of each other: building is a map
+without a shuffle, a phrase's lists are always in one row, and a hot term or passage is
+spread over all segments.
 
 Search: the benchmark is taken in blocks of at most `block_bytes` of text, so what is
-broadcast is bounded.  Term frequencies over the whole index give each window's order
-of terms.  In a segment, a window's candidates are the postings of its rarest term
-less the term's offset; each further term, from rare to frequent, keeps the candidates
+broadcast is bounded; each block's matches go to one stored table, so the plan that reads
+them does not grow with the benchmark.  In a segment, windows with a term that the segment
+lacks end at the directory; a window's candidates are the postings of its rarest term less
+the term's offset; each further term, from rare to frequent, keeps the candidates
 whose offset place is in its own list.  `phrase_matches` returns exact phrases,
 `proximity_matches` items whose rarest terms meet within a span in any order.
 
 Edge cases: null and empty texts have no words and match nothing; items with a null
 id or without words are left out; an item of fewer words than the window is one
-window; repeated rows are judged row by row; empty tables give empty results; other
-columns are ignored (`decontaminate` keeps those of its input).
+window; every row is judged by its own text, whatever its id (null and repeated ids too);
+empty tables give empty results; other columns are ignored (`decontaminate` keeps those of its input).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,11 +34,25 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import blobs
 from . import textblocks as tb
-from .storage import scratch
+from .storage import drop_scratch, free_name, scratch
 
-SEGMENT = "segment string, doc_ids array<bigint>, first array<int>, terms array<string>, counts array<int>, postings binary"
-MATCH = "segment string, place int, doc_id bigint, item_id string, start int, stop int"
+PARTS = 128
+#: Columns of a part: its directory and its posting lists.
+DIRECTORY, POSTINGS = "d{}", "p{}"
+
+
+def _columns(parts: range | list[int], postings: bool = True) -> list[str]:
+    return [f.format(k) for k in parts for f in ((DIRECTORY, POSTINGS) if postings else (DIRECTORY,))]
+
+
+def _segment_schema(key: str) -> str:
+    return f"segment string, keys array<{key}>, first array<int>, " + ", ".join(f"{c} binary" for c in _columns(range(PARTS)))
+
+
+def _match_schema(key: str) -> str:
+    return f"segment string, place int, doc_id {key}, item_id string, start int, stop int"
 
 
 @dataclass(frozen=True)
@@ -46,10 +63,16 @@ class MatchRules:
     window: int = 10
     proximity: int = 4
     slop: int = 30
-    block_bytes: int = 2 << 20
+    block_bytes: int = 8 << 20
 
 
-def _segment(batch_ids: pa.Array, block: tb.Block, hasher: tb.Hasher) -> tuple:
+def _part(words: np.ndarray) -> np.ndarray:
+    """The part of each word's hash: parts are ranges of hashes."""
+    return (words >> np.uint64(64 - PARTS.bit_length() + 1)).astype(np.int64)
+
+
+def _segment(block: tb.Block, hasher: tb.Hasher) -> list[bytes]:
+    """The parts' columns: (counts, lengths, letters) of the terms, and their postings."""
     words = hasher.spans(block.data, block.starts, block.ends)
     order = np.argsort(words, kind="stable")
     ordered = words[order]
@@ -57,34 +80,41 @@ def _segment(batch_ids: pa.Array, block: tb.Block, hasher: tb.Hasher) -> tuple:
     counts = np.diff(np.append(begins, len(ordered))).astype(np.int32)
     shown = order[begins]
     lengths = (block.ends - block.starts)[shown]
-    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-    where = np.repeat(block.starts[shown] - offsets[:-1], lengths) + np.arange(offsets[-1])
-    letters = block.data[where]
+    letters = block.data[_ranges(block.starts[shown], lengths)]
     letters = np.where((letters >= 0x41) & (letters <= 0x5A), letters + 32, letters).astype(np.uint8)
-    terms = pa.StringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(letters))
     deltas = np.diff(order.astype(np.int32), prepend=np.int32(0))
-    packed = pa.compress(np.ascontiguousarray(deltas), codec="zstd", asbytes=True)
-    return batch_ids.cast(pa.int64()), block.first.astype(np.int32), terms, counts, packed
+    deltas[begins] = order[begins]  # each list by itself
+    cut = np.searchsorted(_part(ordered[begins]), np.arange(PARTS + 1))
+    posting = np.append(begins, len(ordered))[cut]
+    letter = np.concatenate([[0], np.cumsum(lengths)])[cut]
+    out = []
+    for k in range(PARTS):
+        terms = slice(cut[k], cut[k + 1])
+        out.append(blobs.pack(counts[terms], lengths[terms].astype(np.int32), letters[letter[k] : letter[k + 1]]))
+        out.append(blobs.pack(deltas[posting[k] : posting[k + 1]].astype(np.int32)))
+    return out
 
 
-def build_index(docs: DataFrame, path: str) -> DataFrame:
-    """Writes the index of docs(doc_id, text) at path; returns its table (SEGMENT)."""
+def build_index(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
+    """Writes the index of docs(key, text) at path; returns its table.  Matches name a row by its key."""
+    kind = docs.schema[key].dataType.simpleString()
+    schema = _segment_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
         hasher, table = tb.Hasher(lower=True), tb.alnum_words()
+        names = ["segment", "keys", "first", *_columns(range(PARTS))]
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
         for batch in batches:
             for block in tb.blocks(batch.column(1), table):
-                ids, first, terms, counts, packed = _segment(batch.column(0).slice(block.row0, block.n_docs), block, hasher)
-                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([uuid.uuid4().hex]), one(ids), one(pa.array(first)), one(terms), one(pa.array(counts)), pa.array([packed], pa.binary())],
-                    ["segment", "doc_ids", "first", "terms", "counts", "postings"],
-                )
+                keys = batch.column(0).slice(block.row0, block.n_docs)
+                keys = pa.concat_arrays([keys])  # without the slice's offset
+                columns = [pa.array([x], pa.binary()) for x in _segment(block, hasher)]
+                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), one(keys), one(pa.array(block.first.astype(np.int32))), *columns], names)
 
-    docs.select("doc_id", "text").mapInArrow(run, SEGMENT).write.parquet(path)
-    return docs.sparkSession.read.schema(SEGMENT).parquet(path)
+    docs.select(key, "text").mapInArrow(run, schema).write.parquet(path)
+    return docs.sparkSession.read.schema(schema).parquet(path)
 
 
 def _item_blocks(benchmark: DataFrame, rules: MatchRules) -> Iterator[tuple[list[str], list[list[str]]]]:
@@ -106,38 +136,63 @@ def _item_blocks(benchmark: DataFrame, rules: MatchRules) -> Iterator[tuple[list
         yield ids, words
 
 
-def _frequencies(index: DataFrame, terms: pa.Array) -> np.ndarray:
-    """How often each of the terms occurs in the whole index."""
-    shared = index.sparkSession.sparkContext.broadcast(terms.to_pylist())
+def _parts_of(terms: list[str]) -> list[int]:
+    """The parts that hold the terms."""
+    block = next(tb.blocks(pa.array([" ".join(terms)]), tb.alnum_words(), 1 << 40), None)
+    if block is None:
+        return []
+    return np.unique(_part(tb.Hasher(lower=True).spans(block.data, block.starts, block.ends))).tolist()
+
+
+def _directory(batch: pa.RecordBatch, row: int, columns: list[int]) -> tuple[np.ndarray, pa.Array]:
+    """(counts, terms) of the given directory columns of a row."""
+    parts = [blobs.unpack(batch.column(c)[row].as_py()) for c in columns]
+    counts, lengths, letters = (np.concatenate(x) for x in zip(*parts, strict=True))
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return counts.astype(np.int64), pa.StringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(letters)))
+
+
+def _frequencies(index: DataFrame, terms: list[str]) -> np.ndarray:
+    """How often each of the terms occurs in the whole index, from the directories of their parts."""
+    parts = _parts_of(terms)
+    out = np.zeros(len(terms), np.int64)
+    if not parts:
+        return out
+    shared = index.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = pa.array(shared.value)
+        wanted = pa.array(shared.value, pa.string())
         total = np.zeros(len(wanted), np.int64)
         for batch in batches:
-            at = pc.index_in(batch.column(0).flatten(), value_set=wanted)
-            hit = pc.is_valid(at).to_numpy(zero_copy_only=False)
-            np.add.at(total, at.drop_null().to_numpy(), batch.column(1).flatten().to_numpy()[hit])
+            for row in range(batch.num_rows):
+                counts, found = _directory(batch, row, list(range(batch.num_columns)))
+                at = pc.index_in(found, value_set=wanted)
+                hit = pc.is_valid(at).to_numpy(zero_copy_only=False)
+                total[at.drop_null().to_numpy()] += counts[hit]
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["term", "n"])
 
-    out = np.zeros(len(terms), np.int64)
-    for row in index.select("terms", "counts").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
+    for row in index.select(*_columns(parts, postings=False)).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
         out[row.term] = row.n
     return out
 
 
 class _Segment:
-    """A segment opened for a set of test terms: their posting lists, and which term is where."""
+    """A segment opened for a set of test terms: their posting lists, and which term is where.
+
+    A batch has the columns segment, keys, first and those of the terms' parts."""
 
     def __init__(self, batch: pa.RecordBatch, row: int, wanted: pa.Array):
         self.name = batch.column(0)[row].as_py()
-        self.doc_ids = batch.column(1)[row].values
+        self.keys = batch.column(1)[row].values
         self.first = batch.column(2)[row].values.to_numpy()
-        counts = batch.column(4)[row].values.to_numpy().astype(np.int64)
-        self.n = int(counts.sum())
-        self.postings = np.cumsum(np.frombuffer(pa.decompress(batch.column(5)[row].as_buffer(), decompressed_size=4 * self.n, codec="zstd"), np.int32))
+        self.n = int(self.first[-1]) if len(self.first) else 0
+        counts, terms = _directory(batch, row, list(range(3, batch.num_columns, 2)))
+        deltas = np.concatenate([blobs.unpack(batch.column(c)[row].as_py())[0] for c in range(4, batch.num_columns, 2)])
         bounds = np.concatenate([[0], np.cumsum(counts)])
-        at = pc.index_in(batch.column(3)[row].values, value_set=wanted)
+        running = np.concatenate([[0], np.cumsum(deltas, dtype=np.int64)])
+        self.postings = running[1:] - np.repeat(running[bounds[:-1]], counts)
+        at = pc.index_in(terms, value_set=wanted)
         hit = np.flatnonzero(pc.is_valid(at).to_numpy(zero_copy_only=False))
         term = at.drop_null().to_numpy()
         self.start = np.zeros(len(wanted), np.int64)
@@ -170,119 +225,140 @@ def _windows(words: list[list[str]], codes: dict[str, int], k: int) -> tuple[np.
     return np.concatenate(items), np.concatenate(lengths), np.concatenate(rows)
 
 
-def _phrases(seg: _Segment, lengths: np.ndarray, terms: np.ndarray, by_rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _phrases(seg: _Segment, lengths: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(window, first word) of every occurrence: offset-adjusted lists, intersected from the rarest."""
+    frequency = np.where(terms < 0, np.iinfo(np.int64).max, seg.count[np.maximum(terms, 0)])
+    alive = np.flatnonzero(frequency.min(axis=1) > 0)
+    terms, lengths = terms[alive], lengths[alive]
+    by_rarity = np.argsort(frequency[alive], axis=1, kind="stable")
     rare = by_rarity[:, 0]
     anchor = terms[np.arange(len(terms)), rare]
-    window = np.repeat(np.arange(len(terms)), seg.count[anchor])
-    begin = seg.postings[_ranges(seg.start[anchor], seg.count[anchor])] - rare[window]
-    ok = (begin >= 0) & (begin + lengths[window] <= seg.n)
-    window, begin = window[ok], begin[ok]
-    ok = seg.doc[begin] == seg.doc[begin + lengths[window] - 1]
-    window, begin = window[ok], begin[ok]
-    for j in range(1, terms.shape[1]):
-        offset = by_rarity[window, j]
-        wanted = terms[window, offset]
-        ok = (wanted < 0) | (seg.term_at[np.minimum(begin + offset, seg.n - 1)] == wanted)
+    out = []
+    for part in _slices(seg.count[anchor], 4 << 20):  # candidates held at a time
+        window = np.repeat(np.arange(part.start, part.stop), seg.count[anchor[part]])
+        begin = seg.postings[_ranges(seg.start[anchor[part]], seg.count[anchor[part]])] - rare[window]
+        ok = (begin >= 0) & (begin + lengths[window] <= seg.n)
         window, begin = window[ok], begin[ok]
-    return window, begin
-
-
-def phrase_matches(index: DataFrame, benchmark: DataFrame, rules: MatchRules = MatchRules()) -> DataFrame:
-    """Runs of words (MATCH; start and stop count from the document's first word) that
-    consecutive windows of an item cover exactly."""
-    out = None
+        ok = seg.doc[begin] == seg.doc[begin + lengths[window] - 1]
+        window, begin = window[ok], begin[ok]
+        for j in range(1, terms.shape[1]):
+            offset = by_rarity[window, j]
+            wanted = terms[window, offset]
+            ok = (wanted < 0) | (seg.term_at[np.minimum(begin + offset, seg.n - 1)] == wanted)
+            window, begin = window[ok], begin[ok]
+        out.append((alive[window], begin))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([w for w, _ in out]), np.concatenate([b for _, b in out])
+
+
+def _slices(sizes: np.ndarray, limit: int) -> Iterator[slice]:
+    """Consecutive ranges of items whose sizes sum to about `limit` at most (one item at least)."""
+    total, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + limit, "right")))
+        yield slice(at, stop)
+        at = stop
+
+
+def _search(index: DataFrame, benchmark: DataFrame, rules: MatchRules, prepare: Callable, find: Callable) -> DataFrame:
+    """Matches of every block of items, in one stored table.  prepare(codes, ids, words) gives what
+    is broadcast (None: nothing to find); find(segment, that) the (item id, start, stop) in the segment's words."""
+    key = index.schema["keys"].dataType.elementType.simpleString()
+    schema = _match_schema(key)
+    path = scratch(index.sparkSession, "matches")
+    index.sparkSession.createDataFrame([], schema).write.parquet(path)
     for ids, words in _item_blocks(benchmark, rules):
         codes: dict[str, int] = {}
         for found in words:
             for w in found:
                 codes.setdefault(w, len(codes))
-        item, lengths, terms = _windows(words, codes, rules.window)
-        counts = _frequencies(index, pa.array(list(codes)))
-        frequency = np.where(terms < 0, np.iinfo(np.int64).max, counts[np.maximum(terms, 0)])
-        by_rarity = np.argsort(frequency, axis=1, kind="stable")
-        alive = frequency.min(axis=1) > 0
-        shared = index.sparkSession.sparkContext.broadcast((ids, list(codes), item[alive], lengths[alive], terms[alive], by_rarity[alive]))
+        ready = prepare(codes, ids, words)
+        if ready is None:
+            continue
+        shared = index.sparkSession.sparkContext.broadcast((list(codes), ready))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, codes, item, lengths, terms, by_rarity = shared.value
+            codes, ready = shared.value
             wanted = pa.array(codes, pa.string())
             for batch in batches:
                 for row in range(batch.num_rows):
                     seg = _Segment(batch, row, wanted)
-                    if not seg.n or not len(terms):
-                        continue
-                    window, begin = _phrases(seg, lengths, terms, by_rarity)
-                    key = np.unique(np.stack([item[window], begin, begin + lengths[window]], 1), axis=0)
-                    if not len(key):
+                    items, start, stop = find(seg, ready) if seg.n else ([], None, None)
+                    if not len(items):
                         continue
-                    join = np.concatenate([[False], (key[1:, 0] == key[:-1, 0]) & (key[1:, 1] <= key[:-1, 2]) & (seg.doc[key[1:, 1]] == seg.doc[key[:-1, 1]])])
-                    begins = np.flatnonzero(~join)
-                    place = seg.doc[key[begins, 1]]
-                    last = np.append(begins[1:], len(key)) - 1
+                    place = seg.doc[start]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([seg.name] * len(begins)), pa.array(place.astype(np.int32)), seg.doc_ids.take(pa.array(place)), pa.array([ids[i] for i in key[begins, 0]]),
-                         pa.array((key[begins, 1] - seg.first[place]).astype(np.int32)), pa.array((key[last, 2] - seg.first[place]).astype(np.int32))],
+                        [pa.array([seg.name] * len(items)), pa.array(place.astype(np.int32)), seg.keys.take(pa.array(place)), pa.array(items, pa.string()),
+                         pa.array((start - seg.first[place]).astype(np.int32)), pa.array((stop - seg.first[place]).astype(np.int32))],
                         ["segment", "place", "doc_id", "item_id", "start", "stop"],
                     )
 
-        part = index.mapInArrow(run, MATCH)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else index.sparkSession.createDataFrame([], MATCH)
+        index.select("segment", "keys", "first", *_columns(_parts_of(list(codes)))).mapInArrow(run, schema).write.mode("append").parquet(path)
+        shared.unpersist()
+    return index.sparkSession.read.schema(schema).parquet(path)
+
+
+def phrase_matches(index: DataFrame, benchmark: DataFrame, rules: MatchRules = MatchRules()) -> DataFrame:
+    """(segment, place, doc_id, item_id, start, stop): runs of words (start and stop count from the
+    document's first word) that consecutive windows of an item cover exactly."""
+
+    def prepare(codes: dict[str, int], ids: list[str], words: list[list[str]]) -> tuple:
+        return ids, *_windows(words, codes, rules.window)
+
+    def find(seg: _Segment, ready: tuple) -> tuple:
+        ids, item, lengths, terms = ready
+        window, begin = _phrases(seg, lengths, terms)
+        key = np.unique(np.stack([item[window], begin, begin + lengths[window]], 1), axis=0)
+        if not len(key):
+            return [], None, None
+        join = np.concatenate([[False], (key[1:, 0] == key[:-1, 0]) & (key[1:, 1] <= key[:-1, 2]) & (seg.doc[key[1:, 1]] == seg.doc[key[:-1, 1]])])
+        begins = np.flatnonzero(~join)
+        last = np.append(begins[1:], len(key)) - 1
+        return [ids[i] for i in key[begins, 0]], key[begins, 1], key[last, 2]
+
+    return _search(index, benchmark, rules, prepare, find)
 
 
 def proximity_matches(index: DataFrame, benchmark: DataFrame, rules: MatchRules = MatchRules()) -> DataFrame:
-    """Places (MATCH) where an item's `proximity` rarest terms that occur at all meet
-    within `slop` words, in any order; items with fewer distinct terms are left out."""
-    out = None
-    for ids, words in _item_blocks(benchmark, rules):
-        codes: dict[str, int] = {}
-        for found in words:
-            for w in found:
-                codes.setdefault(w, len(codes))
-        counts = _frequencies(index, pa.array(list(codes)))
-        wanted_terms = []
+    """Places (as of phrase_matches) where an item's `proximity` rarest terms that occur at all meet
+    within `slop` words, in any order; items with fewer distinct terms are left out.  Equally
+    rare terms go by their letters."""
+
+    def prepare(codes: dict[str, int], ids: list[str], words: list[list[str]]) -> list | None:
+        counts = _frequencies(index, list(codes))
+        out = []
         for i, found in enumerate(words):
-            distinct = sorted({codes[w] for w in found if counts[codes[w]]}, key=lambda c: (counts[c], c))
+            distinct = sorted({w for w in found if counts[codes[w]]}, key=lambda w: (counts[codes[w]], w))
             if len(distinct) >= rules.proximity:
-                wanted_terms.append((ids[i], distinct[: rules.proximity]))
-        shared = index.sparkSession.sparkContext.broadcast((list(codes), wanted_terms))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            codes, items = shared.value
-            wanted = pa.array(codes, pa.string())
-            for batch in batches:
-                for row in range(batch.num_rows):
-                    seg, found = _Segment(batch, row, wanted), []
-                    for name, terms in items:
-                        lists = [seg.postings[seg.start[t] : seg.start[t] + seg.count[t]] for t in terms]
-                        if not all(map(len, lists)):
-                            continue
-                        # a span begins at the place of one of the terms and holds one of each other
-                        for a in lists:
-                            nexts = [np.append(x, np.iinfo(np.int32).max)[np.searchsorted(x, a)] for x in lists]
-                            far = np.max(nexts, axis=0)
-                            ok = (far - a < rules.slop) & (far < seg.n)
-                            ok[ok] = seg.doc[a[ok]] == seg.doc[far[ok]]
-                            found += [(name, int(s), int(e) + 1) for s, e in zip(a[ok], far[ok], strict=True)]
-                    if found:
-                        place = [int(seg.doc[s]) for _, s, _ in found]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([seg.name] * len(found)), pa.array(place, pa.int32()), seg.doc_ids.take(pa.array(place)), pa.array([x[0] for x in found]),
-                             pa.array([s - int(seg.first[p]) for (_, s, _), p in zip(found, place, strict=True)], pa.int32()), pa.array([e - int(seg.first[p]) for (_, _, e), p in zip(found, place, strict=True)], pa.int32())],
-                            ["segment", "place", "doc_id", "item_id", "start", "stop"],
-                        )
-
-        part = index.mapInArrow(run, MATCH)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else index.sparkSession.createDataFrame([], MATCH)
+                out.append((ids[i], [codes[w] for w in distinct[: rules.proximity]]))
+        return out or None
+
+    def find(seg: _Segment, items: list) -> tuple:
+        names, starts, stops = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for name, terms in items:
+            lists = [seg.postings[seg.start[t] : seg.start[t] + seg.count[t]] for t in terms]
+            if not all(map(len, lists)):
+                continue
+            # a span begins at the place of one of the terms and holds one of each other
+            for a in lists:
+                nexts = [np.append(x, np.iinfo(np.int32).max)[np.searchsorted(x, a)] for x in lists]
+                far = np.max(nexts, axis=0)
+                ok = (far - a < rules.slop) & (far < seg.n)
+                ok[ok] = seg.doc[a[ok]] == seg.doc[far[ok]]
+                names += [name] * int(ok.sum())
+                starts.append(a[ok])
+                stops.append(far[ok] + 1)
+        return names, np.concatenate(starts), np.concatenate(stops)
+
+    return _search(index, benchmark, rules, prepare, find)
 
 
 def contamination_report(index: DataFrame, benchmark: DataFrame, rules: MatchRules = MatchRules()) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated), a row for each indexed row."""
     docs = index.select(
-        "segment", F.posexplode(F.arrays_zip("doc_ids", F.expr("zip_with(slice(first, 2, greatest(size(first) - 1, 0)), slice(first, 1, greatest(size(first) - 1, 0)), (b, a) -> cast(b - a as bigint))").alias("n_words"))).alias("place", "d")
-    ).select("segment", "place", F.col("d.doc_ids").alias("doc_id"), F.col("d.n_words").alias("n_words"))
+        "segment", F.posexplode(F.arrays_zip("keys", F.expr("zip_with(slice(first, 2, greatest(size(first) - 1, 0)), slice(first, 1, greatest(size(first) - 1, 0)), (b, a) -> cast(b - a as bigint))").alias("n_words"))).alias("place", "d")
+    ).select("segment", "place", F.col("d.keys").alias("doc_id"), F.col("d.n_words").alias("n_words"))
     runs = phrase_matches(index, benchmark, rules)
     per_doc = runs.groupBy("segment", "place").agg(
         F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("runs"), F.array_sort(F.collect_set("item_id")).alias("items")
@@ -301,7 +377,13 @@ def contamination_report(index: DataFrame, benchmark: DataFrame, rules: MatchRul
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rules: MatchRules = MatchRules()) -> DataFrame:
-    """The rows of docs that no benchmark window occurs in, all columns unchanged."""
-    index = build_index(docs, scratch(docs.sparkSession, "postings"))
-    bad = phrase_matches(index, benchmark, rules).select(F.col("doc_id").alias("hit_doc_id_")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["hit_doc_id_"]), "left_anti")
+    """The rows of docs that no benchmark window occurs in, all columns unchanged.
+
+    Whether a row is hit follows from its text alone, so rows are named by their text's digest."""
+    digest = F.sha2("text", 256)
+    path = scratch(docs.sparkSession, "postings")
+    index = build_index(docs.select(digest.alias("key"), "text").filter("text IS NOT NULL"), path, "key")
+    bad = phrase_matches(index, benchmark, rules).select(F.col("doc_id").alias("hit_digest")).distinct()
+    drop_scratch(docs.sparkSession, path)
+    mark = free_name(docs, "hit_digest")
+    return docs.join(bad.withColumnRenamed("hit_digest", mark), digest == F.col(mark), "left_anti")

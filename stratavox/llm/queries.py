@@ -111,6 +111,27 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(i.n, 0
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)"""
 
 
+def benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where an item's four rarest terms meet within 30 words of a document, in any order."""
+    index = decontaminate.build_index(table(spark, sf_dir, "documents"), scratch(spark, "postings"))
+    return decontaminate.proximity_matches(index, table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "start", "stop").distinct()
+
+
+QUERIES["benchmark_proximity"] = benchmark_proximity
+ORACLE_SQL["benchmark_proximity"] = f"""
+WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
+dw AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS p FROM d),
+f AS (SELECT t, count(*) AS n FROM dw GROUP BY t),
+bt AS (SELECT DISTINCT item_id, t FROM (SELECT item_id, unnest({_ALNUM}) AS t FROM benchmark)),
+r AS (SELECT item_id, t FROM (
+  SELECT item_id, t, row_number() OVER (PARTITION BY item_id ORDER BY n, t) AS k, count(*) OVER (PARTITION BY item_id) AS c FROM bt JOIN f USING (t)) WHERE k <= 4 AND c >= 4),
+o AS (SELECT item_id, doc_id, t, p FROM r JOIN dw USING (t)),
+full4 AS (SELECT item_id, doc_id FROM o GROUP BY ALL HAVING count(DISTINCT t) = 4),
+o4 AS (SELECT o.* FROM o JOIN full4 USING (item_id, doc_id)),
+nx AS (SELECT a.item_id, a.doc_id, a.p, b.t, min(b.p) AS q FROM o4 a JOIN o4 b ON a.item_id = b.item_id AND a.doc_id = b.doc_id AND b.p >= a.p AND b.p < a.p + 30 GROUP BY ALL)
+SELECT doc_id, CAST(item_id AS VARCHAR) AS item_id, CAST(p AS INT) AS start, CAST(max(q) + 1 AS INT) AS stop FROM nx GROUP BY doc_id, item_id, p HAVING count(*) = 4"""
+
+
 def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's weight, and whether it is in the sampled share."""
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
