@@ -11,19 +11,28 @@ sketches of the sets never exceeds it, so pivots work on the small sketches:
    puts frequent shingles last (a bounded list, counted over all documents), so those of
    shared passages seldom meet.  The classes of a shingle form neighbourhoods under
    their first class; set sizes (the distance to the empty set) split them by the
-   triangle inequality where no link can cross.
-2. Voronoi regions.  In a neighbourhood, pivots are taken until every class is
-   within reach of one (its cell).  A class x is replicated to each pivot q with
-   h(q, x) <= rho(x) + max over the cell's y of h(q, y) + rho(y): by the triangle
-   inequality no link of a cell member leaves the region.  A pivot alone has no region.
-3. Regions join exactly on the sets.  Classes linked to the pivot are connected by it;
+   triangle inequality where no link can cross.  In a neighbourhood, sketches of one
+   length make a region; those of the next length that can link to them join it, folded, so
+   that all distances of a region are taken in one metric.
+2. Voronoi regions.  A region beyond what a task holds takes new pivots (far apart, from a
+   sample); each class goes to the cell of its nearest pivot and is replicated to each
+   pivot q with h(q, x) <= rho(x) + max over the cell's y of h(q, y) + rho(y): by the
+   triangle inequality no link of a cell member leaves the cell's region.  Regions split
+   again, every level a distributed pass, until they fit a task, which cuts them in the
+   same way down to single pivots.
+3. Crowds.  Where classes lie so close that windows do not shrink a region, chunks of it
+   are held against the classes nearest to its centre, which link most of a group of near
+   copies; what is not connected by them is held against the whole crowd, block by block.
+4. Regions join exactly on the sets.  Classes linked to the pivot are connected by it;
    the others become pivots in turn, against those of other components that their
    distances to the first pivot leave possible, until none is left; a link is kept if it
    joins two components.  None that does is lost, and no list of all pairs is made.
 
 Components follow from the links by alternating star contractions in stored rounds.
 
-Shingles are compared by 64-bit hashes.  Edge cases: null and empty texts, and texts
+Shingles are compared by 64-bit hashes.  A class is named by 64 bits of its set; where a second
+64-bit hash shows that sets share a name, all but one kind of them take another, so 128 bits tell classes
+apart.  Edge cases: null and empty texts, and texts
 without words, have empty sets and link with nothing; fewer words than a shingle make
 one shingle of the whole sequence; repeated rows (of one doc_id too) link as equal sets;
 a null doc_id takes part and counts as smallest for component_id; ties resolve by hash; an empty
@@ -52,14 +61,21 @@ NULL_ID = -(2**63)
 @dataclass(frozen=True)
 class JaccardRules:
     """words: of a shingle; similarity: in percent; hot_list: bound of the list of frequent
-    shingles; hot_least: documents from which one can count as frequent; broadcast_rows:
-    size up to which the list of wanted documents is broadcast."""
+    shingles; hot_least: documents from which one can count as frequent; broadcast_bytes:
+    size up to which the list of wanted documents is broadcast; region, region_words: classes and
+    shingles that a task joins at once; fan: pivots of a larger region; hood_rows: prefix
+    shingles of a bucket held at once; name_bits: of a class's first name."""
 
     words: int = 5
     similarity: int = 80
     hot_list: int = 1_000_000
     hot_least: int = 50
-    broadcast_rows: int = 500_000
+    broadcast_bytes: int = 16 << 20
+    region: int = 1024
+    region_words: int = 2_000_000
+    fan: int = 16
+    hood_rows: int = 1_500_000
+    name_bits: int = 64
 
     def rho(self, n: np.ndarray) -> np.ndarray:
         return n * ((100 - self.similarity) / (100 + self.similarity)) + 1e-9
@@ -89,10 +105,28 @@ def _bounds(doc: np.ndarray, n_docs: int) -> np.ndarray:
     return np.searchsorted(doc, np.arange(n_docs + 1))
 
 
-def class_of(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each set; equal sets have equal names."""
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tb.mix64(grams))])
-    return tb.mix64(total[bounds[1:]] - total[bounds[:-1]] + _U(0x51ED270B) * np.diff(bounds).astype(np.uint64))
+def class_of(grams: np.ndarray, bounds: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit names of each set (the first cut to `bits`); equal sets have equal names."""
+    out = []
+    for seed in (0x51ED270B, 0x2545F491):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tb.keyed64(grams, seed))])
+        out.append(tb.mix64(total[bounds[1:]] - total[bounds[:-1]] + _U(seed) * np.diff(bounds).astype(np.uint64)))
+    return out[0] >> _U(64 - bits), out[1]
+
+
+@dataclass(frozen=True)
+class Names:
+    """First names that several sets share, and the second name of those that keep it."""
+
+    shared: np.ndarray
+    keeper: np.ndarray
+
+    def of(self, grams: np.ndarray, bounds: np.ndarray, rules: JaccardRules) -> np.ndarray:
+        first, second = class_of(grams, bounds, rules.name_bits)
+        if not len(self.shared):
+            return first
+        at = np.minimum(np.searchsorted(self.shared, first), len(self.shared) - 1)
+        return np.where((self.shared[at] == first) & (self.keeper[at] != second), second, first)
 
 
 def sketches(grams: np.ndarray, doc: np.ndarray, n: np.ndarray) -> list[bytes]:
@@ -110,27 +144,28 @@ def sketches(grams: np.ndarray, doc: np.ndarray, n: np.ndarray) -> list[bytes]:
 
 # ---- passes over the texts -----------------------------------------------------------
 
-CLASSES = "kind int, doc_id bigint, class bigint, n bigint, sketch binary"
+CLASSES = "kind int, doc_id bigint, digest string, class bigint, second bigint, n bigint, sketch binary"
 
 
 def _classes(docs: DataFrame, rules: JaccardRules) -> DataFrame:
     """Kind 0: a row for each document; kind 1: documents (n) of shingles found often in a
     block (class), and the number of all shingles (class 0)."""
+    names = [x.split()[0] for x in CLASSES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, table = tb.Hasher(lower=True), tb.whitespace_words()
         for batch in batches:
-            for block in tb.blocks(batch.column(1), table):
+            for block in tb.blocks(batch.column(2), table):
                 words = hasher.spans(block.data, block.starts, block.ends)
                 grams, doc = shingle_sets(block, words, rules.words)
                 bounds = _bounds(doc, block.n_docs)
-                cls, n = class_of(grams, bounds).view(np.int64), np.diff(bounds)
+                cls, second = (x.view(np.int64) for x in class_of(grams, bounds, rules.name_bits))
+                n = np.diff(bounds)
                 packed = sketches(grams, doc, n)
-                names = ["kind", "doc_id", "class", "n", "sketch"]
-                ids = batch.column(0).slice(block.row0, block.n_docs)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(block.n_docs, np.int32)), ids, pa.array(cls), pa.array(n), pa.array(packed, pa.binary())], names)
+                own = [batch.column(i).slice(block.row0, block.n_docs) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(block.n_docs, np.int32)), *own, pa.array(cls), pa.array(second), pa.array(n), pa.array(packed, pa.binary())], names)
                 # copies within the block count once
-                _, one = np.unique(cls, return_index=True)
+                _, one = np.unique(second, return_index=True)
                 once = np.zeros(block.n_docs, bool)
                 once[one] = True
                 kinds = np.sort(grams[once[doc]])
@@ -139,10 +174,28 @@ def _classes(docs: DataFrame, rules: JaccardRules) -> DataFrame:
                 often = count > 2
                 k = int(often.sum()) + 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(np.append(kinds[cut[often]].view(np.int64), 0)), pa.array(np.append(count[often], len(kinds))), pa.nulls(k, pa.binary())], names
-                )
+                    [pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.string()), pa.array(np.append(kinds[cut[often]].view(np.int64), 0)), pa.nulls(k, pa.int64()),
+                     pa.array(np.append(count[often], len(kinds))), pa.nulls(k, pa.binary())], names,
+                )
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("digest"), "text").mapInArrow(run, CLASSES)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, CLASSES)
+
+def _names(rows: DataFrame) -> Names:
+    """The shared first names: about (documents)^2 / 2^65 of them, so the list is small at any size."""
+    found = rows.groupBy("class").agg(F.min("second").alias("keeper"), F.max("second").alias("other")).filter("keeper <> other").select("class", "keeper").toArrow()
+    shared, keeper = (found.column(i).to_numpy().astype(np.int64).view(np.uint64) for i in (0, 1))
+    order = np.argsort(shared)
+    return Names(shared[order], keeper[order])
+
+
+def _named(rows: DataFrame, names: Names) -> DataFrame:
+    """rows with class as told apart by names."""
+    if not len(names.shared):
+        return rows
+    known = rows.sparkSession.createDataFrame(list(zip(names.shared.view(np.int64).tolist(), names.keeper.view(np.int64).tolist(), strict=True)), "class long, keeper long")
+    out = rows.join(F.broadcast(known), "class", "left")
+    return out.withColumn("class", F.when(F.col("keeper") != F.col("second"), F.col("second")).otherwise(F.col("class"))).drop("keeper")
 
 
 def _frequent(counts: DataFrame, rules: JaccardRules) -> np.ndarray:
@@ -153,7 +206,7 @@ def _frequent(counts: DataFrame, rules: JaccardRules) -> np.ndarray:
     return np.sort(found.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
-def _keys(docs: DataFrame, hot: np.ndarray, n_buckets: int, rules: JaccardRules) -> DataFrame:
+def _keys(docs: DataFrame, hot: np.ndarray, names: Names, n_buckets: int, rules: JaccardRules) -> DataFrame:
     """Each class under the shingles of its prefix, packed by bucket of the shingle."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
@@ -164,7 +217,7 @@ def _keys(docs: DataFrame, hot: np.ndarray, n_buckets: int, rules: JaccardRules)
             for block in tb.blocks(batch.column(0), table):
                 grams, doc = shingle_sets(block, hasher.spans(block.data, block.starts, block.ends), rules.words)
                 bounds = _bounds(doc, block.n_docs)
-                cls, n = class_of(grams, bounds), np.diff(bounds)
+                cls, n = names.of(grams, bounds, rules), np.diff(bounds)
                 late = np.zeros(len(grams), bool)
                 if len(hot) and len(grams):
                     late = hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams
@@ -185,7 +238,7 @@ def _keys(docs: DataFrame, hot: np.ndarray, n_buckets: int, rules: JaccardRules)
     return docs.select("text").mapInArrow(run, blobs.PACKED)
 
 
-def _neighbourhoods(keys: DataFrame, partitions: int, rules: JaccardRules, limit: int = 1_500_000) -> DataFrame:
+def _neighbourhoods(keys: DataFrame, partitions: int, rules: JaccardRules) -> DataFrame:
     """(centre, class): the classes of each shingle under one of them, cut by set size."""
 
     def members(parts: list[list[np.ndarray]], pivots: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
@@ -225,7 +278,7 @@ def _neighbourhoods(keys: DataFrame, partitions: int, rules: JaccardRules, limit
             now = bucket
             parts.append(blobs.unpack(payload))
             size += len(parts[-1][0])
-            if size > limit:  # an outsized bucket streams: each shingle keeps its centre only
+            if size > rules.hood_rows:  # an outsized bucket streams: each shingle keeps its centre only
                 centre, cls, seen = members(parts, pivots if pivots is not None else (np.zeros(0, np.uint64), np.zeros(0, np.uint64)))
                 yield given(centre, cls)
                 if pivots is not None:
@@ -242,114 +295,211 @@ def _neighbourhoods(keys: DataFrame, partitions: int, rules: JaccardRules, limit
 # ---- regions -------------------------------------------------------------------------
 
 
-class Sketches:
-    """Hamming distances of sketches of several lengths; a longer one is folded to the shorter."""
-
-    def __init__(self, found: list[bytes]):
-        self.level = np.array([len(x) for x in found]).astype(np.int64)
-        self.at, self.own, self.folded, self.place = {}, {}, {}, np.zeros(len(found), np.int64)
-        for size in np.unique(self.level):
-            at = np.flatnonzero(self.level == size)
-            rows = np.frombuffer(b"".join(found[i] for i in at), np.uint64).reshape(len(at), -1)
-            half = rows.shape[1] // 2
-            self.at[int(size)], self.own[int(size)], self.folded[int(size)] = at, rows, rows[:, :half] ^ rows[:, half:]
-            self.place[at] = np.arange(len(at))
-
-    def distances(self, q: int) -> np.ndarray:
-        """From q; the largest number for those whose length is not a factor of two away at most."""
-        out = np.full(len(self.level), np.iinfo(np.int64).max // 2)
-        size = int(self.level[q])
-        row, folded = self.own[size][self.place[q]], self.folded[size][self.place[q]]
-        for other, mine, rows in ((size, row, self.own), (2 * size, row, self.folded), (size // 2, folded, self.own)):
-            if other in rows:
-                out[self.at[other]] = np.bitwise_count(rows[other] ^ mine).sum(1)
-        return out
-
-
-def voronoi_regions(n: np.ndarray, found: list[bytes], rules: JaccardRules) -> Iterator[tuple[int, np.ndarray]]:
-    """(pivot, the other classes of its region) of classes with sizes n and sketches."""
-    rho, open_, sketch = rules.rho(n), np.ones(len(n), bool), Sketches(found)
+def folded(found: list[bytes], size: int | None = None) -> np.ndarray:
+    """Sketches as rows of words, longer ones folded by exclusive or to `size` bytes (the least length)."""
+    level = np.array([len(x) for x in found])
+    size = int(level.min()) if size is None else size
+    out = np.zeros((len(found), size // 8), np.uint64)
+    for long in np.unique(level):
+        at = np.flatnonzero(level == long)
+        rows = np.frombuffer(b"".join(found[i] for i in at), np.uint64).reshape(len(at), -1, size // 8)
+        out[at] = np.bitwise_xor.reduce(rows, axis=1)
+    return out
+
+
+def hamming(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(rows ^ q).sum(1).astype(np.int64)
+
+
+def voronoi_regions(n: np.ndarray, rows: np.ndarray, rules: JaccardRules) -> Iterator[tuple[int, np.ndarray]]:
+    """(pivot, the other classes of its region) of classes with sizes n and sketches of one length.
+
+    Pivots are taken until each class is within linking reach of one; cells are of the nearest pivot."""
+    rho, open_ = rules.rho(n), np.ones(len(n), bool)
+    pivots, near, cell = [], np.full(len(n), np.iinfo(np.int64).max), np.zeros(len(n), np.int64)
+    held = []
     for q in range(len(n)):
         if not open_[q]:
             continue
-        h = sketch.distances(q)
-        fits = 100 * np.minimum(n, n[q]) >= rules.similarity * np.maximum(n, n[q])
-        cell = open_ & fits & (h <= rho + rho[q])
-        cell[q] = True
-        open_ &= ~cell
-        reach = (h[cell] + rho[cell]).max()
-        region = h <= reach + rho
-        low, high = n[cell].min(), n[cell].max()
-        region &= (100 * n >= rules.similarity * low) & (rules.similarity * n <= 100 * high)
+        h = hamming(rows, rows[q])
+        closer = h < near
+        near[closer], cell[closer] = h[closer], len(pivots)
+        open_ &= (h > rho + rho[q]) | (100 * np.minimum(n, n[q]) < rules.similarity * np.maximum(n, n[q]))
+        open_[q] = False
+        pivots.append(q)
+        held.append(h.astype(np.int32))
+    for k, q in enumerate(pivots):
+        own = cell == k
+        if not own.any():
+            continue
+        h = held[k]
+        region = h <= (h[own] + rho[own]).max() + rho
+        region &= (100 * n >= rules.similarity * n[own].min()) & (rules.similarity * n <= 100 * n[own].max())
         region[q] = False
         if region.any():
             yield q, np.flatnonzero(region)
 
 
-def _regions(hoods: DataFrame, classes: DataFrame, partitions: int, rules: JaccardRules) -> DataFrame:
-    """(pivot, class): regions of all neighbourhoods, each pivot in its own."""
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each value of the first column, which they are sorted by."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        for a, b in zip(cuts, np.append(cuts[1:], len(key)), strict=True):
+            if held and held[0].column(0)[0].as_py() != key[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+REGION = "region bigint, class bigint, n bigint, bits int, sketch binary"
+
+
+def _first_regions(hoods: DataFrame, classes: DataFrame, rules: JaccardRules) -> DataFrame:
+    """(REGION): the classes of a neighbourhood by length of sketch, with those of the next length that can link to them."""
     sketched = classes.groupBy("class").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     members = hoods.unionByName(hoods.select("centre", F.col("centre").alias("class")).distinct())
-    rows = members.join(sketched, "class").select("centre", "class", "n", "sketch").repartition(partitions, "centre").sortWithinPartitions("centre", "class")
+    bits = F.octet_length("sketch") * 8
+    rows = members.join(sketched, "class").withColumn("own", bits)
+    guest = (F.col("own") > LEAST) & (rules.similarity * F.col("n") <= 50 * F.col("own"))
+    rows = rows.withColumn("bits", F.explode(F.when(guest, F.array("own", (F.col("own") / 2).cast("int"))).otherwise(F.array("own"))))
+    return rows.select(F.xxhash64("centre", "bits").alias("region"), "class", "n", "bits", "sketch")
+
+
+def _spread(table: pa.Table, fan: int) -> tuple[list[bytes], bytes]:
+    """(pivots far apart, the bits that most of the sample have)."""
+    rows = folded(table.column("sketch").to_pylist(), table.column("bits")[0].as_py() // 8)
+    bit = np.unpackbits(rows.view(np.uint8), axis=1)
+    heart = np.packbits(2 * bit.sum(0) > len(rows)).tobytes()
+    chosen = [int(np.argmin(hamming(rows, np.frombuffer(heart, np.uint64))))]
+    near = hamming(rows, rows[chosen[0]])
+    while len(chosen) < min(fan, len(rows)) and near.max() > 0:
+        chosen.append(int(np.argmax(near)))
+        near = np.minimum(near, hamming(rows, rows[chosen[-1]]))
+    return [rows[i].tobytes() for i in chosen], heart
+
+
+def _small(df: DataFrame, limit: int = 2_000) -> DataFrame:
+    """df, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def _split(large: DataFrame, level: int, rules: JaccardRules) -> tuple[DataFrame, DataFrame]:
+    """(regions of the cells, crowds): large has REGION, size and weight."""
+    part = F.pmod(F.xxhash64("class", F.lit(level)), F.lit(1 << 30))
+
+    def choose(table: pa.Table) -> pa.Table:
+        pivots, heart = _spread(table, rules.fan)
+        return pa.table({"region": pa.array([table.column("region")[0].as_py()], pa.int64()), "pivots": pa.array([pivots], pa.list_(pa.binary())), "heart": pa.array([heart], pa.binary())})
+
+    sample = large.filter(part * F.col("size") < 64 << 30).select(*(x.split()[0] for x in REGION.split(", ")))
+    pivots = stored(sample.groupBy("region").applyInArrow(choose, "region bigint, pivots array<binary>, heart binary"), "pivots")
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["region", "class", "n", "bits", "sketch", "size", "weight", "cell", "h", "far"]
+        for batch in batches:
+            region = batch.column(0).to_numpy()
+            cell, far, h = np.zeros(len(region), np.int32), np.zeros(len(region), np.int64), [None] * len(region)
+            for key in np.unique(region):
+                at = np.flatnonzero(region == key)
+                some = batch.take(pa.array(at))
+                found, heart = batch.column(7)[int(at[0])].as_py(), batch.column(8)[int(at[0])].as_py()
+                rows = folded(some.column(4).to_pylist(), some.column(3)[0].as_py() // 8)
+                to = np.stack([hamming(rows, np.frombuffer(q, np.uint64)) for q in found], 1)
+                cell[at], far[at] = to.argmin(1), hamming(rows, np.frombuffer(heart, np.uint64))
+                for i, x in zip(at, to.astype(np.int32), strict=True):
+                    h[i] = x
+            yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(cell), pa.array(h, pa.list_(pa.int32())), pa.array(far)], names)
+
+    assigned = large.select("region", "class", "n", "bits", "sketch", "size", "weight").join(_small(pivots), "region").mapInArrow(assign, REGION + ", size bigint, weight bigint, cell int, h array<int>, far bigint")
+    assigned = stored(assigned, "assigned")
+    rho = F.col("n") * ((100 - rules.similarity) / (100 + rules.similarity)) + 1e-9
+    reach = assigned.groupBy("region", "cell").agg(F.max(F.get("h", F.col("cell")) + rho).alias("reach"), F.min("n").alias("low"), F.max("n").alias("high"))
+    reach = stored(reach.groupBy("region").agg(F.collect_list(F.struct("cell", "reach", "low", "high")).alias("cells")), "reach")  # fan cells at most
+    within = F.filter("cells", lambda c: (F.get("h", c["cell"]) <= c["reach"] + rho + 1e-6) & (100 * F.col("n") >= rules.similarity * c["low"]) & (rules.similarity * F.col("n") <= 100 * c["high"]))
+    children = assigned.join(_small(reach), "region").withColumn("c", F.explode(within)).select(
+        F.xxhash64("region", F.col("c.cell"), F.lit(level)).alias("region"), "class", "n", "bits", "sketch", F.col("region").alias("above"), "size"
+    )
+    children = stored(children, "cells")
+    grown = children.groupBy("above", "region", "size").agg(F.count("*").alias("k")).groupBy("above", "size").agg(F.max("k").alias("most"), F.sum("k").alias("all"))
+    crowded = stored(grown.filter("4 * most > 3 * size OR all > 3 * size").select("above"), "crowded")
+    kept = children.join(_small(crowded), "above", "left_anti").drop("above", "size")
+    crowds = assigned.join(_small(crowded.withColumnRenamed("above", "region")), "region", "left_semi").select("region", "class", "far", "size", "weight")
+    return kept, crowds
+
+
+#: What a task does with a row of a key: the pivot and the others of a leaf; the pivots and the members
+#: of a crowd's chunk; the queries and the others of a block against a chunk.
+LEAF, LEAF_OTHER, PIVOT, MEMBER, QUERY, OTHER = range(6)
+
+
+def _leaves(rows: DataFrame, partitions: int, rules: JaccardRules) -> DataFrame:
+    """(key, class, role): regions that fit a task, cut down to single pivots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            t = pa.Table.from_batches(parts)
+        for t in _by_key(batches):
             cls, n = t.column(1).to_numpy(), t.column(2).to_numpy()
-            sketch = t.column(3).to_pylist()
-            pivot, member = [], []
-            for q, others in voronoi_regions(n, sketch, rules):
-                pivot.append(np.full(len(others) + 1, cls[q]))
-                member.append(np.append(cls[others], cls[q]))
-            empty = [np.zeros(0, np.int64)]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(pivot or empty)), pa.array(np.concatenate(member or empty))], ["pivot", "class"])
-
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            centre = batch.column(0).to_numpy()
-            cuts = np.flatnonzero(np.concatenate([[True], centre[1:] != centre[:-1]]))
-            for a, b in zip(cuts, np.append(cuts[1:], len(centre)), strict=True):
-                if held and held[0].column(0)[0].as_py() != centre[a]:
-                    yield close(held)
-                    held = []
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield close(held)
+            key, member, role = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+            for q, others in voronoi_regions(n, folded(t.column(4).to_pylist()), rules):
+                key.append(np.full(len(others) + 1, cls[q]))
+                member.append(np.append(cls[q], cls[others]))
+                role.append(np.append(LEAF, np.full(len(others), LEAF_OTHER)).astype(np.int32))
+            if len(key) > 1:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (key, member, role)], ["key", "class", "role"])
+
+    dealt = rows.select("region", "class", "n", "bits", "sketch").distinct().repartition(partitions, "region").sortWithinPartitions("region", "class")
+    return dealt.mapInArrow(run, "key bigint, class bigint, role int").distinct()
 
-    return rows.mapInArrow(run, "pivot bigint, class bigint").distinct()
 
+def _chunks(rules: JaccardRules, size: str, weight: str) -> F.Column:
+    return F.greatest(F.ceil(F.col(size) / rules.region), F.ceil(F.col(weight) / rules.region_words)).cast("long")
 
-def join_region(sets: list[np.ndarray], rules: JaccardRules, every: bool = False) -> list[tuple[int, int]]:
+
+def _crowds(crowds: DataFrame, rules: JaccardRules) -> DataFrame:
+    """(key, class, role, region, chunk, chunks): each chunk of a crowd with the pivots nearest to its centre."""
+    chunks = _chunks(rules, "size", "weight")
+    members = crowds.select("region", "class", "far", chunks.alias("chunks")).withColumn("chunk", F.pmod(F.xxhash64("class", F.lit(7)), F.col("chunks")))
+    nearest = members.groupBy("region", "chunks", F.pmod(F.xxhash64("class"), F.lit(rules.fan)).alias("salt")).agg(F.min(F.struct("far", "class")).alias("p"))
+    pivots = nearest.select("region", F.col("p.class").alias("class"), "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(PIVOT).alias("role"))
+    both = members.select("region", "class", "chunks", "chunk", F.lit(MEMBER).alias("role")).unionByName(pivots)
+    return both.select(F.xxhash64("region", "chunk", F.lit("crowd")).alias("key"), "class", "role", "region", "chunk", "chunks")
+
+
+def _shared(flat: np.ndarray, heads: np.ndarray, n: np.ndarray, q: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many values each of the sets `at` has in common with the sorted set q."""
+    if not len(at):
+        return np.zeros(0, np.int64)
+    values = flat[blobs.gather(heads[at], n[at])] if len(at) < len(n) else flat
+    bounds = np.cumsum(n[at]) - n[at]
+    near = np.minimum(np.searchsorted(q, values), len(q) - 1)
+    return np.add.reduceat((q[near] == values).astype(np.int64), bounds)
+
+
+def join_region(sets: list[np.ndarray], rules: JaccardRules, every: bool = False, queries: int | None = None) -> list[tuple[int, int]]:
     """Links among sets (sorted arrays; the first is the pivot) that connect all that are connected,
-    or every link."""
+    or every link.  With queries, only links of the first so many count."""
     n = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
     heads = np.cumsum(n) - n
-
-    def shared(q: int, at: np.ndarray) -> np.ndarray:
-        if len(at) < len(sets):
-            values = flat[blobs.gather(heads[at], n[at])]
-            bounds = np.cumsum(n[at]) - n[at]
-        else:
-            values, bounds = flat, heads
-        near = np.minimum(np.searchsorted(sets[q], values), n[q] - 1)
-        return np.add.reduceat((sets[q][near] == values).astype(np.int64), bounds)
-
     everyone = np.arange(len(sets))
-    both = shared(0, everyone)
+    both = _shared(flat, heads, n, sets[0], everyone)
     union = n + n[0] - both
     linked = 100 * both >= rules.similarity * union
     far = 1 - both / union
     links = [(0, int(x)) for x in np.flatnonzero(linked) if x]
     part = np.where(linked, 0, everyone)  # the component of each so far
     reach = 1 - rules.similarity / 100 + 1e-9
-    for q in everyone[1:] if every else np.flatnonzero(~linked):
+    asking = everyone[1:queries]
+    for q in asking if every else asking[~linked[asking]] if queries is None else asking:
         at = np.flatnonzero((everyone > q if every else part != part[q]) & (np.abs(far - far[q]) <= reach) & (100 * np.minimum(n, n[q]) >= rules.similarity * np.maximum(n, n[q])))
         if not len(at):
             continue
-        b = shared(q, at)
+        b = _shared(flat, heads, n, sets[q], at)
         hits = at[100 * b >= rules.similarity * (n[at] + n[q] - b)]
         if every:
             links += [(int(q), int(x)) for x in hits]
@@ -360,13 +510,31 @@ def join_region(sets: list[np.ndarray], rules: JaccardRules, every: bool = False
     return links
 
 
-def _links(docs: DataFrame, classes: DataFrame, regions: DataFrame, partitions: int, rules: JaccardRules, every: bool = False) -> DataFrame:
-    """(a, b): links between classes, from the sets of the regions' classes; the spanning ones or every one."""
+def join_chunk(sets: list[np.ndarray], pivots: int, rules: JaccardRules) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(links that connect sets by the first `pivots`, the sets that these do not connect with the first)."""
+    n = np.array([len(s) for s in sets])
+    flat = np.concatenate(sets)
+    heads = np.cumsum(n) - n
+    part, links = np.arange(len(sets)), []
+    for q in range(pivots):
+        at = np.flatnonzero((part != part[q]) & (100 * np.minimum(n, n[q]) >= rules.similarity * np.maximum(n, n[q])))
+        b = _shared(flat, heads, n, sets[q], at)
+        for x in at[100 * b >= rules.similarity * (n[at] + n[q] - b)]:
+            if part[x] != part[q]:
+                links.append((q, int(x)))
+                part[part == part[x]] = part[q]
+    return links, np.flatnonzero(part != part[0])
+
+
+def _joined(docs: DataFrame, classes: DataFrame, dealt: DataFrame, names: Names, partitions: int, rules: JaccardRules, every: bool) -> DataFrame:
+    """(a, b): links between classes that meet under a key of dealt(key, class, role), from their sets; with
+    b null, a class (a) of a crowd's chunk (key) that is still to be compared."""
     shown = classes.groupBy("class").agg(F.min("doc_id").alias("want_"))
-    wanted = stored(regions.join(shown, "class").groupBy("want_", "class").agg(F.collect_list("pivot").alias("pivots")), "wanted")
-    if wanted.count() <= rules.broadcast_rows:
+    wanted = stored(dealt.join(shown, "class").groupBy("want_", "class").agg(F.collect_list(F.struct("key", "role")).alias("keys")), "wanted")
+    size = wanted.agg(F.sum(24 + 12 * F.size("keys"))).first()[0] or 0
+    if size <= rules.broadcast_bytes:
         wanted = F.broadcast(wanted)
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("want_"), "text").join(wanted, "want_").select("text", "class", "pivots")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("want_"), "text").join(wanted, "want_").select("text", "class", "keys")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, table = tb.Hasher(lower=True), tb.whitespace_words()
@@ -374,50 +542,87 @@ def _links(docs: DataFrame, classes: DataFrame, regions: DataFrame, partitions:
             for block in tb.blocks(batch.column(0), table, tb.BLOCK_BYTES // 2):
                 grams, doc = shingle_sets(block, hasher.spans(block.data, block.starts, block.ends), rules.words)
                 bounds = _bounds(doc, block.n_docs)
-                cls = class_of(grams, bounds).view(np.int64)
+                cls = names.of(grams, bounds, rules).view(np.int64)
                 rows: list[tuple] = []
                 size = 0
                 for d in range(block.n_docs):
                     if cls[d] != batch.column(1)[block.row0 + d].as_py():
                         continue  # a repeated doc_id with another text
                     content = grams[bounds[d] : bounds[d + 1]].tobytes()
-                    for pivot in batch.column(2)[block.row0 + d].as_py():
-                        rows.append((pivot, int(cls[d]), int(pivot != cls[d]), content))
+                    for x in batch.column(2)[block.row0 + d].as_py():
+                        rows.append((x["key"], int(cls[d]), x["role"], content))
                         size += len(content)
-                    if size > 4 << 20:
-                        yield _sets(rows)
-                        rows, size = [], 0
+                        if size > 4 << 20:
+                            yield _sets(rows)
+                            rows, size = [], 0
                 if rows:
                     yield _sets(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(rows: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-            cls = [c for c, _ in rows]
-            found = join_region([s for _, s in rows], rules, every) if len(rows) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([cls[i] for i, _ in found], pa.int64()), pa.array([cls[j] for _, j in found], pa.int64())], ["a", "b"])
-
-        now, held, seen = None, [], set()
-        for batch in batches:
-            for i in range(batch.num_rows):
-                pivot, cls = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                if pivot != now:
-                    if held:
-                        yield close(held)
-                    now, held, seen = pivot, [], set()
-                if cls not in seen:
-                    seen.add(cls)
-                    held.append((cls, np.frombuffer(batch.column(3)[i].as_py(), np.uint64)))
-        if held:
-            yield close(held)
-
-    schema = "pivot bigint, class bigint, other int, content binary"
-    dealt = texts.mapInArrow(send, schema).repartition(partitions, "pivot").sortWithinPartitions("pivot", "other", "class")
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+        for t in _by_key(batches):
+            cls, first = np.unique(t.column(1).to_numpy(), return_index=True)  # rows are in order of role
+            order = np.argsort(first)
+            cls, first = cls[order], first[order]
+            if len(cls) < 2:
+                continue
+            role = t.column(2).to_numpy()[first]
+            content = t.column(3).take(pa.array(first)).to_pylist()
+            sets = [np.frombuffer(x, np.uint64) for x in content]
+            rest = np.zeros(0, np.int64)
+            if role[0] == PIVOT:
+                found, rest = join_chunk(sets, int((role == PIVOT).sum()), rules)
+            else:
+                found = join_region(sets, rules, every, int((role == QUERY).sum()) if role[0] == QUERY else None)
+            a = [cls[i] for i, _ in found] + cls[rest].tolist()
+            b = [cls[j] for _, j in found] + [None] * len(rest)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([t.column(0)[0].as_py()] * len(a), pa.int64())], ["a", "b", "key"])
+
+    schema = "key bigint, class bigint, role int, content binary"
+    rows = texts.mapInArrow(send, schema).repartition(partitions, "key").sortWithinPartitions("key", "role", "class")
+    return rows.mapInArrow(run, "a bigint, b bigint, key bigint").distinct()
+
+
+def _links(docs: DataFrame, classes: DataFrame, hoods: DataFrame, names: Names, partitions: int, rules: JaccardRules, every: bool = False) -> DataFrame:
+    """(a, b): links between classes of the neighbourhoods; the spanning ones or every one."""
+    rows = stored(_first_regions(hoods, classes, rules), "regions")
+    keys, crowds, level = None, None, 0
+    while True:
+        sizes = rows.groupBy("region").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
+        sizes = stored(sizes.filter((F.col("size") > rules.region) | ((F.col("weight") > rules.region_words) & (F.col("size") > 2))), "sizes")
+        any_large = bool(sizes.head(1))
+        fit = rows.join(_small(sizes), "region", "left_anti") if any_large else rows
+        leaves = _leaves(fit, partitions, rules)
+        keys = leaves if keys is None else keys.unionByName(leaves)
+        if not any_large:
+            break
+        rows, close = _split(rows.join(_small(sizes), "region"), level, rules)
+        crowds = close if crowds is None else crowds.unionByName(close)
+        level += 1
+    keys = keys.distinct()
+    if crowds is None or not crowds.head(1):
+        return _joined(docs, classes, stored(keys, "leaves"), names, partitions, rules, every).select("a", "b")
+    dealt = stored(_crowds(crowds, rules), "crowds")
+    if every:  # no link may be left out: all of a crowd is held against all of it
+        links = stored(_joined(docs, classes, stored(keys, "leaves"), names, partitions, rules, every), "links")
+        asking = dealt.filter(F.col("role") == MEMBER).select("region", "class", "chunks").distinct()
+    else:
+        links = stored(_joined(docs, classes, stored(keys.unionByName(dealt.select("key", "class", "role")), "leaves"), names, partitions, rules, every), "links")
+        open_ = links.filter("b IS NULL").select("key", F.col("a").alias("class"))
+        asking = stored(open_.join(dealt.select("key", "class", "region", "chunks").distinct(), ["key", "class"]).select("region", "class", "chunks").distinct(), "open")
+        if not asking.head(1):
+            return links.filter("b IS NOT NULL").select("a", "b")
+    blocks = asking.groupBy("region").agg(F.ceil(F.count("*") / rules.region).cast("long").alias("blocks"))
+    queries = asking.join(blocks, "region").withColumn("block", F.pmod(F.xxhash64("class", F.lit(11)), F.col("blocks"))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    others = dealt.filter(F.col("role") == MEMBER).join(_small(blocks), "region").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = F.xxhash64("region", "block", "chunk", F.lit("block")).alias("key")
+    against = queries.select(key, "class", F.lit(QUERY).alias("role")).unionByName(others.select(key, "class", F.lit(OTHER).alias("role")))
+    more = _joined(docs, classes, stored(against, "blocks"), names, partitions, rules, every)
+    return links.filter("b IS NOT NULL").select("a", "b").unionByName(more.select("a", "b"))
 
 
 def _sets(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["pivot", "class", "other", "content"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "class", "role", "content"])
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -447,12 +652,13 @@ def _linked(docs: DataFrame, rules: JaccardRules, every: bool = False) -> tuple[
     path = scratch(spark, "classes")
     _classes(docs, rules).write.partitionBy("kind").parquet(path)
     read = spark.read.schema(CLASSES).parquet(path)
-    all_rows = read.filter("kind = 0").select("doc_id", "class", "n", "sketch")
+    first = read.filter("kind = 0").select("doc_id", "digest", "class", "second", "n", "sketch")
+    names = _names(first)
+    all_rows = _named(first, names)
     classes = all_rows.filter("n > 0").withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
     hot = _frequent(read.filter("kind = 1").select("class", "n"), rules)
-    hoods = _neighbourhoods(_keys(docs, hot, 4 * partitions, rules), partitions, rules)
-    regions = stored(_regions(stored(hoods, "hoods"), classes, partitions, rules), "regions")
-    return all_rows, _links(docs, classes, regions, partitions, rules, every)
+    hoods = stored(_neighbourhoods(_keys(docs, hot, names, 4 * partitions, rules), partitions, rules), "hoods")
+    return all_rows, _links(docs, classes, hoods, names, partitions, rules, every)
 
 
 def similar_classes(docs: DataFrame, rules: JaccardRules = JaccardRules()) -> DataFrame:
@@ -461,11 +667,16 @@ def similar_classes(docs: DataFrame, rules: JaccardRules = JaccardRules()) -> Da
     return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
 
 
-def near_duplicates(docs: DataFrame, rules: JaccardRules = JaccardRules()) -> DataFrame:
-    """(doc_id, n_shingles, class, component_id) for each row of docs(doc_id, text)."""
+def _rooted(docs: DataFrame, rules: JaccardRules) -> DataFrame:
+    """(doc_id, digest, n, class, root) for each row of docs."""
     all_rows, links = _linked(docs, rules)
     roots = components(links)
-    named = all_rows.select("doc_id", F.col("n").alias("n_shingles"), "class").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    return all_rows.select("doc_id", "digest", "n", "class").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+
+
+def near_duplicates(docs: DataFrame, rules: JaccardRules = JaccardRules()) -> DataFrame:
+    """(doc_id, n_shingles, class, component_id) for each row of docs(doc_id, text)."""
+    named = _rooted(docs, rules).withColumnRenamed("n", "n_shingles")
     key = F.coalesce("doc_id", F.lit(NULL_ID))
     first = named.filter("n_shingles > 0").groupBy("root").agg(F.min(key).alias("first"))
     out = named.join(first, "root", "left")
@@ -474,13 +685,23 @@ def near_duplicates(docs: DataFrame, rules: JaccardRules = JaccardRules()) -> Da
 
 
 def drop_near_duplicates(docs: DataFrame, rules: JaccardRules = JaccardRules()) -> DataFrame:
-    """docs with one row of each component (that of the least doc_id), and one of each doc_id;
-    rows with empty sets or a null doc_id all stay.  All columns unchanged."""
-    found = near_duplicates(docs, rules)
-    mark = free_name(docs, "dropped_doc_id")
-    gone = found.filter("n_shingles > 0 AND doc_id IS NOT NULL AND NOT doc_id <=> component_id").select(F.col("doc_id").alias(mark)).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone[mark], "left_anti")
-    twice = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    if not twice:
-        return kept
-    return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id IS NULL"))
+    """docs with exactly one row of each component: that of the least doc_id (null counts as smallest),
+    then of the least digest of the text; of rows equal in both, the least in the other columns.
+    Rows with empty sets all stay.  All columns unchanged."""
+    found = stored(_rooted(docs, rules).filter("n > 0").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"), "digest", "root"), "roots")
+    chosen = found.groupBy("root").agg(F.min(F.struct("key", "digest")).alias("best"), F.count("*").alias("rows"))
+    marked = found.join(chosen.filter("rows > 1"), "root")
+    gone = marked.filter((F.col("key") != F.col("best.key")) | (F.col("digest") != F.col("best.digest"))).select("key", "digest").distinct()
+    id_, digest = free_name(docs, "key_"), free_name(docs, "digest_")
+    own = docs.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn(digest, F.md5("text"))
+    on = [F.col(id_) == F.col("gone_key"), F.col(digest) == F.col("gone_digest")]
+    kept = own.join(gone.select(F.col("key").alias("gone_key"), F.col("digest").alias("gone_digest")), on, "left_anti")
+    twice = stored(marked.filter((F.col("key") == F.col("best.key")) & (F.col("digest") == F.col("best.digest"))).groupBy("key", "digest").count().filter("count > 1").select(F.col("key").alias("gone_key"), F.col("digest").alias("gone_digest")), "twice")
+    if not twice.head(1):
+        return kept.select(docs.columns)
+    once = kept.join(twice, on, "left_anti").select(docs.columns)
+    again = kept.join(twice, on, "left_semi")
+    if any(f.dataType.typeName() in ("map", "variant") for f in docs.schema):
+        return once.unionByName(again.dropDuplicates([id_, digest]).select(docs.columns))
+    least = again.groupBy(id_, digest).agg(F.min(F.struct(*docs.columns)).alias("row_"))
+    return once.unionByName(least.select("row_.*"))

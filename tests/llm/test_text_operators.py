@@ -160,15 +160,28 @@ def test_all_links_between_classes(spark):
     assert set(got) == wanted
 
 
-def test_jaccard_by_shuffle_and_empty(docs, texts, nothing):
-    rules = jaccard.JaccardRules(broadcast_rows=0)
+def test_jaccard_by_shuffle_and_empty(spark, docs, texts, nothing):
+    rules = jaccard.JaccardRules(broadcast_bytes=0, hood_rows=50)
     got = jaccard.near_duplicates(docs, rules)
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == plain_components(texts, 5, 80)
     assert jaccard.near_duplicates(nothing).count() == 0
     kept = jaccard.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
-    wanted = collections.Counter(i for i, n, c in plain_components(texts, 5, 80) if i is None or n == 0 or i == c)
-    assert collections.Counter(r.doc_id for r in kept.collect()) == wanted
+    found = collections.Counter(r.doc_id for r in kept.collect())
+    n_empty = sum(n for (_, size, _), n in plain_components(texts, 5, 80).items() if not size)
+    ids = {c for _, n, c in plain_components(texts, 5, 80) if n}
+    assert found == collections.Counter(ids) + collections.Counter(i for i, t in texts if not tokens(t))
+    assert sum(found.values()) == len(ids) + n_empty
+
+
+def test_duplicates_are_dropped_by_row(spark):
+    """Rows that share an id (or have none) stay unless their own text has a duplicate that is kept."""
+    rng = random.Random(4)
+    a, b, c, d = (" ".join(f"w{rng.randrange(9000)}" for _ in range(60)) for _ in range(4))
+    rows = [(3, a, "x"), (5, a, "y"), (5, b, "z"), (5, b, "q"), (None, c, "n"), (7, c, "m"), (None, d, "k"), (8, "", "e"), (8, None, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest_ string")
+    kept = collections.Counter(tuple(r) for r in jaccard.drop_near_duplicates(docs).collect())
+    assert kept == collections.Counter([(3, a, "x"), (5, b, "q"), (None, c, "n"), (None, d, "k"), (8, "", "e"), (8, None, "e")])
 
 
 def test_regions_lose_no_link():
@@ -186,7 +199,7 @@ def test_regions_lose_no_link():
             sets.append(np.array(sorted(own), np.uint64))
     n = np.array([len(s) for s in sets])
     flat, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
-    regions = [{q, *others.tolist()} for q, others in jaccard.voronoi_regions(n, jaccard.sketches(flat, doc, n), rules)]
+    regions = [{q, *others.tolist()} for q, others in jaccard.voronoi_regions(n, jaccard.folded(jaccard.sketches(flat, doc, n)), rules)]
     for i in range(len(sets)):
         for j in range(i):
             both = len(np.intersect1d(sets[i], sets[j]))
@@ -198,6 +211,43 @@ def test_regions_lose_no_link():
         assert 100 * both >= 80 * (n[a] + n[b] - both)
 
 
+def near_copies(seed=11):
+    """Groups around one passage each: near copies of a hidden original, chains of small changes, sizes around powers of two."""
+    rng, rows = random.Random(seed), []
+    for g, size in enumerate((250, 256, 262, 500, 60)):
+        base = [f"g{g}w{k}" for k in range(size)]
+        own = list(base)
+        for i in range(30):
+            if i % 3:
+                own = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                own[rng.randrange(len(own))] = f"e{g}x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(own[: len(own) - rng.randrange(0, 5)])))
+    return rows
+
+
+@pytest.mark.parametrize("region", [4, 12])
+def test_regions_beyond_a_task(spark, region):
+    """Small limits: regions split over levels, and crowds that no window splits are joined by chunks."""
+    rows = near_copies()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rules = jaccard.JaccardRules(words=3, similarity=90, region=region, fan=3)
+    got = jaccard.near_duplicates(docs, rules)
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == plain_components(rows, 3, 90)
+
+
+def test_every_link_of_a_crowd(spark):
+    rows = near_copies(5)[:60]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    few = jaccard.similar_classes(docs, jaccard.JaccardRules(words=3, similarity=90, region=8, fan=3))
+    assert set(map(tuple, few.collect())) == set(map(tuple, jaccard.similar_classes(docs, jaccard.JaccardRules(words=3, similarity=90)).collect()))
+
+
+def test_shared_class_names_are_told_apart(docs, texts):
+    got = jaccard.near_duplicates(docs, jaccard.JaccardRules(name_bits=4))
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == plain_components(texts, 5, 80)
+
+
 def test_components_of_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101)], "a long, b long")
     got = {r["class"]: r.root for r in jaccard.components(links).collect()}
