@@ -20,9 +20,10 @@ sketches of the sets never exceeds it, so pivots work on the small sketches:
    triangle inequality no link of a cell member leaves the cell's region.  Regions split
    again, every level a distributed pass, until they fit a task, which cuts them in the
    same way down to single pivots.
-3. Crowds.  Where classes lie so close that windows do not shrink a region, chunks of it
-   are held against the classes nearest to its centre, which link most of a group of near
-   copies; what is not connected by them is held against the whole crowd, block by block.
+3. Crowds.  Where windows do not shrink a region (its classes are all alike, or all equally
+   far), those that a sketch puts within reach of the classes nearest to the centre are held
+   against these in chunks, which connects most of a group of near copies; what is not connected
+   by them becomes pivots against the whole crowd, sketches first, block by block.
 4. Regions join exactly on the sets.  Classes linked to the pivot are connected by it;
    the others become pivots in turn, against those of other components that their
    distances to the first pivot leave possible, until none is left; a link is kept if it
@@ -62,8 +63,8 @@ NULL_ID = -(2**63)
 class JaccardRules:
     """words: of a shingle; similarity: in percent; hot_list: bound of the list of frequent
     shingles; hot_least: documents from which one can count as frequent; broadcast_bytes:
-    size up to which the list of wanted documents is broadcast; region, region_words: classes and
-    shingles that a task joins at once; fan: pivots of a larger region; hood_rows: prefix
+    size up to which the list of wanted documents is broadcast; region, region_bytes: classes and
+    bytes of sketches that a task cuts at once; fan: pivots of a larger region; hood_rows: prefix
     shingles of a bucket held at once; name_bits: of a class's first name."""
 
     words: int = 5
@@ -72,7 +73,7 @@ class JaccardRules:
     hot_least: int = 50
     broadcast_bytes: int = 16 << 20
     region: int = 1024
-    region_words: int = 2_000_000
+    region_bytes: int = 32 << 20
     fan: int = 16
     hood_rows: int = 1_500_000
     name_bits: int = 64
@@ -110,7 +111,7 @@ def class_of(grams: np.ndarray, bounds: np.ndarray, bits: int = 64) -> tuple[np.
     out = []
     for seed in (0x51ED270B, 0x2545F491):
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tb.keyed64(grams, seed))])
-        out.append(tb.mix64(total[bounds[1:]] - total[bounds[:-1]] + _U(seed) * np.diff(bounds).astype(np.uint64)))
+        out.append(tb.mix64(total[bounds[1:]] - total[bounds[:-1]] + _U(seed) * (np.diff(bounds) + 1).astype(np.uint64)))
     return out[0] >> _U(64 - bits), out[1]
 
 
@@ -311,11 +312,14 @@ def hamming(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.bitwise_count(rows ^ q).sum(1).astype(np.int64)
 
 
-def voronoi_regions(n: np.ndarray, rows: np.ndarray, rules: JaccardRules) -> Iterator[tuple[int, np.ndarray]]:
+def voronoi_regions(n: np.ndarray, rows: np.ndarray, rules: JaccardRules, asking: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """(pivot, the other classes of its region) of classes with sizes n and sketches of one length.
 
-    Pivots are taken until each class is within linking reach of one; cells are of the nearest pivot."""
-    rho, open_ = rules.rho(n), np.ones(len(n), bool)
+    Pivots are taken until each class is within linking reach of one; cells are of the nearest pivot.
+    With a mask `asking`, only its classes are pivots and in cells; regions reach over all."""
+    rho = rules.rho(n)
+    asking = np.ones(len(n), bool) if asking is None else asking
+    open_ = asking.copy()
     pivots, near, cell = [], np.full(len(n), np.iinfo(np.int64).max), np.zeros(len(n), np.int64)
     held = []
     for q in range(len(n)):
@@ -329,7 +333,7 @@ def voronoi_regions(n: np.ndarray, rows: np.ndarray, rules: JaccardRules) -> Ite
         pivots.append(q)
         held.append(h.astype(np.int32))
     for k, q in enumerate(pivots):
-        own = cell == k
+        own = (cell == k) & asking
         if not own.any():
             continue
         h = held[k]
@@ -390,7 +394,7 @@ def _small(df: DataFrame, limit: int = 2_000) -> DataFrame:
 
 
 def _split(large: DataFrame, level: int, rules: JaccardRules) -> tuple[DataFrame, DataFrame]:
-    """(regions of the cells, crowds): large has REGION, size and weight."""
+    """(regions of the cells, crowds): large has REGION and size."""
     part = F.pmod(F.xxhash64("class", F.lit(level)), F.lit(1 << 30))
 
     def choose(table: pa.Table) -> pa.Table:
@@ -401,22 +405,22 @@ def _split(large: DataFrame, level: int, rules: JaccardRules) -> tuple[DataFrame
     pivots = stored(sample.groupBy("region").applyInArrow(choose, "region bigint, pivots array<binary>, heart binary"), "pivots")
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["region", "class", "n", "bits", "sketch", "size", "weight", "cell", "h", "far"]
+        names = ["region", "class", "n", "bits", "sketch", "size", "cell", "h", "far"]
         for batch in batches:
             region = batch.column(0).to_numpy()
             cell, far, h = np.zeros(len(region), np.int32), np.zeros(len(region), np.int64), [None] * len(region)
             for key in np.unique(region):
                 at = np.flatnonzero(region == key)
                 some = batch.take(pa.array(at))
-                found, heart = batch.column(7)[int(at[0])].as_py(), batch.column(8)[int(at[0])].as_py()
+                found, heart = batch.column(6)[int(at[0])].as_py(), batch.column(7)[int(at[0])].as_py()
                 rows = folded(some.column(4).to_pylist(), some.column(3)[0].as_py() // 8)
                 to = np.stack([hamming(rows, np.frombuffer(q, np.uint64)) for q in found], 1)
                 cell[at], far[at] = to.argmin(1), hamming(rows, np.frombuffer(heart, np.uint64))
                 for i, x in zip(at, to.astype(np.int32), strict=True):
                     h[i] = x
-            yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(cell), pa.array(h, pa.list_(pa.int32())), pa.array(far)], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(cell), pa.array(h, pa.list_(pa.int32())), pa.array(far)], names)
 
-    assigned = large.select("region", "class", "n", "bits", "sketch", "size", "weight").join(_small(pivots), "region").mapInArrow(assign, REGION + ", size bigint, weight bigint, cell int, h array<int>, far bigint")
+    assigned = large.select("region", "class", "n", "bits", "sketch", "size").join(_small(pivots), "region").mapInArrow(assign, REGION + ", size bigint, cell int, h array<int>, far bigint")
     assigned = stored(assigned, "assigned")
     rho = F.col("n") * ((100 - rules.similarity) / (100 + rules.similarity)) + 1e-9
     reach = assigned.groupBy("region", "cell").agg(F.max(F.get("h", F.col("cell")) + rho).alias("reach"), F.min("n").alias("low"), F.max("n").alias("high"))
@@ -429,7 +433,7 @@ def _split(large: DataFrame, level: int, rules: JaccardRules) -> tuple[DataFrame
     grown = children.groupBy("above", "region", "size").agg(F.count("*").alias("k")).groupBy("above", "size").agg(F.max("k").alias("most"), F.sum("k").alias("all"))
     crowded = stored(grown.filter("4 * most > 3 * size OR all > 3 * size").select("above"), "crowded")
     kept = children.join(_small(crowded), "above", "left_anti").drop("above", "size")
-    crowds = assigned.join(_small(crowded.withColumnRenamed("above", "region")), "region", "left_semi").select("region", "class", "far", "size", "weight")
+    crowds = assigned.join(_small(crowded.withColumnRenamed("above", "region")), "region", "left_semi").select("region", "class", "n", "bits", "sketch", "far", "size")
     return kept, crowds
 
 
@@ -439,35 +443,58 @@ LEAF, LEAF_OTHER, PIVOT, MEMBER, QUERY, OTHER = range(6)
 
 
 def _leaves(rows: DataFrame, partitions: int, rules: JaccardRules) -> DataFrame:
-    """(key, class, role): regions that fit a task, cut down to single pivots."""
+    """(key, class, role): regions that fit a task, cut down to single pivots.  A pivot's regions go
+    together; with a column `asking` they stay apart, and only what it marks asks for links."""
+    marked = "asking" in rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _by_key(batches):
             cls, n = t.column(1).to_numpy(), t.column(2).to_numpy()
+            asking = t.column(5).to_numpy().astype(bool) if marked else None
             key, member, role = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-            for q, others in voronoi_regions(n, folded(t.column(4).to_pylist()), rules):
+            for q, others in voronoi_regions(n, folded(t.column(4).to_pylist()), rules, asking):
                 key.append(np.full(len(others) + 1, cls[q]))
                 member.append(np.append(cls[q], cls[others]))
-                role.append(np.append(LEAF, np.full(len(others), LEAF_OTHER)).astype(np.int32))
+                role.append(np.append(QUERY, np.where(asking[others], QUERY, OTHER)) if marked else np.append(LEAF, np.full(len(others), LEAF_OTHER)))
             if len(key) > 1:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (key, member, role)], ["key", "class", "role"])
-
-    dealt = rows.select("region", "class", "n", "bits", "sketch").distinct().repartition(partitions, "region").sortWithinPartitions("region", "class")
-    return dealt.mapInArrow(run, "key bigint, class bigint, role int").distinct()
+                keys = np.concatenate(key)
+                if marked:
+                    keys = tb.keyed64(keys.view(np.uint64), int(t.column(0)[0].as_py()) & (2**63 - 1)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate(member)), pa.array(np.concatenate(role).astype(np.int32))], ["key", "class", "role"])
+
+    columns = ["region", "class", "n", "bits", "sketch"]
+    if marked:
+        rows = rows.groupBy(columns).agg(F.max("asking").alias("asking"))
+    else:
+        rows = rows.select(columns).distinct()
+    return rows.repartition(partitions, "region").sortWithinPartitions("region", "class").mapInArrow(run, "key bigint, class bigint, role int").distinct()
 
 
-def _chunks(rules: JaccardRules, size: str, weight: str) -> F.Column:
-    return F.greatest(F.ceil(F.col(size) / rules.region), F.ceil(F.col(weight) / rules.region_words)).cast("long")
+def _crowds(crowds: DataFrame, rules: JaccardRules) -> DataFrame:
+    """(region, class, n, bits, sketch, chunk, chunks, key, near): members of crowds by chunk; near: 2 for the
+    classes nearest to the centre, which stand in every chunk as well, 1 for those that may link to one of them."""
+    chunks = F.ceil(F.col("size") / rules.region).cast("long")
+    members = crowds.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("class", F.lit(7)), F.col("chunks")))
+    nearest = members.groupBy("region", F.pmod(F.xxhash64("class"), F.lit(rules.fan)).alias("salt")).agg(F.min(F.struct("far", "class", "n", "sketch")).alias("p"))
+    pivots = nearest.groupBy("region").agg(F.array_sort(F.collect_list("p")).alias("pivots"))  # fan of them at most
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            region, n = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            cls, near = batch.column(1).to_numpy(), np.zeros(batch.num_rows, np.int32)
+            for key in np.unique(region):
+                at = np.flatnonzero(region == key)
+                size = batch.column(3)[int(at[0])].as_py() // 8
+                rows = folded(batch.column(4).take(pa.array(at)).to_pylist(), size)
+                for p in batch.column(7)[int(at[0])].as_py():
+                    h = hamming(rows, folded([p["sketch"]], size)[0])
+                    near[at] = np.maximum(near[at], h <= rules.rho(n[at]) + rules.rho(np.array(p["n"])))
+                    near[at[cls[at] == p["class"]]] = 2
+            yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(near)], ["region", "class", "n", "bits", "sketch", "chunks", "chunk", "near"])
 
-def _crowds(crowds: DataFrame, rules: JaccardRules) -> DataFrame:
-    """(key, class, role, region, chunk, chunks): each chunk of a crowd with the pivots nearest to its centre."""
-    chunks = _chunks(rules, "size", "weight")
-    members = crowds.select("region", "class", "far", chunks.alias("chunks")).withColumn("chunk", F.pmod(F.xxhash64("class", F.lit(7)), F.col("chunks")))
-    nearest = members.groupBy("region", "chunks", F.pmod(F.xxhash64("class"), F.lit(rules.fan)).alias("salt")).agg(F.min(F.struct("far", "class")).alias("p"))
-    pivots = nearest.select("region", F.col("p.class").alias("class"), "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(PIVOT).alias("role"))
-    both = members.select("region", "class", "chunks", "chunk", F.lit(MEMBER).alias("role")).unionByName(pivots)
-    return both.select(F.xxhash64("region", "chunk", F.lit("crowd")).alias("key"), "class", "role", "region", "chunk", "chunks")
+    rows = members.select("region", "class", "n", "bits", "sketch", "chunks", "chunk").join(_small(stored(pivots, "hearts")), "region")
+    out = rows.mapInArrow(run, REGION + ", chunks bigint, chunk bigint, near int")
+    return out.withColumn("key", F.xxhash64("region", "chunk", F.lit("crowd")))
 
 
 def _shared(flat: np.ndarray, heads: np.ndarray, n: np.ndarray, q: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -587,8 +614,8 @@ def _links(docs: DataFrame, classes: DataFrame, hoods: DataFrame, names: Names,
     rows = stored(_first_regions(hoods, classes, rules), "regions")
     keys, crowds, level = None, None, 0
     while True:
-        sizes = rows.groupBy("region").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
-        sizes = stored(sizes.filter((F.col("size") > rules.region) | ((F.col("weight") > rules.region_words) & (F.col("size") > 2))), "sizes")
+        sizes = rows.groupBy("region").agg(F.count("*").alias("size"), F.sum("bits").alias("bits_"))
+        sizes = stored(sizes.filter((F.col("size") > rules.region) | ((F.col("bits_") > 8 * rules.region_bytes) & (F.col("size") > 2))).drop("bits_"), "sizes")
         any_large = bool(sizes.head(1))
         fit = rows.join(_small(sizes), "region", "left_anti") if any_large else rows
         leaves = _leaves(fit, partitions, rules)
@@ -598,26 +625,30 @@ def _links(docs: DataFrame, classes: DataFrame, hoods: DataFrame, names: Names,
         rows, close = _split(rows.join(_small(sizes), "region"), level, rules)
         crowds = close if crowds is None else crowds.unionByName(close)
         level += 1
-    keys = keys.distinct()
+    keys = stored(keys.distinct(), "leaves")
     if crowds is None or not crowds.head(1):
-        return _joined(docs, classes, stored(keys, "leaves"), names, partitions, rules, every).select("a", "b")
-    dealt = stored(_crowds(crowds, rules), "crowds")
-    if every:  # no link may be left out: all of a crowd is held against all of it
-        links = stored(_joined(docs, classes, stored(keys, "leaves"), names, partitions, rules, every), "links")
-        asking = dealt.filter(F.col("role") == MEMBER).select("region", "class", "chunks").distinct()
-    else:
-        links = stored(_joined(docs, classes, stored(keys.unionByName(dealt.select("key", "class", "role")), "leaves"), names, partitions, rules, every), "links")
-        open_ = links.filter("b IS NULL").select("key", F.col("a").alias("class"))
-        asking = stored(open_.join(dealt.select("key", "class", "region", "chunks").distinct(), ["key", "class"]).select("region", "class", "chunks").distinct(), "open")
-        if not asking.head(1):
-            return links.filter("b IS NOT NULL").select("a", "b")
-    blocks = asking.groupBy("region").agg(F.ceil(F.count("*") / rules.region).cast("long").alias("blocks"))
-    queries = asking.join(blocks, "region").withColumn("block", F.pmod(F.xxhash64("class", F.lit(11)), F.col("blocks"))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    others = dealt.filter(F.col("role") == MEMBER).join(_small(blocks), "region").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    key = F.xxhash64("region", "block", "chunk", F.lit("block")).alias("key")
-    against = queries.select(key, "class", F.lit(QUERY).alias("role")).unionByName(others.select(key, "class", F.lit(OTHER).alias("role")))
-    more = _joined(docs, classes, stored(against, "blocks"), names, partitions, rules, every)
-    return links.filter("b IS NOT NULL").select("a", "b").unionByName(more.select("a", "b"))
+        return _joined(docs, classes, keys, names, partitions, rules, every).select("a", "b")
+    crowds = stored(_crowds(crowds, rules), "crowds")
+    out = _joined(docs, classes, keys, names, partitions, rules, every)
+    asking = crowds  # where no link may be left out, all of a crowd asks
+    if not every:
+        pivots = crowds.filter("near = 2").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        pivots = pivots.select(F.xxhash64("region", "chunk", F.lit("crowd")).alias("key"), "class", F.lit(PIVOT).alias("role"))
+        chunked = stored(crowds.filter("near = 1").select("key", "class", F.lit(MEMBER).alias("role")).unionByName(pivots), "chunks")
+        out = stored(out.unionByName(_joined(docs, classes, chunked, names, partitions, rules, every)), "links")
+        open_ = out.filter("b IS NULL").select("key", F.col("a").alias("class")).join(crowds.filter("near = 2").select("key", "class").unionByName(crowds.filter("near = 1").select("key", "class")).distinct(), ["key", "class"])
+        asking = crowds.filter("near = 0").unionByName(crowds.filter("near > 0").join(open_, ["key", "class"], "left_semi").select(crowds.columns))
+    asking = asking.select("region", "class", "chunks").distinct()
+    blocks = asking.groupBy("region", "chunks").agg(F.ceil(F.count("*") / rules.region).cast("long").alias("blocks"))
+    spread = crowds.drop("chunks").join(_small(stored(blocks, "sizes")), "region").join(asking.select("region", "class", F.lit(True).alias("asks")), ["region", "class"], "left")
+    here = F.pmod(F.xxhash64("class", F.lit(11)), F.col("blocks"))
+    # a class that asks stands in its block against every chunk, each class in its chunk against every block
+    queries = spread.filter("asks").withColumn("block", here).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("asking", F.lit(True))
+    others = spread.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asking", F.lit(False))
+    columns = [F.xxhash64("region", "block", "chunk", F.lit("block")).alias("region"), "class", "n", "bits", "sketch", "asking"]
+    against = stored(_leaves(queries.select(columns).unionByName(others.select(columns)), partitions, rules), "blocks")
+    more = _joined(docs, classes, against, names, partitions, rules, every)
+    return out.filter("b IS NOT NULL").select("a", "b").unionByName(more.select("a", "b"))
 
 
 def _sets(rows: list[tuple]) -> pa.RecordBatch:
@@ -678,7 +709,7 @@ def near_duplicates(docs: DataFrame, rules: JaccardRules = JaccardRules()) -> Da
     """(doc_id, n_shingles, class, component_id) for each row of docs(doc_id, text)."""
     named = _rooted(docs, rules).withColumnRenamed("n", "n_shingles")
     key = F.coalesce("doc_id", F.lit(NULL_ID))
-    first = named.filter("n_shingles > 0").groupBy("root").agg(F.min(key).alias("first"))
+    first = stored(named.filter("n_shingles > 0").groupBy("root").agg(F.min(key).alias("first")), "firsts")
     out = named.join(first, "root", "left")
     component = F.when(F.col("n_shingles") > 0, F.nullif(F.col("first"), F.lit(NULL_ID))).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", "class", component.alias("component_id"))
@@ -690,7 +721,7 @@ def drop_near_duplicates(docs: DataFrame, rules: JaccardRules = JaccardRules())
     Rows with empty sets all stay.  All columns unchanged."""
     found = stored(_rooted(docs, rules).filter("n > 0").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"), "digest", "root"), "roots")
     chosen = found.groupBy("root").agg(F.min(F.struct("key", "digest")).alias("best"), F.count("*").alias("rows"))
-    marked = found.join(chosen.filter("rows > 1"), "root")
+    marked = found.join(stored(chosen.filter("rows > 1"), "chosen"), "root")
     gone = marked.filter((F.col("key") != F.col("best.key")) | (F.col("digest") != F.col("best.digest"))).select("key", "digest").distinct()
     id_, digest = free_name(docs, "key_"), free_name(docs, "digest_")
     own = docs.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn(digest, F.md5("text"))
