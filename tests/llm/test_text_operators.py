@@ -350,7 +350,9 @@ def test_warc_damage_and_thresholds(spark):
 
     data = b"junk" + members[0] + broken + members[2] + members[3] + members[4][:-9]
     window = warc._Window(File(data), len(data))
-    assert [r["page_id"] for r in warc.read_range(window, 0, len(data))] == [0, 2, 3]
+    found = list(warc.read_range(window, 0, len(data)))
+    assert [r["page_id"] for r in found if r["record_type"]] == [0, 2, 3]
+    assert [r["place"] for r in found if not r["record_type"]] == [0, 4 + len(members[0]), len(data) - len(members[4]) + 9]
     assert warc.page_of(warc.record_urn(-3)) == -3
     pages = spark.createDataFrame([(1, "u", "aa"), (2, "u", "aa"), (3, "u", "b" * 50), (4, "u", "b" * 50)], "page_id long, url string, html string")
     got = {r.page_id: r.record_type for r in warc.archive_round_trip(spark, pages, min_bytes=10).collect()}
@@ -385,7 +387,7 @@ def test_warc_members_around_the_buffer(spark):
             extra += len(padded) - have
         for data, wanted in ((padded + after, [1, 2, 3]), (noise.replace(warc.MAGIC, b"---")[: warc.READ + min(shift, 0)] + b"-" * max(shift, 0) + after, [2, 3])):
             window = warc._Window(File(data), len(data))
-            assert [r["page_id"] for r in warc.read_range(window, 0, len(data))] == wanted, shift
+            assert [r["page_id"] for r in warc.read_range(window, 0, len(data)) if r["record_type"]] == wanted, shift
 
 
 def test_warc_counts_follow_the_manifest(spark):
@@ -396,6 +398,65 @@ def test_warc_counts_follow_the_manifest(spark):
         warc.check_counts(manifest.withColumn("n_records", F.col("n_records") + 1), warc._read(manifest, 100, False))
 
 
+def test_null_page_ids(spark):
+    rows = [(None, "u", "same"), (4, "u", "same"), (None, "v", "own"), (None, None, "own")]
+    got = warc.archive_round_trip(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert collections.Counter((r.page_id, r.url, r.record_type, r.refers_to) for r in got) == collections.Counter([(None, "u", "revisit", 4), (4, "u", "response", None), (None, "v", "response", None), (None, None, "response", None)])
+
+
+@pytest.mark.parametrize("split", [50, 700, 1 << 20])
+def test_foreign_archives(spark, tmp_path, split):
+    """Records of every kind, as other writers make them."""
+
+    def record(kind, block, **fields):
+        head = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:0a1b2c3d-0000-4000-8000-00000000000%d>" % len(kind), "WARC-Date: 2020-02-02T02:02:02Z", f"content-length:{len(block)}"]
+        head += [f"{k.replace('_', '-')}: {v}" for k, v in fields.items()]
+        return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    http = {"Content_Type": "application/http; msgtype=response"}
+    plain = b"HTTP/1.0 200 OK\r\nServer: x\r\n\r\n<p>no length</p>"
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n4\r\nWiki\r\n6;x=1\r\npedia \r\n0\r\n\r\n"
+    lying = b"HTTP/1.1 200 OK\r\nContent-Length: 999\r\n\r\nshort"
+    asked = b"GET / HTTP/1.1\r\nHost: h\r\n\r\n"
+    seen = b"HTTP/1.1 304 Not Modified\r\nContent-Length: 77\r\n\r\n"
+    members = [
+        record("warcinfo", b"software: other\r\n", Content_Type="application/warc-fields"),
+        record("request", asked, Content_Type="application/http; msgtype=request"),
+        record("response", plain, **http, WARC_Target_URI="http://a/b c") + record("metadata", b"k: v"),
+        record("response", chunked, **http, WARC_Payload_Digest="sha1:" + warc.digest(b"Wikipedia ")),
+        record("response", lying, **http, WARC_Payload_Digest="sha1:AAAA"),
+        record("revisit", seen, **http, WARC_Payload_Digest="sha1:BBBB", WARC_Refers_To="<urn:uuid:0a1b2c3d-0000-4000-8000-000000000001>"),
+        b"not a record",
+        record("resource", b"", Content_Type="text/plain\r\n and more"),
+        record("response", plain, **http).replace(b"content-length:%d" % len(plain), b"content-length:99999"),
+        record("conversion", b"text \x1f\x8b\x08 text"),
+    ]
+    path = tmp_path / "foreign.warc.gz"
+    path.write_bytes(b"".join(gzip.compress(m) for m in members))
+    manifest = spark.createDataFrame([(f"file://{path}", path.stat().st_size)], "path string, n_bytes long")
+    got = warc.read_warc(manifest, split).orderBy("place", F.desc("payload_bytes")).collect()
+    assert [(r.record_type, r.payload_bytes, bytes(r.payload) if r.payload is not None else None, r.digest_ok) for r in got] == [
+        ("warcinfo", 17, b"software: other\r\n", None), ("request", 0, b"", None), ("response", 16, b"<p>no length</p>", None), ("metadata", 4, b"k: v", None),
+        ("response", 10, b"Wikipedia ", True), ("response", 5, b"short", False), ("revisit", 77, None, None), ("resource", 0, b"", None), ("conversion", 13, b"text \x1f\x8b\x08 text", None),
+    ]
+    assert all(r.page_id is None and r.refers_to is None and r.date == "2020-02-02T02:02:02Z" for r in got)
+    assert got[2].url == "http://a/b c" and got[5].payload_digest == warc.digest(b"short") and got[6].payload_digest == "BBBB" and got[6].refers_to_id.endswith("1>")
+    assert got[7].headers["content-type"] == "text/plain and more"
+    assert [r.n for r in warc.rejected(manifest, 1 << 20).collect()] == [2]
+
+
+def test_paths_of_stores():
+    for path in ("file:/tmp/x", "file:///tmp/x", "/tmp/x"):
+        assert warc._open(path)[1] == "/tmp/x"
+    assert warc._open("dbfs:/a/b")[1] == "/dbfs/a/b"
+
+
+def test_files_are_of_bounded_size(spark):
+    pages = spark.createDataFrame([(k, "u", str(random.Random(k).random()) * 50) for k in range(40)], "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write_warc(pages, scratch(spark, "warc"), file_bytes=2000)
+    assert manifest.count() > 3 and warc.read_warc(manifest).count() == 40
+
+
 # ---- op 8 ----------------------------------------------------------------------------
 
 
