@@ -5,10 +5,11 @@ the model does: a space is put in front, spaces become the piece mark, and adjac
 symbols are merged by an agenda ordered by piece score, then from left to right;
 characters without a piece become byte pieces.  With dropout, each candidate merge
 (its place and extent in its chunk) is skipped when a keyed hash of the seed, the
-chunk, its variant and the candidate falls below the rate.  A chunk's variant is a
-keyed hash of doc_id and the chunk's ordinal, so a word is cut in several ways over a
-corpus and always the same way again for the same seed.  With rate 0 the result is the
-library's own.
+chunk, its doc_id and ordinal and the candidate falls below the rate, so every occurrence of a word is cut by
+itself, and always the same way again for the same seed.  With rate 0 the result is the
+library's own.  As long as none of the merges that are made without dropout is skipped, dropout
+changes nothing (each is still the first of the agenda in its turn): such occurrences, found by hashing those
+merges, take the kept segmentation of their content, and only the others are merged anew.
 
 No piece of the model holds a mark after another character, and some control
 characters (line feeds among them) are in no longer piece, so merges never cross the
@@ -24,6 +25,7 @@ alike; an empty table stays empty; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -46,22 +48,29 @@ def default_model() -> str:
     return "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def model_bytes(path: str) -> bytes:
+    """The content of a model file, read by the driver."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
 @dataclass(frozen=True)
 class Dropout:
-    """rate: share of candidate merges skipped; variants: ways to cut one chunk."""
+    """rate: share of candidate merges skipped; variants: ways to cut one chunk at most, where
+    fewer forms of a word are wanted (None: every occurrence by itself)."""
 
     rate: float = 0.1
     seed: int = 7
-    variants: int = 4
+    variants: int | None = None
 
 
 class Pieces:
-    """The model's tables: pieces of one character, merges, byte pieces and texts of ids."""
+    """The tables of a model (the bytes of its file): pieces of one character, merges, byte pieces and texts of ids."""
 
-    def __init__(self, path: str):
+    def __init__(self, content: bytes):
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        model = sentencepiece.SentencePieceProcessor(model_proto=content)
         n = self.size = model.get_piece_size()
         names = [model.id_to_piece(i) for i in range(n)]
         plain = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
@@ -141,15 +150,20 @@ class Pieces:
         return out
 
 
+def place_hash(start, middle, stop) -> np.ndarray:
+    """A candidate's place and extent as one hash."""
+    place = (np.asarray(start, np.uint64) << _U(42)) ^ (np.asarray(middle, np.uint64) << _U(21)) ^ np.asarray(stop, np.uint64)
+    return tb.mix64(np.atleast_1d(place))
+
+
 def skip_hash(chunk: np.ndarray | int, start, middle, stop) -> np.ndarray:
-    """The keyed hash of a candidate; chunk already holds seed, variant and content."""
-    with np.errstate(over="ignore"):
-        place = (np.asarray(start, np.uint64) << _U(42)) ^ (np.asarray(middle, np.uint64) << _U(21)) ^ np.asarray(stop, np.uint64)
-        return tb.mix64(np.atleast_1d(np.asarray(chunk, np.uint64) ^ tb.mix64(np.atleast_1d(place))))
+    """The keyed hash of a candidate; chunk already holds seed, occurrence and content."""
+    return tb.mix64(np.atleast_1d(np.asarray(chunk, np.uint64) ^ place_hash(start, middle, stop)))
 
 
-def agenda(pieces: Pieces, chars: list[int], key: int, rate: float) -> list[tuple[int, int, int]]:
-    """(id or -1, first, stop character) of the symbols that a chunk of character ids merges to."""
+def agenda(pieces: Pieces, chars: list[int], key: int, rate: float, made: list | None = None) -> list[tuple[int, int, int]]:
+    """(id or -1, first, stop character) of the symbols that a chunk of character ids merges to;
+    made: takes (start, middle, stop) of every merge."""
     n = len(chars)
     ids, stop, prev, nxt = list(chars), list(range(1, n + 1)), list(range(-1, n - 1)), [*range(1, n), -1]
     limit, heap = int(rate * 2.0**64), []
@@ -171,6 +185,8 @@ def agenda(pieces: Pieces, chars: list[int], key: int, rate: float) -> list[tupl
             continue
         if limit and int(skip_hash(key, i, j, end)[0]) < limit:
             continue
+        if made is not None:
+            made.append((i, j, end))
         ids[i], stop[i], dead[j], nxt[i] = merged, end, True, nxt[j]
         if nxt[j] >= 0:
             prev[nxt[j]] = i
@@ -183,8 +199,9 @@ def agenda(pieces: Pieces, chars: list[int], key: int, rate: float) -> list[tupl
     return out
 
 
-def _merge_all(pieces: Pieces, ids: np.ndarray, chunk: np.ndarray, first: np.ndarray, keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Merges the symbols of many chunks; (id, chunk, first character) of those left.
+def _merge_all(pieces: Pieces, ids: np.ndarray, chunk: np.ndarray, first: np.ndarray, keys: np.ndarray, rate: float, made: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Merges the symbols of many chunks; (id, chunk, first character) of those left; made: takes
+    (chunks, place hashes) of the merges.
 
     ids, chunk, first: of the characters, in order; keys: of the chunks.  Symbols are
     linked lists in arrays; a round takes the best offer of each chunk, the leftmost of
@@ -228,6 +245,8 @@ def _merge_all(pieces: Pieces, ids: np.ndarray, chunk: np.ndarray, first: np.nda
                 break
             x = best[live] & low
             y = after[x]
+            if made is not None:
+                made.append((own[x], place_hash(start[x], stop[x], stop[y])))
             sym[x], stop[x], after[x] = merge[x], stop[y], after[y]
             alive[y], offer[y], offer[x] = False, none, none
             z = after[x]
@@ -256,14 +275,22 @@ def _gather(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, counts) + np.arange(int(counts.sum()))
 
 
+def _kept(pool: np.ndarray, begin: np.ndarray, count: np.ndarray, keep: np.ndarray, more: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pool, begin, count) of the kept lists and of more, behind them."""
+    counts = np.concatenate([count[keep], per])
+    held = pool[_gather(begin[keep], count[keep])] if len(keep) else pool[:0]
+    return np.concatenate([held, more]), np.cumsum(counts) - counts, counts
+
+
 class Encoder:
-    """Encodes blocks of texts; keeps the segmentations of recent chunks by content and variant."""
+    """Encodes blocks of texts; keeps the segmentations without dropout of recent chunks by content, and their merges."""
 
     def __init__(self, pieces: Pieces, dropout: Dropout, memory: int = 300_000):
         self.pieces, self.dropout, self.memory = pieces, dropout, memory
         self.hasher = tb.Hasher(seed=dropout.seed)
         self.known = np.zeros(0, np.uint64)
         self.pool, self.begin, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.made, self.made_begin, self.made_count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The texts with a space in front of each, chunk starts, and the first chunk of each text."""
@@ -278,8 +305,9 @@ class Encoder:
         at = np.flatnonzero(start)
         return out, at, np.searchsorted(at, moved)
 
-    def _segment(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, count for each chunk) of distinct chunks."""
+    def _segment(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, count for each chunk, hashes of the merges made, count of these for each chunk)."""
+        log: list | None = [] if not rate and self.dropout.rate else None
         where = _gather(starts, stops - starts)
         text = data[where]
         lead = (text & 0xC0) != 0x80
@@ -299,12 +327,15 @@ class Encoder:
         parts, chars, owner, firsts = [], ids[brief], own[brief], first[brief]
         cuts = np.searchsorted(owner, np.arange(0, len(starts) + BATCH, BATCH))
         for a, b in zip(cuts, cuts[1:], strict=False):  # arrays that stay in a core's cache
-            parts.append(_merge_all(self.pieces, chars[a:b], owner[a:b], firsts[a:b], keys, self.dropout.rate))
+            parts.append(_merge_all(self.pieces, chars[a:b], owner[a:b], firsts[a:b], keys, rate, log))
         sym, chunk, begin = (np.concatenate(x) for x in zip(*parts, strict=True))
         if long.any():
             more = []
             for c in np.flatnonzero(long):
-                more += [(i, c, a) for i, a, _ in agenda(self.pieces, ids[heads[c] : heads[c + 1]].tolist(), int(keys[c]), self.dropout.rate)]
+                merges: list = []
+                more += [(i, c, a) for i, a, _ in agenda(self.pieces, ids[heads[c] : heads[c + 1]].tolist(), int(keys[c]), rate, merges)]
+                if log is not None and merges:
+                    log.append((np.full(len(merges), c), place_hash(*np.array(merges).T)))
             extra = np.array(more, np.int64).reshape(-1, 3)
             sym, chunk, begin = np.concatenate([sym, extra[:, 0]]), np.concatenate([chunk, extra[:, 1]]), np.concatenate([begin, extra[:, 2]])
             order = np.lexsort((begin, chunk))
@@ -316,7 +347,28 @@ class Encoder:
         bare = out < 0
         if bare.any():
             out[bare] = self.pieces.byte_id[text[_gather(char[place[sym < 0]], width[sym < 0])]]
-        return out.astype(np.int32), np.bincount(chunk, width, len(starts)).astype(np.int64)
+        made, per = np.zeros(0, np.uint64), np.zeros(len(starts), np.int64)
+        if log:
+            of, made = (np.concatenate(x) for x in zip(*log, strict=True))
+            made, per = made[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(starts))
+        return out.astype(np.int32), np.bincount(chunk, width, len(starts)).astype(np.int64), made, per
+
+    def _plain(self, text: np.ndarray, starts: np.ndarray, stops: np.ndarray, content: np.ndarray) -> np.ndarray:
+        """Places in the kept segmentations of the chunks; new contents are segmented and kept."""
+        distinct, shown, inverse = np.unique(content, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.known, distinct), max(len(self.known) - 1, 0))
+        old = self.known[at] == distinct if len(self.known) else np.zeros(len(distinct), bool)
+        new = np.flatnonzero(~old)
+        if len(new):
+            ids, count, made, per = self._segment(text, starts[shown[new]], stops[shown[new]], distinct[new], 0.0)
+            keep = np.arange(len(self.known)) if len(self.known) + len(new) <= self.memory else np.unique(at[old])
+            self.pool, begin, self.count = _kept(self.pool, self.begin, self.count, keep, ids, count)
+            self.made, made_begin, self.made_count = _kept(self.made, self.made_begin, self.made_count, keep, made, per)
+            known = np.concatenate([self.known[keep], distinct[new]])
+            order = np.argsort(known)
+            self.known, self.begin, self.made_begin = known[order], begin[order], made_begin[order]
+            self.count, self.made_count = self.count[order], self.made_count[order]
+        return np.searchsorted(self.known, distinct)[inverse]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, doc_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets by text) of texts."""
@@ -326,27 +378,26 @@ class Encoder:
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
         per_doc = np.diff(first)
         ordinal = np.arange(len(starts)) - np.repeat(first[:-1], per_doc)
-        drawn = tb.mix64(tb.keyed64(np.repeat(doc_ids, per_doc), self.dropout.seed) + ordinal.astype(np.uint64))
-        variant = drawn % _U(max(1, self.dropout.variants if self.dropout.rate else 1))
-        keys = tb.mix64(self.hasher.spans(text, starts, stops) + variant * _U(0xA0761D6478BD642F))
-        distinct, shown, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.known, distinct), max(len(self.known) - 1, 0))
-        old = self.known[at] == distinct if len(self.known) else np.zeros(len(distinct), bool)
-        new = np.flatnonzero(~old)
-        if len(new):
-            ids, count = self._segment(text, starts[shown[new]], stops[shown[new]], distinct[new])
-            keep = np.arange(len(self.known)) if len(self.known) + len(new) <= self.memory else np.unique(at[old])
-            begin = np.cumsum(count) - count
-            held = _gather(self.begin[keep], self.count[keep]) if len(keep) else np.zeros(0, np.int64)
-            known = np.concatenate([self.known[keep], distinct[new]])
-            counts = np.concatenate([self.count[keep], count])
-            begins = np.concatenate([np.cumsum(self.count[keep]) - self.count[keep], begin + len(held)])
-            order = np.argsort(known)
-            self.pool = np.concatenate([self.pool[held], ids])
-            self.known, self.count, self.begin = known[order], counts[order], begins[order]
-        at = np.searchsorted(self.known, distinct)[inverse]
-        counts = self.count[at]
-        ids = self.pool[_gather(self.begin[at], counts)]
+        content = self.hasher.spans(text, starts, stops)
+        at = self._plain(text, starts, stops, content)
+        begins, counts, pool = self.begin[at], self.count[at], self.pool
+        if self.dropout.rate:
+            drawn = tb.mix64(tb.keyed64(np.repeat(doc_ids, per_doc), self.dropout.seed) + ordinal.astype(np.uint64))
+            if self.dropout.variants:
+                drawn = drawn % _U(self.dropout.variants)
+            keys = tb.mix64(content + drawn * _U(0xA0761D6478BD642F))
+            per = self.made_count[at]
+            limit = _U(min(int(self.dropout.rate * 2.0**64), 2**64 - 1))
+            skipped = tb.mix64(np.repeat(keys, per) ^ self.made[_gather(self.made_begin[at], per)]) < limit
+            total = np.concatenate([[0], np.cumsum(skipped)])
+            stop = np.cumsum(per)
+            anew = np.flatnonzero(total[stop] > total[stop - per])
+            if len(anew):
+                ids, count, _, _ = self._segment(text, starts[anew], stops[anew], keys[anew], self.dropout.rate)
+                begins, counts = begins.copy(), counts.copy()
+                begins[anew], counts[anew] = len(pool) + np.cumsum(count) - count, count
+                pool = np.concatenate([pool, ids])
+        ids = pool[_gather(begins, counts)]
         total = np.concatenate([[0], np.cumsum(counts)])
         return ids, total[first]
 
@@ -366,11 +417,11 @@ class Encoder:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, dropout: Dropout) -> Encoder:
-    """One encoder a worker process and setting."""
-    key = (path, dropout)
+def encoder(content: bytes, dropout: Dropout) -> Encoder:
+    """One encoder a worker process, model and setting."""
+    key = (hashlib.sha256(content).digest(), dropout)
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(Pieces(path), dropout)
+        _ENCODERS[key] = Encoder(Pieces(content), dropout)
     return _ENCODERS[key]
 
 
@@ -378,11 +429,12 @@ ENCODED = "doc_id bigint, n_pieces bigint, ids array<int>, lossless boolean"
 
 
 def encode(docs: DataFrame, dropout: Dropout = Dropout(), path: str | None = None) -> DataFrame:
-    """(ENCODED) for each row of docs(doc_id, text); lossless says that decoding ids gave the text."""
-    path = path or default_model()
+    """(ENCODED) for each row of docs(doc_id, text); lossless says that decoding ids gave the text.
+    The model file at `path` is read by the driver and broadcast (under a megabyte)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model_bytes(path or default_model()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path, dropout)
+        coder = encoder(shared.value, dropout)
         table = tb.whitespace_words()
         for batch in batches:
             for block in tb.blocks(batch.column(1), table, tb.BLOCK_BYTES // 2):
@@ -401,10 +453,10 @@ def encode(docs: DataFrame, dropout: Dropout = Dropout(), path: str | None = Non
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, text) of rows of encode(); null ids give an empty text."""
-    path = path or default_model()
+    shared = encoded.sparkSession.sparkContext.broadcast(model_bytes(path or default_model()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path, Dropout())
+        coder = encoder(shared.value, Dropout())
         for batch in batches:
             lists = batch.column(1)
             counts = np.array([0 if x is None else x for x in lists.value_lengths().to_pylist()], np.int64)

@@ -545,7 +545,7 @@ def test_proximity_matches_plain(spark):
 
 @pytest.fixture(scope="module")
 def model():
-    return pieces.Pieces(pieces.default_model())
+    return pieces.Pieces(pieces.model_bytes(pieces.default_model()))
 
 
 def encode_all(coder, found):
@@ -566,7 +566,7 @@ def test_without_dropout_equals_library(model, texts):
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.text(alphabet="ab et\n\r▁é日🙂 .the", max_size=90), min_size=1, max_size=5), st.sampled_from([0.0, 0.1, 0.6, 1.0]))
 def test_agenda_equals_arrays_and_decodes(found, rate):
-    model = pieces.encoder(pieces.default_model(), pieces.Dropout()).pieces
+    model = pieces.encoder(pieces.model_bytes(pieces.default_model()), pieces.Dropout()).pieces
     results = []
     for long in (0, 10**6):
         old, pieces.LONG = pieces.LONG, long
@@ -581,6 +581,33 @@ def test_agenda_equals_arrays_and_decodes(found, rate):
     assert results[0] == results[1]
 
 
+def plain_dropout(model, text, doc_id, dropout):
+    """Chunk by chunk, each occurrence through the agenda under its own key."""
+    coder, out = pieces.Encoder(model, dropout), []
+    data, starts, _ = coder._cut(*tb.utf8(pa.array([text], pa.string())))
+    hashes = coder.hasher.spans(data, starts, np.append(starts[1:], len(data)))
+    for k, (a, b) in enumerate(zip(starts, np.append(starts[1:], len(data)), strict=True)):
+        chars = data[a:b].tobytes().decode()
+        codes = {int.from_bytes(c.encode(), "little"): c for c in chars}
+        known = {codes[int(key)]: int(i) for key, i in zip(model.char_keys, model.char_ids, strict=True) if int(key) in codes}
+        drawn = tb.mix64(tb.keyed64(np.array([doc_id]), dropout.seed) + np.uint64(k))
+        key = int(tb.mix64(hashes[k : k + 1] + drawn * np.uint64(0xA0761D6478BD642F))[0])
+        for i, first, stop in pieces.agenda(model, [known.get(c, -1) for c in chars], key, dropout.rate):
+            out += [i] if i >= 0 else [int(model.byte_id[x]) for x in chars[first:stop].encode()]
+    return out
+
+
+@pytest.mark.parametrize("rate", [0.1, 0.5])
+def test_documents_match_plain_dropout(spark, model, rate):
+    rows = [r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect() if len(r.text or "") < 3000][:40]
+    found = [(r.doc_id, r.text) for r in rows] + [(rows[0].doc_id, rows[0].text), (10**6, "ab " * 300)]
+    got = {}
+    for r in pieces.encode(spark.createDataFrame(found, "doc_id long, text string"), pieces.Dropout(rate=rate)).collect():
+        got.setdefault(r.doc_id, r.ids)
+    for i, text in found:
+        assert got[i] == plain_dropout(model, text, i, pieces.Dropout(rate=rate))
+
+
 def test_dropout_varies_and_repeats(spark, docs, texts, nothing, model):
     out = pieces.encode(docs).cache()
     assert out.filter("NOT lossless").count() == 0 and out.count() == len(texts)
@@ -590,6 +617,8 @@ def test_dropout_varies_and_repeats(spark, docs, texts, nothing, model):
     assert pieces.encode(nothing).count() == 0
     word = ["international"] * 400
     ids, offsets = encode_all(pieces.Encoder(model, pieces.Dropout(rate=0.3)), word)
+    assert len({tuple(ids[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)}) > 20
+    ids, offsets = encode_all(pieces.Encoder(model, pieces.Dropout(rate=0.3, variants=4)), word)
     assert 1 < len({tuple(ids[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)}) <= 4
     a = pieces.encode(docs, pieces.Dropout(seed=1)).agg(F.sum("n_pieces")).first()[0]
     b = pieces.encode(docs, pieces.Dropout(rate=0.0)).agg(F.sum("n_pieces")).first()[0]
