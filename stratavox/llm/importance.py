@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .storage import stored
+from .storage import least_hashed, stored
 
 
 @dataclass(frozen=True)
@@ -56,7 +56,7 @@ def _features(block: tb.Block, hasher: tb.Hasher, buckets: int) -> tuple[np.ndar
 def target_ids(labels: DataFrame, rules: ResampleRules) -> np.ndarray:
     """Sorted ids of at most max_target documents of quality 1 (smallest keyed hash first)."""
     rows = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long")).distinct()
-    rows = rows.orderBy(F.xxhash64("doc_id", F.lit(rules.seed)), "doc_id").limit(rules.max_target)
+    rows = least_hashed(stored(rows, "targets"), ["doc_id"], rules.seed, rules.max_target)
     return np.sort(np.array([r[0] for r in rows.collect()], np.int64))
 
 

@@ -5,10 +5,10 @@ lexicon entries (words and word beginnings, by hash) that a bounded sample of
 labelled training rows shows to be tied to the label, and one voter for clean that
 fires where no lexicon voter does.  The label model has for
 each voter its rate of firing in toxic and in clean texts (from which its accuracy
-follows) and the voters' correlations within each class; both are estimated by EM over
-all training rows, labelled or not, with distributed sums of bounded size.
-A voter's evidence counts as the share that its correlations with other voters leave
-it, so copies of one voter do not add up.  A logistic regression on hashed words and
+follows), and the voters' strongest correlations within the classes as a forest of pairwise terms: a voter's
+likelihood is taken given its class and whether its parent fires, so copies of one voter do not add up.  Both
+are estimated by EM over
+all training rows, labelled or not, with distributed sums of bounded size.  A logistic regression on hashed words and
 word beginnings is then fitted to the posterior labels of a bounded sample of
 training rows, and scores every whole text.
 
@@ -28,11 +28,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .storage import stored
+from .storage import least_hashed, stored
 
 #: Plain insults of general English; groups of a theme vote as one.
 LEXICON = {
@@ -45,16 +45,16 @@ LEXICON = {
 PATTERNS = ("shouting", "exclaiming", "symbols")
 _BEGINNINGS = (4, 5, 6, 7)
 #: Correlation from which two voters count as dependent.
-EDGE = 0.5
+EDGE = 0.2
 
 
 @dataclass(frozen=True)
 class ToxicityRules:
     """max_labelled: labelled training rows read at most (smallest keyed hash first);
     max_fit: training rows that the classifier is fitted on at most; voters: induced
-    voters; features: inputs of the classifier; min_rows: labelled rows that an induced
-    voter or feature needs, alike: features of equal counts; rounds: of EM; steps,
-    penalty: of the classifier."""
+    voters; features: inputs of the classifier (words and beginnings that occur in exactly the same labelled
+    rows are one input, the mean of about `members` of them at most); min_rows: labelled rows that an induced
+    voter or feature needs; rounds: of EM; steps, penalty: of the classifier."""
 
     max_labelled: int = 20_000
     max_fit: int = 30_000
@@ -64,7 +64,7 @@ class ToxicityRules:
     rounds: int = 6
     steps: int = 300
     penalty: float = 0.3
-    alike: int = 20
+    members: int = 64
     threshold: float = 0.7
     seed: int = 11
 
@@ -96,17 +96,36 @@ def labelled_rows(labels: DataFrame, rules: ToxicityRules) -> tuple[np.ndarray,
     """(doc_id sorted, toxic) of at most max_labelled training rows."""
     rows = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
     rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    found = rows.orderBy(F.xxhash64("doc_id", F.lit(rules.seed)), "doc_id").limit(rules.max_labelled).collect()
+    found = least_hashed(stored(rows, "labelled"), ["doc_id"], rules.seed, rules.max_labelled).collect()
     ids, toxic = np.array([r.doc_id for r in found], np.int64), np.array([r.toxic for r in found], np.int64)
     order = np.argsort(ids)
     return ids[order], toxic[order]
 
 
-def associations(training: DataFrame, ids: np.ndarray, toxic: np.ndarray, rules: ToxicityRules) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, signed chi-square) of the features most tied to the label, either way; of
-    features with the same counts (as those of a group of copies) at most `alike`."""
+@dataclass(frozen=True)
+class Inputs:
+    """The classifier's inputs: sorted hashes of words and beginnings, the input that each belongs to, its
+    share of that, and the chi-square of each input, signed; heads: one entry of every input."""
+
+    entries: np.ndarray
+    column: np.ndarray
+    value: np.ndarray
+    z: np.ndarray
+    heads: np.ndarray
+
+    @classmethod
+    def of(cls, h: np.ndarray, group: np.ndarray, z: np.ndarray) -> Inputs:
+        order = np.argsort(h)
+        names, column = np.unique(group[order], return_inverse=True)
+        _, heads = np.unique(column, return_index=True)
+        return cls(h[order], column, 1 / np.bincount(column, minlength=len(names))[column], z[order][heads], heads)
+
+
+def associations(training: DataFrame, ids: np.ndarray, toxic: np.ndarray, rules: ToxicityRules) -> Inputs:
+    """The inputs most tied to the label, either way."""
+    none = Inputs.of(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0))
     if not len(ids) or not 0 < toxic.sum() < len(ids):
-        return np.zeros(0, np.uint64), np.zeros(0)
+        return none
     shared = training.sparkSession.sparkContext.broadcast((ids, toxic))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,18 +141,28 @@ def associations(training: DataFrame, ids: np.ndarray, toxic: np.ndarray, rules:
                 h, d = _features(block, hasher)
                 kinds, inverse = np.unique(h, return_inverse=True)
                 is_toxic = label[block.row0 + d]
-                yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(np.bincount(inverse, minlength=len(kinds))), pa.array(np.bincount(inverse, is_toxic, len(kinds)).astype(np.int64))], ["h", "n", "t"])
+                order = np.argsort(inverse, kind="stable")
+                rows = tb.keyed64(own[chosen][block.row0 + d[order]], rules.seed)
+                place = np.bitwise_xor.reduceat(rows, np.searchsorted(inverse[order], np.arange(len(kinds)))) if len(kinds) else rows
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(kinds.view(np.int64)), pa.array(np.bincount(inverse, minlength=len(kinds))), pa.array(np.bincount(inverse, is_toxic, len(kinds)).astype(np.int64)), pa.array(place.view(np.int64))],
+                    ["h", "n", "t", "place"],
+                )
 
     n, t = float(len(ids)), float(toxic.sum())
-    counts = training.mapInArrow(run, "h bigint, n bigint, t bigint").groupBy("h").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).filter(F.col("n") >= rules.min_rows)
+    counts = training.mapInArrow(run, "h bigint, n bigint, t bigint, place bigint").groupBy("h").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.bit_xor("place").alias("place"))
     a, b = F.col("t").cast("double"), (F.col("n") - F.col("t")).cast("double")
     c, d = t - a, n - t - b
     cross = a * d - b * c
     tied = n * cross * F.abs(cross) / ((a + b) * (c + d) * t * (n - t))
-    ranked = counts.select("h", "n", "t", F.when((a + b) * (c + d) > 0, tied).otherwise(0.0).alias("z")).filter(F.abs("z") > 4)
-    ranked = ranked.withColumn("k", F.row_number().over(Window.partitionBy("n", "t").orderBy("h"))).filter(F.col("k") <= rules.alike)
-    best = ranked.select("h", "z").orderBy(F.abs("z").desc(), "h").limit(rules.features).collect()
-    return np.array([r.h for r in best], np.int64).view(np.uint64), np.array([r.z for r in best])
+    tied_to = counts.filter(F.col("n") >= rules.min_rows).withColumn("z", F.when((a + b) * (c + d) > 0, tied).otherwise(0.0)).filter(F.abs("z") > 4)
+    counts = stored(tied_to, "tied")
+    # features of exactly the same rows are one input
+    groups = counts.groupBy("n", "t", "place").agg(F.min("h").alias("group"), F.count("*").alias("size"), F.min("z").alias("strength"))
+    best = groups.orderBy(F.abs("strength").desc(), "group").limit(rules.features)
+    drawn = F.pmod(F.xxhash64("h", F.lit(rules.seed)), F.lit(1 << 30))
+    found = counts.join(F.broadcast(best), ["n", "t", "place"]).filter((F.col("h") == F.col("group")) | (drawn * F.col("size") < rules.members << 30)).select("h", "group", "z").toArrow()
+    return Inputs.of(found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy(), found.column(2).to_numpy())
 
 
 def choose_voters(rows: list[np.ndarray], toxic: np.ndarray, z: np.ndarray, rules: ToxicityRules) -> np.ndarray:
@@ -199,16 +228,20 @@ class Voters:
 
 @dataclass
 class LabelModel:
-    """prior: share of toxic texts; rates[c, j]: how often voter j fires in class c;
-    share[j]: the part of its evidence that correlations leave it."""
+    """prior: share of toxic texts; rates[c, j]: how often voter j fires in class c; parent[j]: the voter
+    that j depends on (-1: none); given[c, s, j]: how often j fires in class c where its parent is
+    silent (s = 0) or fires (s = 1)."""
 
     prior: float
     rates: np.ndarray
-    share: np.ndarray
+    parent: np.ndarray
+    given: np.ndarray
 
     def posterior(self, fired: np.ndarray) -> np.ndarray:
-        """P(toxic) from the voters that fire; a silent voter abstains."""
-        logit = np.log(self.prior / (1 - self.prior)) + fired @ (self.share * np.log(self.rates[1] / self.rates[0]))
+        """P(toxic) from the voters that fire, each given its parent; a silent voter abstains."""
+        evidence = np.log(self.given[1] / self.given[0])
+        parents = np.where(self.parent >= 0, fired[:, np.maximum(self.parent, 0)], 0.0)
+        logit = np.log(self.prior / (1 - self.prior)) + fired @ evidence[0] + (fired * parents) @ (evidence[1] - evidence[0])
         return 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
 
     def accuracies(self) -> np.ndarray:
@@ -217,20 +250,55 @@ class LabelModel:
         return a / (a + (1 - self.prior) * self.rates[0])
 
 
+def _forest(correlation: np.ndarray) -> np.ndarray:
+    """Parents of a maximum spanning forest over the pairs correlated by EDGE or more."""
+    n = len(correlation)
+    i, j = np.nonzero(np.triu(correlation, 1) >= EDGE)
+    order = np.lexsort((j, i, -correlation[i, j]))
+    part, near = list(range(n)), [[] for _ in range(n)]
+
+    def find(x: int) -> int:
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        if find(a) != find(b):
+            part[find(b)] = find(a)
+            near[a].append(b)
+            near[b].append(a)
+    parent, seen = np.full(n, -1), np.zeros(n, bool)
+    for root in range(n):
+        todo = [] if seen[root] else [root]
+        while todo:
+            x = todo.pop()
+            seen[x] = True
+            for y in near[x]:
+                if not seen[y]:
+                    parent[y] = x
+                    todo.append(y)
+    return parent
+
+
 def from_sums(weight: np.ndarray, fires: np.ndarray, pairs: np.ndarray) -> LabelModel:
     """The model of class weights, summed firings and summed joint firings, by class."""
     rates = (fires + 0.05) / (weight[:, None] + 1)
     rates = np.clip(rates, 1e-6, 1 - 1e-6)
     prior = float(np.clip(weight[1] / max(weight.sum(), 1), 1e-4, 0.9))
-    shares = []
+    correlation = np.zeros(pairs.shape[1:])
     for c in (0, 1):
         joint = pairs[c] / max(weight[c], 1) - np.outer(rates[c], rates[c])
         spread = np.sqrt(rates[c] * (1 - rates[c]))
-        shares.append(np.clip(joint / np.outer(spread, spread), 0, 1))
-    correlation = np.maximum(shares[0], shares[1])
-    np.fill_diagonal(correlation, 1)
-    correlation[correlation < EDGE] = 0
-    return LabelModel(prior, rates, 1 / correlation.sum(1))
+        correlation = np.maximum(correlation, joint / np.outer(spread, spread))
+    parent = _forest(correlation)
+    given = np.stack([rates, rates], 1)
+    child = np.flatnonzero(parent >= 0)
+    top = parent[child]
+    for c in (0, 1):
+        both = pairs[c][child, top]
+        given[c, 1, child] = (both + rates[c, child]) / (fires[c, top] + 1)
+        given[c, 0, child] = (fires[c, child] - both + rates[c, child]) / (weight[c] - fires[c, top] + 1)
+    return LabelModel(prior, rates, parent, np.clip(given, 1e-6, 1 - 1e-6))
 
 
 def _first_model(voters: Voters, prior: float) -> LabelModel:
@@ -238,7 +306,7 @@ def _first_model(voters: Voters, prior: float) -> LabelModel:
     rates = np.tile(np.array([[0.001], [0.1]]), (1, voters.n))
     rates[:, len(LEXICON) : len(LEXICON) + len(PATTERNS)] = 0.05
     rates[:, -1] = 0.95, 0.1
-    return LabelModel(prior, rates, np.full(voters.n, 1.0))
+    return LabelModel(prior, rates, np.full(voters.n, -1), np.stack([rates, rates], 1))
 
 
 def fit_label_model(votes: DataFrame, voters: Voters, ids: np.ndarray, toxic: np.ndarray, rules: ToxicityRules) -> LabelModel:
@@ -277,23 +345,23 @@ def fit_label_model(votes: DataFrame, voters: Voters, ids: np.ndarray, toxic: np
     return model
 
 
-def fit_classifier(x: list[np.ndarray], p: np.ndarray, n: int, rules: ToxicityRules) -> np.ndarray:
-    """Weights of n presence features and, last, the base; to posterior labels p, by Adam on all rows."""
+def fit_classifier(x: list[np.ndarray], p: np.ndarray, inputs: Inputs, rules: ToxicityRules) -> np.ndarray:
+    """Weights of the entries and, last, the base; to posterior labels p, by Adam on all rows."""
+    n = len(inputs.z)
     rows = np.repeat(np.arange(len(x)), [len(v) for v in x])
-    columns = np.concatenate(x).astype(np.int64) if len(x) else np.zeros(0, np.int64)
+    entry = np.concatenate(x).astype(np.int64) if len(x) else np.zeros(0, np.int64)
+    columns, value = inputs.column[entry], inputs.value[entry]
     w = np.zeros(n + 1)
     w[n] = np.log(np.clip(p.mean(), 1e-3, 0.5)) if len(p) else -3.0
-    if not len(p):
-        return w
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     cost = np.where(p > 0.5, max(1.0, (p <= 0.5).sum() / max(1, (p > 0.5).sum()) / 3), 1.0)
-    for step in range(1, rules.steps + 1):
-        logit = np.bincount(rows, w[columns], len(x)) + w[n]
+    for step in range(1, rules.steps + 1 if len(p) else 1):
+        logit = np.bincount(rows, w[columns] * value, len(x)) + w[n]
         error = cost * (1 / (1 + np.exp(-np.clip(logit, -50, 50))) - p)
-        gradient = np.append(np.bincount(columns, error[rows], n) + rules.penalty * w[:n], error.sum()) / len(p)
+        gradient = np.append(np.bincount(columns, error[rows] * value, n) + rules.penalty * w[:n], error.sum()) / len(p)
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-    return w
+    return np.append(w[inputs.column] * inputs.value, w[n])
 
 
 def _selected(entries: np.ndarray, order: np.ndarray, h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -318,9 +386,9 @@ def _labelled_features(training: DataFrame, entries: np.ndarray, ids: np.ndarray
                 column, row = _selected(entries, all_of, *_features(block, hasher))
                 offsets = np.searchsorted(row, np.arange(block.n_docs + 1)).astype(np.int32)
                 names = pa.array(own[chosen[block.row0 : block.row0 + block.n_docs]])
-                yield pa.RecordBatch.from_arrays([names, pa.ListArray.from_arrays(pa.array(offsets), pa.array(column.astype(np.int16)))], ["doc_id", "columns"])
+                yield pa.RecordBatch.from_arrays([names, pa.ListArray.from_arrays(pa.array(offsets), pa.array(column.astype(np.int32)))], ["doc_id", "columns"])
 
-    found = training.mapInArrow(run, "doc_id bigint, columns array<smallint>").dropDuplicates(["doc_id"]).toArrow()
+    found = training.mapInArrow(run, "doc_id bigint, columns array<int>").dropDuplicates(["doc_id"]).toArrow()
     names = found.column(0).to_numpy()
     return [np.asarray(v.values) for v in found.column(1)], toxic[np.searchsorted(ids, names)]
 
@@ -337,10 +405,10 @@ def fit(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRules
     """The whole of the training, on rows that are not held out."""
     training = docs.filter(~is_held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long"), "text")
     ids, toxic = labelled_rows(labels, rules)
-    entries, z = associations(training, ids, toxic, rules)
-    order = np.argsort(entries)
-    entries, z = entries[order], z[order]
-    voters = Voters(entries[choose_voters(*_labelled_features(training, entries, ids, toxic), z, rules)])
+    inputs = associations(training, ids, toxic, rules)
+    entries, heads = inputs.entries, np.sort(inputs.entries[inputs.heads])
+    order = inputs.column[np.searchsorted(inputs.entries, heads)]
+    voters = Voters(heads[choose_voters(*_labelled_features(training, heads, ids, toxic), inputs.z[order], rules)])
     shared = docs.sparkSession.sparkContext.broadcast((voters.entries, entries))
 
     def cast_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,15 +421,15 @@ def fit(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRules
                 column, row = _selected(entries, all_of, h, d)
                 offsets = np.searchsorted(row, np.arange(block.n_docs + 1)).astype(np.int32)
                 own = batch.column(0).slice(block.row0, block.n_docs)
-                yield pa.RecordBatch.from_arrays([own, pa.array([x.tobytes() for x in packed], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(column.astype(np.int16)))], ["doc_id", "fired", "columns"])
+                yield pa.RecordBatch.from_arrays([own, pa.array([x.tobytes() for x in packed], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(column.astype(np.int32)))], ["doc_id", "fired", "columns"])
 
-    votes = stored(training.mapInArrow(cast_votes, "doc_id bigint, fired binary, columns array<smallint>"), "votes")
+    votes = stored(training.mapInArrow(cast_votes, "doc_id bigint, fired binary, columns array<int>"), "votes")
     model = fit_label_model(votes.select("doc_id", "fired"), voters, ids, toxic, rules)
-    sample = votes.orderBy(F.xxhash64("doc_id", F.lit(rules.seed + 1)), "doc_id").limit(rules.max_fit).toArrow()
+    sample = least_hashed(votes, ["doc_id", "fired"], rules.seed + 1, rules.max_fit).toArrow()
     packed = np.frombuffer(b"".join(sample.column(1).to_pylist()), np.uint8).reshape(sample.num_rows, -1) if sample.num_rows else np.zeros((0, 1), np.uint8)
     p = model.posterior(np.unpackbits(packed, axis=1)[:, : voters.n].astype(np.float64)) if sample.num_rows else np.zeros(0)
     x = [np.asarray(v.values) for v in sample.column(2)]
-    weights = fit_classifier(x, p, len(entries), rules)
+    weights = fit_classifier(x, p, inputs, rules)
     return ToxicityModel(entries, weights, model, voters)
 
 
