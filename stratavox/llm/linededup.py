@@ -40,6 +40,11 @@ def _print(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(line, F.lit("second")).alias("b"))
 
 
+def url_host(url: Column) -> Column:
+    """The lower-case host of a URL; null where there is none."""
+    return F.lower(F.try_parse_url(url, F.lit("HOST")))
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
@@ -71,7 +76,7 @@ def drop_boilerplate(pages: DataFrame, host: Column, text: str = "text", rules:
     dropped: name of a column to add with the number of lines taken out."""
     found = stored(boilerplate_lines(pages, host, F.col(text), rules), "boilerplate")
     sets = found.groupBy("host").agg(F.collect_set(F.struct("a", "b")).alias("set"))
-    key, salt, held = (free_name(pages, f"line_{x}") for x in ("host", "salt", "set"))
+    key, salt, held, seen = (free_name(pages, f"line_{x}") for x in ("host", "salt", "set", "seen"))
     sets = sets.select(F.col("host").alias(key), F.col("set").alias(held))
     left = pages.withColumn(key, F.coalesce(host.cast("string"), F.lit("\0none")))
     if found.count() <= rules.max_broadcast_lines:
@@ -81,7 +86,10 @@ def drop_boilerplate(pages: DataFrame, host: Column, text: str = "text", rules:
         sets = sets.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(rules.salts - 1))))
         joined = left.join(sets, [key, salt], "left").drop(salt)
     lines = _lines(F.col(text))
-    kept = F.filter(lines, lambda x: _blank(x) | ~F.array_contains(F.col(held), _print(x)))
+    # which of the page's lines share half a fingerprint with the set: by hashing, once a page
+    suspects = F.array_intersect(F.transform(lines, lambda x: F.xxhash64(x)), F.transform(F.col(held), lambda x: x["a"]))
+    joined = joined.withColumn(seen, suspects)
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col(seen), F.xxhash64(x)) | _blank(x) | ~F.array_contains(F.col(held), _print(x)))
     cleaned = F.when(F.col(held).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
     named = {text: cleaned}
     out = joined

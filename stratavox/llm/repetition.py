@@ -23,14 +23,15 @@ from pyspark.sql import DataFrame
 
 from . import textblocks as tb
 
-SEED = 8
+#: Words of a window of the base rule.
+WINDOW = 8
 
 
 @dataclass(frozen=True)
 class RepetitionRules:
     """Limits: min_words and max_repeat_percent are the base rule; a text also goes if
     repeats of at least min_repeat words cover more than max_covered_percent of its
-    words, or if one repeat is longer than max_longest words."""
+    words, or if one repeat is longer than max_longest words (ValueError if min_repeat < 1 or max_longest < 0)."""
 
     min_words: int = 20
     max_repeat_percent: int = 30
@@ -38,6 +39,14 @@ class RepetitionRules:
     max_covered_percent: int = 25
     max_longest: int = 60
 
+    def __post_init__(self):
+        if self.min_repeat < 1 or self.max_longest < 0:
+            raise ValueError("min_repeat must be 1 or more, max_longest 0 or more")
+
+    def floor(self) -> int:
+        """The largest power of two that no length which a rule asks for is below."""
+        return 1 << (min(WINDOW, self.min_repeat, self.max_longest + 1).bit_length() - 1)
+
 
 REPORT = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, n_covered_words bigint, longest_repeat bigint"
 
@@ -61,12 +70,12 @@ def _refined(rank: np.ndarray, sub: np.ndarray, k: int, stop: np.ndarray) -> tup
     return rank, sub[~alone]
 
 
-def suffix_repeats(block: tb.Block, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, length): for each suffix that shares SEED words or more with another
+def suffix_repeats(block: tb.Block, words: np.ndarray, floor: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, length): for each suffix that shares `floor` words (a power of two) or more with another
     suffix of its text, the length in words of its longest repeated prefix."""
     n = block.n_words
     none = np.zeros(0, np.int64)
-    if n < SEED + 1:
+    if n < floor + 1:
         return none, none
     doc = block.doc_of_word()
     stop = block.first[doc + 1]
@@ -78,18 +87,19 @@ def suffix_repeats(block: tb.Block, words: np.ndarray) -> tuple[np.ndarray, np.n
     rank[sub] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
     sub = sub[~(fresh & np.concatenate([fresh[1:], [True]]))]
     levels, k = [(1, rank)], 1
+    pos = sub
     while len(sub):
         rank, sub = _refined(rank, sub, k, stop)
         k *= 2
         levels.append((k, rank))
-        if k == SEED:
+        if k == floor:
             pos = sub
-    if k < SEED or not len(pos):
+    if k < floor or not len(pos):
         return none, none
     sa = pos[np.argsort(rank[pos])]
     a, b = sa[:-1], sa[1:]
     lcp = np.zeros(len(a), np.int64)
-    near = dict(levels)[SEED]
+    near = dict(levels)[floor]
     live = near[a] == near[b]
     for k, rank in reversed(levels):
         i, j = a + lcp, b + lcp
@@ -129,8 +139,9 @@ def measure(block: tb.Block, hasher: tb.Hasher, rules: RepetitionRules) -> dict[
     n_words = np.diff(block.first)
     chars = np.concatenate([[0], np.cumsum((block.data & 0xC0) != 0x80)])
     symbols = np.concatenate([[0], np.cumsum(_SYMBOLS[block.data])])
-    pos, longest = suffix_repeats(block, words)
-    repeated = tb.covered(pos, np.full(len(pos), SEED), block.n_words)
+    pos, longest = suffix_repeats(block, words, rules.floor())
+    wide = pos[longest >= WINDOW]
+    repeated = tb.covered(wide, np.full(len(wide), WINDOW), block.n_words)
     enough = longest >= rules.min_repeat
     spans = enough & maximal_repeats(pos, longest)
     cover = tb.covered(pos[spans], longest[spans], block.n_words)

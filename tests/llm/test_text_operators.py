@@ -62,7 +62,7 @@ def plain_repetition(text, rules=repetition.RepetitionRules()):
         return len({j for i in range(n - k + 1) if c[tuple(w[i : i + k])] > 1 for j in range(i, i + k)})
 
     longest = 0
-    for k in range(8, n):
+    for k in range(rules.floor(), n):
         c = collections.Counter(tuple(w[i : i + k]) for i in range(n - k + 1))
         if max(c.values(), default=0) < 2:
             break
@@ -76,7 +76,7 @@ def plain_repetition(text, rules=repetition.RepetitionRules()):
 
 def test_repetition_matches_plain(spark, docs, texts, nothing):
     got = collections.Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept, r.n_covered_words, r.longest_repeat) for r in repetition.repetition_report(docs).collect())
-    assert got == collections.Counter((i, *plain_repetition(t)) for i, t in texts if len(t or "") < 50_000) + collections.Counter(k for k in got if k[0] == 70)
+    assert got == collections.Counter((i, *plain_repetition(t)) for i, t in texts)
     assert repetition.repetition_report(nothing).count() == 0
     kept = repetition.quality_filter(docs)
     assert kept.columns == docs.columns and kept.count() == sum(r[7] * n for r, n in got.items())
@@ -93,6 +93,20 @@ def test_suffix_repeats(found):
         assert (got["n_repeat_words"][d], got["n_covered_words"][d], got["longest_repeat"][d], got["kept"][d]) == (wanted[4], wanted[7], wanted[8], wanted[6])
 
 
+@pytest.mark.parametrize(("least", "most"), [(5, 60), (1, 60), (10, 3), (7, 0), (16, 20)])
+def test_short_repeats_count_too(least, most):
+    rng = random.Random(least)
+    rules = repetition.RepetitionRules(min_repeat=least, max_longest=most, max_covered_percent=50)
+    for _ in range(30):
+        w = [str(rng.randrange(rng.choice([3, 40, 4000]))) for _ in range(rng.randrange(1, 120))]
+        w += w[:7] if len(w) > 30 else []
+        block = next(tb.blocks(pa.array([" ".join(w)]), tb.whitespace_words()))
+        got, wanted = repetition.measure(block, tb.Hasher(), rules), plain_repetition(" ".join(w), rules)
+        assert (got["n_repeat_words"][0], got["n_covered_words"][0], got["longest_repeat"][0], got["kept"][0]) == (wanted[4], wanted[7], wanted[8], wanted[6])
+    with pytest.raises(ValueError, match="min_repeat"):
+        repetition.RepetitionRules(min_repeat=0)
+
+
 def test_suffix_repeats_of_copied_stretches():
     rng = random.Random(1)
     for _ in range(60):
@@ -274,6 +288,19 @@ def test_line_dedup_matches_plain(docs, rules, nothing):
     assert bad and linededup.drop_boilerplate(nothing, F.col("source")).count() == 0
 
 
+def test_line_dedup_of_pages_by_url_host(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    rules = linededup.LineRules(min_pages=2)
+    rows = [(re.sub(r"^[a-z]+://(?:[^/@]*@)?([^/:?#]+).*", r"\1", r.url).lower(), r.html) for r in pages.collect()]
+    total = collections.Counter(h for h, _ in rows)
+    seen = collections.Counter((h, x) for h, t in rows for x in set((t or "").split("\n")) if t is not None and tokens(x))
+    bad = {k for k, n in seen.items() if n >= 2 and n > 0.1 * total[k[0]]}
+    out = linededup.drop_boilerplate(pages, linededup.url_host(F.col("url")), text="html", rules=rules)
+    assert collections.Counter(r.html for r in out.collect()) == collections.Counter(None if t is None else "\n".join(x for x in t.split("\n") if (h, x) not in bad) for h, t in rows)
+    odd = spark.createDataFrame([("no url",), (None,), ("http://A.b:8/x",)], "url string").select(linededup.url_host(F.col("url")).alias("h"))
+    assert [r.h for r in odd.collect()] == [None, None, "a.b"]
+
+
 # ---- op 4 ----------------------------------------------------------------------------
 
 
