@@ -3,12 +3,15 @@
 Operators that move something for every word move it as a few packed rows for each
 task and bucket, not as a row each.  `by_bucket` deals the rows (bucket, payload) to
 tasks and hands them over in order of bucket, so a task holds one bucket at a time.
+Where buckets are many, senders pack by part (`parts_for` keeps these few enough for payloads of
+some size, whatever the input), and `by_sub_bucket` cuts each part into its buckets in the receiving
+task, by Spark's own sort, which spills.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +47,60 @@ def by_bucket(packed: DataFrame, partitions: int) -> DataFrame:
     return packed.repartition(partitions, "bucket").sortWithinPartitions("bucket")
 
 
+def parts_for(size: int, least: int, bytes_each: int, most: int = 16_384) -> int:
+    """Parts that senders pack by: about bytes_each of input, not fewer than least, nor more than most,
+    beyond which parts grow and their buckets become more."""
+    return int(max(least, min(most, -(-size // bytes_each))))
+
+
+def by_sub_bucket(packed: DataFrame, partitions: int, split: Callable[[list[np.ndarray]], Iterator[tuple[int, list[np.ndarray]]]], limit: int = 24 << 20) -> DataFrame:
+    """packed (PACKED, by part) cut into buckets: split gives (sub-bucket, arrays) of an unpacked payload.
+    Rows (bucket, sub, payload) come in order of both; rows of a bucket below 0 pass as they are, with sub 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list[list[np.ndarray]]] = {}
+        size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            found, n = [], 0
+            for (b, s), parts in held.items():
+                payload = pack(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                found.append((b, s, payload))
+                n += len(payload)
+                if n > 4 << 20:
+                    yield _sub_rows(found)
+                    found, n = [], 0
+            if found:
+                yield _sub_rows(found)
+            held.clear()
+
+        for bucket, payload in stream(batches):
+            if bucket < 0:
+                yield _sub_rows([(bucket, 0, payload)])
+                continue
+            for sub, arrays in split(unpack(payload)):
+                held.setdefault((bucket, sub), []).append(arrays)
+                size += sum(x.nbytes for x in arrays)
+            if size > limit:
+                yield from out()
+                size = 0
+        yield from out()
+
+    return packed.repartition(partitions, "bucket").mapInArrow(run, "bucket int, sub int, payload binary").sortWithinPartitions("bucket", "sub")
+
+
+def _sub_rows(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], ["bucket", "sub", "payload"])
+
+
+def sub_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], bytes]]:
+    """The rows of by_sub_bucket(), one by one."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield (batch.column(0)[i].as_py(), batch.column(1)[i].as_py()), batch.column(2)[i].as_py()
+
+
 def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
     """The rows of by_bucket(), one by one."""
     for batch in batches:

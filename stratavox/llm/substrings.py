@@ -2,7 +2,8 @@
 
 A window's minimiser is the least of its m-word hashes.  Consecutive windows that
 share it travel as one packed string to the minimiser's bucket; equal windows have equal
-minimisers, so a bucket sees every occurrence of its windows.  There the windows are
+minimisers, so a bucket sees every occurrence of its windows.  Senders pack by part, and the receiving task cuts
+its part into buckets, so that payloads do not shrink as buckets become more.  In a bucket the windows are
 sorted by hash, document and start; equal hashes are confirmed word by word; each
 occurrence after the first is a repeat.
 
@@ -45,6 +46,7 @@ class RepeatRules:
     m: int = 5
     hot_share: int = 100_000
     bucket_bytes: int = 6 << 20
+    part_bytes: int = 32 << 20
 
 
 def hot_minimisers(docs: DataFrame, rules: RepeatRules) -> np.ndarray:
@@ -120,13 +122,13 @@ def _runs(block: tb.Block, at: np.ndarray, group: np.ndarray, k: int) -> tuple[n
     return cut, begin, block.ends[at[last] + k - 1] - begin
 
 
-def _send(docs: DataFrame, n_buckets: int, hot: np.ndarray, rules: RepeatRules) -> DataFrame:
-    """Super-k-mers by bucket; in bucket -1 - b, spans that a block already knows."""
+def _send(docs: DataFrame, n_parts: int, hot: np.ndarray, rules: RepeatRules) -> DataFrame:
+    """Super-k-mers by part, with 16 more bits of the minimiser's hash; in part -1 - b, spans that a block already knows."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, table, hot, k = tb.Hasher(), tb.whitespace_words(), shared.value, rules.k
-        bins = blobs.Bins(level=6)
+        bins = blobs.Bins(48 << 20, level=6)
         for batch in batches:
             ids = batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
             for block in tb.blocks(batch.column(1), table):
@@ -144,15 +146,16 @@ def _send(docs: DataFrame, n_buckets: int, hot: np.ndarray, rules: RepeatRules)
                 again = _repeats(words, at, grams, doc, start, k)
                 if again.any():
                     d, a, b = _spans(doc[again], start[again], k)
-                    yield blobs.rows([(-1 - int(d[0] % n_buckets), blobs.pack(d, a, b))])
+                    yield blobs.rows([(-1 - int(d[0] % n_parts), blobs.pack(d, a, b))])
                 first = np.flatnonzero(~again)
                 if not len(first):
                     continue
                 cut, begin, size = _runs(block, at[first], least[first] ^ place[first].astype(np.uint64), k)
-                bucket = (tb.mix64(least[first[cut]]) % _U(n_buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
+                drawn = tb.mix64(least[first[cut]])
+                bucket, more = (drawn % _U(n_parts)).astype(np.int32), (drawn >> _U(48)).astype(np.uint16)
+                order = np.lexsort((more, bucket))
                 chosen, size = first[cut][order], size[order]
-                bins.add(bucket[order], (block.data[blobs.gather(begin[order], size)], size), (size.astype(np.int32), None), (doc[chosen], None), (start[chosen].astype(np.int32), None))
+                bins.add(bucket[order], (block.data[blobs.gather(begin[order], size)], size), (size.astype(np.int32), None), (doc[chosen], None), (start[chosen].astype(np.int32), None), (more[order], None))
                 if bins.full():
                     yield from bins.out()
         yield from bins.out()
@@ -192,18 +195,28 @@ def repeated_spans(docs: DataFrame, rules: RepeatRules = RepeatRules()) -> DataF
     """(doc_id, first, stop): word ranges of docs(doc_id, text) covered by windows that also start
     earlier; ranges of one document may touch or overlap."""
     hot = hot_minimisers(docs, rules)
-    partitions = partitions_for(docs, 12 << 20)
-    n_buckets = max(8 * partitions, 5 * input_bytes(docs) // rules.bucket_bytes)
-    sent = _send(docs, int(min(n_buckets, 2**31 - 2)), hot, rules)
+    partitions = blobs.parts_for(input_bytes(docs), partitions_for(docs, 1 << 60), rules.part_bytes)
+    sent = _send(docs, partitions, hot, rules)
+    n_subs = int(min(1 << 16, max(8, 5 * input_bytes(docs) // partitions // rules.bucket_bytes)))
+
+    def split(arrays: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
+        data, size, doc, start, more = arrays
+        sub = more.astype(np.int64) * n_subs >> 16
+        order = np.argsort(sub, kind="stable")
+        begin = np.cumsum(size, dtype=np.int64) - size
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(sub[order]) > 0]))
+        for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
+            at = order[a:b]
+            yield int(sub[at[0]]), [data[blobs.gather(begin[at], size[at].astype(np.int64))], size[at], doc[at], start[at]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def given(d, a, b):
             return pa.RecordBatch.from_arrays([pa.array(d), pa.array(a), pa.array(b)], ["doc_id", "first", "stop"])
 
         held, now = _Bucket(rules), None
-        for bucket, payload in blobs.stream(batches):
+        for bucket, payload in blobs.sub_stream(batches):
             part = blobs.unpack(payload)
-            if bucket < 0:
+            if bucket[0] < 0:
                 yield given(*part)
                 continue
             if bucket != now and held.parts:
@@ -215,7 +228,7 @@ def repeated_spans(docs: DataFrame, rules: RepeatRules = RepeatRules()) -> DataF
         if held.parts:
             yield given(*held.fold(False))
 
-    return blobs.by_bucket(sent, partitions).mapInArrow(run, "doc_id bigint, first int, stop int")
+    return blobs.by_sub_bucket(sent, partitions, split).mapInArrow(run, "doc_id bigint, first int, stop int")
 
 
 REMOVED = "doc_id bigint, n_words bigint, n_removed bigint, kept string"
