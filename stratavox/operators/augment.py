@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .field import resample_nearest
+from .field import resample_linear, resample_nearest
 from .neighbors import AXES, gaussian_weights, smooth
 from .patch import mixed
 
@@ -17,7 +17,7 @@ CHAIN = ("downsample", "flip", "transpose", "rotate", "zoom", "elastic", "bright
 
 def chosen(sample: Column, operation: str, seed: int = 0, percent: int = 50) -> Column:
     """Whether a sample takes an operation."""
-    return mixed(sample * 31 + CHAIN.index(operation) * 7919, seed) % 100 < percent
+    return mixed(sample, F.lit(operation), salt=seed) % 100 < percent
 
 
 def flip(df: DataFrame, axis: str, n: int) -> DataFrame:
@@ -52,16 +52,23 @@ def blur(df: DataFrame, n: int, sigma: float) -> DataFrame:
     return smooth(df, n, gaussian_weights(sigma), integer=False) if sigma > 0 else df
 
 
-def zoom(df: DataFrame, n: int, percent: int) -> DataFrame:
-    """Nearest rescale to percent of the side, then a centred crop or zero-free pad to the side again."""
-    n_out = max(1, n * percent // 100)
-    out = resample_nearest(df, n, n_out)
-    shift = (n - n_out) // 2
-    keep = F.lit(True)
-    for a in AXES:
-        out = out.withColumn(a, F.col(a) + shift)
-        keep = keep & F.col(a).between(0, n - 1)
-    return out.filter(keep)
+def zoom(df: DataFrame, n: int, percent: int | tuple[int, int, int], seed: int | None = None, value: str = "label", order: int = 0) -> DataFrame:
+    """Rescale by percent of the side (by axis), nearest or (order 1) linear; then each axis is padded with
+    zeros to the side again, evenly, or cropped, at the middle or, with a seed, at a place drawn by image."""
+    from .patch import pad
+
+    percents = (percent,) * 3 if isinstance(percent, int) else percent
+    out = df
+    sizes = [max(1, (n * p + 50) // 100) for p in percents]
+    for a, m in zip(AXES, sizes, strict=True):
+        out = resample_linear(out, m, None, n, value, (a,)) if order else resample_nearest(out, n, m, (a,))
+    for a, m in zip(AXES, sizes, strict=True):
+        if m < n:
+            out = pad(out, m, n, "constant", (n - m) // 2, value, (a,))
+        elif m > n:
+            start = F.lit((m - n) // 2) if seed is None else (mixed(F.col("img"), F.lit(a), salt=seed) % (m - n + 1)).cast("int")
+            out = out.withColumn(a, F.col(a) - start).filter(F.col(a).between(0, n - 1))
+    return out
 
 
 def rotate(df: DataFrame, n: int, degrees: float, value: str = "v") -> DataFrame:
@@ -74,6 +81,29 @@ def rotate(df: DataFrame, n: int, degrees: float, value: str = "v") -> DataFrame
     return keyed.join(source, ["img", "z", "sy", "sx"], "left").select("img", *AXES, F.coalesce(value, F.lit(0)).alias(value))
 
 
+def rotate_linear(df: DataFrame, n: int, degrees: float, value: str = "v") -> DataFrame:
+    """Rotation about the z axis, linear samples, zero outside, same shape: four corners of the source by an equi-join."""
+    c, s, mid = math.cos(math.radians(degrees)), math.sin(math.radians(degrees)), (n - 1) / 2
+    y, x = F.col("y") - mid, F.col("x") - mid
+    at = df.select("img", *AXES).withColumns({"py": F.round(c * y + s * x + mid, 9), "px": F.round(-s * y + c * x + mid, 9)})
+    corners = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])
+    out = at.withColumn("corner_", F.explode(corners))
+    for a, k in (("y", "i"), ("x", "j")):
+        low = F.floor(f"p{a}")
+        part = F.col(f"p{a}") - low
+        out = out.withColumns({f"s{a}": (low + F.col(f"corner_.{k}")).cast("int"), f"w{a}": F.when(F.col(f"corner_.{k}") == 1, part).otherwise(1 - part)})
+    source = df.select("img", "z", F.col("y").alias("sy"), F.col("x").alias("sx"), F.col(value).alias("sample_"))
+    hit = out.join(source, ["img", "z", "sy", "sx"], "left")
+    return hit.groupBy("img", *AXES).agg(F.coalesce(F.sum(F.col("wy") * F.col("wx") * F.col("sample_")), F.lit(0.0)).alias(value))
+
+
+def augmented(blocks: DataFrame, augmenter, schema: str) -> DataFrame:
+    """blocks through a caller's augmenter: DataFrame -> DataFrame in Arrow batches."""
+    from .field import scored
+
+    return scored(blocks, augmenter, schema)
+
+
 def _view_maps(n: int) -> list[tuple[tuple, tuple]]:
     """(forward, backward) integer maps of the 27 views: rows of (axis coefficients, offset) for z, y, x."""
 
@@ -141,6 +171,21 @@ def spline_window(side: int, power: int = 2) -> list[float]:
     return [r / mean for r in raw]
 
 
+def gauss_window(side: int, k: float = 2.608) -> list[float]:
+    """A bell over the window, of width x0 / sqrt(8 k)."""
+    a = 2 / (1 - math.exp(-k))
+    return [a * math.exp(-((i - side / 2) ** 2) / (2 * side**2 / (8 * k))) + 2 - a for i in range(side)]
+
+
+def window_3d(side: int, mode: str = "spline", power: int = 2) -> list[float]:
+    """The product of a profile along three axes over its largest value, row-major."""
+    if mode not in ("spline", "gaus"):
+        raise ValueError(f"unknown window {mode!r}")
+    w = spline_window(side, power) if mode == "spline" else gauss_window(side)
+    top = max(w) ** 3
+    return [a * b * c / top for a in w for b in w for c in w]
+
+
 def raised_cosine(n: int) -> list[float]:
     return [0.5 - 0.5 * math.cos(math.pi * i / max(n - 1, 1)) for i in range(n)]
 

@@ -115,37 +115,137 @@ def votes(df: DataFrame, vectors: tuple[str, str, str], bins: int, n: int) -> Da
     return df.select("img", *at).groupBy("img", *AXES).agg(F.count("*").alias("n"))
 
 
-def resample_linear(df: DataFrame, factor_num: int, factor_den: int, n: int, value: str = "v") -> DataFrame:
+def resample_linear(df: DataFrame, factor_num: int | Column, factor_den: int | None, n: int, value: str = "v", axes: tuple[str, ...] = tuple(AXES)) -> DataFrame:
     """The volume at n_out = n * num // den per axis by linear interpolation between the samples around
-    (i + 0.5) * n / n_out - 0.5, edges held; positions are kept in exact fractions."""
-    n_out = n * factor_num // factor_den
-    out = df.select("img", *AXES, F.col(value).cast("double").alias(value))
-    for axis in AXES:
-        taps: dict[int, list[tuple[int, float]]] = {}
-        for i in range(n_out):
-            p = min(max(((2 * i + 1) * n - n_out) / (2 * n_out), 0.0), n - 1.0)
-            k = min(int(p), n - 2) if n > 1 else 0
-            for s, w in ((k, 1 - (p - k)), (k + 1, p - k)):
-                if w > 0:
-                    taps.setdefault(s, []).append((i, w))
-        table = F.create_map(*[v for s, t in sorted(taps.items()) for v in (F.lit(s), F.array(*[F.struct(F.lit(i).alias("i"), F.lit(w).alias("w")) for i, w in t]))])
+    (i + 0.5) * n / n_out - 0.5, edges held.  Without den, num is n_out itself, a number or a column (a size by image).
+
+    A sample adds to a short run of outputs, whose bounds follow by arithmetic."""
+    n_out = (F.lit(factor_num) if isinstance(factor_num, int) else factor_num) if factor_den is None else F.lit(n * factor_num // factor_den)
+    sized = "n_out_" if not isinstance(factor_num, int) else None
+    out = df.select("img", *AXES, F.col(value).cast("double").alias(value), *([n_out.cast("int").alias(sized)] if sized else []))
+    m = F.col(sized) if sized else n_out
+    for axis in axes:
+        s = F.col(axis)
+        first = F.when(s == 0, 0).otherwise(F.floor((2 * m * (s - 1) + m - n) / (2.0 * n)))
+        last = F.when(s == n - 1, m - 1).otherwise(F.ceil((2 * m * (s + 1) + m - n) / (2.0 * n)))
+        first, last = F.greatest(first, F.lit(0)).cast("int"), F.least(last, m - 1).cast("int")
+        spread = out.withColumn("t_", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))))
+        p = F.least(F.greatest(((2 * F.col("t_") + 1) * n - m) / (2.0 * m), F.lit(0.0)), F.lit(n - 1.0))
+        spread = spread.withColumn("w_", 1 - F.abs(p - s)).filter("w_ > 0")
         others = [a for a in AXES if a != axis]
-        spread = out.withColumn("t_", F.explode(table[F.col(axis)]))
-        out = spread.groupBy("img", *others, F.col("t_.i").alias(axis)).agg(F.sum(F.col("t_.w") * F.col(value)).alias(value))
+        out = spread.groupBy("img", *others, *([sized] if sized else []), F.col("t_").alias(axis)).agg(F.sum(F.col("w_") * F.col(value)).alias(value))
     return out.select("img", *AXES, value)
 
 
-def resample_nearest(df: DataFrame, n: int, n_out: int) -> DataFrame:
-    """Each output voxel takes the sample at floor((i + 0.5) * n / n_out)."""
-    places: dict[int, list[int]] = {}
-    for i in range(n_out):
-        places.setdefault(((2 * i + 1) * n) // (2 * n_out), []).append(i)
-    table = F.create_map(*[v for s, t in sorted(places.items()) for v in (F.lit(s), F.array(*map(F.lit, t)))])
-    for axis in AXES:
-        df = df.withColumn(axis, F.explode(table[F.col(axis)]))
+def resample_nearest(df: DataFrame, n: int, n_out: int | Column, axes: tuple[str, ...] = tuple(AXES)) -> DataFrame:
+    """Each output voxel takes the sample at floor((i + 0.5) * n / n_out); n_out may be a column (a size by image)."""
+    m = F.lit(n_out) if isinstance(n_out, int) else n_out
+    begin = lambda s: F.greatest(F.ceil((2 * m * s - n) / (2.0 * n)), F.lit(0)).cast("int")
+    for axis in axes:
+        first, last = begin(F.col(axis)), F.least(begin(F.col(axis) + 1) - 1, m - 1).cast("int")
+        df = df.withColumn(axis, F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))))
     return df
 
 
+def shrunk_linear(df: DataFrame, n: int, n_out: int, value: str = "v") -> DataFrame:
+    """resample_linear() behind a smoothing of (n / n_out - 1) / 2 deviations where the volume shrinks."""
+    from .neighbors import gaussian_weights, smooth
+
+    sigma = max(0.0, (n / n_out - 1) / 2)
+    soft = smooth(df, n, gaussian_weights(sigma), integer=False, value=value) if sigma > 0.125 else df
+    return resample_linear(soft, n_out, None, n, value)
+
+
+def rescale_by_radius(df: DataFrame, n: int, target: float, label: str = "label", value: str | None = None) -> DataFrame:
+    """Labels (nearest) or, with value, intensities (linear) of each image at int(n * target / its mean object
+    radius) cells a side; images without objects keep their size."""
+    from .regions import mean_radius
+
+    size = mean_radius(df, label).select("img", (F.lit(n) * F.lit(target) / F.col("radius")).cast("int").alias("n_out"))
+    sized = df.join(size, "img", "left").withColumn("n_out", F.greatest(F.coalesce("n_out", F.lit(n)), F.lit(1)))
+    if value:
+        return resample_linear(sized, F.col("n_out"), None, n, value)
+    return resample_nearest(sized, n, F.col("n_out")).drop("n_out")
+
+
+def _spline_coefficients(grid: np.ndarray) -> np.ndarray:
+    """Cubic B-spline coefficients of samples along the last three axes, mirrored at the ends."""
+    pole = np.sqrt(3.0) - 2.0
+    out = grid.astype(float)
+    for axis in range(out.ndim - 3, out.ndim):
+        x = np.moveaxis(out, axis, 0).copy()
+        n = len(x)
+        if n == 1:
+            continue
+        x *= (1 - pole) * (1 - 1 / pole)
+        powers = pole ** np.arange(2 * n - 2)
+        mirror = np.concatenate([x, x[-2:0:-1]])
+        x[0] = np.tensordot(powers, mirror, 1) / (1 - pole ** (2 * n - 2))
+        for i in range(1, n):
+            x[i] += pole * x[i - 1]
+        x[-1] = pole / (pole * pole - 1) * (x[-1] + pole * x[-2])
+        for i in range(n - 2, -1, -1):
+            x[i] = pole * (x[i + 1] - x[i])
+        out = np.moveaxis(x, 0, axis)
+    return out
+
+
+def _sample_cubic(coefficients: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Cubic spline samples at pos (3, n); zero outside the volume."""
+    shape = np.array(coefficients.shape[1:])[:, None]
+    low = np.floor(pos).astype(np.int64)
+    t = pos - low
+    weights = np.stack([(1 - t) ** 3 / 6, (3 * t**3 - 6 * t**2 + 4) / 6, (-3 * t**3 + 3 * t**2 + 3 * t + 1) / 6, t**3 / 6])
+    out = np.zeros((len(coefficients), pos.shape[1]))
+    for c in itertools.product(range(4), repeat=3):
+        at = low + np.array(c)[:, None] - 1
+        at = np.abs(at)  # mirrored at the first and last sample
+        at = np.where(at >= shape, 2 * (shape - 1) - at, at)
+        at = np.clip(at, 0, shape - 1)
+        out += weights[c[0], 0] * weights[c[1], 1] * weights[c[2], 2] * coefficients[:, at[0], at[1], at[2]]
+    return np.where(((pos >= 0) & (pos <= shape - 1)).all(0), out, 0.0)
+
+
+def cubic(points: DataFrame, volume: DataFrame, n: int, value: str = "v") -> DataFrame:
+    """points(img, pid, pz, py, px) with the cubic spline through an n-sided volume there (0 outside); a kernel an image."""
+
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        grid = np.zeros((1, n, n, n))
+        grid[0, right["z"], right["y"], right["x"]] = right[value].to_numpy(float)
+        pos = left[["pz", "py", "px"]].to_numpy(float).T
+        return left[["img", "pid"]].assign(**{value: _sample_cubic(_spline_coefficients(grid), pos)[0]})
+
+    own = points.select("img", "pid", "pz", "py", "px")
+    return own.groupBy("img").cogroup(volume.select("img", *AXES, value).groupBy("img")).applyInPandas(run, f"img long, pid long, {value} double")
+
+
+def descend(field: DataFrame, n: int, iterations: int = 200, rate: float = 0.1, tolerance: float = 1e-6, start: str | None = None) -> DataFrame:
+    """(img, vid, step, z, y, x): positions after each step of plain descent through the cubic spline of
+    field(img, vid, z, y, x, uz, uy, ux); a point leaves when its step is tolerance or less.  start: a
+    boolean column that marks the starting voxels (all).  A kernel an image; points are independent,
+    so images may be cut into parts that share the field."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = pdf[AXES].to_numpy(np.int64).T
+        grid = np.zeros((3, n, n, n))
+        grid[:, at[0], at[1], at[2]] = pdf[[f"u{a}" for a in AXES]].to_numpy(float).T
+        spline = _spline_coefficients(grid)
+        mine = pdf[start].to_numpy(bool) if start else np.ones(len(pdf), bool)
+        vid, pos, rows = pdf["vid"].to_numpy()[mine], at[:, mine].astype(float), []
+        for step in range(1, iterations + 1):
+            move = rate * _sample_cubic(spline, pos)
+            going = np.sqrt((move**2).sum(0)) > tolerance
+            vid, pos = vid[going], (pos + move)[:, going]
+            rows.append(pd.DataFrame({"vid": vid, "step": step, "z": pos[0], "y": pos[1], "x": pos[2]}))
+            if not len(vid):
+                break
+        out = pd.concat(rows) if rows else pd.DataFrame({"vid": [], "step": [], "z": [], "y": [], "x": []})
+        return out.assign(img=pdf["img"].iloc[0])[["img", "vid", "step", *AXES]]
+
+    columns = ["img", "vid", *AXES, *[f"u{a}" for a in AXES], *([start] if start else [])]
+    return field.select(*columns).groupBy("img").applyInPandas(run, "img long, vid long, step int, z double, y double, x double")
+
+
 def scored(blocks: DataFrame, predict, schema: str) -> DataFrame:
     """blocks through an opaque batch scorer: predict(DataFrame) -> DataFrame, in Arrow batches."""
 
@@ -155,3 +255,18 @@ def scored(blocks: DataFrame, predict, schema: str) -> DataFrame:
 
     return blocks.mapInPandas(run, schema)
 
+
+def scored_or_failed(blocks: DataFrame, predict, schema: str) -> DataFrame:
+    """scored() row by row with a column `error`: a row that predict fails on has its message and nulls."""
+    names = [f.name for f in blocks.sparkSession.createDataFrame([], schema).schema]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for i in range(len(pdf)):
+                one = pdf.iloc[i : i + 1]
+                try:
+                    yield predict(one).assign(error=None)
+                except Exception as e:  # noqa: BLE001  the message is the row's result
+                    yield pd.DataFrame({c: [one[c].iloc[0] if c in one else None] for c in names}).assign(error=f"{type(e).__name__}: {e}")
+
+    return blocks.mapInPandas(run, schema + ", error string")

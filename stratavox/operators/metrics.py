@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,9 +50,30 @@ def dice_bce_loss(t: Column, p: Column) -> Column:
     return dice_loss(t, p) + 10 * cross_entropy(t, p)
 
 
-def weighted_cross_entropy(classes: list[tuple[Column, Column]], weights: tuple[float, ...] = (0.3665, 11.278, 5.4695)) -> Column:
+#: The weights of three classes.
+CLASS_WEIGHTS = (0.36650165, 11.27804614, 5.46951642)
+
+
+def categorical_cross_entropy(classes: list[tuple[Column, Column]]) -> Column:
+    """Mean over rows of -sum over classes of t log p, the p of a row scaled to a sum of one."""
+    total = sum(p for _, p in classes)
+    return F.avg(-sum(t * F.log(_clipped(p / total)) for t, p in classes))
+
+
+def weighted_cross_entropy(classes: list[tuple[Column, Column]], weights: tuple[float, ...] = CLASS_WEIGHTS) -> Column:
+    """The mean categorical cross entropy times each weight, summed: the weights scale the whole, not its classes."""
+    return float(sum(weights)) * categorical_cross_entropy(classes)
+
+
+def class_weighted_cross_entropy(classes: list[tuple[Column, Column]], weights: tuple[float, ...] = CLASS_WEIGHTS) -> Column:
     """Mean over rows of -sum over classes of weight * t * log p, for (t, p) of each class."""
-    return F.avg(-sum(w * t * F.log(_clipped(p)) for w, (t, p) in zip(weights, classes, strict=False)))
+    return F.avg(-sum(w * t * F.log(_clipped(p)) for w, (t, p) in zip(weights, classes, strict=True)))
+
+
+def memory_gigabytes(outputs: list[tuple[int | None, ...]], parameters: int, batch: int, number_bytes: int = 4) -> float:
+    """Memory of a net's outputs (shapes by layer; None for the batch axis) and parameters."""
+    cells = sum(math.prod(n for n in shape if n is not None) for shape in outputs)
+    return round(number_bytes * (batch * cells + parameters) / 1024**3, 3)
 
 
 def all_metrics(df: DataFrame, by: tuple[str, ...] = ("img",), t: str = "t", p: str = "p") -> DataFrame:

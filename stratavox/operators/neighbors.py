@@ -86,7 +86,7 @@ def connected_components_relational(df: DataFrame, connectivity: int = 26, label
     edges = adjacency(df, connectivity, label)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
     labels = df.select("img", F.col("vid").alias("a"), F.col("vid").alias("c")).checkpoint()
-    before = None
+    before = None  # labels only fall, so equal sums mean that none changed
     while True:
         near = both.join(labels.select(F.col("a").alias("b"), F.col("c").alias("n")), "b").groupBy("a").agg(F.min("n").alias("n"))
         hop = labels.join(near, "a", "left").select("img", "a", F.least("c", F.coalesce("n", "c")).alias("c"))
@@ -127,11 +127,13 @@ def smooth(df: DataFrame, n: int, weights: list[float], integer: bool = True, va
     show).  df may be sparse; the result has the voxels that a non-zero value reaches."""
     radius, out = len(weights) // 2, df.select("img", *AXES, F.col(value).cast("double").alias(value))
     taps = F.array(*[F.struct(F.lit(i - radius).alias("d"), F.lit(w).alias("w")) for i, w in enumerate(weights)])
+    turns = range(-(radius // (2 * n)) - 1, radius // (2 * n) + 2)
     for axis in AXES:
-        # the sample at s adds to every t with reflect(t + d) = s; wide sources make at most two such t a tap
-        spread = out.withColumn("tap_", F.explode(taps)).withColumn(
-            "to_", F.explode(F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda t: edge_reflect(t + F.col("tap_.d"), n) == F.col(axis)))
-        )
+        # the sample at s adds to every t with reflect(t + d) = s, that is t + d = s or -1 - s up to whole periods
+        moved = out.withColumn("tap_", F.explode(taps))
+        first, second = F.col(axis) - F.col("tap_.d"), -1 - F.col(axis) - F.col("tap_.d")
+        targets = F.array(*[x + 2 * n * k for k in turns for x in (first, second)])
+        spread = moved.withColumn("to_", F.explode(F.filter(targets, lambda t: (t >= 0) & (t < n))))
         others = [a for a in AXES if a != axis]
         out = spread.groupBy("img", *others, F.col("to_").alias(axis)).agg(F.sum(F.col("tap_.w") * F.col(value)).alias(value))
         if integer:

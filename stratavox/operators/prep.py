@@ -51,15 +51,14 @@ def matching_stems(files: DataFrame, stems: list[str]) -> Column:
     return F.exists(F.array(*map(F.lit, stems)), lambda s: F.contains(F.col("path"), s))
 
 
-def stem_join(files: DataFrame, stems: DataFrame, anti: bool = False, path: str = "path", stem: str = "stem", grams: int = 4) -> DataFrame:
+def stem_join(files: DataFrame, stems: DataFrame, anti: bool = False, path: str = "path", stem: str = "stem") -> DataFrame:
     """Files whose path mentions one of the stems (semi), or none (anti).
 
-    A substring test has no equi key, so one is made: a stem's first `grams` characters are
-    a gram of every path that mentions it.  Paths are exploded into their distinct grams,
-    joined on them and then tested; stems shorter than a gram are tested on their own
-    length's grams.  This stays a hash join whatever the number of stems."""
-    sizes = [r[0] for r in stems.select(F.least(F.length(stem), F.lit(grams)).alias("n")).filter("n > 0").distinct().collect()]  # at most `grams` rows
-    key = stems.filter(F.length(stem) > 0).select(F.col(stem).alias("stem_"), F.expr(f"substring({stem}, 1, {grams})").alias("gram_")).distinct()
+    A substring test has no equi key, so the path's substrings of the stems' lengths (few: a path is
+    short) are exploded and joined on the whole stem: a hash join on distinct keys, whatever the
+    number of stems and however alike their beginnings."""
+    sizes = [r[0] for r in stems.select(F.length(stem).alias("n")).filter("n > 0").distinct().collect()]  # at most the longest name
+    key = stems.filter(F.length(stem) > 0).select(F.col(stem).alias("stem_")).distinct()
     own = files.select(F.col(path).alias("path_")).distinct()
 
     def cuts(n: int) -> Column:
@@ -67,8 +66,8 @@ def stem_join(files: DataFrame, stems: DataFrame, anti: bool = False, path: str
         every = F.transform(F.sequence(F.lit(1), F.length("path_") - n + 1), lambda i: F.substring("path_", i, F.lit(n)))
         return F.when(F.length("path_") >= n, every).otherwise(F.array().cast("array<string>"))
 
-    pieces = F.array_distinct(F.flatten(F.array(*map(cuts, sizes)))) if sizes else F.array().cast("array<string>")
-    hit = own.withColumn("gram_", F.explode(pieces)).join(key, "gram_").filter(F.contains("path_", "stem_")).select("path_").distinct()
+    pieces = F.array_distinct(F.flatten(F.array(*map(cuts, sorted(sizes))))) if sizes else F.array().cast("array<string>")
+    hit = own.withColumn("stem_", F.explode(pieces)).join(key, "stem_", "left_semi").select("path_").distinct()
     return files.join(hit, files[path] == hit["path_"], "left_anti" if anti else "left_semi")
 
 
@@ -102,3 +101,25 @@ def epochs_since_best(history: DataFrame, value: str = "value", by: str = "metri
     fell = marked.withColumn("at_", F.when(before.isNull() | (F.col("best") < before - least_gain), F.col("epoch")))
     last = F.last("at_", ignorenulls=True).over(Window.partitionBy(by).orderBy("epoch").rowsBetween(Window.unboundedPreceding, 0))
     return fell.withColumn("waited", F.col("epoch") - last).drop("at_")
+
+
+def learning_rates(history: DataFrame, start: float, factor: float = 0.5, patience: int = 10, least_gain: float = 0.001, floor: float = 0.0, value: str = "value", by: str = "metric") -> DataFrame:
+    """history(by, epoch, value) with the rate in force at each epoch: it falls by a factor once the value has
+    not improved by least_gain for `patience` epochs, and the wait starts again.  Each step depends on the
+    one before, so a training run (some hundred epochs) is a kernel's group."""
+
+    def run(pdf):
+        pdf = pdf.sort_values("epoch")
+        best, waited, rate, out = float("inf"), 0, start, []
+        for v in pdf[value]:
+            out.append(rate)
+            if v < best - least_gain:
+                best, waited = v, 0
+            else:
+                waited += 1
+                if waited >= patience:
+                    rate, waited = max(rate * factor, floor), 0
+        return pdf.assign(rate=out)[[by, "epoch", value, "rate"]].astype({value: float})
+
+    kinds = {f.name: f.dataType.simpleString() for f in history.schema}
+    return history.select(by, "epoch", value).groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, epoch {kinds['epoch']}, {value} double, rate double")

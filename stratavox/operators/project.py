@@ -25,6 +25,20 @@ def minmax(df: DataFrame, value: str = "v") -> DataFrame:
     return out.withColumn("norm", (F.col(value) - F.col("lo_")) / F.nullif(F.col("hi_") - F.col("lo_"), F.lit(0))).drop("lo_", "hi_")
 
 
+def minmax_bytes(df: DataFrame, value: str = "v") -> DataFrame:
+    """byte: (v - min) / (max - min + 1e-9) of the image on 0..255, toward zero."""
+    out = per_image(df, lo_=F.min(value), hi_=F.max(value))
+    scaled = (F.col(value) - F.col("lo_")) / (F.col("hi_") - F.col("lo_") + F.lit(1e-9)) * 255
+    return out.withColumn("byte", scaled.cast("int")).drop("lo_", "hi_")
+
+
+def class_of_scores(df: DataFrame, scores: list[str]) -> DataFrame:
+    """class_id: the first of the largest scores; probability: its share of their sum, within 0..1, null without a sum."""
+    values = F.array(*[F.col(c).cast("double") for c in scores])
+    share = F.array_max(values) / F.nullif(sum(F.col(c).cast("double") for c in scores), F.lit(0.0))
+    return df.withColumns({"class_id": (F.array_position(values, F.array_max(values)) - 1).cast("int"), "probability": F.when(share.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))})
+
+
 def percentile_rescale(df: DataFrame, low: float = 2.0, high: float = 99.8, value: str = "v") -> DataFrame:
     """rescaled: v clipped to its image's exact percentiles and mapped to [0, 1]."""
     marks = F.percentile(value, F.array(F.lit(low / 100), F.lit(high / 100)))
@@ -84,6 +98,14 @@ def unit_vectors(df: DataFrame, names: tuple[str, str, str] = ("dz", "dy", "dx")
 
 
 
+def preprocessed(df: DataFrame, n: int, side: int = 8, sigma: float = 5.0, width: float = 1.0, balance: float = 0.1, low: float = 2.0, high: float = 99.8) -> DataFrame:
+    """(img, z, y, x, v): illumination corrected, planes deconvolved, values rescaled by percentiles, in this order."""
+    from .neighbors import wiener
+
+    sharp = wiener(illumination_corrected(df, n, side, sigma), n, width, balance)
+    return percentile_rescale(sharp, low, high).withColumn("v", F.col("rescaled")).drop("rescaled")
+
+
 def illumination_corrected(df: DataFrame, n: int, side: int = 8, sigma: float = 5.0, value: str = "v") -> DataFrame:
     """v * mean / background: the background is the block mean over cubes of a side (edges as
     padded), smoothed, scaled up linearly and held at a hundredth at least."""

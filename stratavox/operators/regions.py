@@ -69,6 +69,18 @@ def normalised_targets(df: DataFrame, label: str = "label", least: int = 20) ->
     return out.withColumns(step).drop(*[c for a in AXES for c in (f"c{a}", f"min_{a}", f"max_{a}")])
 
 
+def encoded_targets(df: DataFrame, least: int = 20, dust: int = 100, label: str = "label") -> DataFrame:
+    """normalised_targets() of the objects that are left when equal labels are split into their connected parts and
+    parts under `dust` voxels go; df has vid.  Voxels of no such part have null vectors."""
+    from .neighbors import connected_components, dense_labels
+
+    found = dense_labels(connected_components(df.filter(F.col(label) > 0), 26, label)).select("img", "vid", "component_id")
+    big = found.groupBy("img", "component_id").count().filter(F.col("count") >= dust).drop("count")
+    kept = found.join(big, ["img", "component_id"], "left_semi")
+    out = df.join(kept, ["img", "vid"], "left").withColumn(label, F.coalesce("component_id", F.lit(0))).drop("component_id")
+    return normalised_targets(out, label, least)
+
+
 def block_means(df: DataFrame, side: int, value: str = "v") -> DataFrame:
     """(img, z, y, x, sum_v, n): sums over cubes of a side; a mean divides by side**3 where edges count as padded."""
     at = [F.floor(F.col(a) / side).cast("int").alias(a) for a in AXES]

@@ -75,10 +75,34 @@ def ecdf(df: DataFrame, value: str, by: str = "condition") -> DataFrame:
     return counts.withColumns({"below": below, "ecdf": below / total})
 
 
+def exact_quantiles(df: DataFrame, value: str, shares: tuple[float, ...], by: str = "condition", bins: int = 4096) -> DataFrame:
+    """(by, share, quantile): exact quantiles, interpolated linearly between neighbouring values.
+
+    Values are counted by group and bin; only the bins that hold a wanted rank are counted by value,
+    so no task holds a group's values."""
+    stats = df.filter(F.col(value).isNotNull()).groupBy(by).agg(F.min(value).alias("lo_"), F.max(value).alias("hi_"), F.count("*").alias("n_"))
+    span = F.nullif((F.col("hi_") - F.col("lo_")).cast("double"), F.lit(0.0))
+    binned = df.filter(F.col(value).isNotNull()).select(by, F.col(value).alias("v_")).join(stats, by)
+    binned = binned.withColumn("b_", F.least(F.floor(F.coalesce((F.col("v_") - F.col("lo_")).cast("double") / span, F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int"))
+    up = Window.partitionBy(by).orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)
+    counts = binned.groupBy(by, "b_").count().withColumn("before_", F.coalesce(F.sum("count").over(up), F.lit(0)))
+    wanted = stats.select(by, "n_", F.explode(F.array(*map(F.lit, shares))).alias("share")).withColumn("h_", F.col("share") * (F.col("n_") - 1))
+    wanted = wanted.withColumn("end_", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("rank_", F.least(F.floor("h_") + F.col("end_"), F.col("n_") - 1))
+    cells = wanted.join(counts, by).filter((F.col("rank_") >= F.col("before_")) & (F.col("rank_") < F.col("before_") + F.col("count")))
+    cells = cells.select(by, "b_", "share", "h_", "end_", (F.col("rank_") - F.col("before_")).alias("place_"))
+    within = Window.partitionBy(by, "b_").orderBy("v_").rowsBetween(Window.unboundedPreceding, 0)
+    values = binned.join(cells.select(by, "b_").distinct(), [by, "b_"], "left_semi").groupBy(by, "b_", "v_").agg(F.count("*").alias("c_")).withColumn("below_", F.sum("c_").over(within))
+    found = cells.join(values, [by, "b_"]).filter((F.col("place_") < F.col("below_")) & (F.col("place_") >= F.col("below_") - F.col("c_")))
+    ends = found.groupBy(by, "share").agg(F.min_by("v_", "end_").cast("double").alias("a_"), F.max_by("v_", "end_").cast("double").alias("z_"), F.first("h_").alias("h_"))
+    part = F.col("h_") - F.floor("h_")
+    return ends.select(by, "share", ((1 - part) * F.col("a_") + part * F.col("z_")).alias("quantile"))
+
+
 def box_summary(df: DataFrame, value: str, by: str = "condition") -> DataFrame:
     """Exact quartiles of each group."""
-    marks = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q_")
-    return df.groupBy(by).agg(marks).select(by, *[F.col("q_")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))])
+    found = exact_quantiles(df, value, (0.25, 0.5, 0.75), by)
+    of = lambda q: F.max(F.when(F.col("share") == q, F.col("quantile")))
+    return found.groupBy(by).agg(of(0.25).alias("q1"), of(0.5).alias("median"), of(0.75).alias("q3"))
 
 
 def kernel_density(df: DataFrame, value: str, points: list[float], bandwidth: float) -> list[float]:

@@ -159,50 +159,119 @@ def stitch_blend(spark, sf_dir):
     return patch.stitch(patch.patchify(views.voxels(spark, sf_dir), grid, SIDE), grid, SIDE)
 
 
-@query("""WITH t AS (SELECT o_orderpriority AS grp, o_custkey AS item, count(*) AS weight FROM orders WHERE o_custkey % 10 = 0 GROUP BY ALL),
+@query("""WITH t AS (SELECT o_orderpriority AS grp, o_custkey AS item, count(*) AS weight FROM orders GROUP BY ALL),
 f AS (SELECT *, sum(weight) OVER (PARTITION BY grp) AS s FROM t),
 r AS (SELECT *, CAST(floor(1000 * weight / s) AS BIGINT) AS fl, 1000 * weight - floor(1000 * weight / s) * s AS rest FROM f),
 k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY rest DESC, item) AS o, 1000 - sum(fl) OVER (PARTITION BY grp) AS lft FROM r)
 SELECT grp, item, weight, CAST(fl + CASE WHEN o <= lft THEN 1 ELSE 0 END AS BIGINT) AS share FROM k""")
 def apportion_budget(spark, sf_dir):
-    weights = views.table(spark, sf_dir, "orders").filter("o_custkey % 10 = 0").groupBy(F.col("o_orderpriority").alias("grp"), F.col("o_custkey").alias("item")).agg(F.count("*").alias("weight"))
+    weights = views.table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("grp"), F.col("o_custkey").alias("item")).agg(F.count("*").alias("weight"))
     return patch.largest_remainder(weights, 1000, ("grp",))
 
 
-_MIX = "((({0}) * 1103515245 + 12345) % 2147483648 * 48271 + 11) % 2147483647"
+_MIX = "CAST('0x' || substr(md5(concat_ws(':', {0})), 1, 8) AS BIGINT)"
 
 
-@query(f"""WITH h AS (SELECT part.p_partkey, {_MIX.format("p_partkey + 42")} AS h FROM part)
+@query(f"""WITH h AS (SELECT part.p_partkey, {_MIX.format("p_partkey, 42")} AS h FROM part)
 SELECT p_partkey, row_number() OVER (ORDER BY h, p_partkey) <= ceil((SELECT count(*) FROM part) * 10 / 100) AS held FROM h""")
 def exact_split(spark, sf_dir):
     return patch.exact_split(views.table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", 10, 42)
 
 
-@query(f"""WITH h AS (SELECT doc_id, source, {_MIX.format("doc_id + 42")} AS h FROM documents)
+@query(f"""WITH h AS (SELECT doc_id, source, {_MIX.format("doc_id, 42")} AS h FROM documents)
 SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY h, doc_id) <= greatest(1, floor(count(*) OVER (PARTITION BY source) * 10 / 100)) AS held FROM h""")
 def stratified_split(spark, sf_dir):
     docs = views.table(spark, sf_dir, "documents").select("doc_id", "source")
     return patch.exact_split(docs, "doc_id", 10, 42, ("source",), floor=True)
 
 
-@query(f"""SELECT p_partkey FROM part ORDER BY {_MIX.format("p_partkey + 7")}, p_partkey LIMIT 100""")
+@query(f"""SELECT p_partkey FROM part ORDER BY {_MIX.format("p_partkey, 7")}, p_partkey LIMIT 100""")
 def sample_without_replacement(spark, sf_dir):
     return patch.sample_without_replacement(views.table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", 100, 7)
 
 
-@query("{views}, n AS (SELECT img, k, img * 1000003 + k * 3 AS n FROM (SELECT DISTINCT img FROM voxels), (SELECT unnest(range(8)) AS k))\n" + f"""
-SELECT img, CAST(k AS INT) AS k, CAST({_MIX.format("n")} % 7 AS INT) AS z, CAST({_MIX.format("n + 0").replace("n + 0", "n + 1")} % 7 AS INT) AS y, CAST({_MIX.format("n + 2")} % 7 AS INT) AS x FROM n""")
+_STARTS = "starts AS (SELECT img, CAST(k AS INT) AS k, " + ", ".join(f"CAST({_MIX.format(f'img, k, {a!r}, 0')} % 7 AS INT) AS {a}" for a in AXES) + """
+  FROM (SELECT DISTINCT img FROM voxels), (SELECT unnest(range(8)) AS k))"""
+
+
+@query("{views}, " + _STARTS + " SELECT * FROM starts")
 def random_patch_starts(spark, sf_dir):
     return patch.patch_starts(views.voxels(spark, sf_dir).select("img").distinct(), 8, SIDE, 4)
 
 
-@query("""WITH p AS (SELECT p_partkey AS patch_id FROM part WHERE p_partkey <= 50) SELECT patch_id * 4 + z.r AS page, CAST(y.r AS INT) AS y, CAST((patch_id * 7 + z.r * 3 + y.r) % 256 AS BIGINT) AS v FROM p, (SELECT unnest(range(4)) AS r) z, (SELECT unnest(range(4)) AS r) y""")
+@query("""WITH p AS (SELECT p_partkey AS patch_id FROM part) SELECT patch_id * 4 + z.r AS page, CAST(y.r AS INT) AS y, CAST((patch_id * 7 + z.r * 3 + y.r) % 256 AS BIGINT) AS v FROM p, (SELECT unnest(range(4)) AS r) z, (SELECT unnest(range(4)) AS r) y""")
 def export_pages(spark, sf_dir):
-    p = views.table(spark, sf_dir, "part").filter("p_partkey <= 50").select(F.col("p_partkey").alias("patch_id"))
+    p = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("patch_id"))
     cells = p.withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(3))))
     return patch.export_pages(cells.withColumn("v", ((F.col("patch_id") * 7 + F.col("z") * 3 + F.col("y")) % 256).cast("bigint")), 4).select("page", "y", "v")
 
 
+@query("{views}, " + _STARTS + """ SELECT s.img, s.k, count(*) AS n, CAST(sum(v.v) AS BIGINT) AS sum_v, CAST(sum((v.z - s.z) * 16 + (v.y - s.y) * 4 + (v.x - s.x)) AS BIGINT) AS places
+FROM starts s JOIN voxels v ON v.img = s.img AND v.z BETWEEN s.z AND s.z + 3 AND v.y BETWEEN s.y AND s.y + 3 AND v.x BETWEEN s.x AND s.x + 3 GROUP BY ALL""")
+def cut_patches(spark, sf_dir):
+    df = views.voxels(spark, sf_dir)
+    cells = patch.cut_patches(df, patch.patch_starts(df.select("img").distinct(), 8, SIDE, 4), 4)
+    return cells.groupBy("img", "k").agg(F.count("*").alias("n"), F.sum("v").alias("sum_v"), F.sum(F.col("oz") * 16 + F.col("oy") * 4 + F.col("ox")).alias("places"))
+
+
+@query("""{views}, i AS (SELECT CAST(unnest(range(11)) AS INT) AS p), l AS (SELECT img, a.p AS z, b.p AS y, c.p AS x FROM (SELECT DISTINCT img FROM voxels), i a, i b, i c)
+SELECT l.img, l.z, l.y, l.x, coalesce(v, 0) AS v FROM l LEFT JOIN voxels o ON o.img = l.img AND o.z = l.z AND o.y = l.y AND o.x = l.x""")
+def pad_by_overlap(spark, sf_dir):
+    """Padded length for patches of four that overlap by two fifths: steps of 2.4."""
+    return patch.pad(views.voxels(spark, sf_dir), SIDE, patch.Grid.overlapping(4, 0.4, SIDE), "constant").select("img", *AXES, "v")
+
+
+@query("""{views}, i AS (SELECT CAST(unnest(range(10)) AS INT) AS p)
+SELECT l.img, l.p AS z, l.y, l.x, coalesce(o.v, 0) AS v FROM (SELECT DISTINCT img, y, x, p FROM voxels, i) l LEFT JOIN voxels o ON o.img = l.img AND o.z = l.p - 2 AND o.y = l.y AND o.x = l.x AND o.z < 6""")
+def pad_depth_to_square(spark, sf_dir):
+    """Volumes of six planes, padded evenly to as many planes as rows."""
+    return patch.pad(views.voxels(spark, sf_dir).filter("z < 6"), 6, SIDE, "constant", (SIDE - 6) // 2, axes=("z",)).select("img", *AXES, "v")
+
+
+@query("""{views}, i AS (SELECT unnest(range(14)) AS p), m AS (SELECT p, CASE WHEN (p + 16) % 18 < 10 THEN (p + 16) % 18 ELSE 18 - (p + 16) % 18 END AS s FROM i)
+SELECT img, CAST(a.p AS INT) AS z, CAST(b.p AS INT) AS y, CAST(c.p AS INT) AS x, v FROM voxels JOIN m a ON z = a.s JOIN m b ON y = b.s JOIN m c ON x = c.s""")
+def pad_for_views(spark, sf_dir):
+    left, length = patch.view_padding(SIDE, 4, 2)
+    return patch.pad(views.voxels(spark, sf_dir), SIDE, length, "reflect", left).select("img", *AXES, "v")
+
+
+def _profile_sql() -> str:
+    low, high = (repr(x) for x in patch.sigmoid_profile(2))
+    axis = lambda a: f"CASE WHEN g{a} < 3 AND o{a} = 3 THEN {low} WHEN g{a} < 3 AND o{a} = 2 THEN {high} WHEN g{a} > 0 AND o{a} = 0 THEN {low} WHEN g{a} > 0 AND o{a} = 1 THEN {high} ELSE 1.0 END"
+    cover = _COVER.replace("* 3", "* 2").replace("range(3)", "range(4)")
+    return "{views}, " + cover + f""", w AS (SELECT *, CAST({axis("z")} AS DOUBLE) * CAST({axis("y")} AS DOUBLE) * CAST({axis("x")} AS DOUBLE) AS w FROM cover)
+SELECT img, CAST(gz * 2 + oz AS INT) AS z, CAST(gy * 2 + oy AS INT) AS y, CAST(gx * 2 + ox AS INT) AS x, CAST(floor(sum(w * (v + gx)) / sum(w) * 1000 + 0.5) AS BIGINT) AS v FROM w GROUP BY ALL"""
+
+
+@query(_profile_sql())
+def stitch_sigmoid(spark, sf_dir):
+    """Overlaps blended by a sigmoid; the patch's column is added so that overlapping patches differ."""
+    grid = patch.Grid(4, 2)
+    cells = patch.patchify(views.voxels(spark, sf_dir), grid, SIDE).withColumn("v", F.col("v") + F.col("gx"))
+    return patch.stitch_profile(cells, grid, SIDE, patch.sigmoid_profile(2)).withColumn("v", fixed(F.col("v"), 3))
+
+
+@query("""{views} SELECT vid, CAST(trunc((v - min(v) OVER w) / CAST(max(v) OVER w - min(v) OVER w + 1e-9 AS DOUBLE) * 255) AS INT) AS byte FROM voxels WINDOW w AS (PARTITION BY img)""")
+def minmax_bytes(spark, sf_dir):
+    return project.minmax_bytes(views.voxels(spark, sf_dir)).select("vid", "byte")
+
+
+@query("""{views}, s AS (SELECT vid, v % 5 AS a, v % 7 AS b, v % 3 AS c FROM voxels)
+SELECT vid, CASE WHEN a >= b AND a >= c THEN 0 WHEN b >= c THEN 1 ELSE 2 END AS class_id, CAST(floor(greatest(a, b, c) / nullif(CAST(a + b + c AS DOUBLE), 0) * 10000 + 0.5) AS BIGINT) AS probability FROM s""")
+def class_probability(spark, sf_dir):
+    df = views.voxels(spark, sf_dir).withColumns({"a": F.col("v") % 5, "b": F.col("v") % 7, "c": F.col("v") % 3})
+    return project.class_of_scores(df, ["a", "b", "c"]).select("vid", "class_id", fixed(F.col("probability")).alias("probability"))
+
+
+@query("""{views}, s AS (SELECT vid, CAST(k AS INT) AS step, CAST(z + k * (v % 5 - 2) AS INT) AS z, CAST(y + k * (v % 7 - 3) AS INT) AS y, x FROM voxels, (SELECT unnest(range(1, 4)) AS k))
+SELECT * FROM s WHERE z BETWEEN 0 AND 9 AND y BETWEEN 0 AND 9 AND x BETWEEN 0 AND 9""")
+def bounds_by_step(spark, sf_dir):
+    """Points of a history kept at the steps where they are inside."""
+    df = views.voxels(spark, sf_dir).withColumn("step", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
+    moved = df.select("vid", "step", (F.col("z") + F.col("step") * (F.col("v") % 5 - 2)).cast("int").alias("z"), (F.col("y") + F.col("step") * (F.col("v") % 7 - 3)).cast("int").alias("y"), "x")
+    return project.in_bounds(moved, (SIDE, SIDE, SIDE))
+
+
 # ---- objects ---------------------------------------------------------------------------
 
 _PROPS = """props AS (SELECT img, label, count(*) AS area, CAST(sum(v) AS BIGINT) AS sum_v, CAST(sum(z) AS BIGINT) AS sum_z, CAST(sum(y) AS BIGINT) AS sum_y, CAST(sum(x) AS BIGINT) AS sum_x,
@@ -255,6 +324,27 @@ def block_mean(spark, sf_dir):
     return regions.block_means(views.voxels(spark, sf_dir), 4)
 
 
+@query("""{views} SELECT DISTINCT img, label FROM vl WHERE label > 0""")
+def distinct_labels(spark, sf_dir):
+    return regions.properties(views.labelled(spark, sf_dir)).select("img", "label")
+
+
+@query("{views}, " + _PROPS + ", " + _CODES + """, h AS (SELECT *, greatest(cz - min_z, max_z - cz) AS hz, greatest(cy - min_y, max_y - cy) AS hy, greatest(cx - min_x, max_x - cx) AS hx FROM codes)
+SELECT vid, CAST(floor(coalesce((cz - z) / (hz + 1e-10), 0) * 10000 + 0.5) AS BIGINT) AS dz, CAST(floor(coalesce((cy - y) / (hy + 1e-10), 0) * 10000 + 0.5) AS BIGINT) AS dy, CAST(floor(coalesce((cx - x) / (hx + 1e-10), 0) * 10000 + 0.5) AS BIGINT) AS dx
+FROM vl LEFT JOIN h USING (img, label)""")
+def normalised_vectors(spark, sf_dir):
+    df = regions.normalised_targets(views.labelled(spark, sf_dir))
+    return df.select("vid", *[fixed(F.col(f"d{a}")).alias(f"d{a}") for a in AXES])
+
+
+@query("""{views}, s AS (SELECT img, label, count(*) AS n FROM vl WHERE label > 0 GROUP BY img, label), r AS (SELECT img, CAST(trunc(10 * 3.5 / avg(cbrt(3 * n / (4 * pi())))) AS INT) AS m FROM s GROUP BY img),
+i AS (SELECT CAST(unnest(range(60)) AS INT) AS p), t AS (SELECT img, p, CAST(floor((2 * p + 1) * 10 / (2 * m)) AS INT) AS s FROM r, i WHERE p < m)
+SELECT vl.img, a.p AS z, b.p AS y, c.p AS x, label FROM vl JOIN t a ON a.img = vl.img AND a.s = vl.z JOIN t b ON b.img = vl.img AND b.s = vl.y JOIN t c ON c.img = vl.img AND c.s = vl.x""")
+def rescale_by_radius(spark, sf_dir):
+    """Every volume at the size where its objects' mean radius is 3.5."""
+    return field.rescale_by_radius(views.labelled(spark, sf_dir), SIDE, 3.5).select("img", *AXES, "label")
+
+
 # ---- neighbourhoods --------------------------------------------------------------------
 
 
@@ -275,6 +365,25 @@ def connected_components_6(spark, sf_dir):
     return neighbors.connected_components(views.voxels(spark, sf_dir).filter("v > 10000"), 6)
 
 
+@query(_components_sql("abs(a.z - b.z) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1", 14700))
+def connected_components_joined(spark, sf_dir):
+    """The components by joins alone, for volumes that fit no worker."""
+    return neighbors.connected_components_relational(views.voxels(spark, sf_dir).filter("v > 14700"), 26)
+
+
+@query(_components_sql("abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x) <= 1", 10000).replace("SELECT img, vid, m AS component FROM", "SELECT img, vid, dense_rank() OVER (PARTITION BY img ORDER BY m) AS component_id FROM"))
+def dense_component_labels(spark, sf_dir):
+    found = neighbors.dense_labels(neighbors.connected_components(views.voxels(spark, sf_dir).filter("v > 10000"), 6))
+    return found.select("img", "vid", F.col("component_id").cast("bigint").alias("component_id"))
+
+
+@query("""{views}, f AS (SELECT * FROM voxels WHERE v > 12000)
+SELECT a.img, least(a.vid, b.vid) AS a, greatest(a.vid, b.vid) AS b FROM f a JOIN f b ON a.img = b.img AND a.vid < b.vid AND abs(a.z - b.z) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1""")
+def adjacent_voxels(spark, sf_dir):
+    pairs = neighbors.adjacency(views.voxels(spark, sf_dir).filter("v > 12000"))
+    return pairs.select("img", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 _ENDS = """ends AS (SELECT img, vid AS pid, CAST(trunc(z + (v % 700 - 350) / 100.0) AS INT) AS z, CAST(trunc(y + (v % 500 - 250) / 100.0) AS INT) AS y, CAST(trunc(x + (v % 300 - 150) / 100.0) AS INT) AS x FROM voxels),
 dens AS (SELECT img, z, y, x, count(*) AS n FROM ends WHERE z BETWEEN 0 AND 9 AND y BETWEEN 0 AND 9 AND x BETWEEN 0 AND 9 GROUP BY ALL)"""
 
@@ -308,6 +417,17 @@ def gaussian_density(spark, sf_dir):
     return neighbors.smooth(df, SIDE, neighbors.gaussian_weights(1.0)).filter("v > 0").withColumn("v", F.col("v").cast("bigint"))
 
 
+def _blur_sql() -> str:
+    sql = _smooth_sql().replace("trunc(sum(w * s.v) + 1e-6)", "sum(w * s.v)").replace(repr(neighbors.gaussian_weights(1.0)[0]), repr(neighbors.gaussian_weights(1.0)[0]))
+    return sql.replace("CAST(v AS BIGINT) AS v FROM px WHERE v > 0", "CAST(floor(v * 100 + 0.5) AS BIGINT) AS v FROM px")
+
+
+@query(_blur_sql())
+def gaussian_blur(spark, sf_dir):
+    df = field.endpoint_density(_ends(spark, sf_dir)).withColumn("v", F.col("n") * 1000)
+    return augment.blur(df, SIDE, 1.0).withColumn("v", fixed(F.col("v"), 2))
+
+
 @query("""{views}, s AS (SELECT img, z, y, x, vid AS label FROM voxels WHERE v > 17500),
 j AS (SELECT p.img, p.vid AS pid, s.label, (p.z - s.z) * (p.z - s.z) + (p.y - s.y) * (p.y - s.y) + (p.x - s.x) * (p.x - s.x) AS d2 FROM voxels p JOIN s ON p.img = s.img),
 k AS (SELECT *, row_number() OVER (PARTITION BY img, pid ORDER BY d2, label) AS r FROM j WHERE d2 < 25)
@@ -353,13 +473,13 @@ def vote_image(spark, sf_dir):
     return field.votes(df, ("dz", "dy", "dx"), 2, SIDE)
 
 
-@query("""{views}, o AS (SELECT unnest([-1, 0, 1]) AS d), big AS (SELECT img, z, y, x, CASE WHEN v > 1500 THEN label + 1 ELSE 0 END AS label FROM (SELECT *, 4 * CAST(floor(z / 5) AS INT) + 2 * CAST(floor(y / 5) AS INT) + CAST(floor(x / 5) AS INT) AS label FROM voxels) ),
+@query("""{views}, o AS (SELECT unnest([-1, 0, 1]) AS d), big AS (SELECT img, z, y, x, CASE WHEN v > 200 THEN label + 1 ELSE 0 END AS label FROM (SELECT *, 4 * CAST(floor(z / 5) AS INT) + 2 * CAST(floor(y / 5) AS INT) + CAST(floor(x / 5) AS INT) AS label FROM voxels) ),
 core AS (SELECT a.img, a.z, a.y, a.x FROM big a JOIN o p ON true JOIN o q ON true JOIN o r ON true JOIN big b ON b.img = a.img AND b.z = a.z + p.d AND b.y = a.y + q.d AND b.x = a.x + r.d AND b.label = a.label WHERE a.label > 0 GROUP BY ALL HAVING count(*) = 27),
 wide AS (SELECT DISTINCT img, z + p.d AS z, y + q.d AS y, x + r.d AS x FROM core, o p, o q, o r)
 SELECT w.img, w.z, w.y, w.x, CASE WHEN c.img IS NULL THEN 127 ELSE 255 END AS mark FROM wide w LEFT JOIN core c USING (img, z, y, x) WHERE w.z BETWEEN 0 AND 9 AND w.y BETWEEN 0 AND 9 AND w.x BETWEEN 0 AND 9""".replace("SELECT *, 4 *", "SELECT img, z, y, x, v, 4 *"))
 def border_labels(spark, sf_dir):
     name = 4 * F.floor(F.col("z") / 5) + 2 * F.floor(F.col("y") / 5) + F.floor(F.col("x") / 5)
-    df = views.voxels(spark, sf_dir).withColumn("label", F.when(F.col("v") > 1500, name.cast("int") + 1).otherwise(0))
+    df = views.voxels(spark, sf_dir).withColumn("label", F.when(F.col("v") > 200, name.cast("int") + 1).otherwise(0))
     return neighbors.border_labels(df, SIDE)
 
 
@@ -467,6 +587,14 @@ _metric("bce_loss", metrics.cross_entropy, _BCE)
 _metric("dice_bce_loss", metrics.dice_bce_loss, f"1 - {_DICE} + 10 * {_BCE}")
 
 
+@query("{views}, q AS (SELECT img, v % 3 AS t, 1.0 + v % 5 AS a, 1.0 + v % 7 AS b, 1.0 + v % 11 AS c FROM voxels)" + f"""
+SELECT img, CAST(floor({sum(metrics.CLASS_WEIGHTS)!r} * avg(-ln(greatest(1e-7, least(1 - 1e-7, CAST(CASE t WHEN 0 THEN a WHEN 1 THEN b ELSE c END AS DOUBLE) / CAST(a + b + c AS DOUBLE))))) * 100000 + 0.5) AS BIGINT) AS weighted_cce FROM q GROUP BY img""")
+def weighted_cce(spark, sf_dir):
+    v = F.col("v")
+    classes = [(F.when(v % 3 == k, 1.0).otherwise(0.0), 1.0 + v % m) for k, m in enumerate((5, 7, 11))]
+    return views.voxels(spark, sf_dir).groupBy("img").agg(fixed(metrics.weighted_cross_entropy(classes), 5).alias("weighted_cce"))
+
+
 # ---- files -----------------------------------------------------------------------------
 
 
@@ -477,22 +605,24 @@ def positional_pair(spark, sf_dir):
     return prep.pair_by_position(docs.filter("name % 3 <> 0"), docs.filter("name % 3 = 0"), ("source",)).withColumn("rn", F.col("rn").cast("bigint"))
 
 
-_STEMS = "s AS (SELECT DISTINCT split_part(regexp_extract(url, '[^/]+$'), '?', 1) AS stem FROM pages WHERE page_id % 10 = 0)"
+_STEMS = "s AS (SELECT DISTINCT split_part(regexp_extract(url, '[^/]+$'), '?', 1) AS stem FROM pages WHERE NOT contains(url, 'th')), g AS (SELECT page_id AS file_id, url AS path FROM pages WHERE contains(url, 'th'))"
 
 
 def _stems(spark, sf_dir):
-    name = prep.name_of(F.col("path"))
-    return views.files(spark, sf_dir).filter("file_id % 10 = 0").select(F.element_at(F.split(name, r"\?"), 1).alias("stem")).distinct()
+    """(truth files, stems of the other files), as a held-out truth is found."""
+    files = prep.classify(views.files(spark, sf_dir), "en", "th")
+    name = F.element_at(F.split(prep.name_of(F.col("path")), r"\?"), 1)
+    return files.filter("is_truth").select("file_id", "path"), files.filter("NOT is_truth").select(name.alias("stem")).distinct()
 
 
-@query("WITH " + _STEMS + " SELECT page_id AS file_id, url AS path FROM pages WHERE EXISTS (SELECT 1 FROM s WHERE stem <> '' AND contains(url, stem))")
+@query("WITH " + _STEMS + " SELECT * FROM g WHERE EXISTS (SELECT 1 FROM s WHERE stem <> '' AND contains(path, stem))")
 def stem_semi_join(spark, sf_dir):
-    return prep.stem_join(views.files(spark, sf_dir), _stems(spark, sf_dir))
+    return prep.stem_join(*_stems(spark, sf_dir))
 
 
-@query("WITH " + _STEMS + " SELECT page_id AS file_id, url AS path FROM pages WHERE NOT EXISTS (SELECT 1 FROM s WHERE stem <> '' AND contains(url, stem))")
+@query("WITH " + _STEMS + " SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM s WHERE stem <> '' AND contains(path, stem))")
 def stem_anti_join(spark, sf_dir):
-    return prep.stem_join(views.files(spark, sf_dir), _stems(spark, sf_dir), anti=True)
+    return prep.stem_join(*_stems(spark, sf_dir), anti=True)
 
 
 @query("""SELECT page_id AS file_id, list_contains(string_split(url, '/'), 'en') AS is_synthetic, contains(url, 'th') AS is_truth, split_part(list_extract(string_split(url, '/'), -1), '.', 1) AS stem,
@@ -588,6 +718,43 @@ def zoom_nearest(spark, sf_dir):
     return augment.zoom(views.labelled(spark, sf_dir), SIDE, 120).select("img", *AXES, "label")
 
 
+@query("""{views}, t AS (SELECT img, z, y, x, 0.8 * (y - 4.5) + 0.6 * (x - 4.5) + 4.5 AS py, -0.6 * (y - 4.5) + 0.8 * (x - 4.5) + 4.5 AS px FROM voxels), c AS (SELECT unnest([0, 1]) AS b),
+q AS (SELECT img, z, y, x, CAST(floor(py) AS INT) + i.b AS sy, CAST(floor(px) AS INT) + j.b AS sx, CASE WHEN i.b = 1 THEN py - floor(py) ELSE 1 - py + floor(py) END * CASE WHEN j.b = 1 THEN px - floor(px) ELSE 1 - px + floor(px) END AS w FROM t, c i, c j)
+SELECT q.img, q.z, q.y, q.x, CAST(floor(coalesce(sum(CAST(w AS DOUBLE) * s.v), 0) * 100 + 0.5) AS BIGINT) AS v FROM q LEFT JOIN voxels s ON s.img = q.img AND s.z = q.z AND s.y = q.sy AND s.x = q.sx GROUP BY ALL""")
+def rotate_linear(spark, sf_dir):
+    import math
+
+    return augment.rotate_linear(views.voxels(spark, sf_dir), SIDE, math.degrees(math.asin(0.6))).withColumn("v", fixed(F.col("v"), 2))
+
+
+@query("""{views}, i AS (SELECT CAST(unnest(range(12)) AS INT) AS p), mz AS (SELECT p, CAST(floor((2 * p + 1) * 10 / 16) AS INT) AS s FROM i WHERE p < 8), my AS (SELECT p, CAST(floor((2 * p + 1) * 10 / 24) AS INT) AS s FROM i),
+o AS (SELECT img, a.p + 1 AS z, b.p - 1 AS y, x, label FROM vl JOIN mz a ON z = a.s JOIN my b ON y = b.s WHERE b.p BETWEEN 1 AND 10),
+l AS (SELECT img, a.p AS z, b.p AS y, c.p AS x FROM (SELECT DISTINCT img FROM voxels), i a, i b, i c WHERE a.p < 10 AND b.p < 10 AND c.p < 10)
+SELECT l.img, l.z, l.y, l.x, coalesce(label, 0) AS label FROM l LEFT JOIN o USING (img, z, y, x)""")
+def zoom_by_axis(spark, sf_dir):
+    """Planes shrunk and padded with zeros, rows stretched and cropped at the middle, columns kept."""
+    return augment.zoom(views.labelled(spark, sf_dir), SIDE, (80, 120, 100)).select("img", *AXES, "label")
+
+
+def _windows_sql() -> str:
+    cells = ", ".join(f"({i // 16}, {i // 4 % 4}, {i % 4}, CAST({w!r} AS DOUBLE))" for i, w in enumerate(augment.window_3d(4)))
+    return """{views}, i AS (SELECT unnest(range(14)) AS p), m AS (SELECT p, CASE WHEN (p + 16) % 18 < 10 THEN (p + 16) % 18 ELSE 18 - (p + 16) % 18 END AS s FROM i),
+pd AS (SELECT img, a.p AS z, b.p AS y, c.p AS x, v FROM voxels JOIN m a ON z = a.s JOIN m b ON y = b.s JOIN m c ON x = c.s),
+g AS (SELECT unnest(range(6)) * 2 AS k), w AS (SELECT * FROM (VALUES """ + cells + """) q(oz, oy, ox, w))
+SELECT img, CAST(z - 2 AS INT) AS z, CAST(y - 2 AS INT) AS y, CAST(x - 2 AS INT) AS x, CAST(floor(sum(w * (v + 7)) / 8 * 100 + 0.5) AS BIGINT) AS v FROM pd JOIN g a ON z BETWEEN a.k AND a.k + 3 JOIN g b ON y BETWEEN b.k AND b.k + 3 JOIN g c ON x BETWEEN c.k AND c.k + 3
+JOIN w ON oz = z - a.k AND oy = y - b.k AND ox = x - c.k WHERE z BETWEEN 2 AND 11 AND y BETWEEN 2 AND 11 AND x BETWEEN 2 AND 11 GROUP BY ALL"""
+
+
+def _plus_seven(pdf):
+    return pdf.assign(image=[x + 7 for x in pdf["image"]])
+
+
+@query(_windows_sql())
+def sliding_windows(spark, sf_dir):
+    """A scorer that adds seven, over half-overlapping weighted windows of a padded volume."""
+    return pipelines.smooth_predict(views.voxels(spark, sf_dir), SIDE, 4, _plus_seven).withColumn("v", fixed(F.col("v"), 2))
+
+
 # ---- whole analyses --------------------------------------------------------------------
 
 

@@ -16,7 +16,7 @@ def prepare(files: DataFrame, percent: int = 10, seed: int = 42, mark: str = "sy
     files are train, under their two upper folders' names."""
     found = prep.classify(files, mark, truth)
     real = found.filter("NOT is_synthetic AND NOT is_truth")
-    split = patch.exact_split(real.withColumn("class_", F.coalesce(prep.parent_of(F.col("path")), F.lit(""))).withColumn("item_", F.pmod(F.xxhash64("path"), F.lit(2**40))), "item_", percent, seed, ("class_",), floor=True)
+    split = patch.exact_split(real.withColumn("class_", F.coalesce(prep.parent_of(F.col("path")), F.lit(""))).withColumn("item_", F.col("path")), "item_", percent, seed, ("class_",), floor=True)
     images = split.select("path", "is_synthetic", "is_truth", F.when(F.col("held"), "test").otherwise("train").alias("split"))
     stems = images.filter("split = 'test'").select(prep.stem_of(F.col("path")).alias("stem")).distinct()
     truths = found.filter("NOT is_synthetic AND is_truth")

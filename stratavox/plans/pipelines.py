@@ -58,8 +58,7 @@ def sampled_patches(labelled: DataFrame, n: int, size: int, budget: int, percent
     for attempt in range(tries):
         shares = patch.largest_remainder(volumes.withColumnRenamed("img", "item"), budget * factor).select(F.col("item").alias("img"), "share")
         starts = shares.filter("share > 0").withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("share") - 1).cast("int"))))
-        name = F.col("img") * 1000003 + F.col("k") * 3
-        starts = starts.withColumns({f"s{a}": (patch.mixed(name + i, seed + attempt) % (n - size + 1)).cast("int") for i, a in enumerate(AXES)})
+        starts = starts.withColumns({f"s{a}": (patch.mixed(F.col("img"), F.col("k"), F.lit(a), salt=seed + attempt) % (n - size + 1)).cast("int") for a in AXES})
         # each patch covers whole cells of its own size's grid: join on the cells it can touch
         cells = F.array(*[F.struct(*[F.lit(v).alias(a) for v, a in zip(c, AXES, strict=True)]) for c in ((i, j, k) for i in (0, 1) for j in (0, 1) for k in (0, 1))])
         touched = starts.withColumn("c_", F.explode(cells)).select("img", "k", *[f"s{a}" for a in AXES], *[(F.floor(F.col(f"s{a}") / size) + F.col(f"c_.{a}")).alias(f"c{a}") for a in AXES])
@@ -69,7 +68,7 @@ def sampled_patches(labelled: DataFrame, n: int, size: int, budget: int, percent
             inside = inside & F.col(a).between(F.col(f"s{a}"), F.col(f"s{a}") + size - 1)
         counts = touched.join(signal, ["img", *[f"c{a}" for a in AXES]]).filter(inside).groupBy("img", "k", *[f"s{a}" for a in AXES]).agg(F.count("*").alias("n_signal"))
         kept = patch.signal_filter(counts, percent)
-        out = kept.orderBy(patch.mixed(F.col("img") * 1000003 + F.col("k"), seed), "img", "k").limit(budget)
+        out = kept.orderBy(patch.mixed(F.col("img"), F.col("k"), salt=seed), "img", "k").limit(budget)
         if out.count() >= budget:
             break
         factor *= 2
@@ -81,3 +80,34 @@ def score_table(labelled: DataFrame, n: int, dataset: str) -> DataFrame:
     objects = regions.region_of_centroid(regions.properties(labelled), labelled, n)
     out = score.tissue(objects, dataset)
     return out.withColumns({"volume": F.col("area"), "dapi_sum": F.col("sum_v"), "dapi_mean": F.col("sum_v") / F.col("area")})
+
+
+def smooth_predict(df: DataFrame, n: int, window: int, predict, subdivisions: int = 2, mode: str = "spline") -> DataFrame:
+    """(img, z, y, x, v): an opaque scorer over sliding windows, weighted by a 3D window, summed and divided by
+    subdivisions cubed; predict(DataFrame with image arrays of window**3 values) -> the same with predictions.
+
+    The volume is padded by reflection; windows are rows, sums one aggregate keyed by voxel."""
+    from ..operators import augment
+    from ..sources.patches import gathered
+
+    left, length = patch.view_padding(n, window, subdivisions)
+    grid = patch.Grid(window, window // subdivisions)
+    padded = patch.pad(df.select("img", *AXES, "v"), n, length, "reflect", left).withColumn("label", F.lit(0))
+    blocks = gathered(patch.patchify(padded, grid, length), window).drop("labels")
+    done = field.scored(blocks, predict, "img long, gz int, gy int, gx int, image array<float>")
+    weights = F.array(*map(F.lit, augment.window_3d(window, mode)))
+    cells = done.select("img", "gz", "gy", "gx", F.posexplode(F.zip_with("image", weights, lambda v, w: v * w)).alias("i", "v"))
+    place = {"z": F.floor(F.col("i") / window**2), "y": F.floor(F.col("i") / window) % window, "x": F.col("i") % window}
+    at = [(F.col(f"g{a}") * grid.step + place[a]).cast("int").alias(a) for a in AXES]
+    sums = cells.select("img", *at, "v").groupBy("img", *AXES).agg((F.sum("v") / subdivisions**3).alias("v"))
+    return patch.unpad(sums, n, left)
+
+
+def smooth_predict_views(df: DataFrame, n: int, window: int, predict, subdivisions: int = 2, mode: str = "spline") -> DataFrame:
+    """(img, z, y, x, v): smooth_predict() over every view of the volume, put back and averaged."""
+    from ..operators import augment
+
+    views = augment.views(df.select("img", *AXES, "v"), n).withColumn("img", F.col("img") * 27 + F.col("view"))
+    done = smooth_predict(views, n, window, predict, subdivisions, mode)
+    back = augment.unview(done.withColumns({"view": F.pmod(F.col("img"), F.lit(27)).cast("int"), "img": F.floor(F.col("img") / 27).cast("long")}), n)
+    return back.groupBy("img", *AXES).agg(F.avg("v").alias("v"))

@@ -42,8 +42,28 @@ def read(spark: SparkSession, path: str, split: str | None = None, dataset: str
     return out
 
 
-def lookup(patches: DataFrame, patch_id: int) -> DataFrame:
-    return patches.filter(F.col("patch_id") == patch_id)
+def lookup(patches: DataFrame, patch_id: int, shape: tuple[int, int, int] | None = None) -> DataFrame:
+    """A patch; with its shape, labels are split into connected parts, numbered in order of their first voxel."""
+    found = patches.filter(F.col("patch_id") == patch_id)
+    if shape is None:
+        return found
+    from ..operators import neighbors
+
+    plane, row = shape[1] * shape[2], shape[2]
+    cells = found.select("dataset", "patch_id", F.posexplode("labels").alias("i", "kind")).filter("kind > 0")
+    at = cells.select(F.xxhash64("dataset", "patch_id").alias("img"), F.col("i").cast("long").alias("vid"), "kind", F.floor(F.col("i") / plane).cast("int").alias("z"), F.floor(F.col("i") % plane / row).cast("int").alias("y"), (F.col("i") % row).cast("int").alias("x"))
+    parts = neighbors.dense_labels(neighbors.connected_components(at, 26, "kind"))
+    named = parts.groupBy("img").agg(F.map_from_entries(F.collect_list(F.struct(F.col("vid").cast("int"), F.col("component_id").cast("int")))).alias("part_"))
+    joined = found.withColumn("img", F.xxhash64("dataset", "patch_id")).join(named, "img", "left")
+    again = F.transform("labels", lambda v, i: F.when(v > 0, F.coalesce(F.try_element_at("part_", i), F.lit(0))).otherwise(0))
+    return joined.withColumn("labels", again).select(patches.columns)
+
+
+def described(spark: SparkSession, path: str) -> DataFrame:
+    """(column, type, partition): the structure of a stored set."""
+    stored = spark.read.parquet(path)
+    keys = {k for k in ("split", "dataset") if k in stored.columns}
+    return spark.createDataFrame([(f.name, f.dataType.simpleString(), f.name in keys) for f in stored.schema], "column string, type string, partition boolean")
 
 
 def shuffled(patches: DataFrame, seed: int, epoch: int = 0, take: int | None = None) -> DataFrame:
@@ -57,5 +77,8 @@ def write_predictions(objects: DataFrame, path: str) -> None:
     objects.write.mode("append").partitionBy("model", "parent", "stem").parquet(path)
 
 
-def write_history(history: DataFrame, path: str) -> None:
+def write_history(history: DataFrame, path: str, seconds: float | None = None) -> None:
+    """The history as CSV with a header; the run's seconds as one line of text beside it."""
     history.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    if seconds is not None:
+        history.sparkSession.range(1).select(F.lit(f"{seconds:.2f}")).coalesce(1).write.mode("overwrite").text(path.rstrip("/") + "_time")

@@ -100,7 +100,95 @@ def scan(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame
     files = reader.option("recursiveFileLookup", str(recursive).lower()).load(folder)
     if files.select("path").limit(1).count() == 0:
         raise FileNotFoundError(f"no TIFF files in {folder}")
-    return files
+    return files.orderBy("path")
+
+
+def load_pairs(spark: SparkSession, folder: str, images: str = "images", masks: str = "masks", invert: str | None = "Mouse", radius: float | None = None, normalise_first: bool = False) -> DataFrame:
+    """(img, path, z, y, x, v, label): volumes of two folders paired by sorted name, with labels.
+
+    Images whose path mentions `invert` are turned over, volumes are scaled to 0..1 (before that, with
+    normalise_first), masks become connected parts numbered in each volume; with radius, both are
+    rescaled to that mean object radius (volumes must be cubes then)."""
+    from ..operators import field, neighbors, prep, project
+
+    pairs = {}
+    for kind, tag in (("image", images), ("mask", masks)):
+        found = decode_column(spark, f"{folder}/{tag}")
+        pairs[kind] = found.withColumns({"name": prep.name_of(F.col("path")), "all_": F.lit(0)})
+    at = prep.pair_by_position(pairs["image"], pairs["mask"], ("all_",)).withColumnRenamed("rn", "img")
+    left = pairs["image"].join(at.select("img", F.col("image").alias("name")), "name")
+    right = pairs["mask"].join(at.select("img", F.col("mask").alias("name")), "name")
+    every = F.col("v").isNotNull()
+    names = left.select(F.col("path").alias("img"), F.col("img").cast("long").alias("id_"))
+    values = to_voxels(left.drop("img"), every).join(names, "img").select(F.col("id_").alias("img"), F.col("img").alias("path"), "z", "y", "x", F.col("v").cast("double").alias("v"))
+    steps = [lambda d: project.minmax(d).withColumn("v", F.col("norm")).drop("norm"), lambda d: project.invert_where(d, project.path_mentions(F.col("path"), invert)) if invert else d]
+    scale = [] if normalise_first else steps[:1]
+    for step in steps if normalise_first else steps[1:]:
+        values = step(values)
+    vid = (F.col("z").cast("long") * (1 << 40)) + F.col("y") * (1 << 20) + F.col("x")
+    names = right.select(F.col("path").alias("img"), F.col("img").cast("long").alias("id_"))
+    marks = to_voxels(right.drop("img")).join(names, "img").select(F.col("id_").alias("img"), "z", "y", "x", F.col("v").cast("int").alias("kind")).withColumn("vid", vid)
+    parts = neighbors.dense_labels(neighbors.connected_components(marks, 26, "kind"))
+    labels = marks.join(parts.select("img", "vid", F.col("component_id").cast("int").alias("label")), ["img", "vid"]).select("img", "z", "y", "x", "label")
+    both = values.join(labels, ["img", "z", "y", "x"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    if radius is not None:
+        n = both.agg(F.max("z")).first()[0] + 1
+        sized = field.rescale_by_radius(both, n, radius, value="v")
+        marked = field.rescale_by_radius(both, n, radius).select("img", "z", "y", "x", "label")
+        both = sized.join(marked, ["img", "z", "y", "x"]).join(both.select("img", "path").distinct(), "img")
+    for step in scale:
+        both = step(both)
+    return both.select("img", "path", "z", "y", "x", "v", "label")
+
+
+def stack_channels(volumes: DataFrame, shape: list[int], names: tuple[str, ...] = ("label", "dapi", "region")) -> DataFrame:
+    """(img, z, y, x, names...): files whose pages hold a 4-D stack of the shape, its smallest axis (the
+    first of equals) taken as the channels."""
+    if len(shape) != 4:
+        raise ValueError("a stack has four dimensions")
+    c = channels_first(shape)
+    if len(names) != shape[c]:
+        raise ValueError(f"{shape[c]} channels, {len(names)} names")
+    cells = volumes.select(F.col("path").alias("img"), F.posexplode("data").alias("i", "v"))
+    place, size = [], 1
+    for n in reversed(shape):
+        place.insert(0, (F.floor(F.col("i") / size) % n).cast("int"))
+        size *= n
+    rest = [k for k in range(4) if k != c]
+    out = cells.select("img", place[c].alias("c_"), *[place[k].alias(a) for k, a in zip(rest, ("z", "y", "x"), strict=True)], "v")
+    return out.groupBy("img", "z", "y", "x").agg(*[F.max(F.when(F.col("c_") == k, F.col("v"))).alias(n) for k, n in enumerate(names)])
+
+
+def write_volumes(voxels: DataFrame, folder: str, shape: tuple[int, int, int], name: str, value: str, dtype: str = "uint16") -> DataFrame:
+    """(path, bytes): one TIFF file for each `name`, of the sparse voxels' values (others 0), under folder, which
+    driver and executors share.  A file is written whole under a name of its own and then moved into place."""
+    import pyarrow.fs as pafs
+
+    def run(pdf):
+        import uuid
+
+        import pandas as pd
+
+        volume = np.zeros(shape, dtype)
+        volume[pdf["z"], pdf["y"], pdf["x"]] = pdf[value].to_numpy().astype(dtype)
+        data = encode(volume)
+        fs, root = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder.removeprefix("file:"))
+        path = f"{root}/{pdf[name].iloc[0]}"
+        fs.create_dir(path.rpartition("/")[0], recursive=True)
+        part = f"{path}.{uuid.uuid4().hex}"
+        with fs.open_output_stream(part) as out:
+            out.write(data)
+        fs.move(part, path)
+        return pd.DataFrame({"path": [path], "bytes": [len(data)]})
+
+    return voxels.select(name, "z", "y", "x", value).groupBy(name).applyInPandas(run, "path string, bytes long")
+
+
+def write_predictions(objects: DataFrame, folder: str, shape: tuple[int, int, int]) -> DataFrame:
+    """objects(model, parent, stem, z, y, x, label) as <model>/<parent>/<stem>/<stem>_labels.tif and _binary.tif."""
+    base = F.concat_ws("/", "model", "parent", "stem")
+    marked = objects.withColumns({"labels_": F.concat(base, F.lit("/"), F.col("stem"), F.lit("_labels.tif")), "binary_": F.concat(base, F.lit("/"), F.col("stem"), F.lit("_binary.tif")), "mask_": (F.col("label") > 0).cast("int")})
+    return write_volumes(marked, folder, shape, "labels_", "label").unionByName(write_volumes(marked, folder, shape, "binary_", "mask_", "uint8"))
 
 
 def to_voxels(volumes: DataFrame, keep: Column | None = None) -> DataFrame:
@@ -132,13 +220,19 @@ class _Reader(DataSourceReader):
         found = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(root)) if f.is_file and re.search(r"\.tif", f.path, re.I))
         return [_File(p) for p in found]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def read(self, partition: InputPartition) -> Iterator:
         import pyarrow.fs as pafs
 
         fs = pafs.FileSystem.from_uri(self.folder)[0] if "://" in self.folder else pafs.LocalFileSystem()
         with fs.open_input_file(partition.path) as f:
             volume = decode(f.read())
-        yield (partition.path, *volume.shape, volume.astype(np.float32).ravel().tolist())
+        import pyarrow as pa
+
+        cells = pa.ListArray.from_arrays(pa.array([0, volume.size], pa.int32()), pa.array(volume.astype(np.float32).ravel()))
+        sizes = [pa.array([n], pa.int32()) for n in volume.shape]
+        names = VOLUME.fieldNames()
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.field("element", pa.float32(), False))]
+        yield pa.RecordBatch.from_arrays([pa.array([partition.path]), *sizes, cells.cast(kinds[4])], schema=pa.schema([pa.field(n, k) for n, k in zip(names, kinds, strict=True)]))
 
 
 class TiffVolumes(DataSource):
