@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 PACKED = "bucket int, payload binary"
 
@@ -43,8 +44,14 @@ def rows(found: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([p for _, p in found], pa.binary())], ["bucket", "payload"])
 
 
+def spread(df: DataFrame, partitions: int) -> DataFrame:
+    """Rows dealt by the number of their bucket itself: hashing the few numbers would put several into one
+    task and none into others."""
+    return df.repartitionById(partitions, F.pmod(F.col("bucket"), F.lit(partitions)).cast("int"))
+
+
 def by_bucket(packed: DataFrame, partitions: int) -> DataFrame:
-    return packed.repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    return spread(packed, partitions).sortWithinPartitions("bucket")
 
 
 def parts_for(size: int, least: int, bytes_each: int, most: int = 16_384) -> int:
@@ -86,7 +93,7 @@ def by_sub_bucket(packed: DataFrame, partitions: int, split: Callable[[list[np.n
                 size = 0
         yield from out()
 
-    return packed.repartition(partitions, "bucket").mapInArrow(run, "bucket int, sub int, payload binary").sortWithinPartitions("bucket", "sub")
+    return spread(packed, partitions).mapInArrow(run, "bucket int, sub int, payload binary").sortWithinPartitions("bucket", "sub")
 
 
 def _sub_rows(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:

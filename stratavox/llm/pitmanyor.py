@@ -6,16 +6,15 @@ training vocabulary and one unknown token.  A customer is a training token in it
 context; a table sends one customer to the parent.  Table counts are sampled by Gibbs:
 a step draws all tables of every dish from their conditional (generalized Stirling numbers,
 exact for small counts and by saddle point for large ones) given a gamma variable of its restaurant's
-tables, which makes the dishes independent; predictive probabilities are
-averaged over the samples after burn-in (with the parent's probabilities held, the average
-needs only the mean number of tables).  Steps start from the tables that sequential seating
-expects.  Levels are sampled in turn: the parent from one
-table a dish, the contexts given the parent, the parent from their tables, and the
-contexts again, whose averages score the texts.
+tables, which makes the dishes independent.  Steps start from the tables that sequential seating
+expects.  Levels are sampled in turn, `turns` times: the parent from one
+table a dish at first, the contexts given the parent, the parent from their tables, and so on.
+Predictive probabilities are averaged: the parent's over its samples of all turns but the first, the contexts'
+over their last steps (given the parent, the average needs only the mean number of tables).
 
 Everything that is counted covers all training texts.  Word pairs are exchanged as
 packed arrays by bucket of the context; contexts that hold more than a share of
-all tokens (a bounded list) are spread over buckets by the next word, and share
+all tokens (at most HOT_MOST of them) are spread over buckets by the next word, and share
 their totals.  Parent probabilities are asked for and sent back in packed arrays by
 bucket as well, so nothing that grows with the corpus is broadcast or held by
 the driver.  Context words are told apart by 64-bit, next words by 40-bit hashes.
@@ -27,6 +26,7 @@ token is unknown; an empty table gives an empty result; other columns are ignore
 
 from __future__ import annotations
 
+import functools
 import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .blobs import gather, pack, unpack
+from .blobs import gather, pack, spread, unpack
 from .storage import drop_scratch, input_bytes, partitions_for, scratch
 
 _U = np.uint64
@@ -48,20 +48,26 @@ ROWS = "kind int, bucket int, payload binary, name bigint, a bigint, b bigint"
 PAIRS, ASKED, STATS, ANSWER, SEEN = 0, 1, 2, 3, 9
 #: Names of totals in STATS rows; hot contexts have their hash.
 TOKENS, SINGLE, KNOWN, PARENT = 1, 2, 3, 4
+#: Contexts spread over buckets at most: the list of them goes to every task.
+HOT_MOST = 20_000
 
 
 @dataclass(frozen=True)
 class PitmanYor:
     """discount, strength: of the context restaurants (discount None: n1 / (n1 + 2 n2) of
-    all pair counts); parent_*: of the parent; burn, keep: Gibbs steps; bucket_bytes: of
+    all pair counts); parent_*: of the parent; turns: alternations of the levels; burn, keep: Gibbs steps of
+    the contexts' last turn; turn_burn, turn_keep: of the others; bucket_bytes: of
     scanned input for a bucket; flush: tokens packed together by a task."""
 
     discount: float | None = None
     strength: float = 1.0
     parent_discount: float = 0.75
     parent_strength: float = 10.0
-    burn: int = 6
+    turns: int = 4
+    burn: int = 4
     keep: int = 6
+    turn_burn: int = 2
+    turn_keep: int = 1
     seed: int = 5
     bucket_bytes: int = 8 << 20
     flush: int = 2_000_000
@@ -357,20 +363,20 @@ class _Totals:
     vocabulary: int = 0
     ends: int = 0
     discount: float = 0.75
-    parent_customers: int = 0
-    parent_tables: int = 0
-    hot: tuple = ()  # hash, customers, tables; sorted by hash
+    parents: tuple = ()  # (customers, tables) of the parent's samples
+    hot: tuple = ()  # arrays of hash, customers, tables; sorted by hash
 
-    def parent(self, less: np.ndarray, rules: PitmanYor) -> np.ndarray:
-        """Parent probabilities of dishes with `less` customers less discounts."""
-        base = (rules.parent_strength + rules.parent_discount * self.parent_tables) / (self.vocabulary + 1)
-        return (less + base) / (self.parent_customers + rules.parent_strength)
+    def parent(self, less: np.ndarray, rules: PitmanYor, sample: int = 0) -> np.ndarray:
+        """Parent probabilities, in a sample, of dishes with `less` customers less discounts."""
+        customers, tables = self.parents[sample]
+        base = (rules.parent_strength + rules.parent_discount * tables) / (self.vocabulary + 1)
+        return (less + base) / (customers + rules.parent_strength)
 
     def shared(self, u: np.ndarray, local_c: np.ndarray, local_t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Customers and tables that restaurants have in other buckets."""
         c, t = np.zeros(len(u), np.int64), np.zeros(len(u), np.int64)
         if self.hot:
-            names, customers, tables = (np.array(x) for x in self.hot)
+            names, customers, tables = self.hot
             near = np.minimum(np.searchsorted(names, u), len(names) - 1)
             hit = names[near] == u
             c[hit], t[hit] = np.maximum(customers[near[hit]] - local_c[hit], 0), np.maximum(tables[near[hit]] - local_t[hit], 0)
@@ -396,15 +402,15 @@ def _first_look(docs: DataFrame, n_buckets: int) -> tuple[np.ndarray, int, int]:
 
     counts = docs.mapInArrow(run, "name bigint, n bigint").groupBy("name").agg(F.sum("n").alias("n"))
     # the totals come first, so that the bound on the words leaves them in
-    counts = counts.orderBy(F.col("name").isin(TOKENS, KNOWN).desc(), F.col("n").desc(), "name").limit(4 * n_buckets + 2)
+    counts = counts.orderBy(F.col("name").isin(TOKENS, KNOWN).desc(), F.col("n").desc(), "name").limit(2 * min(2 * n_buckets, HOT_MOST) + 2)
     found = {r.name: r.n for r in counts.collect()}
     tokens, texts = found.pop(TOKENS, 0), found.pop(KNOWN, 0)
-    hot = [k for k, n in found.items() if n > max(1000, tokens // (2 * n_buckets))]
+    hot = [k for k, n in found.items() if n > max(1000, tokens // min(2 * n_buckets, HOT_MOST))]
     return np.sort(np.array(hot, np.int64).view(np.uint64)), int(tokens), int(texts)
 
 
 def _by_bucket(rows: DataFrame, partitions: int) -> DataFrame:
-    return rows.select("kind", "bucket", "payload").repartition(partitions, "bucket").sortWithinPartitions("bucket", "kind")
+    return spread(rows.select("kind", "bucket", "payload"), partitions).sortWithinPartitions("bucket", "kind")
 
 
 class _Jobs:
@@ -424,8 +430,9 @@ class _Jobs:
         self.spark.sparkContext._jvm.System.gc()  # lets Spark drop the finished exchange's files
         return path
 
-    def read(self, path: str, *kinds: int) -> DataFrame:
-        found = self.spark.read.schema(ROWS).parquet(path)
+    def read(self, path: str | list[str], *kinds: int) -> DataFrame:
+        found = self.spark.read.schema(ROWS)
+        found = found.parquet(path) if isinstance(path, str) else functools.reduce(DataFrame.unionByName, [found.parquet(p) for p in path])
         return found.filter(F.col("kind").isin(*kinds)).select("kind", "bucket", "payload", "name", "a", "b")
 
     def totals(self, path: str) -> dict[int, tuple[int, int]]:
@@ -478,7 +485,7 @@ class _Jobs:
         sent = self.docs.select("train", "text").mapInArrow(send, ROWS)
         return self.keep(_by_bucket(sent, self.partitions).mapInArrow(merge, ROWS), "pairs")
 
-    def seat_parent(self, asked: str, totals: _Totals) -> str:
+    def seat_parent(self, asked: str, totals: _Totals, turn: int) -> str:
         """Seats the parent's customers; answers each bucket with its dishes' customers less discounts."""
         rules = self.rules
 
@@ -490,13 +497,13 @@ class _Jobs:
                 words, dish = np.unique(w, return_inverse=True)
                 c = np.bincount(dish, t, len(words)).astype(np.int64)
                 known = int((c > 0).sum())
-                rng = np.random.default_rng([rules.seed, part, 1])
+                rng = np.random.default_rng([rules.seed, part, 1, turn])
                 p = np.full(len(words), 1 / (totals.vocabulary + 1))
-                mean, last = seat(c, np.zeros(len(words), np.int64), 1, p, np.array([max(0, totals.vocabulary - known)]), rules.parent_discount, rules.parent_strength, rng, rules.burn, rules.keep, True)
+                mean, last = seat(c, np.zeros(len(words), np.int64), 1, p, np.array([max(0, totals.vocabulary - known)]), rules.parent_discount, rules.parent_strength, rng, rules.turn_burn, rules.turn_keep, True)
                 less = (c - rules.parent_discount * mean).astype(np.float32)
                 bounds = np.concatenate([[0], np.cumsum([len(x[2]) for x in got])])
                 for x, a, b in zip(got, bounds[:-1], bounds[1:], strict=True):
-                    yield _row(ANSWER, int(x[0][0]), pack(np.array([part], np.int64), less[dish[a:b]]))
+                    yield _row(ANSWER, int(x[0][0]), pack(np.array([turn, part], np.int64), less[dish[a:b]]))
                 yield _row(STATS, part, None, PARENT, int(c.sum()), int(last.sum()))
 
             for part, parts in _stream(batches):
@@ -504,14 +511,14 @@ class _Jobs:
 
         return self.keep(_by_bucket(self.read(asked, ASKED), self.partitions).mapInArrow(run, ROWS), "parent")
 
-    def seat_contexts(self, pairs: str, answers: str, totals: _Totals) -> str:
+    def seat_contexts(self, pairs: str, answer: str, totals: _Totals, turn: int) -> str:
         rules, n = self.rules, self.n
         names = np.array(totals.hot[0] if totals.hot else [], np.uint64)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def rows(bucket: int, parts: Iterator[tuple[int, bytes]]) -> Iterator[tuple]:
-                place, less = _opened(parts)
-                _, last = _seated(place, totals.parent(less, rules), totals, rules, bucket, 2)
+                place, parent = _opened(parts, totals, rules)
+                _, last = _seated(place, parent, totals, rules, bucket, turn)
                 yield from _asked(bucket, place.w, np.bincount(place.dish, last, len(place.w)), n)
                 run = np.cumsum(place.width) - place.width
                 tables, customers = np.add.reduceat(last, run), np.add.reduceat(place.c, run)
@@ -522,9 +529,9 @@ class _Jobs:
             for bucket, parts in _stream(batches):
                 yield from _given(rows(bucket, parts))
 
-        return self.keep(_by_bucket(self.read(pairs, PAIRS).unionByName(self.read(answers, ANSWER)), self.partitions).mapInArrow(run, ROWS), "tables")
+        return self.keep(_by_bucket(self.read(pairs, PAIRS).unionByName(self.read(answer, ANSWER)), self.partitions).mapInArrow(run, ROWS), "tables")
 
-    def score(self, buckets: _Buckets, pairs: str, answers: str, totals: _Totals) -> DataFrame:
+    def score(self, buckets: _Buckets, pairs: str, answers: list[str], totals: _Totals) -> DataFrame:
         rules = self.rules
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -599,15 +606,18 @@ def _summed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.n
     return u[cut], w[cut], np.add.reduceat(c, cut)
 
 
-def _opened(parts: Iterator[tuple[int, bytes]]) -> tuple[_Restaurants, np.ndarray]:
-    """The restaurants of a bucket and its answer, which come before any other row."""
+def _opened(parts: Iterator[tuple[int, bytes]], totals: _Totals, rules: PitmanYor) -> tuple[_Restaurants, np.ndarray]:
+    """The restaurants of a bucket and their dishes' parent probabilities, averaged over the samples: answers
+    of every sample, which come before any other row."""
     _, payload = next(parts)
     place, got, n = _Restaurants.load(payload), [], 0
-    while n < len(place.w):
-        part, less = unpack(next(parts)[1])
-        got.append((int(part[0]), less))
+    while n < len(place.w) * len(totals.parents):
+        head, less = unpack(next(parts)[1])
+        got.append((int(head[0]), int(head[1]), less))
         n += len(less)
-    return place, np.concatenate([x for _, x in sorted(got, key=lambda x: x[0])]).astype(float)
+    got.sort(key=lambda x: x[:2])
+    less = np.concatenate([x for *_, x in got]).astype(float).reshape(len(totals.parents), -1)
+    return place, np.mean([totals.parent(x, rules, k) for k, x in enumerate(less)], axis=0)
 
 
 def _elsewhere(place: _Restaurants, parent: np.ndarray, totals: _Totals, rules: PitmanYor, turn: int) -> tuple[np.ndarray, np.ndarray]:
@@ -615,7 +625,7 @@ def _elsewhere(place: _Restaurants, parent: np.ndarray, totals: _Totals, rules:
     of contexts, the whole's tables are known and those expected here are taken off."""
     r, n = place.context(), len(place.u)
     customers, tables = np.bincount(r, place.c, n).astype(np.int64), np.minimum(place.c, 1).astype(float)
-    if totals.hot and turn == 3:
+    if totals.hot and turn > 0:
         _, whole = totals.shared(place.u, customers, np.zeros(n, np.int64))
         some = np.flatnonzero((whole[r] > 0) & (place.c >= 2))
         p = np.maximum(parent[place.dish[some]], 1e-300)
@@ -625,19 +635,20 @@ def _elsewhere(place: _Restaurants, parent: np.ndarray, totals: _Totals, rules:
 
 def _seated(place: _Restaurants, parent: np.ndarray, totals: _Totals, rules: PitmanYor, bucket: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
     _, other = _elsewhere(place, parent, totals, rules, turn)
-    rng = np.random.default_rng([rules.seed, bucket, turn])
-    return seat(place.c, place.context(), len(place.u), parent[place.dish], other, totals.discount, rules.strength, rng, rules.burn, rules.keep, turn == 2)
+    rng = np.random.default_rng([rules.seed, bucket, 2, turn])
+    burn, keep = (rules.burn, rules.keep) if turn >= rules.turns - 1 else (rules.turn_burn, rules.turn_keep)
+    return seat(place.c, place.context(), len(place.u), parent[place.dish], other, totals.discount, rules.strength, rng, burn, keep, turn == 0)
 
 
 def _scored(bucket: int, parts: Iterator[tuple[int, bytes]], totals: _Totals, rules: PitmanYor) -> Iterator[tuple]:
     """For each packed row of tokens, its documents' sums of log10 probabilities."""
-    place, less = _opened(parts)
-    parent = totals.parent(less, rules)
-    mean, _ = _seated(place, parent, totals, rules, bucket, 3)
+    place, parent = _opened(parts, totals, rules)
+    turn = max(1, rules.turns - 1)
+    mean, _ = _seated(place, parent, totals, rules, bucket, turn)
     r = place.context()
     n = len(place.u)
     customers, tables = np.bincount(r, place.c, n).astype(np.int64), np.bincount(r, mean, n)
-    more_c, more_t = _elsewhere(place, parent, totals, rules, 3)
+    more_c, more_t = _elsewhere(place, parent, totals, rules, turn)
     customers, tables = customers + more_c, tables + more_t
     p = (place.c - totals.discount * mean + (rules.strength + totals.discount * tables[r]) * parent[place.dish]) / (customers[r] + rules.strength)
     score = np.log10(p)
@@ -669,19 +680,18 @@ def perplexity_scores(docs: DataFrame, rules: PitmanYor = PitmanYor()) -> DataFr
 
     def hot_totals(stats: dict[int, tuple[int, int]]) -> tuple:
         names = [int(x) for x in hot.view(np.int64)]
-        return (hot.tolist(), [stats.get(x, (0, 0))[0] for x in names], [stats.get(x, (0, 0))[1] for x in names]) if names else ()
+        return (hot, *(np.array([stats.get(x, (0, 0))[k] for x in names], np.int64) for k in (0, 1))) if names else ()
 
     known_hot = sum(found.get(int(x), (0, 0))[0] > 0 for x in hot[hot != BEGIN].view(np.int64)) if len(hot) else 0
     vocabulary = found.get(KNOWN, (0, 0))[0] + known_hot + (texts > 0)
-    totals = _Totals(tokens, vocabulary, texts, discount, hot=hot_totals(found))
-    parent = jobs.seat_parent(pairs, totals)
-    customers, tables = jobs.totals(parent).get(PARENT, (0, 0))
-    totals = _Totals(tokens, vocabulary, texts, discount, customers, tables, totals.hot)
-    tables_path = jobs.seat_contexts(pairs, parent, totals)
-    stats = jobs.totals(tables_path)
-    again = jobs.seat_parent(tables_path, totals)
-    drop_scratch(jobs.spark, parent)
-    drop_scratch(jobs.spark, tables_path)
-    customers, tables = jobs.totals(again).get(PARENT, (0, 0))
-    totals = _Totals(tokens, vocabulary, texts, discount, customers, tables, hot_totals(stats))
-    return jobs.score(buckets, pairs, again, totals)
+    parents, answers, asked, shared = [], [], pairs, hot_totals(found)
+    for turn in range(max(2, rules.turns)):
+        answers.append(jobs.seat_parent(asked, _Totals(tokens, vocabulary, texts, discount), turn))
+        parents.append(jobs.totals(answers[-1]).get(PARENT, (0, 0)))
+        if turn:
+            drop_scratch(jobs.spark, asked)
+        if turn + 1 < max(2, rules.turns):
+            asked = jobs.seat_contexts(pairs, answers[-1], _Totals(tokens, vocabulary, texts, discount, (parents[-1],), shared), turn)
+            shared = hot_totals(jobs.totals(asked))
+    drop_scratch(jobs.spark, answers[0])
+    return jobs.score(buckets, pairs, answers[1:], _Totals(tokens, vocabulary, texts, discount, tuple(parents[1:]), shared))

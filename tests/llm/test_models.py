@@ -253,7 +253,7 @@ def test_predictions_sum_to_one(monkeypatch):
     rules = pitmanyor.PitmanYor()
     tables = np.bincount(w, minlength=v)
     mean, last = pitmanyor.seat(tables, np.zeros(v, np.int64), 1, np.full(v, 1 / (v + 1)), np.zeros(1), rules.parent_discount, rules.parent_strength, rng, 5, 5)
-    totals = pitmanyor._Totals(int(c.sum()), v, 0, 0.7, int(tables.sum()), mean.sum())
+    totals = pitmanyor._Totals(int(c.sum()), v, 0, 0.7, ((int(tables.sum()), mean.sum()),))
     parent = totals.parent(tables - rules.parent_discount * mean, rules)
     unknown = totals.parent(np.zeros(1), rules)[0]
     assert parent.sum() + unknown == pytest.approx(1)
@@ -324,3 +324,84 @@ def test_hot_dish_is_not_capped():
     wanted = (np.exp(w - w.max()) * n).sum() / np.exp(w - w.max()).sum()
     mean, last = pitmanyor.seat(np.full(50, 4000), np.arange(50), 50, np.full(50, p), np.full(50, other), d, 1.0, np.random.default_rng(7), rules.burn, rules.keep)
     assert wanted > 150 and mean.mean() == pytest.approx(wanted, rel=0.02) and last.mean() == pytest.approx(wanted, rel=0.05)
+
+
+def plain_scores(train, texts, d, theta, d0, theta0, sweeps, rng):
+    """A two-level restaurant franchise with every customer and table, reseated one by one; averaged probabilities."""
+    split = lambda t: ["\0begin", *re.findall(r"[^\x20\x09-\x0D]+", t.translate(LOWER)), "\0end"]
+    pairs = [p for t in train for p in zip(split(t), split(t)[1:], strict=False)]
+    vocabulary = len({w for _, w in pairs})
+    seats, parent = {}, {}  # tables of each (context, word) and of each word, as lists of customers
+    held, upper = collections.Counter(), [0, 0]  # context: customers, tables
+
+    def up(w):
+        own = parent.get(w, [])
+        return (sum(own) - d0 * len(own) + (theta0 + d0 * upper[1]) / (vocabulary + 1)) / (upper[0] + theta0)
+
+    def pick(own, fresh, less):
+        x = rng.random() * (sum(own) - less * len(own) + fresh)
+        for k, n in enumerate(own):
+            x -= n - less
+            if x < 0:
+                return k
+        return len(own)
+
+    def sit(u, w):
+        own = seats.setdefault((u, w), [])
+        k = pick(own, (theta + d * held[u, "t"]) * up(w), d)
+        if k < len(own):
+            own[k] += 1
+        else:
+            above = parent.setdefault(w, [])
+            j = pick(above, (theta0 + d0 * upper[1]) / (vocabulary + 1), d0)
+            if j < len(above):
+                above[j] += 1
+            else:
+                above.append(1)
+                upper[1] += 1
+            upper[0] += 1
+            own.append(1)
+            held[u, "t"] += 1
+        held[u, "c"] += 1
+
+    def rise(u, w):
+        own = seats[u, w]
+        k = rng.choice(len(own), p=np.array(own) / sum(own))
+        own[k] -= 1
+        held[u, "c"] -= 1
+        if not own[k]:
+            own.pop(k)
+            held[u, "t"] -= 1
+            above = parent[w]
+            j = rng.choice(len(above), p=np.array(above) / sum(above))
+            above[j] -= 1
+            upper[0] -= 1
+            if not above[j]:
+                above.pop(j)
+                upper[1] -= 1
+
+    for u, w in pairs:
+        sit(u, w)
+    total = collections.Counter()
+    wanted = {p for t in texts for p in zip(split(t), split(t)[1:], strict=False)}
+    for sweep in range(sweeps):
+        for u, w in pairs:
+            rise(u, w)
+            sit(u, w)
+        if sweep >= sweeps // 5:
+            for u, w in wanted:
+                own = seats.get((u, w), [])
+                total[u, w] += (sum(own) - d * len(own) + (theta + d * held[u, "t"]) * up(w)) / (held[u, "c"] + theta)
+    n = sweeps - sweeps // 5
+    return [sum(math.log10(total[p] / n) for p in zip(split(t), split(t)[1:], strict=False)) for t in texts]
+
+
+def test_scores_match_a_plain_franchise(spark):
+    rng = np.random.default_rng(6)
+    found = [(i, " ".join(f"w{min(int(x), 14)}" for x in rng.geometric(0.25, 14))) for i in range(24)]
+    rules = pitmanyor.PitmanYor(discount=0.6)
+    out = {r.doc_id: r for r in pitmanyor.perplexity_scores(spark.createDataFrame(found, "doc_id long, text string"), rules).collect()}
+    train = [t for i, t in found if not out[i].held_out]
+    wanted = plain_scores(train, [t for _, t in found], 0.6, rules.strength, rules.parent_discount, rules.parent_strength, 250, rng)
+    for (i, _), score in zip(found, wanted, strict=True):
+        assert out[i].score / out[i].n_tokens == pytest.approx(score / out[i].n_tokens, abs=0.03)
