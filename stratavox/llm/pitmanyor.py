@@ -17,7 +17,8 @@ packed arrays by bucket of the context; contexts that hold more than a share of
 all tokens (at most HOT_MOST of them) are spread over buckets by the next word, and share
 their totals.  Parent probabilities are asked for and sent back in packed arrays by
 bucket as well, so nothing that grows with the corpus is broadcast or held by
-the driver.  Context words are told apart by 64-bit, next words by 40-bit hashes.
+the driver.  Words are told apart by 64-bit hashes; a token to be scored names its pair to the bucket
+that holds it by 56 bits of the pair's hash.
 
 Edge cases: null and empty texts are one end token; rows are scored each by itself,
 repeated doc_ids included; a null doc_id is hashed as the empty text; without training texts every
@@ -217,17 +218,24 @@ def seat(c: np.ndarray, r: np.ndarray, n_r: int, p: np.ndarray, other: np.ndarra
 # ---- packed words --------------------------------------------------------------------
 
 
-def _to5(w: np.ndarray) -> np.ndarray:
-    """The 40-bit next-word hashes as bytes."""
-    return w.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].ravel()
+def _planes(x: np.ndarray, size: int) -> list[np.ndarray]:
+    """The low `size` bytes of integers, byte by byte: planes of like bytes compress well."""
+    flat = np.ascontiguousarray(x).astype("<u8").view(np.uint8).reshape(-1, 8)
+    return [np.ascontiguousarray(flat[:, k]) for k in range(size)]
 
 
-def _from5(data: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = data.reshape(-1, 5)
+def _joined(planes: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros((len(planes[0]), 8), np.uint8)
+    for k, plane in enumerate(planes):
+        out[:, k] = plane
     return out.view("<u8").ravel().astype(np.uint64)
 
 
+def _pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """56 bits that name a pair within its bucket."""
+    return tb.mix64(u ^ tb.mix64(w)) >> _U(8)
+
+
 def _row(kind: int, bucket: int, payload: bytes | None, name: int = 0, a: int = 0, b: int = 0) -> tuple:
     return kind, bucket, payload, name, a, b
 
@@ -259,7 +267,7 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple
 
 
 def _pairs(block: tb.Block, hasher: tb.Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, next token's 40 bits, document) of every token of a block, ends included."""
+    """(context, next token, document) of every token of a block, ends included."""
     words = hasher.spans(block.data, block.starts, block.ends)
     doc = block.doc_of_word()
     n = block.n_words + block.n_docs
@@ -267,7 +275,7 @@ def _pairs(block: tb.Block, hasher: tb.Hasher) -> tuple[np.ndarray, np.ndarray,
     at = np.arange(block.n_words) + doc
     w[at], u[at + 1] = words, words
     d[at], d[block.first[1:] + np.arange(block.n_docs)] = doc, np.arange(block.n_docs)
-    return u, w >> _U(24), d
+    return u, w, d
 
 
 class _Buckets:
@@ -301,6 +309,9 @@ class _Packer:
         u, w, x = (np.concatenate(c) for c in zip(*self.parts, strict=True))
         self.parts, self.size = [], 0
         bucket = self.buckets.of(u, w)
+        if self.with_docs:
+            yield from self._tokens(bucket, _pair_key(u, w), x, flush)
+            return
         # one sort: runs of equal pairs, split at worst where shortened hashes meet
         key = (bucket.astype(np.uint64) % _U(1 << 12) << _U(52)) | (tb.mix64(u) >> _U(36) << _U(24)) | (w & _U(0xFFFFFF))
         order = np.argsort(key)
@@ -317,20 +328,33 @@ class _Packer:
         for a, b in zip(cuts, np.append(cuts[1:], len(pair)), strict=True):
             i, j = np.searchsorted(run, [a, b])
             lo, hi = pair[a], pair[b] if b < len(pair) else len(u)
-            head = [pu[run[i:j]], width[i:j].astype(np.uint32), _to5(w[pair[a:b]])]
-            if self.with_docs:
-                payload = pack(np.array([flush], np.int64), *head, count[a:b].astype(np.uint32), x[lo:hi])
-            else:
-                payload = pack(*head, np.add.reduceat(x[lo:hi], pair[a:b] - lo).astype(np.uint32))
+            head = [pu[run[i:j]], width[i:j].astype(np.uint32), w[pair[a:b]]]
+            payload = pack(*head, np.add.reduceat(x[lo:hi], pair[a:b] - lo).astype(np.uint32))
             yield _row(SEEN, int(pb[a]), payload)
 
+    @staticmethod
+    def _tokens(bucket: np.ndarray, key: np.ndarray, x: np.ndarray, flush: int) -> Iterator[tuple]:
+        """For each bucket, its pairs by key, how often each occurs, and the documents."""
+        order = np.argsort((bucket.astype(np.uint64) % _U(1 << 12) << _U(52)) | (key >> _U(4)))
+        if bucket.max() >= 1 << 12:
+            order = order[np.argsort(bucket[order], kind="stable")]
+        bucket, key, x = bucket[order], key[order], x[order]
+        fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])])
+        pair = np.flatnonzero(fresh)
+        count = np.diff(np.append(pair, len(key)))
+        cuts = np.flatnonzero(np.concatenate([[True], bucket[pair[1:]] != bucket[pair[:-1]]]))
+        for a, b in zip(cuts, np.append(cuts[1:], len(pair)), strict=True):
+            lo, hi = pair[a], pair[b] if b < len(pair) else len(key)
+            payload = pack(np.array([flush], np.int64), *_planes(key[pair[a:b]], 7), count[a:b].astype(np.uint32), *_planes(x[lo:hi], 4))
+            yield _row(SEEN, int(bucket[lo]), payload)
+
 
 def _asked(bucket: int, w: np.ndarray, t: np.ndarray, n: int) -> Iterator[tuple]:
     """The tables that a bucket's dishes send to the parent, by range of the word's hash."""
-    to = ((w * _U(n)) >> _U(40)).astype(np.int64)
+    to = (((w >> _U(32)) * _U(n)) >> _U(32)).astype(np.int64)
     cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
     for a, b in zip(cuts, np.append(cuts[1:], len(w)), strict=True):
-        yield _row(ASKED, int(to[a]), pack(np.array([bucket], np.int64), _to5(w[a:b]), t[a:b].astype(np.uint32)))
+        yield _row(ASKED, int(to[a]), pack(np.array([bucket], np.int64), w[a:b], t[a:b].astype(np.uint32)))
 
 
 @dataclass
@@ -346,10 +370,10 @@ class _Restaurants:
     @classmethod
     def load(cls, payload: bytes) -> _Restaurants:
         u, width, dish, c, w = unpack(payload)
-        return cls(u, width.astype(np.int64), dish.astype(np.int64), c.astype(np.int64), _from5(w))
+        return cls(u, width.astype(np.int64), dish.astype(np.int64), c.astype(np.int64), w)
 
     def dump(self) -> bytes:
-        return pack(self.u, self.width.astype(np.uint32), self.dish.astype(np.uint32), self.c.astype(np.uint32), _to5(self.w))
+        return pack(self.u, self.width.astype(np.uint32), self.dish.astype(np.uint32), self.c.astype(np.uint32), self.w)
 
     def context(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.u)), self.width)
@@ -459,7 +483,7 @@ class _Jobs:
                 held, size = [], 0
                 for _, payload in parts:
                     u, width, w, c = unpack(payload)
-                    held.append((np.repeat(u, width), _from5(w), c.astype(np.int64)))
+                    held.append((np.repeat(u, width), w, c.astype(np.int64)))
                     size += len(c)
                     if size > 4_000_000:  # counts of equal pairs are summed as they come
                         held = [_summed(held)]
@@ -492,7 +516,7 @@ class _Jobs:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def rows(part: int, parts: Iterator[tuple[int, bytes]]) -> Iterator[tuple]:
                 got = [unpack(p) for _, p in parts]
-                w = np.concatenate([_from5(x[1]) for x in got])
+                w = np.concatenate([x[1] for x in got])
                 t = np.concatenate([x[2] for x in got]).astype(np.int64)
                 words, dish = np.unique(w, return_inverse=True)
                 c = np.bincount(dish, t, len(words)).astype(np.int64)
@@ -655,13 +679,13 @@ def _scored(bucket: int, parts: Iterator[tuple[int, bytes]], totals: _Totals, ru
     counted = place.u != BEGIN
     base = np.where(counted, np.log10((customers + 1) / (totals.tokens + totals.vocabulary + 1)), 0.0)
     known = (counted & (customers > 0)).astype(np.int64)
-    key = tb.mix64(place.u[r] ^ tb.mix64(place.w[place.dish]))
+    key = _pair_key(place.u[r], place.w[place.dish])
     order = np.argsort(key)
     key = key[order]
     for _, payload in parts:
-        flush, u, width, w, count, docs = unpack(payload)
-        at = order[np.searchsorted(key, tb.mix64(np.repeat(u, width) ^ tb.mix64(_from5(w))))]
-        x, d = np.repeat(at, count), docs.astype(np.int64)
+        flush, *rest = unpack(payload)
+        at = order[np.searchsorted(key, _joined(rest[:7]))]
+        x, d = np.repeat(at, rest[7]), _joined(rest[8:]).astype(np.int64)
         size = int(d.max()) + 1
         seen = np.flatnonzero(np.bincount(d, minlength=size)).astype(np.uint32)
         sums = [np.bincount(d, v, size)[seen] for v in (base[r[x]], known[r[x]], score[x])]
