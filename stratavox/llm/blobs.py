@@ -40,6 +40,24 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def planes(x: np.ndarray) -> np.ndarray:
+    """The bytes of x, all first bytes, then all second ones and so on: like bytes compress well."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T).ravel()
+
+
+def from_planes(flat: np.ndarray, dtype: type) -> np.ndarray:
+    return np.ascontiguousarray(flat.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+
+
+def ascending(x: np.ndarray) -> np.ndarray:
+    """Planes of the steps of sorted 64-bit values, whose high bytes are zero where the values are many."""
+    return planes(np.diff(x, prepend=np.uint64(0)))
+
+
+def from_ascending(flat: np.ndarray) -> np.ndarray:
+    return np.cumsum(from_planes(flat, np.uint64), dtype=np.uint64)
+
+
 def rows(found: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([p for _, p in found], pa.binary())], ["bucket", "payload"])
 

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .blobs import gather, pack, spread, unpack
+from .blobs import ascending, from_ascending, from_planes, pack, planes, spread, unpack
 from .storage import drop_scratch, input_bytes, partitions_for, scratch
 
 _U = np.uint64
@@ -224,9 +224,9 @@ def _planes(x: np.ndarray, size: int) -> list[np.ndarray]:
     return [np.ascontiguousarray(flat[:, k]) for k in range(size)]
 
 
-def _joined(planes: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros((len(planes[0]), 8), np.uint8)
-    for k, plane in enumerate(planes):
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros((len(parts[0]), 8), np.uint8)
+    for k, plane in enumerate(parts):
         out[:, k] = plane
     return out.view("<u8").ravel().astype(np.uint64)
 
@@ -328,8 +328,8 @@ class _Packer:
         for a, b in zip(cuts, np.append(cuts[1:], len(pair)), strict=True):
             i, j = np.searchsorted(run, [a, b])
             lo, hi = pair[a], pair[b] if b < len(pair) else len(u)
-            head = [pu[run[i:j]], width[i:j].astype(np.uint32), w[pair[a:b]]]
-            payload = pack(*head, np.add.reduceat(x[lo:hi], pair[a:b] - lo).astype(np.uint32))
+            head = [pu[run[i:j]], planes(width[i:j].astype(np.uint32)), w[pair[a:b]]]
+            payload = pack(*head, planes(np.add.reduceat(x[lo:hi], pair[a:b] - lo).astype(np.uint32)))
             yield _row(SEEN, int(pb[a]), payload)
 
     @staticmethod
@@ -345,7 +345,8 @@ class _Packer:
         cuts = np.flatnonzero(np.concatenate([[True], bucket[pair[1:]] != bucket[pair[:-1]]]))
         for a, b in zip(cuts, np.append(cuts[1:], len(pair)), strict=True):
             lo, hi = pair[a], pair[b] if b < len(pair) else len(key)
-            payload = pack(np.array([flush], np.int64), *_planes(key[pair[a:b]], 7), count[a:b].astype(np.uint32), *_planes(x[lo:hi], 4))
+            steps = np.diff(key[pair[a:b]], prepend=_U(0))  # keys ascend but for their last bits: steps are taken modulo 2^56
+            payload = pack(np.array([flush], np.int64), *_planes(steps, 7), planes(count[a:b].astype(np.uint32)), *_planes(x[lo:hi], 4))
             yield _row(SEEN, int(bucket[lo]), payload)
 
 
@@ -354,7 +355,7 @@ def _asked(bucket: int, w: np.ndarray, t: np.ndarray, n: int) -> Iterator[tuple]
     to = (((w >> _U(32)) * _U(n)) >> _U(32)).astype(np.int64)
     cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
     for a, b in zip(cuts, np.append(cuts[1:], len(w)), strict=True):
-        yield _row(ASKED, int(to[a]), pack(np.array([bucket], np.int64), w[a:b], t[a:b].astype(np.uint32)))
+        yield _row(ASKED, int(to[a]), pack(np.array([bucket], np.int64), ascending(w[a:b]), planes(t[a:b].astype(np.uint32))))
 
 
 @dataclass
@@ -369,11 +370,11 @@ class _Restaurants:
 
     @classmethod
     def load(cls, payload: bytes) -> _Restaurants:
-        u, width, dish, c, w = unpack(payload)
-        return cls(u, width.astype(np.int64), dish.astype(np.int64), c.astype(np.int64), w)
+        u, *counts, w = unpack(payload)
+        return cls(from_ascending(u), *(from_planes(x, np.uint32).astype(np.int64) for x in counts), from_ascending(w))
 
     def dump(self) -> bytes:
-        return pack(self.u, self.width.astype(np.uint32), self.dish.astype(np.uint32), self.c.astype(np.uint32), self.w)
+        return pack(ascending(self.u), *(planes(x.astype(np.uint32)) for x in (self.width, self.dish, self.c)), ascending(self.w))
 
     def context(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.u)), self.width)
@@ -483,7 +484,8 @@ class _Jobs:
                 held, size = [], 0
                 for _, payload in parts:
                     u, width, w, c = unpack(payload)
-                    held.append((np.repeat(u, width), w, c.astype(np.int64)))
+                    c = from_planes(c, np.uint32).astype(np.int64)
+                    held.append((np.repeat(u, from_planes(width, np.uint32)), w, c))
                     size += len(c)
                     if size > 4_000_000:  # counts of equal pairs are summed as they come
                         held = [_summed(held)]
@@ -516,8 +518,8 @@ class _Jobs:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def rows(part: int, parts: Iterator[tuple[int, bytes]]) -> Iterator[tuple]:
                 got = [unpack(p) for _, p in parts]
-                w = np.concatenate([x[1] for x in got])
-                t = np.concatenate([x[2] for x in got]).astype(np.int64)
+                w = np.concatenate([from_ascending(x[1]) for x in got])
+                t = np.concatenate([from_planes(x[2], np.uint32) for x in got]).astype(np.int64)
                 words, dish = np.unique(w, return_inverse=True)
                 c = np.bincount(dish, t, len(words)).astype(np.int64)
                 known = int((c > 0).sum())
@@ -525,9 +527,9 @@ class _Jobs:
                 p = np.full(len(words), 1 / (totals.vocabulary + 1))
                 mean, last = seat(c, np.zeros(len(words), np.int64), 1, p, np.array([max(0, totals.vocabulary - known)]), rules.parent_discount, rules.parent_strength, rng, rules.turn_burn, rules.turn_keep, True)
                 less = (c - rules.parent_discount * mean).astype(np.float32)
-                bounds = np.concatenate([[0], np.cumsum([len(x[2]) for x in got])])
+                bounds = np.concatenate([[0], np.cumsum([len(x[2]) // 4 for x in got])])
                 for x, a, b in zip(got, bounds[:-1], bounds[1:], strict=True):
-                    yield _row(ANSWER, int(x[0][0]), pack(np.array([turn, part], np.int64), less[dish[a:b]]))
+                    yield _row(ANSWER, int(x[0][0]), pack(np.array([turn, part], np.int64), planes(less[dish[a:b]])))
                 yield _row(STATS, part, None, PARENT, int(c.sum()), int(last.sum()))
 
             for part, parts in _stream(batches):
@@ -637,8 +639,8 @@ def _opened(parts: Iterator[tuple[int, bytes]], totals: _Totals, rules: PitmanYo
     place, got, n = _Restaurants.load(payload), [], 0
     while n < len(place.w) * len(totals.parents):
         head, less = unpack(next(parts)[1])
-        got.append((int(head[0]), int(head[1]), less))
-        n += len(less)
+        got.append((int(head[0]), int(head[1]), from_planes(less, np.float32)))
+        n += len(got[-1][2])
     got.sort(key=lambda x: x[:2])
     less = np.concatenate([x for *_, x in got]).astype(float).reshape(len(totals.parents), -1)
     return place, np.mean([totals.parent(x, rules, k) for k, x in enumerate(less)], axis=0)
@@ -684,8 +686,8 @@ def _scored(bucket: int, parts: Iterator[tuple[int, bytes]], totals: _Totals, ru
     key = key[order]
     for _, payload in parts:
         flush, *rest = unpack(payload)
-        at = order[np.searchsorted(key, _joined(rest[:7]))]
-        x, d = np.repeat(at, rest[7]), _joined(rest[8:]).astype(np.int64)
+        at = order[np.searchsorted(key, np.cumsum(_joined(rest[:7]), dtype=np.uint64) & _U((1 << 56) - 1))]
+        x, d = np.repeat(at, from_planes(rest[7], np.uint32)), _joined(rest[8:]).astype(np.int64)
         size = int(d.max()) + 1
         seen = np.flatnonzero(np.bincount(d, minlength=size)).astype(np.uint32)
         sums = [np.bincount(d, v, size)[seen] for v in (base[r[x]], known[r[x]], score[x])]
@@ -712,8 +714,7 @@ def perplexity_scores(docs: DataFrame, rules: PitmanYor = PitmanYor()) -> DataFr
     for turn in range(max(2, rules.turns)):
         answers.append(jobs.seat_parent(asked, _Totals(tokens, vocabulary, texts, discount), turn))
         parents.append(jobs.totals(answers[-1]).get(PARENT, (0, 0)))
-        if turn:
-            drop_scratch(jobs.spark, asked)
+        drop_scratch(jobs.spark, asked if turn else f"{pairs}/kind={ASKED}")
         if turn + 1 < max(2, rules.turns):
             asked = jobs.seat_contexts(pairs, answers[-1], _Totals(tokens, vocabulary, texts, discount, (parents[-1],), shared), turn)
             shared = hot_totals(jobs.totals(asked))
