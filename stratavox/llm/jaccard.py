@@ -57,6 +57,7 @@ from .storage import free_name, partitions_for, scratch, stored
 _U = np.uint64
 LEAST = 256  # bits of a parity sketch
 NULL_ID = -(2**63)
+PIECE = 1 << 19  # shingles compared at once
 
 
 @dataclass(frozen=True)
@@ -156,7 +157,7 @@ def _classes(docs: DataFrame, rules: JaccardRules) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, table = tb.Hasher(lower=True), tb.whitespace_words()
         for batch in batches:
-            for block in tb.blocks(batch.column(2), table):
+            for block in tb.blocks(batch.column(2), table, tb.BLOCK_BYTES // 2):
                 words = hasher.spans(block.data, block.starts, block.ends)
                 grams, doc = shingle_sets(block, words, rules.words)
                 bounds = _bounds(doc, block.n_docs)
@@ -215,7 +216,7 @@ def _keys(docs: DataFrame, hot: np.ndarray, names: Names, n_buckets: int, rules:
         hasher, table, hot = tb.Hasher(lower=True), tb.whitespace_words(), shared.value
         bins = blobs.Bins(16 << 20)
         for batch in batches:
-            for block in tb.blocks(batch.column(0), table):
+            for block in tb.blocks(batch.column(0), table, tb.BLOCK_BYTES // 2):
                 grams, doc = shingle_sets(block, hasher.spans(block.data, block.starts, block.ends), rules.words)
                 bounds = _bounds(doc, block.n_docs)
                 cls, n = names.of(grams, bounds, rules), np.diff(bounds)
@@ -498,13 +499,20 @@ def _crowds(crowds: DataFrame, rules: JaccardRules) -> DataFrame:
 
 
 def _shared(flat: np.ndarray, heads: np.ndarray, n: np.ndarray, q: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """How many values each of the sets `at` has in common with the sorted set q."""
-    if not len(at):
-        return np.zeros(0, np.int64)
-    values = flat[blobs.gather(heads[at], n[at])] if len(at) < len(n) else flat
-    bounds = np.cumsum(n[at]) - n[at]
-    near = np.minimum(np.searchsorted(q, values), len(q) - 1)
-    return np.add.reduceat((q[near] == values).astype(np.int64), bounds)
+    """How many values each of the sets `at` (ascending) has in common with the sorted set q, PIECE values at once."""
+    out = np.zeros(len(at), np.int64)
+    ends = np.cumsum(n[at])
+    begin = 0
+    while begin < len(at):
+        done = ends[begin - 1] if begin else 0
+        stop = max(begin + 1, int(np.searchsorted(ends, done + PIECE, "right")))
+        some = at[begin:stop]
+        whole = some[-1] - some[0] + 1 == len(some)
+        values = flat[heads[some[0]] : heads[some[-1]] + n[some[-1]]] if whole else flat[blobs.gather(heads[some], n[some])]
+        near = np.minimum(np.searchsorted(q, values), len(q) - 1)
+        out[begin:stop] = np.add.reduceat((q[near] == values).astype(np.int64), ends[begin:stop] - n[some] - done)
+        begin = stop
+    return out
 
 
 def join_region(sets: list[np.ndarray], rules: JaccardRules, every: bool = False, queries: int | None = None) -> list[tuple[int, int]]:
@@ -593,8 +601,8 @@ def _joined(docs: DataFrame, classes: DataFrame, dealt: DataFrame, names: Names,
             if len(cls) < 2:
                 continue
             role = t.column(2).to_numpy()[first]
-            content = t.column(3).take(pa.array(first)).to_pylist()
-            sets = [np.frombuffer(x, np.uint64) for x in content]
+            content = t.column(3)
+            sets = [np.frombuffer(content[int(i)].as_buffer(), np.uint64) for i in first]  # views, no copies
             rest = np.zeros(0, np.int64)
             if role[0] == PIVOT:
                 found, rest = join_chunk(sets, int((role == PIVOT).sum()), rules)
