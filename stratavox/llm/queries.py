@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, importance, jaccard, linededup, pieces, pitmanyor, repetition, substrings, toxicity, warc
+from . import decontaminate, importance, interactions, jaccard, linededup, pieces, pitmanyor, repetition, substrings, toxicity, warc
 from .storage import scratch, table
 
 
@@ -201,6 +201,30 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.m AS component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS m FROM r GROUP BY x) c ON c.x = d.doc_id"""
 
 
+def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removals of five filters in all their orders, by part."""
+    return interactions.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES["op11_filter_interactions"] = op11_filter_interactions
+ORACLE_SQL["op11_filter_interactions"] = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_WORDS} AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+g AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, CAST(len(w) < 200 AS INT) AS a, CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT) AS b,
+    CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS INT) AS c, CAST(regexp_matches(t, '[#$%&*|]') AS INT) AS d,
+    CASE WHEN doc_id > first THEN 1 ELSE 0 END AS e, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM d LEFT JOIN g USING (doc_id)),
+p AS (SELECT part, concat(CASE WHEN a = 1 THEN 'A' ELSE '' END, CASE WHEN b = 1 THEN 'B' ELSE '' END, CASE WHEN c = 1 THEN 'C' ELSE '' END,
+    CASE WHEN d = 1 THEN 'D' ELSE '' END, CASE WHEN e = 1 THEN 'E' ELSE '' END) AS fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT concat(v.x, w.x, x.x, y.x, z.x) AS filter_order FROM l v, l w, l x, l y, l z WHERE len(list_distinct([v.x, w.x, x.x, y.x, z.x])) = 5),
+s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS own, CASE WHEN step = 1 THEN '[^A-E]' ELSE concat('[', substr(filter_order, 1, step - 1), ']') END AS earlier FROM o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT gone AND NOT hit), 0) AS kept, coalesce(sum(n) FILTER (NOT gone AND hit), 0) AS removed, coalesce(sum(n) FILTER (gone AND hit), 0) AS redundant,
+    coalesce(sum(n) FILTER (fails = own), 0) AS unique_fails, coalesce(sum(good) FILTER (NOT gone AND hit), 0) AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND hit), 0) AS toxic_lost
+  FROM (SELECT *, regexp_matches(fails, earlier) AS gone, contains(fails, own) AS hit FROM p, s) GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r"""
+
+
 def _pipeline() -> None:
     import corpus_pipeline
 
