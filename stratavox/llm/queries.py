@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, importance, interactions, jaccard, linededup, pieces, pitmanyor, repetition, substrings, toxicity, warc
+from . import decontaminate, importance, interactions, jaccard, linededup, pieces, pitmanyor, repetition, resampling, substrings, tokencounts, toxicity, warc
 from .storage import scratch, table
 
 
@@ -225,6 +225,42 @@ SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS ke
   CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r"""
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document by two tiers of lookup."""
+    return tokencounts.token_counts(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op12_token_counts"] = op12_token_counts
+
+
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight toward the benchmark, its noisy score and the rank of those drawn."""
+    out = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES["op13_target_resampling"] = op13_target_resampling
+#: CRC-32 in SQL: a table of its 256 steps, applied to the bytes of each distinct feature.
+ORACLE_SQL["op13_target_resampling"] = f"""
+WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
+b AS (SELECT {_ALNUM} AS w FROM benchmark),
+df AS (SELECT doc_id, array_to_string(w[s:s + k - 1], ' ') AS f, count(*) AS n FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k) GROUP BY ALL),
+bf AS (SELECT array_to_string(w[s:s + k - 1], ' ') AS f, count(*) AS n FROM (SELECT w, k, unnest(range(1, len(w) - k + 2)) AS s FROM b, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k) GROUP BY ALL),
+tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda c, j: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+fs AS (SELECT DISTINCT f FROM (SELECT f FROM df UNION ALL SELECT f FROM bf)),
+bk AS (SELECT f, xor(list_reduce(list_concat([4294967295], [CAST('0x' || substr(h, 2 * j + 1, 2) AS BIGINT) FOR j IN range(len(h) // 2)]),
+    lambda c, x: xor(c // 256, t[1 + (xor(c, x) & 255)])), 4294967295) % 10000 AS k FROM (SELECT f, hex(f) AS h FROM fs), tab),
+s AS (SELECT k, sum(n) AS s FROM df JOIN bk USING (f) GROUP BY k),
+t AS (SELECT k, sum(n) AS t FROM bf JOIN bk USING (f) GROUP BY k),
+tot AS (SELECT coalesce((SELECT sum(n) FROM df), 0) AS ss, coalesce((SELECT sum(n) FROM bf), 0) AS tt),
+g AS (SELECT k, CAST(floor(1000 * ln(((coalesce(t, 0) + 1.0::DOUBLE) * (ss + 10000)) / ((s + 1.0::DOUBLE) * (tt + 10000)))) AS BIGINT) AS g FROM s LEFT JOIN t USING (k), tot),
+wt AS (SELECT doc_id, sum(n) AS n, sum(n * g) AS w FROM df JOIN bk USING (f) JOIN g USING (k) GROUP BY doc_id),
+sc AS (SELECT doc_id, len(d.w) AS words, coalesce(n, 0) AS n_features, coalesce(wt.w, 0) AS weight,
+    coalesce(wt.w, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS score FROM d LEFT JOIN wt USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM sc WHERE words >= 20)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CASE WHEN r <= floor(5 * n / 100) THEN r END AS rank FROM sc LEFT JOIN r USING (doc_id)"""
+
+
 def _pipeline() -> None:
     import corpus_pipeline
 
