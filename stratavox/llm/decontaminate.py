@@ -113,7 +113,7 @@ def build_index(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
                 columns = [pa.array([x], pa.binary()) for x in _segment(block, hasher)]
                 yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), one(keys), one(pa.array(block.first.astype(np.int32))), *columns], names)
 
-    docs.select(key, "text").mapInArrow(run, schema).write.parquet(path)
+    docs.select(key, "text").mapInArrow(tb.released(run), schema).write.parquet(path)
     return docs.sparkSession.read.schema(schema).parquet(path)
 
 

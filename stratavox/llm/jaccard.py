@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 
 from . import blobs
 from . import textblocks as tb
-from .storage import free_name, partitions_for, scratch, stored
+from .storage import columns, free_name, partitions_for, scratch, stored
 
 _U = np.uint64
 LEAST = 256  # bits of a parity sketch
@@ -64,8 +64,8 @@ PIECE = 1 << 19  # shingles compared at once
 class JaccardRules:
     """words: of a shingle; similarity: in percent; hot_list: bound of the list of frequent
     shingles; hot_least: documents from which one can count as frequent; broadcast_bytes:
-    size up to which the list of wanted documents is broadcast; region, region_bytes: classes and
-    bytes of sketches that a task cuts at once; fan: pivots of a larger region; hood_rows: prefix
+    size up to which a table is broadcast; region, region_bytes: classes and
+    bytes of their sets that a task cuts at once; fan: pivots of a larger region; hood_rows: prefix
     shingles of a bucket held at once; name_bits: of a class's first name."""
 
     words: int = 5
@@ -74,7 +74,7 @@ class JaccardRules:
     hot_least: int = 50
     broadcast_bytes: int = 16 << 20
     region: int = 1024
-    region_bytes: int = 32 << 20
+    region_bytes: int = 64 << 20
     fan: int = 16
     hood_rows: int = 1_500_000
     name_bits: int = 64
@@ -180,7 +180,7 @@ def _classes(docs: DataFrame, rules: JaccardRules) -> DataFrame:
                      pa.array(np.append(count[often], len(kinds))), pa.nulls(k, pa.binary())], names,
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("digest"), "text").mapInArrow(run, CLASSES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("digest"), "text").mapInArrow(tb.released(run), CLASSES)
 
 
 def _names(rows: DataFrame) -> Names:
@@ -389,9 +389,16 @@ def _spread(table: pa.Table, fan: int) -> tuple[list[bytes], bytes]:
     return [rows[i].tobytes() for i in chosen], heart
 
 
-def _small(df: DataFrame, limit: int = 2_000) -> DataFrame:
-    """df, to be broadcast if it has few rows."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def _small(df: DataFrame, limit: int = JaccardRules.broadcast_bytes) -> DataFrame:
+    """df, to be broadcast if it is small in bytes."""
+    held = F.lit(16 * len(df.columns))
+    for name, kind in df.dtypes:
+        if kind == "binary":
+            held = held + F.length(name)
+        elif kind == "array<binary>":
+            held = held + F.aggregate(name, F.lit(0), lambda n, x: n + 16 + F.length(x))
+    size = df.agg(F.sum(held.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
 
 
 def _split(large: DataFrame, level: int, rules: JaccardRules) -> tuple[DataFrame, DataFrame]:
@@ -613,8 +620,8 @@ def _joined(docs: DataFrame, classes: DataFrame, dealt: DataFrame, names: Names,
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([t.column(0)[0].as_py()] * len(a), pa.int64())], ["a", "b", "key"])
 
     schema = "key bigint, class bigint, role int, content binary"
-    rows = texts.mapInArrow(send, schema).repartition(partitions, "key").sortWithinPartitions("key", "role", "class")
-    return rows.mapInArrow(run, "a bigint, b bigint, key bigint").distinct()
+    rows = texts.mapInArrow(tb.released(send), schema).repartition(partitions, "key").sortWithinPartitions("key", "role", "class")
+    return rows.mapInArrow(tb.released(run), "a bigint, b bigint, key bigint").distinct()
 
 
 def _links(docs: DataFrame, classes: DataFrame, hoods: DataFrame, names: Names, partitions: int, rules: JaccardRules, every: bool = False) -> DataFrame:
@@ -622,8 +629,8 @@ def _links(docs: DataFrame, classes: DataFrame, hoods: DataFrame, names: Names,
     rows = stored(_first_regions(hoods, classes, rules), "regions")
     keys, crowds, level = None, None, 0
     while True:
-        sizes = rows.groupBy("region").agg(F.count("*").alias("size"), F.sum("bits").alias("bits_"))
-        sizes = stored(sizes.filter((F.col("size") > rules.region) | ((F.col("bits_") > 8 * rules.region_bytes) & (F.col("size") > 2))).drop("bits_"), "sizes")
+        sizes = rows.groupBy("region").agg(F.count("*").alias("size"), (8 * F.sum("n")).alias("bytes_"))
+        sizes = stored(sizes.filter((F.col("size") > rules.region) | ((F.col("bytes_") > rules.region_bytes) & (F.col("size") > 2))).drop("bytes_"), "sizes")
         any_large = bool(sizes.head(1))
         fit = rows.join(_small(sizes), "region", "left_anti") if any_large else rows
         leaves = _leaves(fit, partitions, rules)
@@ -731,16 +738,16 @@ def drop_near_duplicates(docs: DataFrame, rules: JaccardRules = JaccardRules())
     chosen = found.groupBy("root").agg(F.min(F.struct("key", "digest")).alias("best"), F.count("*").alias("rows"))
     marked = found.join(stored(chosen.filter("rows > 1"), "chosen"), "root")
     gone = marked.filter((F.col("key") != F.col("best.key")) | (F.col("digest") != F.col("best.digest"))).select("key", "digest").distinct()
-    id_, digest = free_name(docs, "key_"), free_name(docs, "digest_")
+    id_, digest, gone_id, gone_digest = (free_name(docs, x) for x in ("key_", "digest_", "gone_key", "gone_digest"))
     own = docs.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn(digest, F.md5("text"))
-    on = [F.col(id_) == F.col("gone_key"), F.col(digest) == F.col("gone_digest")]
-    kept = own.join(gone.select(F.col("key").alias("gone_key"), F.col("digest").alias("gone_digest")), on, "left_anti")
-    twice = stored(marked.filter((F.col("key") == F.col("best.key")) & (F.col("digest") == F.col("best.digest"))).groupBy("key", "digest").count().filter("count > 1").select(F.col("key").alias("gone_key"), F.col("digest").alias("gone_digest")), "twice")
+    on = [F.col(id_) == F.col(gone_id), F.col(digest) == F.col(gone_digest)]
+    kept = own.join(gone.select(F.col("key").alias(gone_id), F.col("digest").alias(gone_digest)), on, "left_anti")
+    twice = stored(marked.filter((F.col("key") == F.col("best.key")) & (F.col("digest") == F.col("best.digest"))).groupBy("key", "digest").count().filter("count > 1").select(F.col("key").alias(gone_id), F.col("digest").alias(gone_digest)), "twice")
     if not twice.head(1):
-        return kept.select(docs.columns)
-    once = kept.join(twice, on, "left_anti").select(docs.columns)
+        return kept.select(columns(docs))
+    once = kept.join(twice, on, "left_anti").select(columns(docs))
     again = kept.join(twice, on, "left_semi")
     if any(f.dataType.typeName() in ("map", "variant") for f in docs.schema):
-        return once.unionByName(again.dropDuplicates([id_, digest]).select(docs.columns))
-    least = again.groupBy(id_, digest).agg(F.min(F.struct(*docs.columns)).alias("row_"))
+        return once.unionByName(again.dropDuplicates([id_, digest]).select(columns(docs)))
+    least = again.groupBy(id_, digest).agg(F.min(F.struct(*columns(docs))).alias("row_"))
     return once.unionByName(least.select("row_.*"))

@@ -3,7 +3,7 @@
 A line's ratio is the pages of its host that contain it over all pages of that
 host.  Lines above `max_ratio`, on `min_pages` pages at least, are boilerplate.
 DataFrame functions only: lines are counted with map-side combine on
-(host, 128-bit fingerprint), and the set to drop per host is an array whose length
+(host, fingerprint: 64 bits of a quick hash, for looking up, and 128 of SHA-256), and the set to drop per host is an array whose length
 is at most the mean number of distinct lines a page over max_ratio, whatever the size
 of the host.  That table joins the pages on host: broadcast when its measured size is
 small, else as a shuffle join whose hot hosts are split by salting (each host's array
@@ -36,8 +36,13 @@ class LineRules:
     salts: int = 32
 
 
+def _second(line: Column) -> Column:
+    """128 bits of SHA-256: no two lines that anyone can find share them."""
+    return F.substring(F.unhex(F.sha2(line, 256)), 1, 16)
+
+
 def _print(line: Column) -> Column:
-    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(line, F.lit("second")).alias("b"))
+    return F.struct(F.xxhash64(line).alias("a"), _second(line).alias("b"))
 
 
 def url_host(url: Column) -> Column:
@@ -60,7 +65,7 @@ def boilerplate_lines(pages: DataFrame, host: Column, text: Column, rules: LineR
     line = (
         flat.select("host", F.explode(F.array_distinct(_lines(F.col("text")))).alias("line"))
         .filter(~_blank(F.col("line")))
-        .select("host", F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit("second")).alias("b"))
+        .select("host", F.xxhash64("line").alias("a"), _second(F.col("line")).alias("b"))
     )
     # the least count that any host could need keeps single lines out of the join below
     counts = line.groupBy("host", "a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= rules.min_pages)
@@ -73,7 +78,7 @@ def boilerplate_lines(pages: DataFrame, host: Column, text: Column, rules: LineR
 
 def drop_boilerplate(pages: DataFrame, host: Column, text: str = "text", rules: LineRules = LineRules(), dropped: str | None = None) -> DataFrame:
     """pages with boilerplate lines taken out of `text`; other columns and all rows stay.
-    dropped: name of a column to add with the number of lines taken out."""
+    dropped: name of a column to add (in place of one so named) with the number of lines taken out."""
     found = stored(boilerplate_lines(pages, host, F.col(text), rules), "boilerplate")
     sets = found.groupBy("host").agg(F.collect_set(F.struct("a", "b")).alias("set"))
     key, salt, held, seen = (free_name(pages, f"line_{x}") for x in ("host", "salt", "set", "seen"))
@@ -96,4 +101,5 @@ def drop_boilerplate(pages: DataFrame, host: Column, text: str = "text", rules:
     if dropped:
         out = out.withColumn(dropped, F.coalesce(F.size(lines) - F.when(F.col(held).isNull(), F.size(lines)).otherwise(F.size(kept)), F.lit(0)).cast("long"))
     out = out.withColumns(named)
-    return out.select(*[F.col(f"`{c}`") for c in pages.columns], *([dropped] if dropped else []))
+    own = [c for c in pages.columns if not dropped or c.lower() != dropped.lower()]
+    return out.select(*[F.col(f"`{c}`") for c in own], *([dropped] if dropped else []))

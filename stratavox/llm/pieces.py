@@ -285,7 +285,8 @@ def _kept(pool: np.ndarray, begin: np.ndarray, count: np.ndarray, keep: np.ndarr
 class Encoder:
     """Encodes blocks of texts; keeps the segmentations without dropout of recent chunks by content, and their merges."""
 
-    def __init__(self, pieces: Pieces, dropout: Dropout, memory: int = 300_000):
+    def __init__(self, pieces: Pieces, dropout: Dropout, memory: int = 24 << 20):
+        """memory: bytes of kept segmentations beyond which those that a block does not use are dropped."""
         self.pieces, self.dropout, self.memory = pieces, dropout, memory
         self.hasher = tb.Hasher(seed=dropout.seed)
         self.known = np.zeros(0, np.uint64)
@@ -361,7 +362,8 @@ class Encoder:
         new = np.flatnonzero(~old)
         if len(new):
             ids, count, made, per = self._segment(text, starts[shown[new]], stops[shown[new]], distinct[new], 0.0)
-            keep = np.arange(len(self.known)) if len(self.known) + len(new) <= self.memory else np.unique(at[old])
+            size = sum(x.nbytes for x in (self.known, self.pool, self.begin, self.count, self.made, self.made_begin, self.made_count))
+            keep = np.arange(len(self.known)) if size <= self.memory else np.unique(at[old])
             self.pool, begin, self.count = _kept(self.pool, self.begin, self.count, keep, ids, count)
             self.made, made_begin, self.made_count = _kept(self.made, self.made_begin, self.made_count, keep, made, per)
             known = np.concatenate([self.known[keep], distinct[new]])
@@ -414,15 +416,16 @@ class Encoder:
         return data[stay], bounds - np.concatenate([[0], np.cumsum(some)])
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
+_PIECES: dict[bytes, Pieces] = {}
 
 
 def encoder(content: bytes, dropout: Dropout) -> Encoder:
-    """One encoder a worker process, model and setting."""
-    key = (hashlib.sha256(content).digest(), dropout)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(Pieces(content), dropout)
-    return _ENCODERS[key]
+    """A task's encoder.  The tables of the model that was used last stay in the worker; segmentations go with the task."""
+    key = hashlib.sha256(content).digest()
+    if key not in _PIECES:
+        _PIECES.clear()
+        _PIECES[key] = Pieces(content)
+    return Encoder(_PIECES[key], dropout)
 
 
 ENCODED = "doc_id bigint, n_pieces bigint, ids array<int>, lossless boolean"
@@ -448,7 +451,7 @@ def encode(docs: DataFrame, dropout: Dropout = Dropout(), path: str | None = Non
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([own, pa.array(np.diff(offsets)), lists, pa.array(same)], ["doc_id", "n_pieces", "ids", "lossless"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, ENCODED)
+    return docs.select("doc_id", "text").mapInArrow(tb.released(run), ENCODED)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:

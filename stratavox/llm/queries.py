@@ -261,12 +261,3 @@ r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count
 SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CASE WHEN r <= floor(5 * n / 100) THEN r END AS rank FROM sc LEFT JOIN r USING (doc_id)"""
 
 
-def _pipeline() -> None:
-    import corpus_pipeline
-
-    QUERIES["pipeline"] = corpus_pipeline.run
-    if corpus_pipeline.ORACLE_SQL:
-        ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
-
-
-_pipeline()

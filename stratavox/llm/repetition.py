@@ -173,7 +173,7 @@ def repetition_report(docs: DataFrame, rules: RepetitionRules = RepetitionRules(
                 names = [x.split()[0] for x in REPORT.split(", ")][1:]
                 yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *(pa.array(found[x]) for x in names)], ["doc_id", *names])
 
-    return docs.select("doc_id", "text").mapInArrow(run, REPORT)
+    return docs.select("doc_id", "text").mapInArrow(tb.released(run), REPORT)
 
 
 def quality_filter(docs: DataFrame, rules: RepetitionRules = RepetitionRules(), text: str = "text") -> DataFrame:
@@ -187,4 +187,5 @@ def quality_filter(docs: DataFrame, rules: RepetitionRules = RepetitionRules(),
             if kept:
                 yield batch.filter(pa.array(np.concatenate(kept)))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names may hold what a path may not
+    return plain.mapInArrow(tb.released(run), plain.schema).toDF(*docs.columns)

@@ -11,6 +11,9 @@ worker at any table size; a single longer text makes a block of its own.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -161,16 +164,30 @@ def blocks(column: pa.Array, table: np.ndarray, size: int = BLOCK_BYTES) -> Iter
         row = stop
 
 
+def released(run):
+    """A task's function that gives its freed memory back to the system at its end: Spark keeps its Python
+    workers, and what an idle one holds counts against its executor."""
+
+    @functools.wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return task
+
+
 def per_doc_sum(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sum of values[first[d]:first[d + 1]] for each d."""
     total = np.concatenate([[0], np.cumsum(values)])
     return total[first[1:]] - total[first[:-1]]
 
 
-def hex_ids(column: pa.Array) -> list:
-    return column.to_pylist()
-
-
 def covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
     """Mask of the n positions that lie in any span [start, start + length)."""
     step = np.zeros(n + 1, np.int64)

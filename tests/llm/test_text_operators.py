@@ -655,3 +655,25 @@ def test_dropout_varies_and_repeats(spark, docs, texts, nothing, model):
         again, _ = encode_all(memory, [t for _, t in texts[:30] if t])
     plain, _ = encode_all(pieces.Encoder(model, pieces.Dropout()), [t for _, t in texts[:30] if t])
     assert np.array_equal(again, plain)
+
+
+# ---- names and fingerprints ------------------------------------------------------------
+
+
+def test_a_line_built_to_share_a_quick_hash_stays(spark):
+    """Its 64-bit hash is that of a line on nearly every page."""
+    other = "xkEkRffi\\M#5d5/N"
+    rows = [(i, "Copyright notice\nown " + str(i), "s") for i in range(20)] + [(20, other, "s")]
+    pages = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r.doc_id: r.text for r in linededup.drop_boilerplate(pages, F.col("source"), dropped="Source").collect()}
+    assert out[20] == other and out[0] == "own 0"
+
+
+def test_any_extra_columns(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, 1, 1, "x"), (2, text + " tail", 2, 2, "y"), (3, "q " + text, 3, 3, "z"), (1, text, 1, 0, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone_key int, gone_digest int, e string").withColumnRenamed("e", "a.b")
+    out = jaccard.drop_near_duplicates(df)
+    assert out.columns == df.columns and [r.doc_id for r in out.collect()] == [1]
+    kept = repetition.quality_filter(df)
+    assert kept.columns == df.columns and kept.count() == 4
