@@ -11,10 +11,6 @@ from .field import resample_linear, resample_nearest
 from .neighbors import AXES, gaussian_weights, smooth
 from .patch import mixed
 
-#: Operations of the live chain, in their fixed order.
-CHAIN = ("downsample", "flip", "transpose", "rotate", "zoom", "elastic", "brightness", "blur", "noise")
-
-
 def chosen(sample: Column, operation: str, seed: int = 0, percent: int = 50) -> Column:
     """Whether a sample takes an operation."""
     return mixed(sample, F.lit(operation), salt=seed) % 100 < percent

@@ -32,40 +32,45 @@ def adjacency(df: DataFrame, connectivity: int = 26, label: str | None = None) -
     return left.join(df.select(*own, F.col("vid").alias("b")), own).select("img", "a", "b")
 
 
-def _component_kernel(connectivity: int, label: str | None):
-    halves = half_offsets(connectivity)
+def label_voxels(cells: np.ndarray, vid: np.ndarray, kind: np.ndarray, connectivity: int) -> np.ndarray:
+    """The smallest vid of each voxel's component: cells (3, n), joined where neighbours are of equal kind.
+    Union-find, vectorised: minimum labels hop over edges and pointers."""
+    order = np.argsort(vid)
+    (z, y, x), kind = cells[:, order], kind[order]
+    if not len(order):
+        return vid
+    low = cells.min(1) - 1
+    span = cells.max(1) - low + 2
+    code = lambda a, b, c: ((a - low[0]) * span[1] + (b - low[1])) * span[2] + (c - low[2])
+    at = code(z, y, x)
+    by = np.argsort(at)
+    pairs = []
+    for dz, dy, dx in half_offsets(connectivity):
+        to = code(z + dz, y + dy, x + dx)
+        j = by[np.minimum(np.searchsorted(at[by], to), len(at) - 1)]
+        ok = (at[j] == to) & (kind[j] == kind)
+        pairs.append(np.stack([np.flatnonzero(ok), j[ok]], 1))
+    edges = np.concatenate(pairs)
+    root = np.arange(len(order))
+    while True:
+        least = np.minimum(root[edges[:, 0]], root[edges[:, 1]])
+        new = root.copy()
+        np.minimum.at(new, root[edges[:, 0]], least)
+        np.minimum.at(new, root[edges[:, 1]], least)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    out = np.empty(len(order), np.int64)
+    out[order] = vid[order][root]
+    return out
 
+
+def _component_kernel(connectivity: int, label: str | None):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Union-find of one image, vectorised: minimum labels hop over edges and pointers."""
-        z, y, x = (pdf[a].to_numpy(np.int64) for a in AXES)
-        vid = pdf["vid"].to_numpy(np.int64)
-        order = np.argsort(vid)
-        z, y, x, vid = z[order], y[order], x[order], vid[order]
-        kind = pdf[label].to_numpy()[order] if label else np.zeros(len(vid))
-        low = np.array([c.min() for c in (z, y, x)]) - 1
-        span = np.array([c.max() for c in (z, y, x)]) - low + 2
-        code = lambda a, b, c: ((a - low[0]) * span[1] + (b - low[1])) * span[2] + (c - low[2])
-        at = code(z, y, x)
-        by = np.argsort(at)
-        pairs = []
-        for dz, dy, dx in halves:
-            to = code(z + dz, y + dy, x + dx)
-            k = np.minimum(np.searchsorted(at[by], to), len(at) - 1)
-            j = by[k]
-            ok = (at[j] == to) & (kind[j] == kind)
-            pairs.append(np.stack([np.flatnonzero(ok), j[ok]], 1))
-        edges = np.concatenate(pairs)
-        root = np.arange(len(vid))
-        while True:
-            least = np.minimum(root[edges[:, 0]], root[edges[:, 1]])
-            new = root.copy()
-            np.minimum.at(new, root[edges[:, 0]], least)
-            np.minimum.at(new, root[edges[:, 1]], least)
-            new = new[new]
-            if (new == root).all():
-                break
-            root = new
-        return pd.DataFrame({"img": pdf["img"].to_numpy()[order], "vid": vid, "component": vid[root]})
+        cells, vid = pdf[AXES].to_numpy(np.int64).T, pdf["vid"].to_numpy(np.int64)
+        kind = pdf[label].to_numpy() if label else np.zeros(len(vid))
+        return pd.DataFrame({"img": pdf["img"].to_numpy(), "vid": vid, "component": label_voxels(cells, vid, kind, connectivity)})
 
     return run
 
@@ -74,28 +79,33 @@ def connected_components(df: DataFrame, connectivity: int = 26, label: str | Non
     """(img, vid, component): component is its smallest voxel id.
 
     Components never cross images, so an image is one task's group; images whose
-    foreground does not fit a worker take `connected_components_relational`."""
+    foreground does not fit a worker take `blocks.connected_components`."""
     columns = ["img", "vid", *AXES, *([label] if label else [])]
     return df.select(*columns).groupBy("img").applyInPandas(_component_kernel(connectivity, label), "img long, vid long, component long")
 
 
-def connected_components_relational(df: DataFrame, connectivity: int = 26, label: str | None = None) -> DataFrame:
-    """The same by joins alone: minimum labels over the edges with pointer jumping.
+def rooted(edges: DataFrame) -> DataFrame:
+    """(img, id, root): the smallest id that each id of edges(img, a, b) is connected with, in its image.
 
-    Rounds are checkpointed to spark.checkpoint.dir, so a lost executor costs a task, not the run."""
-    edges = adjacency(df, connectivity, label)
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    labels = df.select("img", F.col("vid").alias("a"), F.col("vid").alias("c")).checkpoint()
-    before = None  # labels only fall, so equal sums mean that none changed
+    Minimum labels hop over edges and pointers, so rounds grow with the logarithm of a component's breadth; each is
+    checkpointed to spark.checkpoint.dir, so a lost executor costs a task, not the run."""
+    both = edges.select("img", "a", "b").unionByName(edges.select("img", F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
+    labels = both.groupBy("img", "a").agg(F.least("a", F.min("b")).alias("c")).select("img", F.col("a").alias("id"), F.col("c").alias("root")).checkpoint()
     while True:
-        near = both.join(labels.select(F.col("a").alias("b"), F.col("c").alias("n")), "b").groupBy("a").agg(F.min("n").alias("n"))
-        hop = labels.join(near, "a", "left").select("img", "a", F.least("c", F.coalesce("n", "c")).alias("c"))
-        jump = hop.select(F.col("a").alias("c"), F.col("c").alias("cc"))
-        labels = hop.join(jump, "c").select("img", "a", F.col("cc").alias("c")).checkpoint()
-        now = labels.agg(F.sum("c")).first()[0]
-        if now == before:
-            return labels.select("img", F.col("a").alias("vid"), F.col("c").alias("component"))
-        before = now
+        near = both.join(labels.select("img", F.col("id").alias("b"), F.col("root").alias("n")), ["img", "b"]).groupBy("img", F.col("a").alias("id")).agg(F.min("n").alias("n"))
+        hop = labels.join(near, ["img", "id"]).select("img", "id", F.least("root", "n").alias("hop_"), F.col("root").alias("was_"))
+        jump = hop.select("img", F.col("id").alias("hop_"), F.col("hop_").alias("root"))
+        moved = hop.join(jump, ["img", "hop_"]).select("img", "id", "root", (F.col("root") != F.col("was_")).alias("moved_")).checkpoint()
+        labels = moved.drop("moved_")
+        if not moved.filter("moved_").head(1):
+            return labels
+
+
+def connected_components_relational(df: DataFrame, connectivity: int = 26, label: str | None = None) -> DataFrame:
+    """connected_components() by joins alone; vids are unique within an image."""
+    roots = rooted(adjacency(df, connectivity, label))
+    own = df.select("img", "vid").join(roots.withColumnRenamed("id", "vid"), ["img", "vid"], "left")
+    return own.select("img", "vid", F.coalesce("root", "vid").alias("component"))
 
 
 def dense_labels(components: DataFrame) -> DataFrame:

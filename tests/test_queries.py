@@ -8,6 +8,7 @@ import os
 import duckdb
 import pytest
 
+from stratavox.plans import volume_queries  # noqa: F401  (adds its queries)
 from stratavox.plans.catalog import ORACLE_SQL, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
