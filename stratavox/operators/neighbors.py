@@ -206,31 +206,46 @@ def otsu(df: DataFrame, value: str = "v") -> DataFrame:
 
 
 def watershed(df: DataFrame, value: str = "v", marker: str = "marker") -> DataFrame:
-    """(img, z, y, x, label): markers flood over 6-neighbours from high values to low, first come first served.
-
-    The order is a priority queue's, so an image is one task's kernel."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import heapq
-
-        cells = {p: i for i, p in enumerate(zip(*(pdf[a].tolist() for a in AXES), strict=True))}
-        values, label = pdf[value].tolist(), pdf[marker].tolist()
-        heap = [(-values[i], k, p, i) for k, (p, i) in enumerate(sorted(cells.items())) if label[i]]
-        heapq.heapify(heap)
-        k = len(cells)
-        while heap:
-            _, _, (z, y, x), i = heapq.heappop(heap)
-            for d in half_offsets(6):
-                for s in (1, -1):
-                    p = (z + s * d[0], y + s * d[1], x + s * d[2])
-                    j = cells.get(p)
-                    if j is not None and not label[j]:
-                        label[j] = label[i]
-                        k += 1
-                        heapq.heappush(heap, (-values[j], k, p, j))
-        return pdf[["img", *AXES]].assign(label=label)
-
-    return df.select("img", *AXES, value, marker).groupBy("img").applyInPandas(run, "img long, z int, y int, x int, label int")
+    """(img, z, y, x, label): markers flood over 6-neighbours from high values to low; 0 where none gets.
+
+    A cell belongs to the marker that the spanning forest of the highest edges ties it to: an edge is as
+    high as its lower cell, of equals the one with the higher upper cell comes first (as a flood
+    that starts from the tops meets them), then that of the smaller cells in row-major order.  Boruvka rounds: each tree
+    without a marker takes its best edge out, trees that meet are one, until none has a way to go.  Rounds are joins and
+    sums over edges, checkpointed, so an image of any size spreads over tasks; their number grows with the
+    logarithm of the cells."""
+    at = F.struct(*AXES)
+    cells = df.select("img", *AXES, at.alias("id"), F.col(value).alias("v"), F.coalesce(F.col(marker), F.lit(0)).cast("int").alias("label"))
+    left = shifted(cells.select("img", *AXES, F.col("id").alias("a"), F.col("v").alias("va"), F.col("label").alias("la")), half_offsets(6)).drop("d")
+    pairs = left.join(cells.select("img", *AXES, F.col("id").alias("b"), F.col("v").alias("vb"), F.col("label").alias("lb")), ["img", *AXES])
+    rank = F.struct((-F.least("va", "vb")).alias("low"), (-F.greatest("va", "vb")).alias("high"), F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"))
+    # a tree's name is one of its cells; edges between marked cells never matter
+    edges = pairs.filter("la = 0 OR lb = 0").select("img", "a", "la", "b", "lb", rank.alias("rank")).checkpoint()
+    trees = cells.select("img", "id", F.col("id").alias("tree"), "label")
+    while True:
+        ways = edges.select("img", F.col("a").alias("tree"), F.col("la").alias("own"), F.struct("rank", F.col("b").alias("to"), F.col("lb").alias("label")).alias("way"))
+        ways = ways.unionByName(edges.select("img", F.col("b").alias("tree"), F.col("lb").alias("own"), F.struct("rank", F.col("a").alias("to"), F.col("la").alias("label")).alias("way")))
+        best = ways.filter("own = 0").groupBy("img", "tree").agg(F.min("way").alias("way")).select("img", "tree", F.col("way.to").alias("to"), F.col("way.label").alias("label")).checkpoint()
+        if best.isEmpty():
+            return trees.select("img", *[F.col(f"id.{a}").alias(a) for a in AXES], "label")
+        # two trees that chose each other: the smaller stays; then every tree points at the end of its chain
+        back = best.select("img", F.col("tree").alias("to"), F.col("to").alias("back_"))
+        links = best.join(back, ["img", "to"], "left").withColumn("to", F.when((F.col("back_") == F.col("tree")) & (F.col("tree") < F.col("to")), F.col("tree")).otherwise(F.col("to"))).drop("back_")
+        links = links.checkpoint()
+        while True:
+            further = links.select("img", F.col("tree").alias("to"), F.col("to").alias("next_"), F.col("label").alias("next_label_"))
+            jumped = links.join(further, ["img", "to"], "left")
+            moves = F.col("next_").isNotNull() & (F.col("next_") != F.col("to"))
+            jumped = jumped.select("img", "tree", F.coalesce("next_", "to").alias("to"), F.coalesce("next_label_", "label").alias("label"), moves.alias("moved_")).checkpoint()
+            links = jumped.drop("moved_")
+            if not jumped.filter("moved_").head(1):
+                break
+        links = links.withColumn("label", F.when(F.col("to") == F.col("tree"), 0).otherwise(F.col("label")))
+        named = links.select("img", "tree", F.col("to").alias("new_"), F.col("label").alias("new_label_"))
+        trees = trees.join(named, ["img", "tree"], "left").select("img", "id", F.coalesce("new_", "tree").alias("tree"), F.coalesce("new_label_", "label").alias("label")).checkpoint()
+        for end, own in (("a", "la"), ("b", "lb")):
+            edges = edges.join(named.withColumnRenamed("tree", end), ["img", end], "left").withColumns({end: F.coalesce("new_", end), own: F.coalesce("new_label_", own)}).drop("new_", "new_label_")
+        edges = edges.filter("a <> b AND (la = 0 OR lb = 0)").checkpoint()
 
 
 def class_thresholds(df: DataFrame, classes: int = 3, bins: int = 64, value: str = "v") -> DataFrame:

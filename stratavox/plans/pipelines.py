@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import field, neighbors, patch, project, regions, score
+from ..operators import blocks, field, neighbors, patch, project, regions, score
 from ..operators.neighbors import AXES
 
 
@@ -34,6 +34,22 @@ def segment(vectors: DataFrame, n: int, iterations: int = 200, n_std: float = 5.
     return project.drop_small(own.filter("label > 0"), "label", least).select("img", "vid", *AXES, "label")
 
 
+def segment_blocks(vectors: DataFrame, lattice: blocks.Lattice, iterations: int = 200, n_std: float = 5.0, radius: int = 5, least: int = 20, halo: int = 8) -> DataFrame:
+    """segment() of volumes of any shape, all steps by blocks: no step needs a whole image in one task."""
+    n = lattice.shape[0] * lattice.shape[1] * lattice.shape[2]
+    paths = blocks.integrate(vectors, lattice, iterations, halo=halo)
+    ends = paths.select("img", F.col("vid").alias("pid"), *[F.col(f"e{a}").alias(a) for a in AXES])
+    ends = project.in_bounds(ends, lattice.shape)
+    density = field.endpoint_density(ends).withColumn("v", F.col("n"))
+    high = project.density_threshold(blocks.smooth(density, lattice, neighbors.gaussian_weights(1.0)), n_std, voxels=n)
+    vid = (F.col("z") * lattice.shape[1] + F.col("y")) * lattice.shape[2] + F.col("x")
+    high = high.withColumn("vid", vid.cast("long"))
+    numbered = neighbors.dense_labels(blocks.connected_components(high, lattice)).select("img", "vid", F.col("component_id").alias("label"))
+    found = field.nearest_seed(ends, high.join(numbered, ["img", "vid"]).select("img", *AXES, "label"), radius)
+    own = paths.select("img", F.col("vid").alias("pid"), *AXES).join(found, ["img", "pid"]).withColumnRenamed("pid", "vid")
+    return project.drop_small(own.filter("label > 0"), "label", least).select("img", "vid", *AXES, "label")
+
+
 def encode_targets(labelled: DataFrame, least: int = 20) -> DataFrame:
     """labelled with unit displacement vectors and one-hot channels."""
     out = project.one_hot(regions.target_vectors(labelled, "label", least))

@@ -85,6 +85,20 @@ def integrate_blocks(spark, sf_dir):
     return blocks.integrate(vectors, _TEN, halo=3).select("img", "vid", "ez", "ey", "ex")
 
 
+@query()
+def segment_instances_blocks(spark, sf_dir):
+    """Instances of volumes of 6 by 10 by 10 cells, every step by blocks (rows-only: equal to the whole-image form by test)."""
+    labelled = _boxes(spark, sf_dir).withColumn("label", _border_labels())
+    return pipelines.segment_blocks(pipelines.encode_targets(labelled).filter("label > 0"), _SIX, n_std=2.0, halo=3)
+
+
+@query()
+def watershed_forest(spark, sf_dir):
+    """Voxels by the marker that floods them (rows-only: Boruvka rounds; Kruskal's forest in the tests)."""
+    df = views.voxels(spark, sf_dir).withColumn("marker", F.when(F.col("v") > 17_500, 1 + F.col("vid") % 1000).otherwise(0))
+    return neighbors.watershed(df)
+
+
 # ---- the augmentation chain ------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 
 import numpy as np
@@ -117,3 +118,48 @@ def test_blocks_of_nothing(boxes):
     assert blocks.connected_components(none, lattice).count() == 0
     assert blocks.integrate(none, lattice, 5).count() == 0
     assert blocks.smooth(none, lattice, [0.25, 0.5, 0.25]).count() == 0
+
+
+def test_segmentation_by_blocks_equals_the_whole_image_form(spark):
+    from stratavox.plans import pipelines
+    from stratavox.sources import views
+
+    vectors = pipelines.encode_targets(views.labelled(spark, "/root/testdata/sf0.001")).filter("label > 0").checkpoint()
+    wanted = rows(pipelines.segment(vectors, 10, 30, n_std=2.0), "img", "vid", *AXES, "label")
+    assert wanted and rows(pipelines.segment_blocks(vectors, blocks.Lattice((10, 10, 10), (4, 5, 6)), 30, n_std=2.0, halo=3), "img", "vid", *AXES, "label") == wanted
+
+
+def forest(cells):
+    """Kruskal's forest rooted at the markers: cells {place: (value, marker)} -> {place: marker}."""
+    parent, mark = {p: p for p in cells}, {p: m for p, (_, m) in cells.items()}
+
+    def find(p):
+        while parent[p] != p:
+            p = parent[p]
+        return p
+
+    edges = []
+    for p in cells:
+        for k in range(3):
+            q = tuple(c + (j == k) for j, c in enumerate(p))
+            if q in cells:
+                edges.append((-min(cells[p][0], cells[q][0]), -max(cells[p][0], cells[q][0]), p, q))
+    for *_, p, q in sorted(edges):
+        a, b = find(p), find(q)
+        if a != b and not (mark[a] and mark[b]):
+            parent[a] = b
+            mark[b] = mark[a] or mark[b]
+    return {p: mark[find(p)] for p in cells}
+
+
+def test_watershed_is_the_forest_of_highest_edges(spark):
+    rng = random.Random(6)
+    images = []
+    for img, levels in ((0, 1000), (1, 4), (2, 1)):  # distinct values, many ties, all equal
+        cells = {p: (rng.randrange(levels), rng.randrange(1, 6) if rng.random() < 0.04 else 0) for p in itertools.product(range(4), range(5), range(6)) if rng.random() < 0.85}
+        images.append(cells)
+    images.append({(0, 0, x): (5 - x, 0) for x in range(5)})  # no marker at all
+    data = [(img, *p, v, m) for img, cells in enumerate(images) for p, (v, m) in cells.items()]
+    df = spark.createDataFrame(data, "img long, z int, y int, x int, v long, marker int")
+    found = {(r.img, r.z, r.y, r.x): r.label for r in neighbors.watershed(df).collect()}
+    assert found == {(img, *p): m for img, cells in enumerate(images) for p, m in forest(cells).items()}
