@@ -503,7 +503,7 @@ def test_pairs_of_folders(spark, tmp_path):
         assert (got[k + 1, 0, 0, 0][1], got[k + 1, 3, 4, 5][1], got[k + 1, 3, 4, 4][1], got[k + 1, 1, 1, 1][1]) == (1, 2, 2, 0)
     old = tiff.load_pairs(spark, f"file://{tmp_path}/Mouse", normalise_first=True)
     assert old.agg(F.max("v"), F.min("v")).first() == (1.0, 0.0)
-    names = [r.path for r in tiff.scan(spark, f"file://{tmp_path}/Mouse/images").select("path").collect()]
+    names = [r.path for r in tiff.listing(spark, f"file://{tmp_path}/Mouse/images").collect()]
     assert names == sorted(names)
 
 
