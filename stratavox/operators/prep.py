@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,15 +47,33 @@ def pair_by_position(images: DataFrame, masks: DataFrame, by: tuple[str, ...], n
     return left.join(right, [*by, "rn"])
 
 
-def matching_stems(files: DataFrame, stems: list[str]) -> Column:
-    """Whether a path mentions any of a bounded list of stems (substring, as names are matched)."""
-    if not stems:
-        return F.lit(False)
-    return F.exists(F.array(*map(F.lit, stems)), lambda s: F.contains(F.col("path"), s))
+def stem_join(files: DataFrame, stems: DataFrame, anti: bool = False, path: str = "path", stem: str = "stem", automaton_bytes: int = 16 << 20) -> DataFrame:
+    """Files whose path mentions one of the stems (semi), or none (anti); null paths mention none.
+
+    Up to automaton_bytes of stems, an Aho-Corasick automaton of all of them goes to the tasks and reads each path
+    once, whatever the number of stems: no shuffle.  Beyond, a substring test becomes a join: see `cut_join`."""
+    key = stems.filter(F.length(stem) > 0).select(F.col(stem).alias("stem_")).distinct()
+    size = key.agg(F.sum(F.octet_length("stem_") + 64)).first()[0] or 0
+    if size > automaton_bytes:
+        return cut_join(files, stems, anti, path, stem)
+    shared = files.sparkSession.sparkContext.broadcast([r[0] for r in key.collect()])
+
+    def mentions(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for word in shared.value:
+            machine.add_word(word, True)
+        machine.make_automaton()
+        for paths in series:
+            yield pd.Series([isinstance(p, str) and bool(shared.value) and next(machine.iter(p), None) is not None for p in paths], paths.index, bool)
+
+    hit = F.pandas_udf(mentions, "boolean")(F.col(path))
+    return files.filter(~hit if anti else hit)
 
 
-def stem_join(files: DataFrame, stems: DataFrame, anti: bool = False, path: str = "path", stem: str = "stem") -> DataFrame:
-    """Files whose path mentions one of the stems (semi), or none (anti).
+def cut_join(files: DataFrame, stems: DataFrame, anti: bool = False, path: str = "path", stem: str = "stem") -> DataFrame:
+    """stem_join() for any number of stems.
 
     A substring test has no equi key, so the path's substrings of the stems' lengths (few: a path is
     short) are exploded and joined on the whole stem: a hash join on distinct keys, whatever the
