@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .field import resample_linear, resample_nearest
 from .neighbors import AXES, gaussian_weights, smooth
-from .patch import mixed
+from .patch import Sizes, by_axis, mixed
 
 def chosen(sample: Column, operation: str, seed: int = 0, percent: int = 50) -> Column:
     """Whether a sample takes an operation."""
@@ -48,22 +48,22 @@ def blur(df: DataFrame, n: int, sigma: float) -> DataFrame:
     return smooth(df, n, gaussian_weights(sigma), integer=False) if sigma > 0 else df
 
 
-def zoom(df: DataFrame, n: int, percent: int | tuple[int, int, int], seed: int | None = None, value: str = "label", order: int = 0) -> DataFrame:
-    """Rescale by percent of the side (by axis), nearest or (order 1) linear; then each axis is padded with
-    zeros to the side again, evenly, or cropped, at the middle or, with a seed, at a place drawn by image."""
+def zoom(df: DataFrame, n: Sizes, percent: int | tuple[int, int, int], seed: int | None = None, value: str = "label", order: int = 0) -> DataFrame:
+    """Rescale by percent of the sides (by axis), nearest or (order 1) linear; then each axis is padded with
+    zeros to its side again, evenly, or cropped, at the middle or, with a seed, at a place drawn by image."""
     from .patch import pad
 
-    percents = (percent,) * 3 if isinstance(percent, int) else percent
-    out = df
-    sizes = [max(1, (n * p + 50) // 100) for p in percents]
-    for a, m in zip(AXES, sizes, strict=True):
+    sides, percents, out = by_axis(n), by_axis(percent), df
+    sizes = {a: max(1, (sides[a] * percents[a] + 50) // 100) for a in AXES}
+    for a, m in sizes.items():
         out = resample_linear(out, m, None, n, value, (a,)) if order else resample_nearest(out, n, m, (a,))
-    for a, m in zip(AXES, sizes, strict=True):
-        if m < n:
-            out = pad(out, m, n, "constant", (n - m) // 2, value, (a,))
-        elif m > n:
-            start = F.lit((m - n) // 2) if seed is None else (mixed(F.col("img"), F.lit(a), salt=seed) % (m - n + 1)).cast("int")
-            out = out.withColumn(a, F.col(a) - start).filter(F.col(a).between(0, n - 1))
+    for a, m in sizes.items():
+        k = sides[a]
+        if m < k:
+            out = pad(out, m, k, "constant", (k - m) // 2, value, (a,))
+        elif m > k:
+            start = F.lit((m - k) // 2) if seed is None else (mixed(F.col("img"), F.lit(a), salt=seed) % (m - k + 1)).cast("int")
+            out = out.withColumn(a, F.col(a) - start).filter(F.col(a).between(0, k - 1))
     return out
 
 
@@ -100,35 +100,45 @@ def augmented(blocks: DataFrame, augmenter, schema: str) -> DataFrame:
     return scored(blocks, augmenter, schema)
 
 
-def _view_maps(n: int) -> list[tuple[tuple, tuple]]:
-    """(forward, backward) integer maps of the 27 views: rows of (axis coefficients, offset) for z, y, x."""
+def _turned(rows: list[list[int]], sides: list[int], plane: str, turns: int) -> tuple[list[list[int]], list[int]]:
+    """rows (axis coefficients, offset) and sides after quarter turns in the plane across an axis."""
+    a, b = (i for i, x in enumerate(AXES) if x != plane)
+    for _ in range(turns % 4):
+        rows, sides = list(rows), list(sides)
+        rows[a], rows[b] = rows[b], [-v for v in rows[a]]
+        rows[b][3] += sides[a] - 1
+        sides[a], sides[b] = sides[b], sides[a]
+    return rows, sides
 
-    def turned(rows: list[list[int]], plane: str, turns: int) -> list[list[int]]:
-        a, b = (i for i, x in enumerate(AXES) if x != plane)
-        for _ in range(turns % 4):
-            first, second = rows[b], [-v for v in rows[a]]
-            second[3] += n - 1
-            rows = list(rows)
-            rows[a], rows[b] = first, second
-        return rows
 
-    def flipped(rows: list[list[int]], axis: str | None) -> list[list[int]]:
-        if axis is None:
-            return rows
-        k, rows = AXES.index(axis), list(rows)
-        rows[k] = [-v for v in rows[k]]
-        rows[k][3] += n - 1
+def _flipped(rows: list[list[int]], sides: list[int], axis: str | None) -> list[list[int]]:
+    if axis is None:
         return rows
+    k, rows = AXES.index(axis), list(rows)
+    rows[k] = [-v for v in rows[k]]
+    rows[k][3] += sides[k] - 1
+    return rows
+
 
-    same = [[int(i == j) for j in range(4)] for i in range(3)]
+def _view_maps(n: Sizes) -> list[tuple[tuple, tuple, tuple[int, int, int]]]:
+    """(forward, backward, sides) of the 27 views: integer maps as rows of (axis coefficients, offset) for z, y, x, and
+    the sides of the view."""
+    same, sides = [[int(i == j) for j in range(4)] for i in range(3)], list(by_axis(n).values())
     out = []
     for axis in (None, "y", "x"):
         for plane in AXES:
             for turns in (0, 1, 2):
-                out.append((turned(flipped(same, axis), plane, turns), flipped(turned(same, plane, -turns), axis)))
+                forward, seen = _turned(_flipped(same, sides, axis), sides, plane, turns)
+                backward, _ = _turned(same, seen, plane, -turns)
+                out.append((forward, _flipped(backward, sides, axis), tuple(seen)))
     return out
 
 
+def view_sides(n: Sizes) -> list[tuple[int, int, int]]:
+    """The sides of each view of a volume of sides n."""
+    return [seen for _, _, seen in _view_maps(n)]
+
+
 def _mapped(df: DataFrame, table: Column) -> DataFrame:
     """df with its coordinates through the map in `table`."""
     out = df.withColumn("map_", table)
@@ -140,17 +150,17 @@ def _literal(rows: list[list[int]]) -> Column:
     return F.array(*[F.array(*map(F.lit, r)) for r in rows])
 
 
-def views(df: DataFrame, n: int) -> DataFrame:
+def views(df: DataFrame, n: Sizes) -> DataFrame:
     """Every view of a volume: flips none, y, x by quarter turns 0, 1, 2 about each axis, numbered;
     one explode over the table of their maps."""
-    table = F.array(*[_literal(forward) for forward, _ in _view_maps(n)])
+    table = F.array(*[_literal(forward) for forward, _, _ in _view_maps(n)])
     out = df.withColumn("view", F.explode(F.sequence(F.lit(0), F.lit(26))))
     return _mapped(out, table[F.col("view")])
 
 
-def unview(df: DataFrame, n: int) -> DataFrame:
+def unview(df: DataFrame, n: Sizes) -> DataFrame:
     """Views put back: turns undone, then the flip, by the inverse maps."""
-    return _mapped(df, F.array(*[_literal(backward) for _, backward in _view_maps(n)])[F.col("view")])
+    return _mapped(df, F.array(*[_literal(backward) for _, backward, _ in _view_maps(n)])[F.col("view")])
 
 
 def view_average(df: DataFrame, value: str = "v") -> DataFrame:

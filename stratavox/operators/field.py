@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .neighbors import AXES
+from .patch import Sizes, by_axis
 
 
 def endpoint_density(points: DataFrame) -> DataFrame:
@@ -115,57 +116,66 @@ def votes(df: DataFrame, vectors: tuple[str, str, str], bins: int, n: int) -> Da
     return df.select("img", *at).groupBy("img", *AXES).agg(F.count("*").alias("n"))
 
 
-def resample_linear(df: DataFrame, factor_num: int | Column, factor_den: int | None, n: int, value: str = "v", axes: tuple[str, ...] = tuple(AXES)) -> DataFrame:
+def resample_linear(df: DataFrame, factor_num, factor_den: int | None, n: Sizes, value: str = "v", axes: tuple[str, ...] = tuple(AXES)) -> DataFrame:
     """The volume at n_out = n * num // den per axis by linear interpolation between the samples around
-    (i + 0.5) * n / n_out - 0.5, edges held.  Without den, num is n_out itself, a number or a column (a size by image).
+    (i + 0.5) * n / n_out - 0.5, edges held.  Without den, num is n_out itself, a number or a column (a size by image), or one
+    for each axis.
 
     A sample adds to a short run of outputs, whose bounds follow by arithmetic."""
-    n_out = (F.lit(factor_num) if isinstance(factor_num, int) else factor_num) if factor_den is None else F.lit(n * factor_num // factor_den)
-    sized = "n_out_" if not isinstance(factor_num, int) else None
-    out = df.select("img", *AXES, F.col(value).cast("double").alias(value), *([n_out.cast("int").alias(sized)] if sized else []))
-    m = F.col(sized) if sized else n_out
+    n, num = by_axis(n), by_axis(factor_num)
+    sizes = {a: num[a] if factor_den is None else n[a] * num[a] // factor_den for a in axes}
+    held = {a: f"n_out_{a}_" for a in axes if isinstance(sizes[a], Column)}
+    out = df.select("img", *AXES, F.col(value).cast("double").alias(value), *[sizes[a].cast("int").alias(c) for a, c in held.items()])
     for axis in axes:
-        s = F.col(axis)
-        first = F.when(s == 0, 0).otherwise(F.floor((2 * m * (s - 1) + m - n) / (2.0 * n)))
-        last = F.when(s == n - 1, m - 1).otherwise(F.ceil((2 * m * (s + 1) + m - n) / (2.0 * n)))
+        s, k, m = F.col(axis), n[axis], F.col(held[axis]) if axis in held else F.lit(sizes[axis])
+        first = F.when(s == 0, 0).otherwise(F.floor((2 * m * (s - 1) + m - k) / (2.0 * k)))
+        last = F.when(s == k - 1, m - 1).otherwise(F.ceil((2 * m * (s + 1) + m - k) / (2.0 * k)))
         first, last = F.greatest(first, F.lit(0)).cast("int"), F.least(last, m - 1).cast("int")
         spread = out.withColumn("t_", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))))
-        p = F.least(F.greatest(((2 * F.col("t_") + 1) * n - m) / (2.0 * m), F.lit(0.0)), F.lit(n - 1.0))
+        p = F.least(F.greatest(((2 * F.col("t_") + 1) * k - m) / (2.0 * m), F.lit(0.0)), F.lit(k - 1.0))
         spread = spread.withColumn("w_", 1 - F.abs(p - s)).filter("w_ > 0")
         others = [a for a in AXES if a != axis]
-        out = spread.groupBy("img", *others, *([sized] if sized else []), F.col("t_").alias(axis)).agg(F.sum(F.col("w_") * F.col(value)).alias(value))
+        out = spread.groupBy("img", *others, *held.values(), F.col("t_").alias(axis)).agg(F.sum(F.col("w_") * F.col(value)).alias(value))
     return out.select("img", *AXES, value)
 
 
-def resample_nearest(df: DataFrame, n: int, n_out: int | Column, axes: tuple[str, ...] = tuple(AXES)) -> DataFrame:
-    """Each output voxel takes the sample at floor((i + 0.5) * n / n_out); n_out may be a column (a size by image)."""
-    m = F.lit(n_out) if isinstance(n_out, int) else n_out
-    begin = lambda s: F.greatest(F.ceil((2 * m * s - n) / (2.0 * n)), F.lit(0)).cast("int")
+def resample_nearest(df: DataFrame, n: Sizes, n_out, axes: tuple[str, ...] = tuple(AXES)) -> DataFrame:
+    """Each output voxel takes the sample at floor((i + 0.5) * n / n_out); n_out may be a column (a size by image), or one for each axis."""
+    n, wanted = by_axis(n), by_axis(n_out)
     for axis in axes:
+        k, m = n[axis], wanted[axis] if isinstance(wanted[axis], Column) else F.lit(wanted[axis])
+        begin = lambda s, m=m, k=k: F.greatest(F.ceil((2 * m * s - k) / (2.0 * k)), F.lit(0)).cast("int")
         first, last = begin(F.col(axis)), F.least(begin(F.col(axis) + 1) - 1, m - 1).cast("int")
         df = df.withColumn(axis, F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))))
     return df
 
 
-def shrunk_linear(df: DataFrame, n: int, n_out: int, value: str = "v") -> DataFrame:
-    """resample_linear() behind a smoothing of (n / n_out - 1) / 2 deviations where the volume shrinks."""
+def shrunk_linear(df: DataFrame, n: Sizes, n_out: Sizes, value: str = "v") -> DataFrame:
+    """resample_linear() behind a smoothing of (n / n_out - 1) / 2 deviations along the axes that shrink."""
     from .neighbors import gaussian_weights, smooth
 
-    sigma = max(0.0, (n / n_out - 1) / 2)
-    soft = smooth(df, n, gaussian_weights(sigma), integer=False, value=value) if sigma > 0.125 else df
-    return resample_linear(soft, n_out, None, n, value)
+    sides, wanted = by_axis(n), by_axis(n_out)
+    for a in AXES:
+        sigma = max(0.0, (sides[a] / wanted[a] - 1) / 2)
+        if sigma > 0.125:
+            df = smooth(df, n, gaussian_weights(sigma), integer=False, value=value, axes=(a,))
+    return resample_linear(df, n_out, None, n, value)
 
 
-def rescale_by_radius(df: DataFrame, n: int, target: float, label: str = "label", value: str | None = None) -> DataFrame:
+def rescale_by_radius(df: DataFrame, n: Sizes, target: float, label: str = "label", value: str | None = None) -> DataFrame:
     """Labels (nearest) or, with value, intensities (linear) of each image at int(n * target / its mean object
-    radius) cells a side; images without objects keep their size."""
+    radius) cells along each axis; images without objects keep their size."""
     from .regions import mean_radius
 
-    size = mean_radius(df, label).select("img", (F.lit(n) * F.lit(target) / F.col("radius")).cast("int").alias("n_out"))
-    sized = df.join(size, "img", "left").withColumn("n_out", F.greatest(F.coalesce("n_out", F.lit(n)), F.lit(1)))
+    ratio = mean_radius(df, label).select("img", "radius")
+    sized, wanted = df.join(ratio, "img", "left"), {}
+    for a, k in by_axis(n).items():
+        wanted[a] = f"n_out_{a}"
+        sized = sized.withColumn(wanted[a], F.greatest(F.coalesce((F.lit(k) * F.lit(target) / F.col("radius")).cast("int"), F.lit(k)), F.lit(1)))
+    sizes = tuple(F.col(wanted[a]) for a in AXES)
     if value:
-        return resample_linear(sized, F.col("n_out"), None, n, value)
-    return resample_nearest(sized, n, F.col("n_out")).drop("n_out")
+        return resample_linear(sized, sizes, None, n, value)
+    return resample_nearest(sized, n, sizes).drop("radius", *wanted.values())
 
 
 def _spline_coefficients(grid: np.ndarray) -> np.ndarray:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .patch import Sizes, by_axis
+
 AXES = ["z", "y", "x"]
 
 
@@ -129,16 +131,18 @@ def edge_reflect(i: Column, n: int) -> Column:
     return F.when(j < n, j).otherwise(2 * n - 1 - j).cast("int")
 
 
-def smooth(df: DataFrame, n: int, weights: list[float], integer: bool = True, value: str = "v") -> DataFrame:
-    """Separable filter of an n-sided volume: a scatter and a sum for each axis.
+def smooth(df: DataFrame, n: Sizes, weights: list[float], integer: bool = True, value: str = "v", axes: tuple[str, ...] = tuple(AXES)) -> DataFrame:
+    """Separable filter of a volume of sides n: a scatter and a sum for each of the axes.
 
     integer: each pass truncates toward zero, as a filter on an integer array does (sums
     within a millionth below a whole number count as it, so the order of adding does not
     show).  df may be sparse; the result has the voxels that a non-zero value reaches."""
     radius, out = len(weights) // 2, df.select("img", *AXES, F.col(value).cast("double").alias(value))
     taps = F.array(*[F.struct(F.lit(i - radius).alias("d"), F.lit(w).alias("w")) for i, w in enumerate(weights)])
-    turns = range(-(radius // (2 * n)) - 1, radius // (2 * n) + 2)
-    for axis in AXES:
+    sides = by_axis(n)
+    for axis in axes:
+        n = sides[axis]
+        turns = range(-(radius // (2 * n)) - 1, radius // (2 * n) + 2)
         # the sample at s adds to every t with reflect(t + d) = s, that is t + d = s or -1 - s up to whole periods
         moved = out.withColumn("tap_", F.explode(taps))
         first, second = F.col(axis) - F.col("tap_.d"), -1 - F.col(axis) - F.col("tap_.d")

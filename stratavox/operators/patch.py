@@ -15,6 +15,14 @@ from pyspark.sql import functions as F
 
 AXES = ("z", "y", "x")
 
+#: A number for all three axes, or one for each of z, y, x.
+Sizes = int | tuple[int, int, int]
+
+
+def by_axis(sizes) -> dict:
+    """The value of each axis: the parts of a triple, or one value for all."""
+    return dict(zip(AXES, sizes if isinstance(sizes, tuple) else (sizes,) * 3, strict=True))
+
 
 @dataclass(frozen=True)
 class Grid:
@@ -65,19 +73,19 @@ def padded_places(j: Column, n: int, length: int, mode: str, left: int = 0) -> C
     return F.array_distinct(F.concat(steps(j + left, period), steps(left - j, period)))
 
 
-def pad(df: DataFrame, n: int, length: int, mode: str = "reflect", left: int = 0, value: str = "v", axes: tuple[str, ...] = AXES) -> DataFrame:
-    """The volume of side n padded to `length` on each of the axes, `left` of it before the origin.
+def pad(df: DataFrame, n: Sizes, length: Sizes, mode: str = "reflect", left: Sizes = 0, value: str = "v", axes: tuple[str, ...] = AXES) -> DataFrame:
+    """The volume of sides n padded to `length` on each of the axes, `left` of it before the origin.
 
     mode constant gives 0 outside.  Each source voxel is copied to its padded places, which
     follow by arithmetic, by an explode an axis, without a join."""
-    out = df
+    out, n, length, left = df, by_axis(n), by_axis(length), by_axis(left)
     for axis in axes:
-        out = out.withColumn(axis, F.explode(padded_places(F.col(axis), n, length, mode, left)))
+        out = out.withColumn(axis, F.explode(padded_places(F.col(axis), n[axis], length[axis], mode, left[axis])))
     if mode != "constant":
         return out
     lattice = df.select("img", *[a for a in AXES if a not in axes]).distinct()
     for axis in axes:
-        lattice = lattice.withColumn(axis, F.explode(F.sequence(F.lit(0), F.lit(length - 1))))
+        lattice = lattice.withColumn(axis, F.explode(F.sequence(F.lit(0), F.lit(length[axis] - 1))))
     filled = lattice.join(out.select("img", *AXES, value), ["img", *AXES], "left")
     return filled.withColumn(value, F.coalesce(value, F.lit(0)))
 
@@ -99,11 +107,11 @@ def covering(coordinate: Column, grid: Grid, count: int) -> Column:
     return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
 
 
-def patchify(df: DataFrame, grid: Grid, length: int) -> DataFrame:
+def patchify(df: DataFrame, grid: Grid, length: Sizes) -> DataFrame:
     """df with a row for each patch (gz, gy, gx) that holds the voxel, and its place (oz, oy, ox) there."""
-    count, out = grid.count(length), df
+    length, out = by_axis(length), df
     for axis in AXES:
-        out = out.withColumn(f"g{axis}", F.explode(covering(F.col(axis), grid, count)))
+        out = out.withColumn(f"g{axis}", F.explode(covering(F.col(axis), grid, grid.count(length[axis]))))
     return out.withColumns({f"o{axis}": F.col(axis) - F.col(f"g{axis}") * grid.step for axis in AXES})
 
 
@@ -161,12 +169,12 @@ def sigmoid_profile(overlap: int) -> list[float]:
     return [1 / (1 + math.exp(-overlap * ((i / (overlap - 1) if overlap > 1 else 0.0) - 0.5))) for i in range(overlap)]
 
 
-def unpad(df: DataFrame, n: int, left: int = 0) -> DataFrame:
-    """The n-sided crop that starts at `left`, shifted to the origin."""
-    keep = F.lit(True)
+def unpad(df: DataFrame, n: Sizes, left: Sizes = 0) -> DataFrame:
+    """The crop of sides n that starts at `left`, shifted to the origin."""
+    keep, n, left = F.lit(True), by_axis(n), by_axis(left)
     for a in AXES:
-        keep = keep & F.col(a).between(left, left + n - 1)
-    return df.filter(keep).withColumns({a: F.col(a) - left for a in AXES})
+        keep = keep & F.col(a).between(left[a], left[a] + n[a] - 1)
+    return df.filter(keep).withColumns({a: F.col(a) - left[a] for a in AXES})
 
 
 BINS = 4096

@@ -222,10 +222,10 @@ def pad_by_overlap(spark, sf_dir):
 
 
 @query("""{views}, i AS (SELECT CAST(unnest(range(10)) AS INT) AS p)
-SELECT l.img, l.p AS z, l.y, l.x, coalesce(o.v, 0) AS v FROM (SELECT DISTINCT img, y, x, p FROM voxels, i) l LEFT JOIN voxels o ON o.img = l.img AND o.z = l.p - 2 AND o.y = l.y AND o.x = l.x AND o.z < 6""")
+SELECT l.img, l.p AS z, l.y, l.x, coalesce(o.v, 0) AS v FROM (SELECT DISTINCT img, y, x, p FROM voxels, i) l LEFT JOIN voxels o ON o.img = l.img AND o.z = l.p - 2 AND o.y = l.y AND o.x = l.x""".replace("FROM voxels", "FROM boxes").replace("JOIN voxels", "JOIN boxes").replace("{views}, ", "WITH " + views.BOXES_SQL + ", "))
 def pad_depth_to_square(spark, sf_dir):
-    """Volumes of six planes, padded evenly to as many planes as rows."""
-    return patch.pad(views.voxels(spark, sf_dir).filter("z < 6"), 6, SIDE, "constant", (SIDE - 6) // 2, axes=("z",)).select("img", *AXES, "v")
+    """Volumes of five planes, padded evenly to as many planes as rows."""
+    return patch.pad(views.boxes(spark, sf_dir), 5, SIDE, "constant", (SIDE - 5) // 2, axes=("z",)).select("img", *AXES, "v")
 
 
 @query("""{views}, i AS (SELECT unnest(range(14)) AS p), m AS (SELECT p, CASE WHEN (p + 16) % 18 < 10 THEN (p + 16) % 18 ELSE 18 - (p + 16) % 18 END AS s FROM i)

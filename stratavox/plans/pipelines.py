@@ -98,17 +98,18 @@ def score_table(labelled: DataFrame, n: int, dataset: str) -> DataFrame:
     return out.withColumns({"volume": F.col("area"), "dapi_sum": F.col("sum_v"), "dapi_mean": F.col("sum_v") / F.col("area")})
 
 
-def smooth_predict(df: DataFrame, n: int, window: int, predict, subdivisions: int = 2, mode: str = "spline") -> DataFrame:
+def smooth_predict(df: DataFrame, n: patch.Sizes, window: int, predict, subdivisions: int = 2, mode: str = "spline") -> DataFrame:
     """(img, z, y, x, v): an opaque scorer over sliding windows, weighted by a 3D window, summed and divided by
     subdivisions cubed; predict(DataFrame with image arrays of window**3 values) -> the same with predictions.
 
-    The volume is padded by reflection; windows are rows, sums one aggregate keyed by voxel."""
+    The volume (sides n) is padded by reflection; windows are rows, sums one aggregate keyed by voxel."""
     from ..operators import augment
     from ..sources.patches import gathered
 
-    left, length = patch.view_padding(n, window, subdivisions)
+    sides = tuple(patch.by_axis(n).values())
+    left, length = (tuple(x) for x in zip(*[patch.view_padding(k, window, subdivisions) for k in sides], strict=True))
     grid = patch.Grid(window, window // subdivisions)
-    padded = patch.pad(df.select("img", *AXES, "v"), n, length, "reflect", left).withColumn("label", F.lit(0))
+    padded = patch.pad(df.select("img", *AXES, "v"), sides, length, "reflect", left).withColumn("label", F.lit(0))
     blocks = gathered(patch.patchify(padded, grid, length), window).drop("labels")
     done = field.scored(blocks, predict, "img long, gz int, gy int, gx int, image array<float>")
     weights = F.array(*map(F.lit, augment.window_3d(window, mode)))
@@ -116,14 +117,19 @@ def smooth_predict(df: DataFrame, n: int, window: int, predict, subdivisions: in
     place = {"z": F.floor(F.col("i") / window**2), "y": F.floor(F.col("i") / window) % window, "x": F.col("i") % window}
     at = [(F.col(f"g{a}") * grid.step + place[a]).cast("int").alias(a) for a in AXES]
     sums = cells.select("img", *at, "v").groupBy("img", *AXES).agg((F.sum("v") / subdivisions**3).alias("v"))
-    return patch.unpad(sums, n, left)
+    return patch.unpad(sums, sides, left)
 
 
-def smooth_predict_views(df: DataFrame, n: int, window: int, predict, subdivisions: int = 2, mode: str = "spline") -> DataFrame:
-    """(img, z, y, x, v): smooth_predict() over every view of the volume, put back and averaged."""
+def smooth_predict_views(df: DataFrame, n: patch.Sizes, window: int, predict, subdivisions: int = 2, mode: str = "spline") -> DataFrame:
+    """(img, z, y, x, v): smooth_predict() over every view of the volume, put back and averaged.  Views that turn a box
+    have other sides; those of equal sides go through together."""
     from ..operators import augment
 
     views = augment.views(df.select("img", *AXES, "v"), n).withColumn("img", F.col("img") * 27 + F.col("view"))
-    done = smooth_predict(views, n, window, predict, subdivisions, mode)
+    sides, done = augment.view_sides(n), None
+    for shape in sorted(set(sides)):
+        mine = views.filter(F.col("view").isin([k for k, s in enumerate(sides) if s == shape]))
+        part = smooth_predict(mine, shape, window, predict, subdivisions, mode)
+        done = part if done is None else done.unionByName(part)
     back = augment.unview(done.withColumns({"view": F.pmod(F.col("img"), F.lit(27)).cast("int"), "img": F.floor(F.col("img") / 27).cast("long")}), n)
     return back.groupBy("img", *AXES).agg(F.avg("v").alias("v"))

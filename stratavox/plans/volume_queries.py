@@ -4,24 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import blocks, chain, field, neighbors
+from ..operators import augment, blocks, chain, field, neighbors, patch, restore
 from ..operators.neighbors import AXES
 from ..sources import views
 from ..sources.views import SIDE
+from ..streaming import training
 from . import pipelines
-from .catalog import _MIX, ORACLE_SQL, _ends, fixed, query
+from .catalog import _MIX, ORACLE_SQL, _ends, _plus_seven, fixed, query
 
 #: Volumes of ten cells a side, in blocks that do not divide them.
 _TEN = blocks.Lattice((SIDE, SIDE, SIDE), (4, 5, 6))
-#: The same events as volumes of six planes.
-_SIX = blocks.Lattice((6, SIDE, SIDE), (4, 3, 7))
-_BOXES = """boxes AS (SELECT event_id AS vid, CAST(floor(event_id / 600) AS BIGINT) AS img, CAST(floor(event_id % 600 / 100) AS INT) AS z,
-  CAST(floor(event_id % 100 / 10) AS INT) AS y, CAST(event_id % 10 AS INT) AS x, CAST(round(value * 100) AS BIGINT) AS v FROM events)"""
-
-
-def _boxes(spark, sf_dir):
-    e = F.col("vid")
-    return views.voxels(spark, sf_dir).withColumns({"img": F.floor(e / 600).cast("bigint"), "z": F.floor(e % 600 / 100).cast("int")})
+#: The same events as volumes of five planes.
+_FIVE = blocks.Lattice((5, SIDE, SIDE), (3, 4, 7))
+_BOXES = views.BOXES_SQL
+_boxes = views.boxes
+_SIDES = (5, SIDE, SIDE)
 
 
 def _density(spark, sf_dir):
@@ -42,15 +39,15 @@ def gaussian_blur_blocks(spark, sf_dir):
 SELECT img, z, y, x, v FROM (SELECT a.img, a.z, a.y, a.x, a.v, max(b.v) AS m FROM boxes a JOIN o p ON true JOIN o q ON true JOIN o r ON true
 JOIN boxes b ON b.img = a.img AND b.z = a.z + p.d AND b.y = a.y + q.d AND b.x = a.x + r.d WHERE a.v > 9000 GROUP BY ALL) WHERE v = m""")
 def local_maxima_boxes(spark, sf_dir):
-    """Maxima of volumes of 6 by 10 by 10 cells."""
-    return blocks.local_maxima(_boxes(spark, sf_dir), _SIX, 1, 9000)
+    """Maxima of volumes of 5 by 10 by 10 cells."""
+    return blocks.local_maxima(_boxes(spark, sf_dir), _FIVE, 1, 9000)
 
 
 @query(f"WITH {_BOXES}, o AS (SELECT * FROM (VALUES (-1, 1), (0, 2), (1, 1)) q(d, s))" + """
 SELECT a.img, a.z, a.y, a.x, CAST(sum(p.d * q.s * r.s * b.v) AS BIGINT) AS gz, CAST(sum(p.s * q.d * r.s * b.v) AS BIGINT) AS gy, CAST(sum(p.s * q.s * r.d * b.v) AS BIGINT) AS gx
 FROM boxes a JOIN o p ON true JOIN o q ON true JOIN o r ON true JOIN boxes b ON b.img = a.img AND b.z = a.z + p.d AND b.y = a.y + q.d AND b.x = a.x + r.d GROUP BY ALL HAVING count(*) = 27""")
 def sobel_boxes(spark, sf_dir):
-    return blocks.sobel(_boxes(spark, sf_dir), _SIX)
+    return blocks.sobel(_boxes(spark, sf_dir), _FIVE)
 
 
 def _border_labels():
@@ -63,9 +60,9 @@ core AS (SELECT a.img, a.z, a.y, a.x FROM big a JOIN o p ON true JOIN o q ON tru
   WHERE a.label > 0 GROUP BY ALL HAVING count(*) = 27),
 wide AS (SELECT DISTINCT img, CAST(z + p.d AS INT) AS z, CAST(y + q.d AS INT) AS y, CAST(x + r.d AS INT) AS x FROM core JOIN o p ON true JOIN o q ON true JOIN o r ON true)
 SELECT w.img, w.z, w.y, w.x, CASE WHEN c.img IS NULL THEN 127 ELSE 255 END AS mark FROM wide w LEFT JOIN core c USING (img, z, y, x)
-WHERE w.z BETWEEN 0 AND 5 AND w.y BETWEEN 0 AND 9 AND w.x BETWEEN 0 AND 9""")
+WHERE w.z BETWEEN 0 AND 4 AND w.y BETWEEN 0 AND 9 AND w.x BETWEEN 0 AND 9""")
 def border_labels_boxes(spark, sf_dir):
-    return blocks.border_labels(_boxes(spark, sf_dir).withColumn("label", _border_labels()), _SIX)
+    return blocks.border_labels(_boxes(spark, sf_dir).withColumn("label", _border_labels()), _FIVE)
 
 
 @query(ORACLE_SQL["connected_components_26"])
@@ -87,9 +84,9 @@ def integrate_blocks(spark, sf_dir):
 
 @query()
 def segment_instances_blocks(spark, sf_dir):
-    """Instances of volumes of 6 by 10 by 10 cells, every step by blocks (rows-only: equal to the whole-image form by test)."""
+    """Instances of volumes of 5 by 10 by 10 cells, every step by blocks (rows-only: equal to the whole-image form by test)."""
     labelled = _boxes(spark, sf_dir).withColumn("label", _border_labels())
-    return pipelines.segment_blocks(pipelines.encode_targets(labelled).filter("label > 0"), _SIX, n_std=2.0, halo=3)
+    return pipelines.segment_blocks(pipelines.encode_targets(labelled).filter("label > 0"), _FIVE, n_std=2.0, halo=3)
 
 
 @query()
@@ -99,6 +96,91 @@ def watershed_forest(spark, sf_dir):
     return neighbors.watershed(df)
 
 
+# ---- boxes -----------------------------------------------------------------------------
+
+
+def _linear(side: int, size: int) -> str:
+    """SQL: (p, s, w), the weights of samples s in outputs p."""
+    rows = []
+    for p in range(size):
+        at = min(max((2 * p + 1) * side / (2 * size) - 0.5, 0), side - 1)
+        rows += [(p, s, 1 - abs(at - s)) for s in range(side) if abs(at - s) < 1]
+    return "(VALUES " + ", ".join(f"({p}, {s}, CAST({w!r} AS DOUBLE))" for p, s, w in rows) + ") "
+
+
+@query(f"WITH {_BOXES}, a AS (SELECT * FROM {_linear(5, 9)} q(p, s, w)), b AS (SELECT * FROM {_linear(10, 7)} q(p, s, w)), c AS (SELECT * FROM {_linear(10, 13)} q(p, s, w))" + """
+SELECT img, a.p AS z, b.p AS y, c.p AS x, CAST(floor(sum(a.w * b.w * c.w * v) * 100 + 0.49) AS BIGINT) AS v FROM boxes JOIN a ON z = a.s JOIN b ON y = b.s JOIN c ON x = c.s GROUP BY ALL""")
+def rescale_linear_boxes(spark, sf_dir):
+    """Volumes of 5 by 10 by 10 cells at 9 by 7 by 13."""
+    # weights are 6552nds, whose hundreds fall on halves: 0.49 keeps them off the edge of rounding
+    return field.resample_linear(_boxes(spark, sf_dir), (9, 7, 13), None, _SIDES).withColumn("v", F.floor(F.col("v") * 100 + 0.49).cast("bigint"))
+
+
+@query(f"WITH {_BOXES}, l AS (SELECT *, CASE WHEN v > 3500 THEN 1 + 4 * floor(z / 3) + 2 * floor(y / 5) + floor(x / 5) ELSE 0 END AS label FROM boxes)," + """
+s AS (SELECT img, label, count(*) AS n FROM l WHERE label > 0 GROUP BY ALL), r AS (SELECT img, avg(cbrt(3 * n / (4 * pi()))) AS r FROM s GROUP BY img), i AS (SELECT CAST(unnest(range(60)) AS INT) AS p),
+m AS (SELECT img, CAST(trunc(5 * 3.0 / r) AS INT) AS mz, CAST(trunc(10 * 3.0 / r) AS INT) AS my FROM r),
+tz AS (SELECT img, p, CAST(floor((2 * p + 1) * 5 / (2 * mz)) AS INT) AS s FROM m, i WHERE p < mz), ty AS (SELECT img, p, CAST(floor((2 * p + 1) * 10 / (2 * my)) AS INT) AS s FROM m, i WHERE p < my)
+SELECT l.img, a.p AS z, b.p AS y, c.p AS x, CAST(label AS INT) AS label FROM l JOIN tz a ON a.img = l.img AND a.s = l.z JOIN ty b ON b.img = l.img AND b.s = l.y JOIN ty c ON c.img = l.img AND c.s = l.x""")
+def rescale_by_radius_boxes(spark, sf_dir):
+    label = F.when(F.col("v") > 3500, 1 + 4 * F.floor(F.col("z") / 3) + 2 * F.floor(F.col("y") / 5) + F.floor(F.col("x") / 5)).otherwise(0).cast("int")
+    return field.rescale_by_radius(_boxes(spark, sf_dir).withColumn("label", label), _SIDES, 3.0).select("img", *AXES, "label")
+
+
+@query(f"WITH {_BOXES} SELECT img, z, y, x, CAST(27 * v AS BIGINT) AS sum_v, CAST(27 AS BIGINT) AS n_views FROM boxes")
+def view_average_boxes(spark, sf_dir):
+    """Views of a box have other sides; each cell gets its own value back from every one."""
+    df = _boxes(spark, sf_dir).select("img", *AXES, "v")
+    return augment.view_average(augment.unview(augment.views(df, _SIDES), _SIDES))
+
+
+def _mirror(name: str, side: int, length: int, left: int) -> str:
+    period = 2 * (side - 1)
+    at = f"(p + {period - left}) % {period}"
+    return f"{name} AS (SELECT p, CASE WHEN {at} < {side} THEN {at} ELSE {period} - {at} END AS s FROM (SELECT unnest(range({length})) AS p))"
+
+
+def _windows_boxes_sql() -> str:
+    (lz, nz), (ly, ny) = (patch.view_padding(k, 4, 2) for k in (5, SIDE))
+    cells = ", ".join(f"({i // 16}, {i // 4 % 4}, {i % 4}, CAST({w!r} AS DOUBLE))" for i, w in enumerate(augment.window_3d(4)))
+    return f"""WITH {_BOXES}, {_mirror("mz", 5, nz, lz)}, {_mirror("my", SIDE, ny, ly)},
+pd AS (SELECT img, a.p AS z, b.p AS y, c.p AS x, v FROM boxes JOIN mz a ON z = a.s JOIN my b ON y = b.s JOIN my c ON x = c.s),
+gz AS (SELECT unnest(range({(nz - 4) // 2 + 1})) * 2 AS k), gy AS (SELECT unnest(range({(ny - 4) // 2 + 1})) * 2 AS k), w AS (SELECT * FROM (VALUES {cells}) q(oz, oy, ox, w))
+SELECT img, CAST(z - {lz} AS INT) AS z, CAST(y - {ly} AS INT) AS y, CAST(x - {ly} AS INT) AS x, CAST(floor(sum(w * (v + 7)) / 8 * 100 + 0.5) AS BIGINT) AS v
+FROM pd JOIN gz a ON z BETWEEN a.k AND a.k + 3 JOIN gy b ON y BETWEEN b.k AND b.k + 3 JOIN gy c ON x BETWEEN c.k AND c.k + 3 JOIN w ON oz = z - a.k AND oy = y - b.k AND ox = x - c.k
+WHERE z BETWEEN {lz} AND {lz + 4} AND y BETWEEN {ly} AND {ly + 9} AND x BETWEEN {ly} AND {ly + 9} GROUP BY ALL"""
+
+
+@query(_windows_boxes_sql())
+def sliding_windows_boxes(spark, sf_dir):
+    """A scorer that adds seven, over weighted windows of volumes of 5 by 10 by 10 cells."""
+    return pipelines.smooth_predict(_boxes(spark, sf_dir), _SIDES, 4, _plus_seven).withColumn("v", fixed(F.col("v"), 2))
+
+
+# ---- restoration and training input ----------------------------------------------------
+
+
+@query()
+def wiener_gibbs(spark, sf_dir):
+    """Planes deconvolved with their noise level drawn (rows-only: planted noise comes back in the tests)."""
+    return restore.unsupervised_wiener(views.voxels(spark, sf_dir), (SIDE, SIDE), steps=60, burn=20)
+
+
+@query()
+def rows_aligned(spark, sf_dir):
+    """Even and odd rows brought together by flow (rows-only: planted shifts come back in the tests)."""
+    return restore.align_rows(views.voxels(spark, sf_dir), (SIDE, SIDE))
+
+
+@query(ORACLE_SQL["unit_vectors"])
+def training_targets(spark, sf_dir):
+    """A set in mixed order through an epoch's input as it is: every voxel with the vectors of its target."""
+    stored = training.mixed_order(_samples(spark, sf_dir), 3)
+    rows = training.epoch(stored, 0, (SIDE, SIDE, SIDE), 4, "img", None)
+    cells = rows.select("img", F.posexplode(F.arrays_zip(*[F.col(f"v{a}").cast("array<double>").alias(f"v{a}") for a in AXES])).alias("i", "c"))
+    # vectors pass as floats: a ten thousandth is kept off the edge of rounding
+    return cells.select((F.col("img") * 1000 + F.col("i")).alias("vid"), *[fixed(F.col(f"c.v{a}") + F.signum(f"c.v{a}") * 1e-8).alias(f"u{a}") for a in AXES])
+
+
 # ---- the augmentation chain ------------------------------------------------------------
 
 

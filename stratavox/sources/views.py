@@ -30,6 +30,12 @@ def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same voxels as volumes of five planes: (vid, img, z, y, x, v), sides 5, 10, 10."""
+    e = F.col("vid")
+    return voxels(spark, sf_dir).withColumns({"img": F.floor(e / 500).cast("bigint"), "z": F.floor(e % 500 / 100).cast("int")})
+
+
 def _octant(axis: str) -> Column:
     return F.floor(F.col(axis) / 5).cast("int")
 
@@ -60,6 +66,9 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("file_id"), F.col("url").alias("path"))
 
 
+BOXES_SQL = """boxes AS (SELECT event_id AS vid, CAST(floor(event_id / 500) AS BIGINT) AS img, CAST(floor(event_id % 500 / 100) AS INT) AS z,
+  CAST(floor(event_id % 100 / 10) AS INT) AS y, CAST(event_id % 10 AS INT) AS x, CAST(round(value * 100) AS BIGINT) AS v FROM events)"""
+
 #: The same views for SQL engines, to put before a query.
 SQL = """
 voxels AS (

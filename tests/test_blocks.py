@@ -163,3 +163,23 @@ def test_watershed_is_the_forest_of_highest_edges(spark):
     df = spark.createDataFrame(data, "img long, z int, y int, x int, v long, marker int")
     found = {(r.img, r.z, r.y, r.x): r.label for r in neighbors.watershed(df).collect()}
     assert found == {(img, *p): m for img, cells in enumerate(images) for p, m in forest(cells).items()}
+
+
+def test_views_and_windows_of_boxes(spark):
+    """A constant scorer gives its constant, a scorer that changes nothing the volume, over boxes as over cubes."""
+    from stratavox.operators import augment, patch
+    from stratavox.plans import pipelines
+
+    shape = (3, 6, 8)
+    df = spark.createDataFrame([(4, *map(int, p), float(i)) for i, p in enumerate(np.ndindex(shape))], "img long, z int, y int, x int, v double")
+    seen = augment.views(df, shape)
+    for k, sides in enumerate(augment.view_sides(shape)):
+        view = seen.filter(F.col("view") == k)
+        assert view.select(*AXES).distinct().count() == 144 if k % 7 == 0 else True
+        assert tuple(view.agg(*[F.max(a) + 1 for a in AXES]).first()) == sides and view.agg(F.min(F.least(*AXES))).first()[0] == 0
+    assert rows(augment.unview(seen, shape).select("img", *AXES, "v").distinct(), "img", *AXES, "v") == rows(df, "img", *AXES, "v")
+    same = lambda pdf: pdf
+    one = {tuple(r[1:4]): r.v for r in pipelines.smooth_predict(df, shape, 4, same).collect()}
+    many = {tuple(r[1:4]): r.v for r in pipelines.smooth_predict_views(df, shape, 4, same).collect()}
+    assert set(one) == set(many) == set(np.ndindex(shape))
+    assert patch.unpad(patch.pad(df, shape, (5, 6, 9), "reflect", (1, 0, 1)), shape, (1, 0, 1)).exceptAll(df).count() == 0
