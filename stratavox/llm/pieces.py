@@ -105,8 +105,8 @@ class Pieces:
         texts = self._texts(model, names, n)
         self.text_data = np.frombuffer(b"".join(texts), np.uint8)
         self.text_offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        # direct tables for pairs would be n * n; a hash table of 2^k slots finds a pair in one or two probes
-        self.bits = max(4, int(2 * len(merges) + 1).bit_length())
+        # direct tables for pairs would be n * n; in a hash table with a slot in eight taken, nearly all pairs need one probe
+        self.bits = max(4, int(8 * len(merges) + 1).bit_length())
         self._build_slots()
 
     @staticmethod
@@ -131,6 +131,9 @@ class Pieces:
             self.slot[at[free]] = left[free]
             lost = self.slot[at] != left
             left, at = left[lost], (at[lost] + 1) & (size - 1)
+        self.slot_keys = np.full(size, -2, np.int64)
+        taken = self.slot >= 0
+        self.slot_keys[taken] = self.pair_keys[self.slot[taken]]
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * _U(0x9E3779B97F4A7C15)) >> _U(64 - self.bits)).astype(np.int64)
@@ -138,15 +141,20 @@ class Pieces:
     def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Index of each pair's merge, or -1; ids below 0 have none."""
         keys = left.astype(np.int64) * self.size + right
-        out = np.full(len(keys), -1, np.int64)
-        live = np.flatnonzero((left >= 0) & (right >= 0))
-        at = self._home(keys[live])
+        keys[(left < 0) | (right < 0)] = -1  # no pair's key, nor that of a free slot
+        at = self._home(keys)
+        held = self.slot_keys[at]
+        hit = held == keys
+        out = np.where(hit, self.slot[at], -1).astype(np.int64)
+        live = np.flatnonzero(~hit & (held >= 0))
+        at, keys = at[live], keys[live]
         while len(live):
-            found = self.slot[at]
-            hit = (found >= 0) & (self.pair_keys[found] == keys[live])
-            out[live[hit]] = found[hit]
-            go = (found >= 0) & ~hit
-            live, at = live[go], (at[go] + 1) & (len(self.slot) - 1)
+            at = (at + 1) & (len(self.slot) - 1)
+            held = self.slot_keys[at]
+            hit = held == keys
+            out[live[hit]] = self.slot[at[hit]]
+            go = ~hit & (held >= 0)
+            live, at, keys = live[go], at[go], keys[go]
         return out
 
 
@@ -285,7 +293,7 @@ def _kept(pool: np.ndarray, begin: np.ndarray, count: np.ndarray, keep: np.ndarr
 class Encoder:
     """Encodes blocks of texts; keeps the segmentations without dropout of recent chunks by content, and their merges."""
 
-    def __init__(self, pieces: Pieces, dropout: Dropout, memory: int = 24 << 20):
+    def __init__(self, pieces: Pieces, dropout: Dropout, memory: int = 32 << 20):
         """memory: bytes of kept segmentations beyond which those that a block does not use are dropped."""
         self.pieces, self.dropout, self.memory = pieces, dropout, memory
         self.hasher = tb.Hasher(seed=dropout.seed)
