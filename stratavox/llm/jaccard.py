@@ -471,11 +471,10 @@ def _leaves(rows: DataFrame, partitions: int, rules: JaccardRules) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate(member)), pa.array(np.concatenate(role).astype(np.int32))], ["key", "class", "role"])
 
     columns = ["region", "class", "n", "bits", "sketch"]
-    if marked:
-        rows = rows.groupBy(columns).agg(F.max("asking").alias("asking"))
-    else:
-        rows = rows.select(columns).distinct()
-    return rows.repartition(partitions, "region").sortWithinPartitions("region", "class").mapInArrow(run, "key bigint, class bigint, role int").distinct()
+    # dealt by region first, so that repeated rows go where they lie and sketches are shuffled once
+    dealt = rows.repartition(partitions, "region")
+    once = dealt.groupBy(columns).agg(F.max("asking").alias("asking")) if marked else dealt.select(columns).distinct()
+    return once.sortWithinPartitions("region", "class").mapInArrow(run, "key bigint, class bigint, role int").distinct()
 
 
 def _crowds(crowds: DataFrame, rules: JaccardRules) -> DataFrame:
