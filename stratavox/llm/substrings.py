@@ -12,7 +12,8 @@ repeats already), so copies and passages shrink before the shuffle.  m-word sequ
 that hold more than one in `hot_share` of all words (fewer than hot_share by count, so
 their list is bounded) rank after all others; windows that merely overlap a common
 passage thus go to buckets of their own surroundings.  A bucket that outgrows
-`bucket_bytes` is folded as it streams: repeats are given out, distinct windows stay.
+`bucket_bytes` is folded as it streams, each time at twice the size that the last fold left: repeats are
+given out, distinct windows stay.
 
 Edge cases: null and empty texts have no words (their kept text is empty); texts of
 fewer than k words lose nothing; rows of equal doc_id are one document's and do not repeat each other at
@@ -168,14 +169,18 @@ class _Bucket:
 
     def __init__(self, rules: RepeatRules):
         self.rules, self.hasher, self.table = rules, tb.Hasher(), tb.whitespace_words()
-        self.parts, self.size = [], 0
+        self.parts, self.size, self.limit = [], 0, 2 * rules.bucket_bytes
+
+    def full(self) -> bool:
+        return self.size > self.limit
 
     def add(self, part: list[np.ndarray]) -> None:
         self.parts.append(part)
         self.size += part[0].nbytes
 
     def fold(self, keep: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Spans of the repeats; with keep, the distinct windows stay for what is to come."""
+        """Spans of the repeats; with keep, the distinct windows stay for what is to come, and the next
+        fold waits until as much again has come: the folds of a bucket cost in proportion to its size."""
         data, size, doc, start = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         block, k = tb.Block(data, np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), 0, self.table), self.rules.k
         words = self.hasher.spans(block.data, block.starts, block.ends)
@@ -188,6 +193,7 @@ class _Bucket:
         if keep and len(first):
             cut, begin, length = _runs(block, at[first], owner[first], k)
             self.add([data[blobs.gather(begin, length)], length.astype(np.int32), doc[first[cut]], start[first[cut]].astype(np.int32)])
+        self.limit = 2 * max(self.size, self.rules.bucket_bytes)
         return _spans(doc[again], start[again], k)
 
 
@@ -223,7 +229,7 @@ def repeated_spans(docs: DataFrame, rules: RepeatRules = RepeatRules()) -> DataF
                 yield given(*held.fold(False))
             now = bucket
             held.add(part)
-            if held.size > 2 * rules.bucket_bytes:
+            if held.full():
                 yield given(*held.fold(True))
         if held.parts:
             yield given(*held.fold(False))
