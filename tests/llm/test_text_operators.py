@@ -319,21 +319,6 @@ def plain_repeats(rows, k=20):
     return out
 
 
-def test_outgrown_bucket_folds_seldom():
-    rules = substrings.RepeatRules(bucket_bytes=2000)
-    bucket, rng = substrings._Bucket(rules), np.random.default_rng(3)
-    texts = [" ".join(f"{x:07d}" for x in rng.integers(0, 10**7, 30)).encode() for _ in range(200)]
-    folds, spans = 0, []
-    for i, text in enumerate([*texts, texts[0]]):
-        bucket.add([np.frombuffer(text, np.uint8), np.array([len(text)], np.int32), np.array([i]), np.zeros(1, np.int32)])
-        if bucket.full():
-            folds += 1
-            spans += list(zip(*bucket.fold(True), strict=True))
-    spans += list(zip(*bucket.fold(False), strict=True))
-    assert spans == [(200, 0, 30)]  # only the copy, and whole
-    assert 2 <= folds <= 5  # about log2(48,000 / 4,000); one for each text before
-
-
 @pytest.mark.parametrize("rules", [substrings.RepeatRules(), substrings.RepeatRules(bucket_bytes=600, hot_share=5)])
 def test_repeats_match_plain(docs, texts, rules, nothing):
     out = substrings.remove_repeats(docs, rules, digest=True)
