@@ -12,16 +12,16 @@ compared; blocks without voxels in reach do not arise.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .field import CELLS, Grids, parts_of
+from .groups import by_groups, starts
 from .neighbors import AXES, label_voxels, rooted
 
 BLOCK = [f"b{a}" for a in AXES]
@@ -65,7 +65,7 @@ class Box:
         return np.ravel_multi_index(tuple(cells - self.low[:, None]), self.shape)
 
     def inner(self) -> tuple[slice, ...]:
-        return tuple(slice(self.radius, n - self.radius) for n in self.shape)
+        return (slice(None), *(slice(self.radius, n - self.radius) for n in self.shape))
 
     def own(self, cells: np.ndarray) -> np.ndarray:
         return ((cells >= self.start[:, None]) & (cells < self.stop[:, None])).all(0)
@@ -82,31 +82,47 @@ Kernel = Callable[[Box, np.ndarray, dict[str, np.ndarray]], "tuple[np.ndarray, d
 
 def by_block(voxels: DataFrame, lattice: Lattice, radius: int, kernel: Kernel, values: list[str], schema: str) -> DataFrame:
     """(img, z, y, x, ...): kernel(box, present, padded arrays of `values`) gives a mask over the block's own cells
-    and arrays over them; a row for each cell of the mask.  schema: of the columns after the place."""
+    and arrays over them; a row for each cell of the mask.  schema: of the columns after the place.
 
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        img, *block = (k.as_py() for k in key)
-        box = Box(lattice, tuple(block), radius)
+    Arrays have the axes (image, z, y, x): a call takes the blocks of one place of many images, as far as CELLS goes."""
+    names = [n.strip().split()[0] for n in schema.split(",")]
+
+    def alike(table: pa.Table) -> pa.Table:
+        block = tuple(table[b][0].as_py() for b in BLOCK)
+        box = Box(lattice, block, radius)
+        first = starts(table, ["img"])
+        images = table["img"].take(pa.array(first)).to_numpy()
+        counts = np.diff(first, append=len(table))
         at = box.place(np.stack([table[a].to_numpy() for a in AXES]).astype(np.int64))
-        present = np.zeros(int(np.prod(box.shape)), bool)
-        present[at] = True
-        padded = {}
-        for v in values:
-            column = table[v].to_numpy()
-            padded[v] = np.zeros(len(present), column.dtype)
-            padded[v][at] = column
-        mask, out = kernel(box, present.reshape(box.shape), {v: x.reshape(box.shape) for v, x in padded.items()})
-        cells = np.nonzero(mask)
-        place = {a: pa.array((c + s).astype(np.int32)) for a, c, s in zip(AXES, cells, box.start, strict=True)}
-        return pa.table({"img": pa.array(np.full(len(cells[0]), img, np.int64)), **place, **{k: pa.array(x[cells]) for k, x in out.items()}})
+        found = []
+        for k in parts_of(np.full(len(first), np.prod(box.shape)), CELLS):
+            rows = slice(first[k.start], first[k.stop - 1] + counts[k.stop - 1])
+            n = k.stop - k.start
+            places = (np.repeat(np.arange(n), counts[k]), at[rows])
+            present = np.zeros((n, int(np.prod(box.shape))), bool)
+            present[places] = True
+            padded = {}
+            for v in values:
+                column = table[v].to_numpy()[rows]
+                padded[v] = np.zeros(present.shape, column.dtype)
+                padded[v][places] = column
+            mask, out = kernel(box, present.reshape(n, *box.shape), {v: x.reshape(n, *box.shape) for v, x in padded.items()})
+            image, *cells = np.nonzero(mask)
+            place = {a: pa.array((c + s).astype(np.int32)) for a, c, s in zip(AXES, cells, box.start, strict=True)}
+            found.append(pa.table({"img": pa.array(images[k][image].astype(np.int64)), **place, **{c: pa.array(out[c][(image, *cells)]) for c in names}}))
+        return pa.concat_tables(found)
+
+    def run(table: pa.Table) -> pa.Table:
+        first = starts(table, BLOCK)
+        return pa.concat_tables([alike(table.slice(i, n)) for i, n in zip(first.tolist(), np.diff(first, append=len(table)).tolist(), strict=True)])
 
     rows = spread(voxels.select("img", *AXES, *values), lattice, radius)
-    return rows.groupBy("img", *BLOCK).applyInArrow(run, f"img long, z int, y int, x int, {schema}")
+    return by_groups(rows.withColumn("img", F.col("img").cast("long")), [*BLOCK, "img"], run, f"img long, z int, y int, x int, {schema}")
 
 
 def _windowed(array: np.ndarray, radius: int, join: Callable) -> np.ndarray:
-    """join over the cube of a radius around each cell that has its whole cube in the array."""
-    for axis in range(3):
+    """join over the cube of a radius around each cell that has its whole cube in the array (the last three axes)."""
+    for axis in (-3, -2, -1):
         n = array.shape[axis] - 2 * radius
         parts = [np.take(array, range(k, k + n), axis) for k in range(2 * radius + 1)]
         out = parts[0]
@@ -123,8 +139,9 @@ def smooth(voxels: DataFrame, lattice: Lattice, weights: list[float], integer: b
     def kernel(box: Box, present: np.ndarray, padded: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         at = [box.reflected(k) for k in range(3)]
         # a small volume is mirrored more than once, a small last block never past its halo
-        v, reached = padded[value].astype(float)[np.ix_(*at)], present[np.ix_(*at)]
-        for axis in range(3):
+        every = np.ix_(range(len(present)), *at)
+        v, reached = padded[value].astype(float)[every], present[every]
+        for axis in (1, 2, 3):
             n = v.shape[axis] - 2 * radius
             shifted = [np.take(v, range(k, k + n), axis) for k in range(2 * radius + 1)]
             reached = np.logical_or.reduce([np.take(reached, range(k, k + n), axis) for k in range(2 * radius + 1)])
@@ -161,7 +178,7 @@ def sobel(voxels: DataFrame, lattice: Lattice, value: str = "v") -> DataFrame:
         for k, a in enumerate(AXES):
             g = v
             for axis in range(3):
-                g = along(g, axis, (-1, 0, 1) if axis == k else (1, 2, 1))
+                g = along(g, axis + 1, (-1, 0, 1) if axis == k else (1, 2, 1))
             out[f"g{a}"] = g
         return _windowed(present, 1, np.logical_and), out
 
@@ -174,11 +191,11 @@ def border_labels(voxels: DataFrame, lattice: Lattice, border: int = 1, label: s
 
     def kernel(box: Box, present: np.ndarray, padded: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         v = np.where(present, padded[label], 0)
-        inner = tuple(slice(1, n - 1) for n in v.shape)
+        inner = (slice(None), *(slice(1, n - 1) for n in v.shape[1:]))
         low, high = _windowed(v, 1, np.minimum), _windowed(v, 1, np.maximum)
         core = (v[inner] > 0) & (low == high)
         wide = _windowed(core, border, np.logical_or)
-        own = core[tuple(slice(border, n - border) for n in core.shape)]
+        own = core[(slice(None), *(slice(border, n - border) for n in core.shape[1:]))]
         return wide, {"mark": np.where(own, 255, 127).astype(np.int32)}
 
     return by_block(voxels.filter(F.col(label) > 0), lattice, radius, kernel, [label], "mark int")
@@ -191,18 +208,19 @@ def connected_components(voxels: DataFrame, lattice: Lattice, connectivity: int
     their local labels together; these pairs, few beside the voxels, are contracted by joins."""
     columns = ["img", "vid", *AXES, *([label] if label else [])]
 
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        img, *block = (k.as_py() for k in key)
-        box = Box(lattice, tuple(block), 1)
+    def run(table: pa.Table) -> pa.Table:
         cells = np.stack([table[a].to_numpy() for a in AXES]).astype(np.int64)
         vid = table["vid"].to_numpy()
         kind = table[label].to_numpy() if label else np.zeros(len(vid))
-        root = label_voxels(cells, vid, kind, connectivity)
-        own = box.own(cells)
-        inside = ((cells > box.start[:, None]) & (cells < box.stop[:, None] - 1)).all(0)
-        return pa.table({"img": np.full(len(vid), img, np.int64), "vid": vid, "local": root, "own": own, "shared": ~inside})
-
-    found = spread(voxels.select(*columns), lattice, 1).groupBy("img", *BLOCK).applyInArrow(run, "img long, vid long, local long, own boolean, shared boolean").checkpoint()
+        root = label_voxels(cells, vid, kind, connectivity, starts(table, ["img", *BLOCK]))
+        start = np.stack([table[b].to_numpy() for b in BLOCK]).astype(np.int64) * np.array(lattice.block)[:, None]
+        stop = np.minimum(start + np.array(lattice.block)[:, None], np.array(lattice.shape)[:, None])
+        own = ((cells >= start) & (cells < stop)).all(0)
+        inside = ((cells > start) & (cells < stop - 1)).all(0)
+        return pa.table({"img": table["img"], "vid": table["vid"], "local": root, "own": own, "shared": ~inside})
+
+    spread_ = spread(voxels.select(*columns).withColumns({c: F.col(c).cast("long") for c in ("img", "vid")}), lattice, 1)
+    found = by_groups(spread_, ["img", *BLOCK], run, "img long, vid long, local long, own boolean, shared boolean").checkpoint()
     ties = found.filter("shared").groupBy("img", "vid").agg(F.min("local").alias("b"), F.collect_set("local").alias("locals"))
     edges = ties.select("img", F.explode("locals").alias("a"), "b").filter("a <> b").distinct()
     roots = rooted(edges).withColumnRenamed("id", "local")
@@ -210,22 +228,6 @@ def connected_components(voxels: DataFrame, lattice: Lattice, connectivity: int
     return named.select("img", "vid", F.coalesce("root", "local").alias("component"))
 
 
-def _sampled(grid: np.ndarray, low_corner: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """Trilinear samples at pos (3, n) of grid (3, ...), whose first cell is low_corner; zero outside."""
-    shape = np.array(grid.shape[1:])[:, None]
-    low = np.floor(pos)
-    part = pos - low
-    low = low.astype(np.int64) - low_corner[:, None]
-    out = np.zeros_like(pos)
-    for c in itertools.product((0, 1), repeat=3):
-        at = low + np.array(c)[:, None]
-        w = np.prod(np.where(np.array(c)[:, None] == 1, part, 1 - part), axis=0)
-        ok = ((at >= 0) & (at < shape)).all(0)
-        at = np.clip(at, 0, shape - 1)
-        out += np.where(ok, w, 0.0) * grid[:, at[0], at[1], at[2]]
-    return out
-
-
 def integrate(voxels: DataFrame, lattice: Lattice, iterations: int = 200, rate: float = 0.2, momentum: float = 0.8, halo: int = 8) -> DataFrame:
     """(img, vid, z, y, x, ez, ey, ex): field.integrate() of voxels(img, vid, z, y, x, uz, uy, ux) by blocks.
 
@@ -234,39 +236,48 @@ def integrate(voxels: DataFrame, lattice: Lattice, iterations: int = 200, rate:
     the halo is wider than their swing.  Each round reads only the blocks that got points, and is checkpointed."""
     moved = ["img", "vid", *AXES, *[f"p{a}" for a in AXES], *[f"s{a}" for a in AXES], "step"]
     schema = "img long, vid long, z int, y int, x int, pz double, py double, px double, sz double, sy double, sx double, step int"
-    names = {c: f"field_{c}" for c in ("img", *BLOCK, *AXES)}
-    field = spread(voxels.select("img", *AXES, *[f"u{a}" for a in AXES]), lattice, halo).withColumnsRenamed(names)
-    points = voxels.select(F.col("img").alias("img"), F.col("vid").alias("vid"), *[F.col(a).alias(a) for a in AXES], *[F.col(a).cast("double").alias(f"p{a}") for a in AXES], *[F.lit(0.0).alias(f"s{a}") for a in AXES], F.lit(0).alias("step"))
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left):
-            return left[moved]
-        box = Box(lattice, tuple(int(k) for k in key[1:]), halo)
-        grid = np.zeros((3, *box.shape))
-        at = right[[names[a] for a in AXES]].to_numpy(np.int64).T - box.low[:, None]
-        grid[:, at[0], at[1], at[2]] = right[[f"u{a}" for a in AXES]].to_numpy(float).T
-        pos, step = left[[f"p{a}" for a in AXES]].to_numpy().T.copy(), left[[f"s{a}" for a in AXES]].to_numpy().T.copy()
-        done = left["step"].to_numpy().copy()
+    voxels = voxels.select(*[F.col(c).cast("long").alias(c) for c in ("img", "vid")], *[F.col(a).cast("int").alias(a) for a in AXES], *[F.col(f"u{a}").cast("double").alias(f"u{a}") for a in AXES]).checkpoint()
+    # a row is a cell of a block's field (step null, p its vector) or a point
+    none = [F.lit(None).cast("double").alias(f"s{a}") for a in AXES]
+    field = spread(voxels, lattice, halo).select(*BLOCK, "img", "vid", *AXES, *[F.col(f"u{a}").alias(f"p{a}") for a in AXES], *none, F.lit(None).cast("int").alias("step"))
+    points = voxels.select("img", "vid", *AXES, *[F.col(a).cast("double").alias(f"p{a}") for a in AXES], *[F.lit(0.0).alias(f"s{a}") for a in AXES], F.lit(0).alias("step"))
+    sides, shape = np.array(lattice.block)[:, None], np.array(lattice.shape)[:, None]
+
+    def run(table: pa.Table) -> pa.Table:
+        first = starts(table, ["img", *BLOCK])
+        counts = np.diff(first, append=len(table))
+        start = np.stack([table[b].to_numpy()[first] for b in BLOCK]).astype(np.int64) * sides
+        stop = np.minimum(start + sides, shape)
         # the samples around a position within these bounds are the block's or outside the volume
-        low = np.where(box.start == 0, -np.inf, box.low)[:, None]
-        high = np.where(box.stop == lattice.shape, np.inf, box.stop + halo - 1)[:, None]
-        going = np.arange(len(done))
-        while len(going):
-            step[:, going] = rate * _sampled(grid, box.low, pos[:, going]) + momentum * step[:, going]
-            pos[:, going] += step[:, going]
-            done[going] += 1
-            here = ((pos[:, going] >= low) & (pos[:, going] < high)).all(0)
-            going = going[here & (done[going] < iterations)]
-        return left[["img", "vid", *AXES]].assign(**{f"p{a}": pos[k] for k, a in enumerate(AXES)}, **{f"s{a}": step[k] for k, a in enumerate(AXES)}, step=done)[moved]
-
-    finished = None
+        low = np.where(start == 0, -np.inf, start - halo)
+        high = np.where(stop == shape, np.inf, stop + halo - 1)
+        point = table["step"].is_valid().to_numpy()
+        at = np.stack([table[a].to_numpy() for a in AXES]).astype(np.int64)
+        pos, step = (np.stack([table[f"{c}{a}"].to_numpy() for a in AXES]) for c in "ps")
+        done = table["step"].fill_null(0).to_numpy().astype(np.int64)
+        for k in parts_of((stop - start + 2 * halo + 2).prod(0), CELLS):
+            rows = np.arange(first[k.start], first[k.stop - 1] + counts[k.stop - 1])
+            owner = np.repeat(np.arange(k.stop - k.start), counts[k])
+            mine = point[rows]
+            if not mine.any():
+                continue
+            grids = Grids(start[:, k] - halo, stop[:, k] - start[:, k] + 2 * halo)
+            grids.fill(owner[~mine], at[:, rows[~mine]], pos[:, rows[~mine]])
+            moving = rows[mine]
+            p, s, n = pos[:, moving], step[:, moving], done[moving]
+            grids.advance(owner[mine], p, s, n, iterations, rate, momentum, (low[:, k], high[:, k]))
+            pos[:, moving], step[:, moving], done[moving] = p, s, n
+        out = table.select(["img", "vid", *AXES]).filter(pa.array(point))
+        ends = {f"{c}{a}": pa.array(v[k][point]) for c, v in (("p", pos), ("s", step)) for k, a in enumerate(AXES)}
+        return pa.table({**{c: out[c] for c in out.column_names}, **ends, "step": pa.array(done[point].astype(np.int32))})
+
+    finished, started = None, False
     while True:
-        at = points.withColumns({b: lattice.of(F.col(f"p{a}"), k) for k, (a, b) in enumerate(zip(AXES, BLOCK, strict=True))})
-        keys = [names[c] for c in ("img", *BLOCK)]
-        near = field.join(at.select("img", *BLOCK).distinct().withColumnsRenamed(names), keys, "left_semi")
-        out = at.groupBy("img", *BLOCK).cogroup(near.groupBy(*keys)).applyInPandas(run, schema).checkpoint()
+        at = points.select(*[lattice.of(F.col(f"p{a}"), k).alias(b) for k, (a, b) in enumerate(zip(AXES, BLOCK, strict=True))], *moved)
+        near = field.join(at.select("img", *BLOCK).distinct(), ["img", *BLOCK], "left_semi").select(field.columns) if started else field
+        out = by_groups(near.unionByName(at), ["img", *BLOCK], run, schema).checkpoint()
         ended = out.filter(F.col("step") >= iterations)
         finished = ended if finished is None else finished.unionByName(ended)
-        points = out.filter(F.col("step") < iterations)
+        points, started = out.filter(F.col("step") < iterations), True
         if points.isEmpty():
             return finished.select("img", "vid", *AXES, *[F.col(f"p{a}").cast("int").alias(f"e{a}") for a in AXES])

@@ -7,9 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .groups import by_groups, starts
 from .neighbors import AXES
 from .patch import Sizes, by_axis
 
@@ -67,26 +69,109 @@ def _sample(grid: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return out
 
 
+class Grids:
+    """Vector fields of many boxes in one flat array, zero outside each box.
+
+    low, shape: (3, n), the boxes' lowest cells and sides.  A row starts with two empty cells, a plane with two empty rows, a box with two
+    empty planes and ends with three; what follows a row's end is the next one's start, so samples next to a box read zeros on every side."""
+
+    def __init__(self, low: np.ndarray, shape: np.ndarray):
+        self.low, self.shape = low, shape
+        self.width = shape + np.array([[5], [2], [2]])
+        size = self.width.prod(0)
+        self.first = np.cumsum(size) - size
+        self.vectors = np.zeros((3, int(size.sum())))
+
+    def fill(self, owner: np.ndarray, cells: np.ndarray, vectors: np.ndarray) -> None:
+        """The vectors (3, n) at cells (3, n), each in its owner's box."""
+        z, y, x = cells - self.low[:, owner] + 2
+        self.vectors[:, self.first[owner] + (z * self.width[1, owner] + y) * self.width[2, owner] + x] = vectors
+
+    def advance(self, owner: np.ndarray, pos: np.ndarray, step: np.ndarray, done: np.ndarray, iterations: int, rate: float, momentum: float, within: tuple[np.ndarray, np.ndarray] | None = None, part: int = 4096) -> None:
+        """Moves pos and step (3, n) by momentum steps of trilinear samples until `iterations` are done or a position leaves its box's bounds
+        (low, high) of `within`, in place; `part` points at a time, so that what a step touches stays in a cache."""
+        for k in range(0, len(owner), part):
+            at = np.s_[k : k + part]
+            self._advance(owner[at], pos[:, at], step[:, at], done[at], iterations, rate, momentum, within)
+
+    def _advance(self, owner, pos, step, done, iterations, rate, momentum, within) -> None:
+        going = np.flatnonzero(done < iterations)
+        p, s, own, n = pos[:, going], step[:, going], owner[going], done[going]
+        stale = True
+        while len(going):
+            if stale:
+                low, top = self.low[:, own], self.shape[:, own]
+                plane, row = self.width[1, own] * self.width[2, own], self.width[2, own]
+                first = self.first[own] + 2 * (plane + row + 1)
+                bounds = None if within is None else (within[0][:, own], within[1][:, own])
+                stale = False
+            cell = np.floor(p)
+            part = p - cell
+            rest = 1 - part
+            z, y, x = np.clip(cell, low - 2, low + top).astype(np.int64) - low
+            base = first + z * plane + y * row + x
+            seen = np.zeros_like(p)
+            for dz, wz in ((0, rest[0]), (1, part[0])):
+                for dy, wy in ((0, rest[1]), (1, part[1])):
+                    corner, wzy = base + plane * dz + row * dy, wz * wy
+                    for dx, wx in ((0, rest[2]), (1, part[2])):
+                        w, index = wzy * wx, corner + dx
+                        for axis in range(3):
+                            seen[axis] += w * self.vectors[axis].take(index)
+            s = rate * seen + momentum * s
+            p = p + s
+            n = n + 1
+            stay = n < iterations
+            if bounds is not None:
+                stay &= ((p >= bounds[0]) & (p < bounds[1])).all(0)
+            if not stay.all():
+                gone = going[~stay]
+                pos[:, gone], step[:, gone], done[gone] = p[:, ~stay], s[:, ~stay], n[~stay]
+                p, s, own, n, going, stale = p[:, stay], s[:, stay], own[stay], n[stay], going[stay], True
+
+
+def parts_of(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Runs of consecutive groups of at most `most` in all, or of one group."""
+    begin, total = 0, 0
+    for k, size in enumerate(sizes.tolist()):
+        if k > begin and total + size > most:
+            yield slice(begin, k)
+            begin, total = k, 0
+        total += size
+    if len(sizes):
+        yield slice(begin, len(sizes))
+
+
+#: Cells of the boxes that a kernel holds at a time; a larger box is alone.
+CELLS = 2_000_000
+
+
 def integrate(field: DataFrame, iterations: int = 200, rate: float = 0.2, momentum: float = 0.8) -> DataFrame:
     """(img, vid, z, y, x, ez, ey, ex): where each foreground voxel of field(img, vid, z, y, x, uz, uy, ux)
     ends after a fixed number of momentum steps, truncated toward zero.
 
-    An image's field fits a worker, so its steps run there on arrays, without a shuffle a step."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = pdf[AXES].to_numpy(np.int64).T
-        shape = at.max(1) + 2
-        grid = np.zeros((3, *shape))
-        grid[:, at[0], at[1], at[2]] = pdf[[f"u{a}" for a in AXES]].to_numpy(float).T
-        pos, step = at.astype(float), np.zeros((3, at.shape[1]))
-        for _ in range(iterations):
-            step = rate * _sample(grid, pos) + momentum * step
-            pos = pos + step
-        end = np.trunc(pos).astype(np.int32)
-        return pdf[["img", "vid", *AXES]].assign(ez=end[0], ey=end[1], ex=end[2])
+    An image's field fits a worker, so its steps run there on arrays, without a shuffle a step; small images go through together."""
+
+    def run(table: pa.Table) -> pa.Table:
+        first = starts(table, ["img"])
+        counts = np.diff(first, append=len(table))
+        at = np.stack([table[a].to_numpy() for a in AXES]).astype(np.int64)
+        u = np.stack([table[f"u{a}"].to_numpy() for a in AXES]).astype(float)
+        shape = np.maximum.reduceat(at, first, axis=1) + 1
+        end = np.empty(at.shape, np.int32)
+        for k in parts_of((shape + 2).prod(0), CELLS):
+            rows = slice(first[k.start], first[k.stop - 1] + counts[k.stop - 1])
+            owner = np.repeat(np.arange(k.stop - k.start), counts[k])
+            grids = Grids(np.zeros_like(shape[:, k]), shape[:, k])
+            grids.fill(owner, at[:, rows], u[:, rows])
+            pos = at[:, rows].astype(float)
+            grids.advance(owner, pos, np.zeros_like(pos), np.zeros(len(owner), np.int64), iterations, rate, momentum)
+            end[:, rows] = np.trunc(pos)
+        return table.select(["img", "vid", *AXES]).append_column("ez", pa.array(end[0])).append_column("ey", pa.array(end[1])).append_column("ex", pa.array(end[2]))
 
     columns = ["img", "vid", *AXES, *[f"u{a}" for a in AXES]]
-    return field.select(*columns).groupBy("img").applyInPandas(run, "img long, vid long, z int, y int, x int, ez int, ey int, ex int")
+    typed = field.select(*columns).withColumns({a: F.col(a).cast("int") for a in AXES} | {c: F.col(c).cast("long") for c in ("img", "vid")})
+    return by_groups(typed, ["img"], run, "img long, vid long, z int, y int, x int, ez int, ey int, ex int")
 
 
 def nearest_seed(points: DataFrame, seeds: DataFrame, radius: int = 5) -> DataFrame:

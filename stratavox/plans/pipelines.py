@@ -26,7 +26,7 @@ def segment(vectors: DataFrame, n: int, iterations: int = 200, n_std: float = 5.
 
     Each voxel's path is integrated, path ends make seeds, a voxel takes the nearest seed's
     label at its start, and small objects go."""
-    paths = field.integrate(vectors, iterations)
+    paths = field.integrate(vectors, iterations).checkpoint()  # read by four steps
     ends = paths.select("img", F.col("vid").alias("pid"), *[F.col(f"e{a}").alias(a) for a in AXES])
     ends = project.in_bounds(ends, (n, n, n))
     found = field.nearest_seed(ends, seeds(ends, n, n_std), radius)
