@@ -64,6 +64,22 @@ def test_interlaced_rows_come_together(spark):
     assert (restore.aligned(np.ones((5, 4))) == 1).all() and restore.aligned(np.ones((5, 4))).shape == (4, 4)
 
 
+@pytest.mark.parametrize("shape", [(10, 10), (33, 40), (2, 5)])
+def test_planes_solved_together_equal_each_alone(spark, shape):
+    """Many planes go through a call of the solver, one of them without contrast; each comes out as alone."""
+    rng = np.random.default_rng(2)
+    planes = rng.normal(size=(9, *shape))
+    planes[3] = 2.0
+    alone = np.stack([restore.aligned(p) for p in planes])
+    assert np.array_equal(restore.aligned(planes), alone)
+    data = [(i // 3, i % 3, int(a), int(b), float(planes[i, a, b])) for i, a, b in np.ndindex(planes.shape)]
+    df = spark.createDataFrame(data, "img long, z int, y int, x int, v double")
+    aligned = restore.align_rows(df, shape)
+    found = {tuple(r[:4]): r.v for r in aligned.collect()}
+    assert found == {(i // 3, i % 3, a, b): alone[i, a, b] for i, a, b in np.ndindex(alone.shape)}
+    assert "FlatMap" not in aligned._jdf.queryExecution().executedPlan().toString()
+
+
 # ---- training input --------------------------------------------------------------------
 
 
