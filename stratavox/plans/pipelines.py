@@ -13,11 +13,11 @@ def seeds(ends: DataFrame, n: int, n_std: float = 5.0, weights: list[float] | No
     """(img, z, y, x, label): components of the smoothed endpoint density above mean + n_std deviations
     of the whole n-sided volume, absent voxels counting as zero."""
     density = field.endpoint_density(ends).withColumn("v", F.col("n"))
-    smooth = neighbors.smooth(density, n, weights or neighbors.gaussian_weights(1.0), integer)
+    smooth = neighbors.smooth(density, n, weights or neighbors.gaussian_weights(1.0), integer).checkpoint()  # read for its deviation and for its cells
     high = project.density_threshold(smooth, n_std, voxels=n**3)
     vid = (F.col("z") * n + F.col("y")) * n + F.col("x")
-    high = high.withColumn("vid", vid.cast("long"))
-    numbered = neighbors.dense_labels(neighbors.connected_components(high, 26))
+    high = high.withColumn("vid", vid.cast("long")).checkpoint()
+    numbered = neighbors.dense_labels(neighbors.connected_components(high, 26).checkpoint())
     return high.join(numbered.select("img", "vid", F.col("component_id").alias("label")), ["img", "vid"]).select("img", *AXES, "label")
 
 
@@ -41,9 +41,10 @@ def segment_blocks(vectors: DataFrame, lattice: blocks.Lattice, iterations: int
     ends = paths.select("img", F.col("vid").alias("pid"), *[F.col(f"e{a}").alias(a) for a in AXES])
     ends = project.in_bounds(ends, lattice.shape)
     density = field.endpoint_density(ends).withColumn("v", F.col("n"))
-    high = project.density_threshold(blocks.smooth(density, lattice, neighbors.gaussian_weights(1.0)), n_std, voxels=n)
+    smooth = blocks.smooth(density, lattice, neighbors.gaussian_weights(1.0)).checkpoint()  # read for its deviation and for its cells
+    high = project.density_threshold(smooth, n_std, voxels=n)
     vid = (F.col("z") * lattice.shape[1] + F.col("y")) * lattice.shape[2] + F.col("x")
-    high = high.withColumn("vid", vid.cast("long"))
+    high = high.withColumn("vid", vid.cast("long")).checkpoint()
     numbered = neighbors.dense_labels(blocks.connected_components(high, lattice)).select("img", "vid", F.col("component_id").alias("label"))
     found = field.nearest_seed(ends, high.join(numbered, ["img", "vid"]).select("img", *AXES, "label"), radius)
     own = paths.select("img", F.col("vid").alias("pid"), *AXES).join(found, ["img", "pid"]).withColumnRenamed("pid", "vid")

@@ -64,3 +64,24 @@ def test_paths_of_many_boxes_equal_those_of_each(spark):
             s = 0.2 * field._sample(grid, p - low[:, [g]]) + 0.8 * s
             p = p + s
         assert np.allclose(p, pos[:, mine], atol=1e-9)
+
+
+def test_a_segmentation_runs_its_kernels_once(spark):
+    """Paths, smoothed density and components are read by several steps, but kept: no kernel is left in the result's plan."""
+    from stratavox.plans import pipelines
+    from stratavox.sources import views
+
+    vectors = pipelines.encode_targets(views.labelled(spark, "/root/testdata/sf0.001")).filter("label > 0")
+    for found in (pipelines.segment(vectors, 10, 30, n_std=2.0), pipelines.segment_blocks(vectors, blocks.Lattice((10, 10, 10), (5, 10, 10)), 30, n_std=2.0, halo=4)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "InArrow" not in plan and "InPandas" not in plan and found.count()
+
+
+def test_hand_off_reads_each_block_in_one_call_of_many(spark):
+    """A round has no call a block, and paths over blocks end as those of the whole image, for many images."""
+    rng = np.random.default_rng(3)
+    data = [(img, i, *map(int, np.unravel_index(i, (3, 4, 5))), *rng.uniform(-0.9, 0.9, 3).tolist()) for img in range(20) for i in range(60)]
+    df = spark.createDataFrame(data, "img long, vid long, z int, y int, x int, uz double, uy double, ux double")
+    tell = lambda f: sorted(tuple(r) for r in f.select("img", "vid", "ez", "ey", "ex").collect())
+    found = blocks.integrate(df, blocks.Lattice((3, 4, 5), (2, 2, 3)), 30, halo=1)
+    assert tell(found) == tell(field.integrate(df, 30))
