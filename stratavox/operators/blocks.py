@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -228,56 +229,117 @@ def connected_components(voxels: DataFrame, lattice: Lattice, connectivity: int
     return named.select("img", "vid", F.coalesce("root", "local").alias("component"))
 
 
-def integrate(voxels: DataFrame, lattice: Lattice, iterations: int = 200, rate: float = 0.2, momentum: float = 0.8, halo: int = 8) -> DataFrame:
+def _regions(lattice: Lattice, halo: int, most: int) -> Lattice:
+    """The lattice of regions of whole blocks, as many along each axis as have `most` cells with their halos in all, or of one."""
+    padded = float(np.prod([b + 2 * halo for b in lattice.block]))
+    along = max(1, int((most / padded) ** (1 / 3)))
+    return Lattice(lattice.shape, tuple(b * along for b in lattice.block))
+
+
+def _places(lattice: Lattice, cells: np.ndarray) -> np.ndarray:
+    """Lattice.of() of cells (3, n)."""
+    return np.clip(np.floor(cells / np.array(lattice.block)[:, None]), 0, np.array(lattice.counts())[:, None] - 1).astype(np.int64)
+
+
+def _copies(lattice: Lattice, radius: int, cells: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """spread() on arrays: (index of the cell, block) of each of cells' copies for the blocks from low to high, bounds for each cell."""
+    first, last = np.maximum(_places(lattice, cells - radius), low), np.minimum(_places(lattice, cells + radius), high)
+    index, block = np.arange(cells.shape[1]), np.empty((0, cells.shape[1]), np.int64)
+    for k in range(3):
+        n = last[k, index] - first[k, index] + 1
+        again = np.repeat(np.arange(len(index)), n)
+        index, block = index[again], np.vstack([block[:, again], first[k, index[again]] + np.arange(len(again)) - np.repeat(np.cumsum(n) - n, n)])
+    return index, block
+
+
+def integrate(voxels: DataFrame, lattice: Lattice, iterations: int = 200, rate: float = 0.2, momentum: float = 0.8, halo: int = 8, most: int = CELLS) -> DataFrame:
     """(img, vid, z, y, x, ez, ey, ex): field.integrate() of voxels(img, vid, z, y, x, uz, uy, ux) by blocks.
 
+    A task's group is a region of neighbouring blocks, as many as have `most` cells with their halos.  A voxel crosses the shuffle once,
+    and once more for each region that has it in its halo; its copies for blocks inside a region are made in the task.
     A block moves its points until their steps are done or the samples around them leave its halo; those are handed, with position and
-    momentum, to the block that they are in, and a round ends.  Points that swing about a face stay where they are, as
-    the halo is wider than their swing.  Each round reads only the blocks that got points, and is checkpointed."""
+    momentum, to the block that they are in: inside a region on arrays, between regions by a round.  Points that swing about a face stay
+    where they are, as the halo is wider than their swing.  Each later round reads only the regions that got points, and is checkpointed."""
     moved = ["img", "vid", *AXES, *[f"p{a}" for a in AXES], *[f"s{a}" for a in AXES], "step"]
     schema = "img long, vid long, z int, y int, x int, pz double, py double, px double, sz double, sy double, sx double, step int"
     voxels = voxels.select(*[F.col(c).cast("long").alias(c) for c in ("img", "vid")], *[F.col(a).cast("int").alias(a) for a in AXES], *[F.col(f"u{a}").cast("double").alias(f"u{a}") for a in AXES]).checkpoint()
-    # a row is a cell of a block's field (step null, p its vector) or a point
+    regions = _regions(lattice, halo, most)
+    # a row is a cell of a region's field (step null, p its vector), which starts a point in the first round, or a point
     none = [F.lit(None).cast("double").alias(f"s{a}") for a in AXES]
-    field = spread(voxels, lattice, halo).select(*BLOCK, "img", "vid", *AXES, *[F.col(f"u{a}").alias(f"p{a}") for a in AXES], *none, F.lit(None).cast("int").alias("step"))
-    points = voxels.select("img", "vid", *AXES, *[F.col(a).cast("double").alias(f"p{a}") for a in AXES], *[F.lit(0.0).alias(f"s{a}") for a in AXES], F.lit(0).alias("step"))
-    sides, shape = np.array(lattice.block)[:, None], np.array(lattice.shape)[:, None]
-
-    def run(table: pa.Table) -> pa.Table:
-        first = starts(table, ["img", *BLOCK])
-        counts = np.diff(first, append=len(table))
-        start = np.stack([table[b].to_numpy()[first] for b in BLOCK]).astype(np.int64) * sides
+    field = spread(voxels, regions, halo).select(*BLOCK, "img", "vid", *AXES, *[F.col(f"u{a}").alias(f"p{a}") for a in AXES], *none, F.lit(None).cast("int").alias("step"))
+    sides, shape, counts = (np.array(v)[:, None] for v in (lattice.block, lattice.shape, lattice.counts()))
+    along = np.array(regions.block)[:, None] // sides
+
+    def advance(owners: np.ndarray, low: np.ndarray, high: np.ndarray, of_cell: np.ndarray, cells: np.ndarray, vectors: np.ndarray, p: np.ndarray, s: np.ndarray, n: np.ndarray) -> None:
+        """Moves points in place until they are done or leave their region.  low, high: the first and last blocks of regions; owners, of_cell: of points and cells."""
+        wide = high - low + 1
+        before = np.cumsum(wide.prod(0)) - wide.prod(0)
+        number = lambda region, block: before[region] + ((block[0] - low[0, region]) * wide[1, region] + block[1] - low[1, region]) * wide[2, region] + block[2] - low[2, region]
+        total = int(wide.prod(0).sum())
+        region = np.repeat(np.arange(wide.shape[1]), wide.prod(0))
+        rest = np.arange(total) - before[region]
+        start = (np.stack([rest // (wide[1] * wide[2])[region], rest // wide[2, region] % wide[1, region], rest % wide[2, region]]) + low[:, region]) * sides
         stop = np.minimum(start + sides, shape)
         # the samples around a position within these bounds are the block's or outside the volume
-        low = np.where(start == 0, -np.inf, start - halo)
-        high = np.where(stop == shape, np.inf, stop + halo - 1)
+        bounds = np.where(start == 0, -np.inf, start - halo), np.where(stop == shape, np.inf, stop + halo - 1)
+        index, block = _copies(lattice, halo, cells, low[:, of_cell], high[:, of_cell])
+        holder, copies = number(of_cell[index], block), cells[:, index]
+        # a grid is as large as the cells of the block and its halo that are there
+        least, last = np.full((3, total), np.iinfo(np.int64).max), np.full((3, total), np.iinfo(np.int64).min)
+        for k in range(3):
+            np.minimum.at(least[k], holder, copies[k])
+            np.maximum.at(last[k], holder, copies[k])
+        bare = last[:1] < least[:1]
+        least = np.where(bare, start, least)
+        grids = Grids(least, np.where(bare, 0, last - least + 1))
+        grids.fill(holder, copies, vectors[:, index])
+        going = np.flatnonzero(n < iterations)
+        while len(going):
+            block = _places(lattice, p[:, going])
+            at = owners[going]
+            inside = ((block >= low[:, at]) & (block <= high[:, at])).all(0)
+            going, block, at = going[inside], block[:, inside], at[inside]
+            moving = p[:, going], s[:, going], n[going]
+            grids.advance(number(at, block), *moving, iterations, rate, momentum, bounds)
+            p[:, going], s[:, going], n[going] = moving
+            going = going[n[going] < iterations]
+
+    def run(table: pa.Table, begins: bool) -> pa.Table:
+        first = starts(table, ["img", *BLOCK])
+        rows = np.diff(first, append=len(table))
+        region = np.stack([table[b].to_numpy()[first] for b in BLOCK]).astype(np.int64)
+        low = region * along
+        high = np.minimum(low + along, counts) - 1
+        of = np.repeat(np.arange(len(first)), rows)
         point = table["step"].is_valid().to_numpy()
         at = np.stack([table[a].to_numpy() for a in AXES]).astype(np.int64)
-        pos, step = (np.stack([table[f"{c}{a}"].to_numpy() for a in AXES]) for c in "ps")
-        done = table["step"].fill_null(0).to_numpy().astype(np.int64)
-        for k in parts_of((stop - start + 2 * halo + 2).prod(0), CELLS):
-            rows = np.arange(first[k.start], first[k.stop - 1] + counts[k.stop - 1])
-            owner = np.repeat(np.arange(k.stop - k.start), counts[k])
-            mine = point[rows]
-            if not mine.any():
-                continue
-            grids = Grids(start[:, k] - halo, stop[:, k] - start[:, k] + 2 * halo)
-            grids.fill(owner[~mine], at[:, rows[~mine]], pos[:, rows[~mine]])
-            moving = rows[mine]
-            p, s, n = pos[:, moving], step[:, moving], done[moving]
-            grids.advance(owner[mine], p, s, n, iterations, rate, momentum, (low[:, k], high[:, k]))
-            pos[:, moving], step[:, moving], done[moving] = p, s, n
-        out = table.select(["img", "vid", *AXES]).filter(pa.array(point))
-        ends = {f"{c}{a}": pa.array(v[k][point]) for c, v in (("p", pos), ("s", step)) for k, a in enumerate(AXES)}
-        return pa.table({**{c: out[c] for c in out.column_names}, **ends, "step": pa.array(done[point].astype(np.int32))})
-
-    finished, started = None, False
+        values = np.stack([table[f"p{a}"].to_numpy() for a in AXES])
+        if begins:
+            movers = np.flatnonzero((_places(regions, at) == region[:, of]).all(0))
+            p, s, n = at[:, movers].astype(float), np.zeros((3, len(movers))), np.zeros(len(movers), np.int64)
+        else:
+            movers = np.flatnonzero(point)
+            p, s, n = values[:, movers], np.stack([table[f"s{a}"].to_numpy()[movers] for a in AXES]), table["step"].fill_null(0).to_numpy()[movers].astype(np.int64)
+        cells = np.flatnonzero(~point)
+        for k in parts_of(((high - low + 1) * (sides + 2 * halo)).prod(0), CELLS):
+            span = first[k.start], first[k.stop - 1] + rows[k.stop - 1]
+            m, c = slice(*np.searchsorted(movers, span)), cells[slice(*np.searchsorted(cells, span))]
+            if m.stop > m.start:
+                advance(of[movers[m]] - k.start, low[:, k], high[:, k], of[c] - k.start, at[:, c], values[:, c], p[:, m], s[:, m], n[m])
+        out = table.select(["img", "vid", *AXES]).take(pa.array(movers))
+        ends = {f"{c}{a}": pa.array(v[k]) for c, v in (("p", p), ("s", s)) for k, a in enumerate(AXES)}
+        return pa.table({**{c: out[c] for c in out.column_names}, **ends, "step": pa.array(n.astype(np.int32))})
+
+    finished, points = None, None
     while True:
-        at = points.select(*[lattice.of(F.col(f"p{a}"), k).alias(b) for k, (a, b) in enumerate(zip(AXES, BLOCK, strict=True))], *moved)
-        near = field.join(at.select("img", *BLOCK).distinct(), ["img", *BLOCK], "left_semi").select(field.columns) if started else field
-        out = by_groups(near.unionByName(at), ["img", *BLOCK], run, schema).checkpoint()
+        if points is None:
+            rows = field
+        else:
+            at = points.select(*[regions.of(F.col(f"p{a}"), k).alias(b) for k, (a, b) in enumerate(zip(AXES, BLOCK, strict=True))], *moved)
+            rows = field.join(at.select("img", *BLOCK).distinct(), ["img", *BLOCK], "left_semi").select(field.columns).unionByName(at)
+        out = by_groups(rows, ["img", *BLOCK], partial(run, begins=points is None), schema).checkpoint()
         ended = out.filter(F.col("step") >= iterations)
         finished = ended if finished is None else finished.unionByName(ended)
-        points, started = out.filter(F.col("step") < iterations), True
+        points = out.filter(F.col("step") < iterations)
         if points.isEmpty():
             return finished.select("img", "vid", *AXES, *[F.col(f"p{a}").cast("int").alias(f"e{a}") for a in AXES])

@@ -84,50 +84,81 @@ class Grids:
 
     def fill(self, owner: np.ndarray, cells: np.ndarray, vectors: np.ndarray) -> None:
         """The vectors (3, n) at cells (3, n), each in its owner's box."""
+        if not np.isfinite(vectors).all():
+            raise ValueError("vectors are finite numbers")
         z, y, x = cells - self.low[:, owner] + 2
         self.vectors[:, self.first[owner] + (z * self.width[1, owner] + y) * self.width[2, owner] + x] = vectors
 
-    def advance(self, owner: np.ndarray, pos: np.ndarray, step: np.ndarray, done: np.ndarray, iterations: int, rate: float, momentum: float, within: tuple[np.ndarray, np.ndarray] | None = None, part: int = 4096) -> None:
+    def advance(self, owner: np.ndarray, pos: np.ndarray, step: np.ndarray, done: np.ndarray, iterations: int, rate: float, momentum: float, within: tuple[np.ndarray, np.ndarray] | None = None, part: int = 8192) -> None:
         """Moves pos and step (3, n) by momentum steps of trilinear samples until `iterations` are done or a position leaves its box's bounds
-        (low, high) of `within`, in place; `part` points at a time, so that what a step touches stays in a cache."""
+        (low, high) of `within`, in place; `part` points at a time: enough that a call costs little a
+        point, few enough that what a step touches stays in a cache."""
         for k in range(0, len(owner), part):
             at = np.s_[k : k + part]
             self._advance(owner[at], pos[:, at], step[:, at], done[at], iterations, rate, momentum, within)
 
     def _advance(self, owner, pos, step, done, iterations, rate, momentum, within) -> None:
         going = np.flatnonzero(done < iterations)
-        p, s, own, n = pos[:, going], step[:, going], owner[going], done[going]
-        stale = True
         while len(going):
-            if stale:
-                low, top = self.low[:, own], self.shape[:, own]
-                plane, row = self.width[1, own] * self.width[2, own], self.width[2, own]
-                first = self.first[own] + 2 * (plane + row + 1)
-                bounds = None if within is None else (within[0][:, own], within[1][:, own])
-                stale = False
-            cell = np.floor(p)
-            part = p - cell
-            rest = 1 - part
-            z, y, x = np.clip(cell, low - 2, low + top).astype(np.int64) - low
-            base = first + z * plane + y * row + x
-            seen = np.zeros_like(p)
-            for dz, wz in ((0, rest[0]), (1, part[0])):
-                for dy, wy in ((0, rest[1]), (1, part[1])):
-                    corner, wzy = base + plane * dz + row * dy, wz * wy
-                    for dx, wx in ((0, rest[2]), (1, part[2])):
-                        w, index = wzy * wx, corner + dx
-                        for axis in range(3):
-                            seen[axis] += w * self.vectors[axis].take(index)
-            s = rate * seen + momentum * s
-            p = p + s
-            n = n + 1
-            stay = n < iterations
-            if bounds is not None:
-                stay &= ((p >= bounds[0]) & (p < bounds[1])).all(0)
-            if not stay.all():
-                gone = going[~stay]
-                pos[:, gone], step[:, gone], done[gone] = p[:, ~stay], s[:, ~stay], n[~stay]
-                p, s, own, n, going, stale = p[:, stay], s[:, stay], own[stay], n[stay], going[stay], True
+            own = owner[going]
+            p, s, n = pos[:, going], step[:, going], done[going]
+            lowest, highest = self.low[:, own] - 2.0, (self.low + self.shape)[:, own].astype(float)
+            row = self.width[2, own]
+            plane = self.width[1, own] * row
+            # flat places are whole numbers far below 2^53, so they are exact as floats
+            first = (self.first[own] + 2 * (plane + row + 1) - self.low[0, own] * plane - self.low[1, own] * row - self.low[2, own]).astype(float)
+            corners = (None, row, plane, plane + row)
+            row, plane = row.astype(float), plane.astype(float)
+            bounds = None if within is None else (within[0][:, own], within[1][:, own])
+            part, rest, seen, v, inside, above = (np.empty(p.shape, k) for k in (float, float, float, float, bool, bool))
+            at, w, wx = (np.empty(len(going)) for _ in range(3))
+            base, index = np.empty(len(going), np.int64), np.empty(len(going), np.int64)
+            alive = np.ones(len(going), bool)
+            # those that are gone move on unread, until an eighth is gone
+            while 8 * np.count_nonzero(alive) > 7 * len(going):
+                np.floor(p, out=rest)
+                np.subtract(p, rest, out=part)
+                np.maximum(rest, lowest, out=rest)
+                np.minimum(rest, highest, out=rest)
+                np.multiply(rest[0], plane, out=at)
+                np.multiply(rest[1], row, out=w)
+                at += w
+                at += rest[2]
+                at += first
+                np.copyto(base, at, casting="unsafe")
+                np.subtract(1, part, out=rest)
+                seen.fill(0)
+                for corner, wz, wy in zip(corners, (rest[0], rest[0], part[0], part[0]), (rest[1], part[1], rest[1], part[1]), strict=True):
+                    np.multiply(wz, wy, out=w)
+                    places = base if corner is None else np.add(base, corner, out=index)
+                    for dx, x in ((0, rest[2]), (1, part[2])):
+                        if dx:
+                            places = np.add(places, 1, out=index)
+                        np.multiply(w, x, out=wx)
+                        self.vectors.take(places, axis=1, out=v, mode="clip")
+                        v *= wx
+                        seen += v
+                seen *= rate
+                s *= momentum
+                s += seen
+                p += s
+                n += 1
+                stay = n < iterations
+                if bounds is not None:
+                    np.greater_equal(p, bounds[0], out=inside)
+                    np.less(p, bounds[1], out=above)
+                    inside &= above
+                    for axis in range(3):
+                        stay &= inside[axis]
+                stay &= alive
+                left = alive ^ stay
+                if left.any():
+                    gone = going[left]
+                    pos[:, gone], step[:, gone], done[gone] = p[:, left], s[:, left], n[left]
+                    alive = stay
+            kept = going[alive]
+            pos[:, kept], step[:, kept], done[kept] = p[:, alive], s[:, alive], n[alive]
+            going = kept
 
 
 def parts_of(sizes: np.ndarray, most: int) -> Iterator[slice]:

@@ -113,6 +113,32 @@ def test_integration_hands_points_on(boxes, size, halo):
     assert rows(found, "img", "vid", *AXES, "ez", "ey", "ex") == wanted
 
 
+@pytest.mark.parametrize(("size", "halo", "most"), [((2, 3, 2), 2, 1), ((2, 2, 2), 1, 600), ((3, 2, 4), 3, 5000), ((2, 2, 2), 1, 2_000_000)])
+def test_integration_by_regions_of_one_some_and_all_blocks(boxes, size, halo, most):
+    """Points that cross blocks inside a region, and regions, end as those of the one-task kernel."""
+    wanted = rows(field.integrate(boxes, 40), "img", "vid", *AXES, "ez", "ey", "ex")
+    found = blocks.integrate(boxes, blocks.Lattice(SHAPE, size), 40, halo=halo, most=most)
+    assert rows(found, "img", "vid", *AXES, "ez", "ey", "ex") == wanted
+
+
+def test_a_voxel_of_small_blocks_crosses_one_shuffle_once(boxes, monkeypatch):
+    """Copies for blocks, and points handed on between blocks of a region, stay in the task: no row more than voxels, no second round."""
+    given, by_groups = [], blocks.by_groups
+    monkeypatch.setattr(blocks, "by_groups", lambda df, *args: given.append(df.count()) or by_groups(df, *args))
+    found = blocks.integrate(boxes, blocks.Lattice(SHAPE, (2, 3, 2)), 40, halo=2)
+    assert given == [boxes.count()] and found.count() == boxes.count()
+
+
+def test_copies_on_arrays_equal_spread(boxes):
+    """Also of cells outside the volume, which the blocks next to them take."""
+    lattice, radius = blocks.Lattice(SHAPE, (2, 3, 4)), 2
+    cells = np.stack([a.ravel() for a in np.indices((9, 10, 12))]) - 1
+    every = np.zeros_like(cells), np.tile(np.array(lattice.counts())[:, None] - 1, cells.shape[1])
+    index, block = blocks._copies(lattice, radius, cells, *every)
+    df = boxes.sparkSession.createDataFrame(cells.T.tolist(), "z int, y int, x int")
+    assert sorted(map(tuple, np.vstack([cells[:, index], block]).T.tolist())) == rows(blocks.spread(df, lattice, radius), *AXES, *blocks.BLOCK)
+
+
 def test_blocks_of_nothing(boxes):
     none, lattice = boxes.limit(0), blocks.Lattice(SHAPE, (2, 2, 2))
     assert blocks.connected_components(none, lattice).count() == 0

@@ -66,6 +66,13 @@ def test_paths_of_many_boxes_equal_those_of_each(spark):
         assert np.allclose(p, pos[:, mine], atol=1e-9)
 
 
+@pytest.mark.parametrize("bad", [np.nan, np.inf])
+def test_a_field_without_a_number_is_an_error(bad):
+    grids = field.Grids(np.zeros((3, 1), int), np.full((3, 1), 2))
+    with pytest.raises(ValueError, match="finite"):
+        grids.fill(np.zeros(1, int), np.zeros((3, 1), int), np.array([[0.5], [bad], [0.5]]))
+
+
 def test_a_segmentation_runs_its_kernels_once(spark):
     """Paths, smoothed density and components are read by several steps, but kept: no kernel is left in the result's plan."""
     from stratavox.plans import pipelines
