@@ -8,8 +8,8 @@ sketches of the sets never exceeds it, so pivots work on the small sketches:
 
 1. Neighbourhoods.  A link implies a shared shingle among the first |x| - o(x) + 1 of
    each set in one global order (o(x): the least overlap a partner can have).  The order
-   puts frequent shingles last (a bounded list, counted over all documents), so those of
-   shared passages seldom meet.  The classes of a shingle form neighbourhoods under
+   puts frequent shingles last (a bounded list, counted over all documents) and those of frequent
+   words later, so unlike documents seldom meet.  The classes of a shingle form neighbourhoods under
    their first class; set sizes (the distance to the empty set) split them by the
    triangle inequality where no link can cross.  In a neighbourhood, sketches of one
    length make a region; those of the next length that can link to them join it, folded, so
@@ -19,7 +19,8 @@ sketches of the sets never exceeds it, so pivots work on the small sketches:
    pivot q with h(q, x) <= rho(x) + max over the cell's y of h(q, y) + rho(y): by the
    triangle inequality no link of a cell member leaves the cell's region.  Regions split
    again, every level a distributed pass, until they fit a task, which cuts them in the
-   same way down to single pivots.
+   same way down to single pivots; those regions of pivots that share classes go on as one, so
+   that a set is sent once for each region, however alike its classes are.
 3. Crowds.  Where windows do not shrink a region (its classes are all alike, or all equally
    far), those that a sketch puts within reach of the classes nearest to the centre are held
    against these in chunks, which connects most of a group of near copies; what is not connected
@@ -27,7 +28,8 @@ sketches of the sets never exceeds it, so pivots work on the small sketches:
 4. Regions join exactly on the sets.  Classes linked to the pivot are connected by it;
    the others become pivots in turn, against those of other components that their
    distances to the first pivot leave possible, until none is left; a link is kept if it
-   joins two components.  None that does is lost, and no list of all pairs is made.
+   joins two components.  None that does is lost, and no list of all pairs is made.  Where several
+   pivots ask, sets are rows of bits over the shingles that two of them or more hold.
 
 Components follow from the links by alternating star contractions in stored rounds.
 
@@ -58,6 +60,10 @@ _U = np.uint64
 LEAST = 256  # bits of a parity sketch
 NULL_ID = -(2**63)
 PIECE = 1 << 19  # shingles compared at once
+SLOTS = 1 << 20  # words are counted by so many values of their hash
+HEAVIEST = 1023  # most that the words of a shingle weigh
+SMALL = 64  # classes up to which every one of a region is a pivot
+BIT_BYTES = 64 << 20  # of a region's sets as rows of bits
 
 
 @dataclass(frozen=True)
@@ -86,21 +92,38 @@ class JaccardRules:
         return n - -(-self.similarity * n // 100) + 1
 
 
-def shingle_sets(block: tb.Block, words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shingle, document), sorted by document, then shingle, each once."""
+def _order(doc: np.ndarray, grams: np.ndarray, n_docs: int) -> np.ndarray:
+    """The order by document, then shingle: one sort of both in 64 bits, unless shingles of a document agree in the bits kept."""
+    bits = max(1, n_docs.bit_length())
+    order = np.argsort((doc.astype(np.uint64) << _U(64 - bits)) | (grams >> _U(bits)))
+    d, g = doc[order], grams[order]
+    if ((d[1:] == d[:-1]) & (g[1:] < g[:-1])).any():
+        order = np.lexsort((grams, doc))
+    return order
+
+
+def weighed_sets(block: tb.Block, words: np.ndarray, k: int, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingle, document, weight of its words), sorted by document, then shingle, each once; weight: of each word."""
     grams, at = block.ngrams(words, k)
     doc = block.doc_of_word()[at]
     n = np.diff(block.first)
+    total = np.concatenate([[0], np.cumsum(weight, dtype=np.int64)])
+    heavy = total[at + k] - total[at]
     for size in range(1, k):
         short = np.flatnonzero(n == size)
         grams = np.concatenate([grams, tb.ngram_hash(words, block.first[short], size) ^ _U(size)])
         doc = np.concatenate([doc, short])
-    order = np.argsort(grams)
-    order = order[np.argsort(doc[order], kind="stable")]
-    grams, doc = grams[order], doc[order]
+        heavy = np.concatenate([heavy, np.zeros(len(short), np.int64)])
+    order = _order(doc, grams, block.n_docs)
+    grams, doc, heavy = grams[order], doc[order], heavy[order]
     fresh = np.ones(len(grams), bool)
     fresh[1:] = (grams[1:] != grams[:-1]) | (doc[1:] != doc[:-1])
-    return grams[fresh], doc[fresh]
+    return grams[fresh], doc[fresh], heavy[fresh]
+
+
+def shingle_sets(block: tb.Block, words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, document), sorted by document, then shingle, each once."""
+    return weighed_sets(block, words, k, np.zeros(block.n_words, np.uint8))[:2]
 
 
 def _bounds(doc: np.ndarray, n_docs: int) -> np.ndarray:
@@ -149,16 +172,31 @@ def sketches(grams: np.ndarray, doc: np.ndarray, n: np.ndarray) -> list[bytes]:
 CLASSES = "kind int, doc_id bigint, digest string, class bigint, second bigint, n bigint, sketch binary"
 
 
+def _slot(words: np.ndarray) -> np.ndarray:
+    return (words >> _U(65 - SLOTS.bit_length())).astype(np.int64)
+
+
 def _classes(docs: DataFrame, rules: JaccardRules) -> DataFrame:
     """Kind 0: a row for each document; kind 1: documents (n) of shingles found often in a
-    block (class), and the number of all shingles (class 0)."""
+    block (class), and the number of all shingles (class 0); kind 2: words (n) of the slots (class) that
+    hold many of a task's, and the number of all words (class -1)."""
     names = [x.split()[0] for x in CLASSES.split(", ")]
 
+    def counted(kind: int, what: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        k = len(what)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(k, kind, np.int32)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.string()), pa.array(what), pa.nulls(k, pa.int64()), pa.array(n), pa.nulls(k, pa.binary())], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, table = tb.Hasher(lower=True), tb.whitespace_words()
+        slots, held, size = np.zeros(SLOTS, np.int64), [], 0
         for batch in batches:
             for block in tb.blocks(batch.column(2), table, tb.BLOCK_BYTES // 2):
                 words = hasher.spans(block.data, block.starts, block.ends)
+                held.append(_slot(words))
+                size += len(words)
+                if size > 2 * SLOTS:
+                    slots += np.bincount(np.concatenate(held), minlength=SLOTS)
+                    held, size = [], 0
                 grams, doc = shingle_sets(block, words, rules.words)
                 bounds = _bounds(doc, block.n_docs)
                 cls, second = (x.view(np.int64) for x in class_of(grams, bounds, rules.name_bits))
@@ -174,11 +212,10 @@ def _classes(docs: DataFrame, rules: JaccardRules) -> DataFrame:
                 cut = np.flatnonzero(np.concatenate([[True], kinds[1:] != kinds[:-1]])) if len(kinds) else np.zeros(0, np.int64)
                 count = np.diff(np.append(cut, len(kinds)))
                 often = count > 2
-                k = int(often.sum()) + 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.string()), pa.array(np.append(kinds[cut[often]].view(np.int64), 0)), pa.nulls(k, pa.int64()),
-                     pa.array(np.append(count[often], len(kinds))), pa.nulls(k, pa.binary())], names,
-                )
+                yield counted(1, np.append(kinds[cut[often]].view(np.int64), 0), np.append(count[often], len(kinds)))
+        slots += np.bincount(np.concatenate([np.zeros(0, np.int64), *held]), minlength=SLOTS)
+        often = np.flatnonzero(slots > max(3, int(slots.sum()) // (SLOTS // 2)))
+        yield counted(2, np.append(often, -1), np.append(slots[often], slots.sum()))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("digest"), "text").mapInArrow(tb.released(run), CLASSES)
 
@@ -208,22 +245,39 @@ def _frequent(counts: DataFrame, rules: JaccardRules) -> np.ndarray:
     return np.sort(found.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
-def _keys(docs: DataFrame, hot: np.ndarray, names: Names, n_buckets: int, rules: JaccardRules) -> DataFrame:
-    """Each class under the shingles of its prefix, packed by bucket of the shingle."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+def _weights(counts: DataFrame) -> np.ndarray:
+    """The weight of each slot's words: it grows with the logarithm of their number, and is 0 where no task found many."""
+    found = counts.groupBy("class").agg(F.sum("n").alias("n")).toArrow()  # SLOTS of them at most
+    slot, n = (found.column(i).to_numpy().astype(np.int64) for i in (0, 1))
+    out, total = np.zeros(SLOTS, np.uint8), int(n[slot < 0].sum())
+    if total:
+        out[slot[slot >= 0]] = np.rint(8 * np.log2(1 + n[slot >= 0] * (SLOTS / total)))
+    return out
+
+
+def _keys(docs: DataFrame, hot: np.ndarray, weights: np.ndarray, names: Names, n_buckets: int, rules: JaccardRules) -> DataFrame:
+    """Each class under the shingles of its prefix, packed by bucket of the shingle.  The order of shingles, the same
+    for all: frequent ones (hot) last, those of heavy words later, then by hash."""
+    shared = docs.sparkSession.sparkContext.broadcast((hot, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, table, hot = tb.Hasher(lower=True), tb.whitespace_words(), shared.value
+        hasher, table = tb.Hasher(lower=True), tb.whitespace_words()
+        hot, weights = shared.value
         bins = blobs.Bins(16 << 20)
         for batch in batches:
             for block in tb.blocks(batch.column(0), table, tb.BLOCK_BYTES // 2):
-                grams, doc = shingle_sets(block, hasher.spans(block.data, block.starts, block.ends), rules.words)
+                words = hasher.spans(block.data, block.starts, block.ends)
+                grams, doc, late = weighed_sets(block, words, rules.words, weights[_slot(words)])
                 bounds = _bounds(doc, block.n_docs)
                 cls, n = names.of(grams, bounds, rules), np.diff(bounds)
-                late = np.zeros(len(grams), bool)
+                late = np.minimum(late, HEAVIEST)
                 if len(hot) and len(grams):
-                    late = hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams
-                order = np.argsort(doc * 2 + late, kind="stable")
+                    late += (HEAVIEST + 1) * (hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams)
+                late += 2 * (HEAVIEST + 1) * doc
+                if block.n_docs < 1 << 20 and len(grams) < 1 << 32:  # a stable sort by values
+                    order = (np.sort(late.astype(np.uint64) << _U(32) | np.arange(len(grams), dtype=np.uint64)) & _U(2**32 - 1)).astype(np.int64)
+                else:
+                    order = np.argsort(late, kind="stable")
                 place = np.arange(len(grams)) - bounds[doc]
                 _, one = np.unique(cls, return_index=True)
                 once = np.zeros(block.n_docs, bool)
@@ -393,7 +447,7 @@ def _small(df: DataFrame, limit: int = JaccardRules.broadcast_bytes) -> DataFram
     """df, to be broadcast if it is small in bytes."""
     held = F.lit(16 * len(df.columns))
     for name, kind in df.dtypes:
-        if kind == "binary":
+        if kind in ("binary", "string"):
             held = held + F.length(name)
         elif kind == "array<binary>":
             held = held + F.aggregate(name, F.lit(0), lambda n, x: n + 16 + F.length(x))
@@ -450,25 +504,89 @@ def _split(large: DataFrame, level: int, rules: JaccardRules) -> tuple[DataFrame
 LEAF, LEAF_OTHER, PIVOT, MEMBER, QUERY, OTHER = range(6)
 
 
+def _whole(batches: Iterator[pa.RecordBatch], rows: int = 1 << 13, size: int = 16 << 20) -> Iterator[pa.Table]:
+    """Tables of whole regions (the first column, which the rows are sorted by), of about so many rows or bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(x.num_rows for x in held) >= rows or sum(x.nbytes for x in held) >= size:
+            found = pa.Table.from_batches(held)
+            key = found.column(0).to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))
+            if cut:
+                yield found.slice(0, cut)
+                held = found.slice(cut).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _connected(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least of those that each of n is connected with by the pairs (a, b)."""
+    least = np.arange(n)
+    while True:
+        x, y = least[a], least[b]
+        if (x == y).all():
+            return least
+        np.minimum.at(least, x, y)
+        np.minimum.at(least, y, x)
+        while (further := least[least]).tolist() != least.tolist():
+            least = further
+
+
+def close_pairs(region: np.ndarray, n: np.ndarray, rows: np.ndarray, rules: JaccardRules, asking: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that stand for the Voronoi regions of classes sorted by region: a pivot and each other class of its region.
+    Where classes are few, every one is a pivot, so its cell is itself and its region what it can link to."""
+    heads = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1]]))
+    size = np.diff(np.append(heads, len(region)))
+    of, stop = np.repeat(size, size), np.repeat(heads + size, size)
+    at = np.flatnonzero(of <= SMALL)
+    after = stop[at] - at - 1
+    a, b = np.repeat(at, after), blobs.gather(at + 1, after)
+    may = 100 * np.minimum(n[a], n[b]) >= rules.similarity * np.maximum(n[a], n[b])
+    if asking is not None:
+        may &= asking[a] | asking[b]
+    a, b, rho = a[may], b[may], rules.rho(n)
+    near, step = np.zeros(len(a), bool), max(1, (4 << 20) // (8 * rows.shape[1]))
+    for i in range(0, len(a), step):
+        x, y = a[i : i + step], b[i : i + step]
+        near[i : i + step] = np.bitwise_count(rows[x] ^ rows[y]).sum(1, dtype=np.int64) <= rho[x] + rho[y]
+    pairs = [(a[near], b[near])]
+    for i in np.flatnonzero(size > SMALL):
+        own = slice(heads[i], heads[i] + size[i])
+        for q, others in voronoi_regions(n[own], rows[own], rules, None if asking is None else asking[own]):
+            pairs.append((np.full(len(others), heads[i] + q), heads[i] + others))
+    return tuple(np.concatenate(x) for x in zip(*pairs, strict=True))
+
+
 def _leaves(rows: DataFrame, partitions: int, rules: JaccardRules) -> DataFrame:
-    """(key, class, role): regions that fit a task, cut down to single pivots.  A pivot's regions go
-    together; with a column `asking` they stay apart, and only what it marks asks for links."""
+    """(key, class, role): regions that fit a task, cut down to single pivots; pivots' regions that share a class are one
+    leaf, so a class stands once in what a region gives.  Equal leaves of several regions go together; with a
+    column `asking` they stay apart, and only what it marks asks for links."""
     marked = "asking" in rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _by_key(batches):
-            cls, n = t.column(1).to_numpy(), t.column(2).to_numpy()
-            asking = t.column(5).to_numpy().astype(bool) if marked else None
-            key, member, role = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-            for q, others in voronoi_regions(n, folded(t.column(4).to_pylist()), rules, asking):
-                key.append(np.full(len(others) + 1, cls[q]))
-                member.append(np.append(cls[q], cls[others]))
-                role.append(np.append(QUERY, np.where(asking[others], QUERY, OTHER)) if marked else np.append(LEAF, np.full(len(others), LEAF_OTHER)))
-            if len(key) > 1:
-                keys = np.concatenate(key)
+        for t in _whole(batches):
+            bits = t.column(3).to_numpy()
+            for size in np.unique(bits):
+                some = t.take(pa.array(np.flatnonzero(bits == size)))
+                region, cls, n = (some.column(i).to_numpy() for i in range(3))
+                asking = some.column(5).to_numpy().astype(bool) if marked else None
+                a, b = close_pairs(region, n, folded(some.column(4).to_pylist(), int(size) // 8), rules, asking)
+                if not len(a):
+                    continue
+                leaf = _connected(a, b, len(cls))
+                member = np.flatnonzero(np.bincount(leaf, minlength=len(cls))[leaf] > 1)
+                member = member[np.argsort(leaf[member], kind="stable")]
+                heads = np.flatnonzero(np.concatenate([[True], leaf[member[1:]] != leaf[member[:-1]]]))
+                count = np.diff(np.append(heads, len(member)))
+                key = tb.mix64(np.add.reduceat(tb.keyed64(cls[member].view(np.uint64), 0x1EAF), heads) + count.astype(np.uint64))
                 if marked:
-                    keys = tb.keyed64(keys.view(np.uint64), int(t.column(0)[0].as_py()) & (2**63 - 1)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate(member)), pa.array(np.concatenate(role).astype(np.int32))], ["key", "class", "role"])
+                    key = tb.mix64(key ^ tb.keyed64(region[member[heads]].view(np.uint64), 0xB10C))
+                    role = np.where(asking[member], QUERY, OTHER)
+                else:
+                    role = np.where(leaf[member] == member, LEAF, LEAF_OTHER)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(key, count).view(np.int64)), pa.array(cls[member]), pa.array(role.astype(np.int32))], ["key", "class", "role"])
 
     columns = ["region", "class", "n", "bits", "sketch"]
     # dealt by region first, so that repeated rows go where they lie and sketches are shuffled once
@@ -521,14 +639,56 @@ def _shared(flat: np.ndarray, heads: np.ndarray, n: np.ndarray, q: np.ndarray, a
     return out
 
 
+class Overlaps:
+    """How many values sets have in common.  From the fourth set that is held against others, on rows of bits, one for each
+    value that two sets or more hold, if these rows are not too large."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = np.array([len(s) for s in sets])
+        self.flat = np.concatenate(sets)
+        self.heads = np.cumsum(self.n) - self.n
+        self.asked, self.bits = 0, None
+
+    def _rows(self) -> np.ndarray | None:
+        kinds = np.sort(self.flat)
+        kinds = kinds[1:][kinds[1:] == kinds[:-1]]
+        kinds = np.append(kinds[:1], kinds[1:][kinds[1:] != kinds[:-1]])
+        width = max(1, -(-len(kinds) // 64))
+        if 8 * width * len(self.n) > BIT_BYTES:
+            return None
+        out = np.zeros((len(self.n), 8 * width), np.uint8)
+        ends, begin = self.heads + self.n, 0
+        while begin < len(self.n) and len(kinds):
+            stop = min(int(np.searchsorted(ends, self.heads[begin] + PIECE, "right")), begin + (4 << 20) // (64 * width))
+            stop = max(begin + 1, stop)
+            values = self.flat[self.heads[begin] : ends[stop - 1]]
+            at = np.minimum(np.searchsorted(kinds, values), len(kinds) - 1)
+            held = np.flatnonzero(kinds[at] == values)
+            dense = np.zeros((stop - begin, 64 * width), bool)
+            dense[np.repeat(np.arange(stop - begin), self.n[begin:stop])[held], at[held]] = True
+            out[begin:stop] = np.packbits(dense, axis=1)
+            begin = stop
+        return out.view(np.uint64)
+
+    def of(self, q: int, at: np.ndarray) -> np.ndarray:
+        """Of set q with each of the sets `at` (ascending; not q itself, but for the first asked)."""
+        self.asked += 1
+        if self.asked == 4:
+            self.bits = self._rows()
+        if self.bits is None:
+            return _shared(self.flat, self.heads, self.n, self.flat[self.heads[q] : self.heads[q] + self.n[q]], at)
+        out, step = np.zeros(len(at), np.int64), max(1, (4 << 20) // self.bits.strides[0])
+        for i in range(0, len(at), step):
+            out[i : i + step] = np.bitwise_count(self.bits[at[i : i + step]] & self.bits[q]).sum(1, dtype=np.int64)
+        return out
+
+
 def join_region(sets: list[np.ndarray], rules: JaccardRules, every: bool = False, queries: int | None = None) -> list[tuple[int, int]]:
     """Links among sets (sorted arrays; the first is the pivot) that connect all that are connected,
     or every link.  With queries, only links of the first so many count."""
-    n = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets)
-    heads = np.cumsum(n) - n
-    everyone = np.arange(len(sets))
-    both = _shared(flat, heads, n, sets[0], everyone)
+    shared = Overlaps(sets)
+    n, everyone = shared.n, np.arange(len(sets))
+    both = shared.of(0, everyone)
     union = n + n[0] - both
     linked = 100 * both >= rules.similarity * union
     far = 1 - both / union
@@ -540,7 +700,7 @@ def join_region(sets: list[np.ndarray], rules: JaccardRules, every: bool = False
         at = np.flatnonzero((everyone > q if every else part != part[q]) & (np.abs(far - far[q]) <= reach) & (100 * np.minimum(n, n[q]) >= rules.similarity * np.maximum(n, n[q])))
         if not len(at):
             continue
-        b = _shared(flat, heads, n, sets[q], at)
+        b = shared.of(q, at)
         hits = at[100 * b >= rules.similarity * (n[at] + n[q] - b)]
         if every:
             links += [(int(q), int(x)) for x in hits]
@@ -553,13 +713,13 @@ def join_region(sets: list[np.ndarray], rules: JaccardRules, every: bool = False
 
 def join_chunk(sets: list[np.ndarray], pivots: int, rules: JaccardRules) -> tuple[list[tuple[int, int]], np.ndarray]:
     """(links that connect sets by the first `pivots`, the sets that these do not connect with the first)."""
-    n = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets)
-    heads = np.cumsum(n) - n
-    part, links = np.arange(len(sets)), []
+    shared = Overlaps(sets)
+    n, part, links = shared.n, np.arange(len(sets)), []
     for q in range(pivots):
         at = np.flatnonzero((part != part[q]) & (100 * np.minimum(n, n[q]) >= rules.similarity * np.maximum(n, n[q])))
-        b = _shared(flat, heads, n, sets[q], at)
+        if not len(at):
+            continue
+        b = shared.of(q, at)
         for x in at[100 * b >= rules.similarity * (n[at] + n[q] - b)]:
             if part[x] != part[q]:
                 links.append((q, int(x)))
@@ -702,7 +862,8 @@ def _linked(docs: DataFrame, rules: JaccardRules, every: bool = False) -> tuple[
     all_rows = _named(first, names)
     classes = all_rows.filter("n > 0").withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
     hot = _frequent(read.filter("kind = 1").select("class", "n"), rules)
-    hoods = stored(_neighbourhoods(_keys(docs, hot, names, 4 * partitions, rules), partitions, rules), "hoods")
+    weights = _weights(read.filter("kind = 2").select("class", "n"))
+    hoods = stored(_neighbourhoods(_keys(docs, hot, weights, names, 4 * partitions, rules), partitions, rules), "hoods")
     return all_rows, _links(docs, classes, hoods, names, partitions, rules, every)
 
 
@@ -736,11 +897,11 @@ def drop_near_duplicates(docs: DataFrame, rules: JaccardRules = JaccardRules())
     found = stored(_rooted(docs, rules).filter("n > 0").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"), "digest", "root"), "roots")
     chosen = found.groupBy("root").agg(F.min(F.struct("key", "digest")).alias("best"), F.count("*").alias("rows"))
     marked = found.join(stored(chosen.filter("rows > 1"), "chosen"), "root")
-    gone = marked.filter((F.col("key") != F.col("best.key")) | (F.col("digest") != F.col("best.digest"))).select("key", "digest").distinct()
+    gone = stored(marked.filter((F.col("key") != F.col("best.key")) | (F.col("digest") != F.col("best.digest"))).select("key", "digest").distinct(), "gone")
     id_, digest, gone_id, gone_digest = (free_name(docs, x) for x in ("key_", "digest_", "gone_key", "gone_digest"))
     own = docs.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn(digest, F.md5("text"))
     on = [F.col(id_) == F.col(gone_id), F.col(digest) == F.col(gone_digest)]
-    kept = own.join(gone.select(F.col("key").alias(gone_id), F.col("digest").alias(gone_digest)), on, "left_anti")
+    kept = own.join(_small(gone.select(F.col("key").alias(gone_id), F.col("digest").alias(gone_digest)), rules.broadcast_bytes), on, "left_anti")
     twice = stored(marked.filter((F.col("key") == F.col("best.key")) & (F.col("digest") == F.col("best.digest"))).groupBy("key", "digest").count().filter("count > 1").select(F.col("key").alias(gone_id), F.col("digest").alias(gone_digest)), "twice")
     if not twice.head(1):
         return kept.select(columns(docs))

@@ -240,6 +240,80 @@ def near_copies(seed=11):
     return rows
 
 
+def drifted(rng, n, size, changes):
+    """n sets of `size` values, with up to `changes` values of their own each."""
+    base = [rng.getrandbits(64) for _ in range(size)]
+    return [np.array(sorted({*base[(k := rng.randrange(changes)) :], *(rng.getrandbits(64) for _ in range(k))}), np.uint64) for _ in range(n)]
+
+
+def test_a_class_stands_once_in_the_leaves_of_a_region(spark):
+    """Regions of drifting near copies, below and above the size at which every class is a pivot: links stay, classes are not repeated."""
+    rng, rules, rows, sets = random.Random(3), jaccard.JaccardRules(), [], {}
+    for region, n in enumerate((2, 40, 150, 60)):
+        group = [*drifted(rng, n - n // 4, 400, 90), *drifted(rng, n // 4, 300, 20)]
+        sizes = np.array([len(x) for x in group])
+        found = jaccard.sketches(np.concatenate(group), np.repeat(np.arange(len(group)), sizes), sizes)
+        least = min(8 * len(x) for x in found)
+        for x, size, sketch in zip(group, sizes.tolist(), found, strict=True):
+            sets[len(sets)] = x
+            rows.append((region, len(rows), size, least, sketch))
+    got = jaccard._leaves(spark.createDataFrame(rows, jaccard.REGION), 2, rules).collect()
+    assert len(got) <= len(rows)
+    leaf = collections.defaultdict(set)
+    for r in got:
+        leaf[r["class"]].add(r.key)
+    linked = 0
+    for i, (region, *_) in enumerate(rows):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if region == rows[j][0] and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                linked += 1
+                assert leaf[i] & leaf[j]
+    assert linked > len(rows)
+
+
+@pytest.mark.parametrize("bit_bytes", [1 << 26, 0])
+def test_overlaps_match_intersections(monkeypatch, bit_bytes):
+    monkeypatch.setattr(jaccard, "BIT_BYTES", bit_bytes)
+    rng = random.Random(6)
+    sets = [*drifted(rng, 70, 200, 60), *drifted(rng, 5, 3, 2)]
+    shared = jaccard.Overlaps(sets)
+    for q in range(12):
+        at = np.array([i for i in range(len(sets)) if i != q])
+        assert shared.of(q, at).tolist() == [len(np.intersect1d(sets[q], sets[i])) for i in at]
+    assert (shared.bits is None) == (not bit_bytes)
+    # few comparisons a set: links are as by brute force
+    root = {i: i for i in range(len(sets))}
+
+    def top(i):
+        return i if root[i] == i else top(root[i])
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                root[top(i)] = top(j)
+    links = jaccard.join_region(sets, jaccard.JaccardRules())
+    assert len(links) == len(sets) - len({top(i) for i in root}) and all(top(a) == top(b) for a, b in links)
+
+
+def test_prefixes_begin_with_rare_words(spark):
+    """Texts of common phrases between words of their own seldom meet in a neighbourhood."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(120):
+        text = []
+        for k in range(40):
+            text += [f"own{i}x{k}", *(f"c{rng.randrange(2)}" for _ in range(7))]
+        rows.append((i, " ".join(text)))
+    docs, rules = spark.createDataFrame(rows, "doc_id long, text string").repartition(1), jaccard.JaccardRules(hot_least=1000)
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs, rules).collect()) == plain_components(rows, 5, 80)
+    counts = jaccard._classes(docs, rules).filter("kind = 2").select("class", "n")
+    empty = np.zeros(0, np.uint64)
+    met = [jaccard._neighbourhoods(jaccard._keys(docs, empty, w, jaccard.Names(empty, empty), 4, rules), 2, rules).count() for w in (np.zeros(jaccard.SLOTS, np.uint8), jaccard._weights(counts))]
+    assert met[0] > 100 and met[1] < met[0] / 5
+
+
 @pytest.mark.parametrize("region", [4, 12])
 def test_regions_beyond_a_task(spark, region):
     """Small limits: regions split over levels, and crowds that no window splits are joined by chunks."""
